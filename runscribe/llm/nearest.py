@@ -77,7 +77,7 @@ def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray,
     return out
 
 
-def search(table: DataFrame, is_query, k: int = 20, block_rows: int = 1024, block_queries: int = 1024, projections: int = 64, threshold: float = 0.8, verify_share: float = 0.08, widen: float = 1.25) -> DataFrame:
+def search(table: DataFrame, is_query, k: int = 20, block_rows: int = 1024, block_queries: int = 1024, projections: int = 96, threshold: float = 0.8, verify_share: float = 0.12, widen: float = 1.25) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by inner product, ties to the smaller vec_id.
 
     ``table``: vec_id, embedding; ``is_query``: a condition on it.  Vectors that are null or zero, or hold null
