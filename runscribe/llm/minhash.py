@@ -6,10 +6,9 @@ for the quarter of minima that agree by chance, estimate the similarity; candida
 go.  What is left is confirmed on the full sets, so a link is never an estimate.
 
 Groups.  Equal sets are one node from the start.  A bucket of a band is never expanded into its pairs: each
-member is compared with the bucket's two leaders, which links a group of copies at once.  Buckets that then
-still hold several components are searched again, in blocks of packed signatures within tasks, and each
-member names its closest members of other components; a member that had more of them than it could name is
-asked again for more, until none is left.
+member is compared with the bucket's two leaders, which links a group of copies at once.  What shares a bucket
+that then still holds several components is one group; its members meet in blocks within tasks, where packed
+bits choose and full sets decide, and a task returns no more links than it has members.
 """
 
 from __future__ import annotations
@@ -111,14 +110,9 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, low array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The pairs (a, b) of documents whose full sets are similar enough; texts meet by two joins on doc_id.
-
-    A pair carries the sets' sizes and hashes, so pairs that can't reach the threshold by size are not sent.
-    """
+def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """The pairs (a, b) of documents whose full sets are similar enough; texts (sid, text) meet by two joins."""
     share = round(threshold * 100)
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stage(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), "minhash-texts")
     ta, tb = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     met = pairs.join(ta, "a").join(tb, "b").select("a", "b", "hash_a", "hash_b", "text_a", "text_b")
 
@@ -148,92 +142,97 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -
     return met.mapInArrow(run, "a long, b long")
 
 
-def closest_across(rows: DataFrame, least: float, most: int) -> DataFrame:
-    """(key, block_a, block_b, side, sid, comp, low) -> (x, y, cut): each x's closest y of other components.
+def links_across(rows: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(group, block_a, block_b, side, sid, comp, hash, low, text) -> (a, b): links between components of a group.
 
-    One group is one block, or two blocks, of a bucket.  Up to ``most`` partners a member; ``cut`` says that it
-    had more.
+    A task has one block of a group, or two.  The packed bits choose which members could be linked; the sizes
+    of their intersections come from an inverted list of the task's shingles, so every pair of the blocks
+    across components is decided on full sets.  Of the links those are returned that join what isn't yet
+    joined, fewer than a block has members.
     """
+    share, least = round(threshold * 100), threshold - MARGIN
+    mask = np.uint64(0x5555555555555555)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        texts, hashes = table.column("text").to_pylist(), table.column("hash").to_pylist()
+        sets = [shingle_set(t, words) for t in texts]
+        good = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) == h for s, h in zip(sets, hashes, strict=True)]
+        table, sets = table.filter(pa.array(good)), [s for s, g in zip(sets, good, strict=True) if g]
         sid, comp, side = (table.column(c).to_numpy() for c in ("sid", "comp", "side"))
         low = np.array(table.column("low").to_pylist(), np.int64).view(np.uint64).reshape(len(sid), -1)
+        size = np.array([len(s) for s in sets], np.int64)
         one_block = key[1].as_py() == key[2].as_py()
         left = np.arange(len(sid)) if one_block else np.flatnonzero(side == 0)
         right = left if one_block else np.flatnonzero(side == 1)
-        xs, ys, cuts = [], [], []
-        mask = np.uint64(0x5555555555555555)
-        for i in left.tolist():
-            other = right[comp[right] != comp[i]]
-            if one_block:
-                other = other[sid[other] > sid[i]]
-            if not len(other):
-                continue
-            differ = low[other] ^ low[i]
-            agree = np.bitwise_count(~(differ | (differ >> np.uint64(1))) & mask).sum(axis=1)
-            est = (agree / MINIMA - 0.25) / 0.75
-            near = np.flatnonzero(est >= least)
-            if len(near) > most:
-                best = near[np.argsort(-est[near], kind="stable")[:most]]
-            else:
-                best = near
-            xs += [int(sid[i])] * len(best)
-            ys += sid[other[best]].tolist()
-            cuts += [len(near) > most] * len(best)
-        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64()), "cut": pa.array(cuts, pa.bool_())})
-
-    return rows.groupBy("key", "block_a", "block_b").applyInArrow(run, "x long, y long, cut boolean")
+        joined = {int(c): int(c) for c in comp}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                joined[c] = c = joined[joined[c]]
+            return c
+
+        a, b = [], []
+        if len(left) and len(right):
+            owner = np.repeat(np.arange(len(right)), size[right])
+            flat = np.concatenate([sets[r] for r in right])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in left.tolist():
+                differ = low[right] ^ low[i]
+                agree = np.bitwise_count(~(differ | (differ >> np.uint64(1))) & mask).sum(axis=1)
+                likely = ((agree / MINIMA - 0.25) / 0.75 >= least) & (comp[right] != comp[i])
+                if one_block:
+                    likely &= sid[right] > sid[i]
+                if not likely.any():
+                    continue
+                begin, end = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                n = end - begin
+                at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(right))
+                linked = likely & (100 * both >= share * (size[i] + size[right] - both))
+                for r in right[np.flatnonzero(linked)].tolist():
+                    x, y = root(int(comp[i])), root(int(comp[r]))
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        a.append(int(sid[i])), b.append(int(sid[r]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("group", "block_a", "block_b").applyInArrow(run, "a long, b long")
 
 
 def link_sets(docs: DataFrame, sets: DataFrame, threshold: float, words: int) -> DataFrame:
     """(node, component) over the representatives ``sets`` (sid, n, hash, keys, low), by confirmed links."""
-    least = threshold - MARGIN
     bands = sets.select("sid", F.explode("keys").alias("key"))
     order = F.xxhash64("sid")
     buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("sid").alias("first"), F.min_by("sid", order).alias("second")).where("members > 1")
-    shared = stage(bands.join(buckets, "key"), "minhash-buckets")
+    shared = stage(bands.join(stage(buckets, "minhash-keys"), "key"), "minhash-buckets")
     low = sets.select("sid", "n", "hash", "low")
     facts_a, facts_b = low.toDF("a", "n_a", "hash_a", "low_a"), low.toDF("b", "n_b", "hash_b", "low_b")
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(facts_a, "a").join(facts_b, "b")
-        fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-        return met.where(fits & (estimated(F.col("low_a"), F.col("low_b")) >= least)).select("a", "b", "hash_a", "hash_b")
-
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    to_leaders = shared.select(*ordered("sid", "first")).union(shared.select(*ordered("sid", "second"))).where("a <> b").distinct()
-    tested = stage(promising(to_leaders), "minhash-pairs")
-    links = stage(confirmed(tested, docs, threshold, words), "minhash-links")
+    members = shared.select("sid").distinct().hint("merge")
+    texts = stage(docs.select(F.col("doc_id").alias("sid"), "text").join(members, "sid", "left_semi"), "minhash-texts")
+
+    to_leaders = shared.select(F.least("sid", "first").alias("a"), F.greatest("sid", "first").alias("b")).union(shared.select(F.least("sid", "second"), F.greatest("sid", "second")))
+    met = to_leaders.where("a <> b").distinct().join(facts_a, "a").join(facts_b, "b")
+    fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    likely = met.where(fits & (estimated(F.col("low_a"), F.col("low_b")) >= threshold - MARGIN)).select("a", "b", "hash_a", "hash_b")
+    links = stage(confirmed(likely, texts, threshold, words), "minhash-links")
     comps = components(links)
-    tested = tested.select("a", "b")
-    most = 8
-    while True:
-        named = shared.where("members > 2").select("key", "sid", "members").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
-        named = named.withColumn("comp", F.coalesce("component", "sid")).drop("component")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("key", "size")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-        spread = named.join(mixed, "key").join(low.select("sid", "low"), "sid").withColumn("blocks", blocks).withColumn("own", own)
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = spread.select(
-            "key", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "comp", "low"
-        )
-        met = stage(met, "minhash-open")
-        if met.isEmpty():
-            return comps
-        near = stage(closest_across(met, least, most).groupBy(*ordered("x", "y")).agg(F.max("cut").alias("cut")), "minhash-near")
-        fresh = near.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(promising(fresh.select("a", "b")), "minhash-pairs")
-        more = stage(confirmed(pairs, docs, threshold, words), "minhash-links")
-        tested = stage(tested.union(fresh.select("a", "b")), "minhash-tested")
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = components(links)
-        if near.where("cut").isEmpty():
-            return comps
-        most *= 8
+
+    # what shares a bucket that still holds several components is one group, searched in blocks
+    named = shared.where("members > 2").select("key", "first", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+    named = named.withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    several = stage(named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "minhash-several")
+    still = stage(named.join(several, "key").select("first", "sid", "comp").distinct(), "minhash-open")
+    groups = components(still.select(F.col("first").alias("a"), F.col("sid").alias("b"))).toDF("sid", "group")
+    placed = stage(still.select("sid", "comp").distinct().join(groups, "sid"), "minhash-groups")
+    blocks = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    spread = placed.join(stage(blocks, "minhash-blocks"), "group").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select(
+        "group", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "comp"
+    )
+    more = stage(links_across(spread.join(low.select("sid", "hash", "low"), "sid").join(texts, "sid"), threshold, words), "minhash-links")
+    return comps if more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5) -> DataFrame:
