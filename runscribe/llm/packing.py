@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .token_arrays import ChunkTokens
+from .token_arrays import chunk_tokens
 from .token_counts import slices
 from .workspace import stage
 
@@ -84,7 +84,7 @@ def cut_tokens(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Da
     """doc_id, doc_tokens, start, length, ids_crc32 of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = ChunkTokens(vocabulary), int(end_id).to_bytes(4, "little")
+        tokens, end = chunk_tokens(vocabulary), int(end_id).to_bytes(4, "little")
         for batch in batches:
             texts, row, start, length, crc, total = batch.column("text").to_pylist(), [], [], [], [], []
             for a, b in slices(texts):

@@ -7,6 +7,7 @@ rank, merges all of that rank's pairs in all pre-tokens together, and drops pre-
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -44,46 +45,52 @@ class MergeTable:
 
 
 def merge_all(symbols: np.ndarray, owner: np.ndarray, table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols left of each pre-token, and their owners, in order; ``owner`` ascends."""
-    done_symbols, done_owner = [], []
-    while len(symbols) > 1:
-        inside = owner[:-1] == owner[1:]
-        rank, made = table.lookup(symbols[:-1], symbols[1:])
-        rank = np.where(inside, rank, NO_RANK)
+    """Symbols left of each pre-token, and their owners, in order; ``owner`` ascends.
+
+    The rank of each symbol's pair with the next is kept from round to round; only pairs beside a merge are
+    looked up again.
+    """
+    if not len(symbols):
+        return symbols, owner
+    symbols, done_symbols, done_owner = symbols.copy(), [], []
+    rank, made = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    rank[inner], made[inner] = table.lookup(symbols[inner], symbols[inner + 1])
+    while len(symbols):
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        lowest = np.minimum.reduceat(np.r_[rank, NO_RANK], first)
         span = np.diff(np.r_[first, len(symbols)])
+        lowest = np.minimum.reduceat(rank, first)
         if (over := lowest == NO_RANK).any():  # these pre-tokens are finished
             out = np.repeat(over, span)
             done_symbols.append(symbols[out])
             done_owner.append(owner[out])
-            symbols, owner = symbols[~out], owner[~out]
+            keep = ~out
+            symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+            lowest, span = lowest[~over], span[~over]
             if not len(symbols):
                 break
-            keep = ~out[:-1]
-            rank, made = rank[keep], made[keep]
-            rank, made = rank[: len(symbols) - 1], made[: len(symbols) - 1]
-            lowest, span = lowest[~over], span[~over]
-        hit = rank == np.repeat(lowest, span)[:-1]
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(rank == np.repeat(lowest, span))
         # of overlapping pairs (aaa) the leftmost goes first, so every second one of a run
-        head = np.r_[True, np.diff(at) != 1]
-        at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 0]
-        symbols = symbols.copy()
+        n = np.arange(len(at))
+        at = at[(n - np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], n, 0))) % 2 == 0]
         symbols[at] = made[at]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, owner = symbols[stay], owner[stay]
-    done_symbols.append(symbols)
-    done_owner.append(owner)
+        moved = at - np.arange(len(at))
+        symbols, owner, rank, made = symbols[stay], owner[stay], rank[stay], made[stay]
+        rank[moved] = NO_RANK
+        beside = np.concatenate([moved, moved[moved > 0] - 1])
+        beside = beside[beside < len(symbols) - 1]
+        beside = beside[owner[beside] == owner[beside + 1]]
+        rank[beside], made[beside] = table.lookup(symbols[beside], symbols[beside + 1])
     symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
     order = np.argsort(owner, kind="stable")
     return symbols[order], owner[order]
 
 
-#: Chunks of these characters only are cut by one pattern; on them it cuts as the files' own patterns do.
+#: Chunks of these characters only are cut together, by one pattern that cuts them as the files' own do.
 _SIMPLE = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u0149\u014a-\u017e]+")
-_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
+_CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\na-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
 
 
 class ChunkTokens:
@@ -95,7 +102,7 @@ class ChunkTokens:
     characters on whose class the libraries differ are taken as one chunk.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -131,8 +138,6 @@ class ChunkTokens:
 
     def _pieces(self, chunk: str) -> list[bytes | int]:
         """Pre-tokens of a chunk as bytes, and the ids of special tokens that stand in it."""
-        if "<|" not in chunk and _SIMPLE.fullmatch(chunk):
-            return [p.encode() for p in _CUT.findall(chunk.lower())]
         out: list[bytes | int] = []
         while chunk:
             found = min(((i, -len(s), s) for s in self.special if (i := chunk.find(s)) >= 0), default=None)
@@ -146,32 +151,42 @@ class ChunkTokens:
             chunk = chunk[found[0] + len(found[2]) :]
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        if not chunks:
-            return []
-        cut = [self._pieces(c) for c in chunks]
-        ids: dict[bytes | int, int] = {}
-        of = np.fromiter((ids.setdefault(p, len(ids)) for pieces in cut for p in pieces), np.int64)
-        plain = [p for p in ids if isinstance(p, bytes)]
-        at = np.fromiter((n for p, n in ids.items() if isinstance(p, bytes)), np.int64)
-        lengths = np.fromiter(map(len, plain), np.int64, len(plain))
-        flat = np.frombuffer(b"".join(plain), np.uint8)
+    def _merged(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens given as bytes one behind the other, and how many each has."""
         symbols, ends = self.inner[flat], np.cumsum(lengths)
         if len(ends):
             symbols[ends - 1] = self.last[flat[ends - 1]]
-        left, owner = merge_all(symbols, np.repeat(at, lengths), self.table)
-        counts = np.bincount(owner, minlength=len(ids))
-        data, to = left.astype("<u4").tobytes(), np.cumsum(counts) * 4
-        made = [data[b:e] for b, e in zip(np.r_[0, to[:-1]].tolist(), to.tolist(), strict=True)] if len(ids) else []
-        for p, n in ids.items():
-            if isinstance(p, int):
-                made[n] = p.to_bytes(4, "little")
-        get, of_list, out, k = made.__getitem__, of.tolist(), [], 0
-        for pieces in cut:
-            out.append(b"".join(map(get, of_list[k : k + len(pieces)])))
-            k += len(pieces)
-        return out
+        left, owner = merge_all(symbols, np.repeat(np.arange(len(lengths)), lengths), self.table)
+        return left, np.bincount(owner, minlength=len(lengths))
+
+    def _encode_simple(self, chunks: list[str]) -> list[bytes]:
+        if not chunks:
+            return []
+        ids: dict[str, int] = {"\n": 0}
+        add = ids.setdefault
+        of = np.fromiter([add(p, len(ids)) for p in _CUT.findall("\n".join(chunks).lower())], np.int64)
+        flat = np.frombuffer("".join([p + "\n" for p in list(ids)[1:]]).encode(), np.uint8)
+        breaks = np.flatnonzero(flat == 10)
+        left, counts = self._merged(flat[flat != 10], np.diff(np.r_[-1, breaks]) - 1)
+        begin, counts = np.r_[0, 0, np.cumsum(counts)[:-1]], np.r_[0, counts]  # a line feed has no ids
+        n = counts[of]
+        at = np.repeat(begin[of] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        data = left[at].astype("<u4").tobytes()
+        ends = (np.cumsum(n)[np.flatnonzero(np.r_[of, 0] == 0) - 1] * 4).tolist()
+        return [data[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _encode_other(self, chunk: str) -> bytes:
+        out = []
+        for piece in self._pieces(chunk):
+            ids = np.array([piece]) if isinstance(piece, int) else self._merged(np.frombuffer(piece, np.uint8), np.array([len(piece)]))[0]
+            out.append(ids.astype("<u4").tobytes())
+        return b"".join(out)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk as little-endian unsigned 32-bit integers."""
+        simple = [c for c in chunks if "<|" not in c and _SIMPLE.fullmatch(c)]
+        made = dict(zip(simple, self._encode_simple(simple), strict=True))
+        return [made[c] if c in made else self._encode_other(c) for c in chunks]
 
     def learn(self, cut: list[list[str]]) -> None:
         """Put all chunks of a batch in the cache; when it is full, those not used since the last time go."""
@@ -190,3 +205,9 @@ class ChunkTokens:
         self.learn(cut)
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def chunk_tokens(path: str) -> ChunkTokens:
+    """One per worker process and file, so that its cache serves task after task."""
+    return ChunkTokens(path)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .token_arrays import ChunkTokens
+from .token_arrays import chunk_tokens
 
 #: Texts of a record batch are handled in slices of at most about so many characters.
 SLICE_CHARS = 2_000_000
@@ -36,7 +36,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ChunkTokens(vocabulary)
+        tokens = chunk_tokens(vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts: list[int] = []
