@@ -194,8 +194,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     rows = stage(survey(own, window), "substring-runs")
     runs = rows.where("anchor IS NOT NULL").select("doc_id", "text_key", "first", "last", "anchor", "run")
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "low")
-    shared = stage(runs.join(anchors, "anchor"), "substring-shared")
-    equal = shared.groupBy("run").agg(F.min("doc_id").alias("source"))
+    shared = stage(runs.join(stage(anchors, "substring-anchors"), "anchor"), "substring-shared")
+    equal = stage(shared.groupBy("run").agg(F.min("doc_id").alias("source")), "substring-equal")
     marked = stage(shared.join(equal, "run"), "substring-marked")
     resolved = marked.where("source < doc_id").select("doc_id", "text_key", "first", "last", "source")
     alone = marked.where("source = doc_id")
