@@ -1,0 +1,127 @@
+"""Transcripts in several shapes to ordered lines: (transcript_id, line_no, text)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+# Keys that may hold a record's text, words of memory records, and the marks that lines carry.
+TEXT_KEYS = ["content", "text", "message", "output", "data"]
+MEMORY_WORDS = ["memory_block", "<memory>", "auto-memory", "claude_memory"]
+MANAGED_WORDS = ["managed_memory_v1", "agent_memory", "parent_agent_id"]
+PULL_WORDS = ["read", "pull", "fetch", "load", "get", "retrieve"]
+PUSH_WORDS = ["write", "push", "store", "save", "set", "commit", "append"]
+OPERATION_KEYS = ["op", "operation", "direction", "action", "event", "type"]
+MEMORY_MARK, PULL_MARK, PUSH_MARK, SESSION_MARK = "[system-memory] ", "[managed-memory-pull] ", "[managed-memory-push] ", "--- session break ---"
+
+
+def raw_records(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines of text files, in order: transcript_id (file), line_no, raw.  A file is read whole, so its lines keep their order."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("transcript_id"), F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("line_no", "raw"))
+    return files.withColumn("raw", strip("raw")).where("raw <> ''")
+
+
+def strip(name: str | Column) -> Column:
+    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+
+
+def _kind(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _string(v: Column, path: str) -> Column:
+    """The value if it is a JSON string, else null."""
+    return F.when(_kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _duration(v: Column, path: str) -> Column:
+    ms = F.when(_kind(v, path) == "BIGINT", F.try_variant_get(v, path, "bigint"))
+    return F.when(ms >= 0, ms)
+
+
+def jsonl_lines(records: DataFrame) -> DataFrame:
+    """A record's text is the first of TEXT_KEYS that is a string; else, and if it isn't JSON, the raw line.  A whole duration makes a line of its own behind it."""
+    v = F.when(F.col("raw").startswith("{"), F.try_parse_json("raw"))
+    text = F.coalesce(*[_string(v, f"$.{k}") for k in TEXT_KEYS], F.col("raw"))
+    ms = _duration(v, "$.duration_ms")
+    mark = F.when(ms.isNotNull(), F.concat(F.lit("[tool_duration_ms: "), ms.cast("string"), F.lit("]")))
+    return _numbered(records.select("transcript_id", "line_no", F.posexplode(F.array_compact(F.array(text, mark))).alias("part", "text")))
+
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("transcript_id").orderBy("line_no", "part")) - 1
+    return parts.withColumn("n", n).select("transcript_id", F.col("n").alias("line_no"), "text")
+
+
+def _any_word(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
+
+
+def native_lines(records: DataFrame) -> DataFrame:
+    """Like :func:`jsonl_lines`, with lists of content blocks flattened and memory records marked.
+
+    Memory state: a record that speaks of memory enters; a user record always leaves, other speakers leave
+    when they don't speak of it; lines inside are marked.  Managed memory is marked by its operation instead.
+    """
+    v = F.when(F.col("raw").startswith("{"), F.try_parse_json("raw"))
+    low = F.lower("raw")
+    role = F.lower(_string(v, "$.role"))
+    blocks = F.coalesce(*[F.when(_kind(v, f"$.{k}").startswith("ARRAY"), F.try_variant_get(v, f"$.{k}", "array<variant>")) for k in TEXT_KEYS])
+    from_blocks = F.filter(F.transform(blocks, lambda b: F.coalesce(F.when(F.schema_of_variant(b).startswith("OBJECT"), F.coalesce(_string(b, "$.text"), _string(b, "$.content"))), F.when(F.schema_of_variant(b) == "STRING", b.cast("string")))), lambda x: x.isNotNull() & (x != ""))
+    plain = F.coalesce(*[F.when(_string(v, f"$.{k}") != "", _string(v, f"$.{k}")) for k in TEXT_KEYS])
+    texts = F.when(plain.isNotNull(), F.array(plain)).when(blocks.isNotNull(), from_blocks).otherwise(F.array("raw"))
+    managed = v.isNotNull() & _any_word(low, MANAGED_WORDS)
+    operation = F.lit(None).cast("string")
+    for k in reversed(OPERATION_KEYS):
+        value = F.lower(_string(v, f"$.{k}"))
+        operation = F.when(_any_word(value, PUSH_WORDS), PUSH_MARK).when(_any_word(value, PULL_WORDS), PULL_MARK).otherwise(operation)
+    operation = F.coalesce(operation, F.when(_any_word(low, PUSH_WORDS), PUSH_MARK).otherwise(PULL_MARK))
+    speaks = v.isNotNull() & _any_word(low, MEMORY_WORDS)
+    event = F.when(role == "user", 0).when(speaks, 1).when(role.isin("assistant", "tool"), 0)
+    inside = F.last(event, ignorenulls=True).over(Window.partitionBy("transcript_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    ms = F.coalesce(_duration(v, "$.duration_ms"), _duration(v, "$.hookSpecificOutput.duration_ms"))
+    timing = F.when(ms.isNotNull(), F.array(F.concat(F.lit("[tool_duration_ms: "), ms.cast("string"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    mark = F.when(managed, operation).when(inside == 1, F.lit(MEMORY_MARK)).otherwise(F.lit(""))
+    rows = records.select("transcript_id", "line_no", texts.alias("texts"), mark.alias("mark"), timing.alias("timing"))
+    parts = F.concat(F.transform("texts", lambda t: F.concat(F.col("mark"), t)), F.col("timing"))
+    return _numbered(rows.select("transcript_id", "line_no", F.posexplode(parts).alias("part", "text")))
+
+
+def chat_lines(files: DataFrame) -> DataFrame:
+    """(transcript_id, value): a JSON array of messages or an object with ``messages``; tool calls are lines of their own."""
+    v = F.try_parse_json("value")
+    messages = F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")))
+    rows = files.select("transcript_id", F.posexplode(messages).alias("line_no", "m"))
+    m = F.col("m")
+    blocks = F.when(_kind(m, "$.content").startswith("ARRAY"), F.try_variant_get(m, "$.content", "array<variant>"))
+    texts = F.when(_string(m, "$.content").isNotNull(), F.array(_string(m, "$.content"))).otherwise(F.transform(blocks, lambda b: F.coalesce(_string(b, "$.text"), _string(b, "$.content"))))
+    calls = F.transform(F.try_variant_get(m, "$.tool_calls", "array<variant>"), lambda c: F.concat(F.lit("tool_use: "), F.coalesce(_string(c, "$.function.name"), F.lit("")), F.lit("("), F.coalesce(_string(c, "$.function.arguments"), F.lit("")), F.lit(")")))
+    none = F.array().cast("array<string>")
+    parts = F.filter(F.concat(F.coalesce(texts, none), F.coalesce(calls, none)), lambda t: t.isNotNull() & (t != ""))
+    return _numbered(rows.select("transcript_id", "line_no", F.posexplode(parts).alias("part", "text")))
+
+
+def session_lines(lines: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Lines of several session files as one transcript: (transcript_id, group_id, modified, name) orders the files, with a mark between them."""
+    order = F.dense_rank().over(Window.partitionBy("group_id").orderBy("modified", "name"))
+    ranked = sessions.withColumn("session_no", order)
+    body = lines.join(ranked, "transcript_id").select("group_id", "session_no", F.lit(1).alias("step"), "line_no", "text")
+    marks = ranked.where("session_no > 1").select("group_id", "session_no", F.lit(0).alias("step"), F.lit(0).alias("line_no"), F.lit(SESSION_MARK).alias("text"))
+    n = F.row_number().over(Window.partitionBy("group_id").orderBy("session_no", "step", "line_no")) - 1
+    return body.unionByName(marks).withColumn("n", n).select(F.col("group_id").alias("transcript_id"), F.col("n").alias("line_no"), "text")
+
+
+def skill_of(records: DataFrame) -> DataFrame:
+    """transcript_id, skill by the first of four marks that occurs; the last hit of the first three, the first of a slash command."""
+    marks = [r".*skills/([a-zA-Z0-9_-]+)/SKILL\.md.*", r".*Skill tool invoked: ([a-zA-Z0-9_-]+).*", r'.*"skill":\s*"([a-zA-Z0-9_-]+)".*', r"^/([a-zA-Z0-9_-]+).*"]
+    found = [F.nullif(F.regexp_extract("raw", p, 1), F.lit("")) for p in marks]
+    best = [F.max_by(f, F.when(f.isNotNull(), F.col("line_no"))) for f in found[:3]] + [F.min_by(found[3], F.when(found[3].isNotNull(), F.col("line_no")))]
+    return records.groupBy("transcript_id").agg(F.coalesce(*best).alias("skill"))
+
+
+def resolve_rubrics(skills: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """skill, rubric: the longest rubric name that is the skill or the skill without trailing ``-parts``, else ``default``."""
+    parts = F.split("skill", "-")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "-"))
+    tries = skills.select("skill", F.explode(prefixes).alias("name")).join(rubrics.select("name").withColumn("known", F.lit(1)), "name", "left")
+    return tries.groupBy("skill").agg(F.coalesce(F.max_by(F.when(F.col("known") == 1, F.col("name")), F.when(F.col("known") == 1, F.length("name"))), F.lit("default")).alias("rubric"))
