@@ -53,7 +53,6 @@ def widespread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return far.unionByName(exact.where(F.col("sites") >= min_sites).select("k1", "k2", "first_doc"))
 
 
-@F.pandas_udf("string")
 def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     def kept(t, g):
         if t is None or g is None or not len(g):
@@ -83,6 +82,6 @@ def dedup_lines(docs: DataFrame, min_sites: int = 18) -> DataFrame:
     return (
         joined.withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("text", _without_lines("text", "_gone"))
+        .withColumn("text", F.pandas_udf(_without_lines, "string")("text", "_gone"))
         .drop("_gone", "_gone_doc", "_gone_text")
     )
