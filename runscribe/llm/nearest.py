@@ -28,7 +28,7 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & some).select("vec_id", v.cast("array<double>").alias("vector"))
 
 
-def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, largest: float, projections: int, threshold: float, verify_share: float, widen: float, seed: int = 7) -> list[tuple[int, int, float]]:
+def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, largest: float, projections: int, threshold: float, verify_share: float, widen: float, verify_least: int = 600, seed: int = 7) -> list[tuple[int, int, float]]:
     """(query_id, vec_id, inner product) of up to k candidates of each query, best first, by collision counting."""
     n, dim = data.shape
     lines = np.random.default_rng(seed).standard_normal((dim + 1, projections))
@@ -37,32 +37,31 @@ def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray,
     centre = queries @ lines[:-1]
     order = np.argsort(at, axis=0)
     arrays = np.take_along_axis(at, order, axis=0)
+    columns = [np.ascontiguousarray(arrays[:, j]) for j in range(projections)]
     needed = max(1, math.ceil(threshold * projections))
-    wanted = min(n, k + 1 + math.ceil(verify_share * n))
+    wanted = min(n, k + 1 + max(verify_least, math.ceil(verify_share * n)))
     spread = float(np.median(arrays[-1] - arrays[0])) or 1.0
-    radii, r = [], spread / 16
-    while r < 4 * spread:
-        radii.append(r)
-        r *= widen
-    columns = [np.ascontiguousarray(order[:, j]) for j in range(projections)]
-    low = np.stack([[np.searchsorted(arrays[:, j], centre[:, j] - r, "left") for r in radii] for j in range(projections)])
-    high = np.stack([[np.searchsorted(arrays[:, j], centre[:, j] + r, "right") for r in radii] for j in range(projections)])
+    radii = spread / 8 * widen ** np.arange(math.ceil(math.log(32, widen)) + 1)
+    # each sorted array is 255 equal runs, and a window ends between two of them
+    run = np.arange(n + 1) * 255 // n
+    place = np.empty((projections, n), np.uint8)
+    np.put_along_axis(place, order.T, np.broadcast_to(run[:-1].astype(np.uint8), place.shape), axis=1)
+    lows = np.stack([run[np.searchsorted(a, c[:, None] - radii, "left")] for a, c in zip(columns, centre.T, strict=True)], axis=1)
+    highs = np.stack([run[np.searchsorted(a, c[:, None] + radii, "right")] for a, c in zip(columns, centre.T, strict=True)], axis=1)
+    lows[:, :, -1], highs[:, :, -1] = 0, 255  # the last radius holds all
+    lows, widths = lows.astype(np.uint8), (highs - lows).astype(np.uint8)
     out = []
     for q in range(len(queries)):
-        counts = np.zeros(n, np.int64)
-        was_low = was_high = None
-        found = np.empty(0, np.int64)
-        for t in range(len(radii)):
-            lo, hi = low[:, t, q].tolist(), high[:, t, q].tolist()
-            if was_low is None:
-                parts = [c[a:b] for c, a, b in zip(columns, lo, hi, strict=True)]
+        low, width = lows[q], widths[q]
+        first, last, found = 0, len(radii) - 1, None
+        while first <= last:  # windows only grow, so the first radius with enough collisions is bisected
+            t = (first + last) // 2
+            inside = (place - low[:, t, None]) < width[:, t, None]  # differences wrap, so vectors below the window are far
+            near = np.flatnonzero(inside.sum(axis=0, dtype=np.uint8) >= needed)
+            if len(near) >= wanted or t == len(radii) - 1:
+                found, last = near, t - 1
             else:
-                parts = [c[a:b] for c, a, b in zip(columns, lo, was_low, strict=True)] + [c[a:b] for c, a, b in zip(columns, was_high, hi, strict=True)]
-            counts += np.bincount(np.concatenate(parts), minlength=n)
-            was_low, was_high = lo, hi
-            found = np.flatnonzero(counts >= needed)
-            if len(found) >= wanted:
-                break
+                first = t + 1
         found = found[data_ids[found] != query_ids[q]]
         score = data[found] @ queries[q]
         best = np.lexsort((data_ids[found], -score))
@@ -77,13 +76,13 @@ def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray,
     return out
 
 
-def search(table: DataFrame, is_query, k: int = 20, block_rows: int = 1024, block_queries: int = 1024, projections: int = 96, threshold: float = 0.8, verify_share: float = 0.12, widen: float = 1.25) -> DataFrame:
+def search(table: DataFrame, is_query, k: int = 20, block_rows: int = 8192, block_queries: int = 1024, projections: int = 96, threshold: float = 0.8, verify_share: float = 0.12, widen: float = 1.1) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by inner product, ties to the smaller vec_id.
 
     ``table``: vec_id, embedding; ``is_query``: a condition on it.  Vectors that are null or zero, or hold null
     or non-finite components, and rows without vec_id take no part; vectors of different lengths never meet.
     Rows that repeat a vec_id are one candidate, with their best score, and one query, by its smallest vector.
-    With fewer than k candidates all are returned; an empty table gives no rows; extra columns are ignored.
+    There are under 256 projections.  With fewer than k candidates all are returned; an empty table gives no rows; extra columns are ignored.
     """
     vectors = valid_vectors(table).withColumn("dim", F.size("vector"))
     squared = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
