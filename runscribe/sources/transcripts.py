@@ -125,3 +125,24 @@ def resolve_rubrics(skills: DataFrame, rubrics: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "-"))
     tries = skills.select("skill", F.explode(prefixes).alias("name")).join(rubrics.select("name").withColumn("known", F.lit(1)), "name", "left")
     return tries.groupBy("skill").agg(F.coalesce(F.max_by(F.when(F.col("known") == 1, F.col("name")), F.when(F.col("known") == 1, F.length("name"))), F.lit("default")).alias("rubric"))
+
+
+def model_of(records: DataFrame) -> DataFrame:
+    """transcript_id, model: the first model name in the raw text, in lower case, without a trailing date."""
+    found = F.nullif(F.regexp_extract("raw", r'(?i)"[a-z_]*model"\s*:\s*"([a-z0-9][a-z0-9.:/_-]*)"', 1), F.lit(""))
+    first = F.min_by(found, F.when(found.isNotNull(), F.col("line_no")))
+    return records.groupBy("transcript_id").agg(F.regexp_replace(F.lower(first), r"-\d{8}$", "").alias("model"))
+
+
+def rubric_criteria(rubrics: DataFrame) -> DataFrame:
+    """(name, text) -> name, dim, criteria: what stands under each ``### Word`` heading."""
+    blocks = F.regexp_extract_all("text", F.lit(r"(?ms)^###\s+(\w+)[^\n]*\n?(.*?)(?=^###?\s|\z)"), F.lit(0))
+    one = rubrics.select("name", F.explode(blocks).alias("block"))
+    return one.select("name", F.lower(F.regexp_extract("block", r"^###\s+(\w+)", 1)).alias("dim"), strip(F.regexp_replace("block", r"^###[^\n]*\n?", "")).alias("criteria"))
+
+
+def checked_weights(sidecars: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(name, weights: map) of sidecars with exactly a weight a dimension that sum to 1; the others give none."""
+    has_all = F.forall(F.array(*[F.lit(d) for d in dimensions]), lambda d: F.map_contains_key("weights", d))
+    total = F.aggregate(F.array(*[F.col("weights")[d] for d in dimensions]), F.lit(0.0), lambda a, x: a + x)
+    return sidecars.where(has_all & (F.abs(total - 1) <= 1e-6))
