@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,17 +90,56 @@ def re2(name: str) -> str:
     return (flags + re.sub(r"\\w", lambda _: r"[\p{L}\p{N}_]", body)).replace("'", "''")
 
 
-def has(text: Column, name: str) -> Column:
-    return F.coalesce(text.rlike(java(name)), F.lit(False))
+#: Lower-case literals of which a text holds one wherever the pattern matches: most lines need no regular expression.
+GUARDS = {
+    "error": ["error", "fail", "exception", "traceback", "fatal", "panic", "cannot", "could not", "unable to", "segfault", "abort", "undefined", "nonetype"],
+    "incomplete": ["todo", "fixme", "hack", "xxx", "skipped", "not implemented", "partial", "placeholder", "stub", "coming soon", "left as exercise", "wip"],
+    "danger": ["-rf", "--force", "--no-verify", "chmod", "eval", "exec", "sudo", "table", "--hard"],
+    "hallucination": ["as an ai", "i cannot", "i don't", "made up", "fabricated", "hallucinated", "i made", "i was", "doesn't"],
+    "tool_call": ["tool_use", "<invoke", "function_call", "running command", "executing", "$ ", "("],
+    "retry": ["retry", "trying again", "attempt ", "same command", "running again"],
+    "claim": ["pass", "green", "succeed", "works", "working", "correct"],
+    "receipt": ["test", "pass", "fail", "tox", "exit", "coverage", "✓", "==="],
+    "deviation": ["instead of", "ignoring", "skipping instruction", "not following", "deviat", "override", "disregard"],
+    "file_action": ["created file", "wrote to", "saved", "updated file", "edited", "write(", "edit("],
+    "placeholder": ["<your_", "insert_here", "replace_this", "changeme", "xxx", "placeholder"],
+    "credential": ["password", "passwd", "secret", "token", "api"],
+    "flag_fabricated": ["hallucinated", "fabricated", "made up"],
+    "flag_contradict": ["contradict"],
+    "flag_ignored": ["ignor"],
+    "flag_placeholder": ["placeholder", "changeme", "insert_here", "replace_this", "<your_"],
+    "edge_case": ["edge"],
+    "trade_off": ["trade", "cons", "alternative"],
+    "structure": ["## ", "- ", "| "],
+    "chmod_777": ["chmod"],
+    "root_delete": ["-rf"],
+    "root_delete_any_case": ["-rf"],
+}
+
+
+def lowered(text: Column) -> Column:
+    """What guards look into: lower case, with the one letter whose case folds to s but that has no lower case."""
+    return F.lower(F.replace(text, F.lit("ſ"), F.lit("s")))
+
+
+def guarded(name: str, low: Column) -> Column:
+    return reduce(lambda a, b: a | b, (low.contains(x) for x in GUARDS[name]))
+
+
+def has(text: Column, name: str, low: Column | None = None) -> Column:
+    """Whether the pattern occurs; ``low`` (see :func:`lowered`) spares texts that can't hold it the search."""
+    found = text.rlike(java(name))
+    return F.coalesce(guarded(name, low) & found if low is not None and name in GUARDS else found, F.lit(False))
 
 
-def hits(text: Column, name: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(java(name))), F.lit(0))
+def hits(text: Column, name: str, low: Column | None = None) -> Column:
+    count = F.regexp_count(text, F.lit(java(name)))
+    return F.coalesce(F.when(guarded(name, low), count).otherwise(0) if low is not None and name in GUARDS else count, F.lit(0))
 
 
-def is_secret(text: Column) -> Column:
+def is_secret(text: Column, low: Column) -> Column:
     """A credential name is assigned a literal: quoted, or neither a call, a reference nor a type word."""
     value = F.regexp_replace(F.regexp_extract(text, java("credential"), 1), r"[,;):\]}]+$", "")
     quoted = F.substring(value, 1, 1).isin("'", '"')
     plain = ~value.contains("(") & ~value.contains(".") & ~F.lower(value).isin(NOT_SECRET)
-    return F.coalesce((value != "") & (quoted | plain), F.lit(False))
+    return F.coalesce(guarded("credential", low) & (value != "") & (quoted | plain), F.lit(False))

@@ -34,7 +34,8 @@ def least_privilege(lines: DataFrame, most: int = 5) -> DataFrame:
             F.when(wildcard, finding(1, "wildcard", "high")).when(has(t, "scope_declared") & has(t, "write_scope"), finding(2, "write_scope", "medium")),
         )
     )
-    rows = lines.where(~has(t, "discussion")).select("transcript_id", "line_no", target.alias("target"), F.explode(rules).alias("f"))
+    declares = t.contains(":") | t.contains("=")  # every rule asks for a declaration
+    rows = lines.where(declares & (omnibus | wildcard | (has(t, "scope_declared") & has(t, "write_scope"))) & ~has(t, "discussion")).select("transcript_id", "line_no", target.alias("target"), F.explode(rules).alias("f"))
     first = rows.groupBy("transcript_id", "target", "f.issue", "f.severity").agg(F.min(F.struct("line_no", "f.rule")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("transcript_id").orderBy("at"))
     return first.withColumn("n", rank).where(F.col("n") <= most).select("transcript_id", F.col("at.line_no").alias("line_no"), "target", "issue", "severity")

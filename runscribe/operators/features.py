@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import has, hits, is_secret
+from ..functions.patterns import has, hits, is_secret, lowered
 
 COUNTED = ["error", "hallucination", "tool_call", "retry", "deviation", "file_action", "placeholder"]
 WITHIN_LINES = ["receipt", "flag_fabricated", "flag_contradict", "flag_ignored", "flag_placeholder", "edge_case", "trade_off", "structure"]
@@ -50,28 +50,29 @@ def strip_docstrings(lines: DataFrame) -> DataFrame:
 
 def line_features(lines: DataFrame) -> DataFrame:
     """(transcript_id, line_no, text[, bare]) with counts and flags of each line."""
-    text = F.col("text")
-    bare = F.col("bare") if "bare" in lines.columns else text
-    discussion, env = has(text, "discussion"), has(text, "environment")
-    secret = is_secret(text)
-    root = has(text, "root_delete")
-    hidden = secret & env & ~discussion  # such a line shows nothing of what follows
+    text, low = F.col("text"), F.col("_low")
+    bare, bare_low = (F.col("bare"), lowered(F.col("bare"))) if "bare" in lines.columns else (text, low)
+    seen = lines.withColumn("_low", lowered(text))
+    # what is rare comes first in each conjunction, so the broad discussion pattern is seldom asked
+    first = seen.withColumns({"_secret": is_secret(text, low), "_root": has(text, "root_delete_any_case", low), "_danger": hits(text, "danger", low)})
+    discussion = has(text, "discussion")
+    shows = ~(F.col("_secret") & has(text, "environment") & ~discussion)  # a line with an environment's secret hides what follows
     plugin_write = has(text, "plugin_path") & ~has(text, "destructive")
-    return lines.select(
+    return first.select(
         "transcript_id",
         "line_no",
         "text",
-        *[hits(text, n).alias(f"n_{n}") for n in COUNTED],
-        hits(bare, "incomplete").alias("n_incomplete"),
-        F.when(discussion | plugin_write, 0).otherwise(hits(text, "danger")).alias("n_danger"),
+        *[hits(text, n, low).alias(f"n_{n}") for n in COUNTED],
+        hits(bare, "incomplete", bare_low).alias("n_incomplete"),
+        F.when((F.col("_danger") > 0) & ~(discussion | plugin_write), F.col("_danger")).otherwise(0).alias("n_danger"),
         ((F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3).cast("int").alias("n_fence"),
-        (has(text, "claim") & ~has(text, "request")).alias("is_claim"),
-        (root & ~discussion).alias("is_root_delete"),
-        (secret & ~env & ~discussion).alias("is_secret"),
-        (F.lower(text).contains("--no-verify") & ~discussion & ~hidden).alias("is_no_verify"),
-        (has(text, "chmod_777") & ~discussion & ~hidden).alias("is_chmod"),
-        (has(text, "root_delete_any_case") & ~discussion).alias("is_open_root_delete"),
-        *[has(text, n).alias(f"has_{n}") for n in WITHIN_LINES],
+        (has(text, "claim", low) & ~has(text, "request")).alias("is_claim"),
+        (F.col("_root") & has(text, "root_delete") & ~discussion).alias("is_root_delete"),
+        (F.col("_secret") & ~has(text, "environment") & ~discussion).alias("is_secret"),
+        (low.contains("--no-verify") & ~discussion & shows).alias("is_no_verify"),
+        (has(text, "chmod_777", low) & ~discussion & shows).alias("is_chmod"),
+        (F.col("_root") & ~discussion).alias("is_open_root_delete"),
+        *[has(text, n, low).alias(f"has_{n}") for n in WITHIN_LINES],
     )
 
 

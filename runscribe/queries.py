@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.layout import spread
 from .functions.patterns import re2
 from .operators import detectors, gates, history, scoring
 from .operators.features import line_features, strip_docstrings, transcript_features
@@ -40,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of documents as transcripts, and the fixture's."""
-    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    own = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("transcript_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     own = own.where(F.trim("text") != "").withColumn("line_no", F.col("line_no").cast("long"))
     return own.unionByName(spark.createDataFrame(FIXTURE, "transcript_id long, line_no long, text string"))
 
