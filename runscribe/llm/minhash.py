@@ -82,12 +82,19 @@ def estimated(a: Column, b: Column) -> Column:
     return corrected(F.aggregate(F.zip_with(a, b, agreeing), F.lit(0), lambda n, x: n + x.cast("int")))
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``most`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            yield batch.slice(i, most)
+
+
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (hash of the set), keys (of the bands), low (packed bits) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: OrderedDict[bytes, tuple] = OrderedDict()
-        for batch in batches:
+        for batch in parts(batches, 2000):
             rows = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
@@ -128,7 +135,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
                     last.popitem(last=False)
             return got[1:]
 
-        for batch in batches:
+        for batch in parts(batches, 500):
             keep = []
             for i, (ha, hb, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hash_a", "hash_b", "text_a", "text_b")), strict=True)):
                 (sa, da), (sb, db) = set_of(x), set_of(y)
