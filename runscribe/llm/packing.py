@@ -100,6 +100,7 @@ def cut_tokens(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Da
                         total.append(n)
             cols = [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (total, start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "doc_tokens", "start", "length", "ids_crc32"])
+        tokens.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, start long, length long, ids_crc32 long")

@@ -102,7 +102,7 @@ class ChunkTokens:
     characters on whose class the libraries differ are taken as one chunk.
     """
 
-    def __init__(self, path: str, cached: int = 120_000):
+    def __init__(self, path: str, cached: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -200,6 +200,10 @@ class ChunkTokens:
         unseen = list(new)
         cache.update(zip(unseen, self.encode_chunks(unseen), strict=True))
 
+    def forget(self) -> None:
+        """At a task's end: what a worker does next needs the memory more than the next task needs these chunks."""
+        self.cache, self.older = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
         self.learn(cut)
@@ -209,5 +213,5 @@ class ChunkTokens:
 
 @functools.lru_cache(maxsize=2)
 def chunk_tokens(path: str) -> ChunkTokens:
-    """One per worker process and file, so that its cache serves task after task."""
+    """One per worker process and file, so that the file is read once."""
     return ChunkTokens(path)
