@@ -232,9 +232,18 @@ def link_sets(docs: DataFrame, sets: DataFrame, threshold: float, words: int) ->
     still = stage(named.join(several, "key").select("first", "sid", "comp").distinct(), "minhash-open")
     groups = components(still.select(F.col("first").alias("a"), F.col("sid").alias("b"))).toDF("sid", "group")
     placed = stage(still.select("sid", "comp").distinct().join(groups, "sid"), "minhash-groups")
-    blocks = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    spread = placed.join(stage(blocks, "minhash-blocks"), "group").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # the largest component of a group needs no search in itself: blocks of the rest meet each other and its blocks
+    sizes = stage(placed.groupBy("group", "comp").agg(F.count("*").alias("n")), "minhash-sizes")
+    plans = sizes.groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n"))
+    plans = plans.select(
+        "group", "main", F.ceil((F.col("n") - F.col("in_main")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("in_main") / BLOCK).cast("int").alias("main_blocks")
+    )
+    in_main, hashed = F.col("comp") == F.col("main"), F.xxhash64("sid")
+    spread = placed.join(stage(plans, "minhash-blocks"), "group").withColumn(
+        "own", F.when(in_main, F.col("rest_blocks") + F.pmod(hashed, F.col("main_blocks"))).otherwise(F.pmod(hashed, F.col("rest_blocks"))).cast("int")
+    )
+    others = F.col("rest_blocks") + F.when(in_main, 0).otherwise(F.col("main_blocks"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     spread = spread.select(
         "group", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "comp"
     )
