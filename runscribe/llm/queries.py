@@ -120,6 +120,7 @@ WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw
      marked AS (SELECT k.*, w.line IS NOT NULL AND k.doc_id <> w.first_doc AS gone FROM keyed k LEFT JOIN wide w ON k.line = w.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 
