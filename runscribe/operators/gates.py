@@ -73,3 +73,44 @@ def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     priced = usage.join(F.broadcast(prices.limit(10_000)), "model", "left").crossJoin(F.broadcast(default.limit(1)))
     each = [(F.col(t).cast("decimal(20,0)") * F.coalesce(p, d).cast("decimal(12,4)") / 1_000_000).cast("decimal(24,6)") for t, p, d in (("input_tokens", "input", "di"), ("output_tokens", "output", "do"))]
     return priced.select(*usage.columns, each[0].alias("input_usd"), each[1].alias("output_usd"), (each[0] + each[1]).alias("total_usd"))
+
+
+def pinned_dimensions(cases: DataFrame) -> DataFrame:
+    """(name, lows, highs) -> one VBL003 finding a dimension whose two bounds are equal."""
+    bounds = cases.select("name", "highs", F.explode("lows").alias("dim", "low"))
+    return bounds.where(F.col("low") == F.try_element_at("highs", F.col("dim"))).select("name", F.lit("VBL003").alias("rule"), "dim")
+
+
+def hygiene_files(cases: DataFrame, files: DataFrame, suffixes: dict[str, list[str]]) -> DataFrame:
+    """(name, transcript, adapter) against (path, lines that aren't blank) -> VBL002 of bad paths or suffixes, VBL004 of empty files."""
+    path, known = F.col("transcript"), F.col("lines").isNotNull()
+    allowed = F.create_map(*[x for a, s in suffixes.items() for x in (F.lit(a), F.array(*map(F.lit, s)))])[F.col("adapter")]
+    suffix = F.regexp_extract(path, r"(\.[^./]+)$", 1)
+    outside = path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)")
+    problem = F.coalesce(path, F.lit("")).eqNullSafe("") | outside | ~known | F.coalesce(~F.array_contains(allowed, suffix), F.lit(False))
+    rules = F.array_compact(F.array(F.when(problem, F.lit("VBL002")), F.when(F.col("lines") == 0, F.lit("VBL004"))))
+    return cases.join(files, path == F.col("path"), "left").select("name", F.explode(rules).alias("rule"))
+
+
+def capabilities(declared: Column) -> Column:
+    """``resource:mode`` entries of a comma list in lower case; malformed or unknown ones don't count."""
+    tokens = F.transform(F.split(F.lower(F.coalesce(declared, F.lit(""))), ","), lambda t: F.regexp_replace(t, r"\s+", ""))
+    return F.filter(tokens, lambda t: t.rlike("^(bash|fs|net|exec):(read|write|none)$"))
+
+
+def missing_capabilities(declared: Column, required: Column) -> Column:
+    return F.array_except(capabilities(required), capabilities(declared))
+
+
+def collapse_gate(collapsed: Column, mode: str = "warn") -> Column:
+    """``pass``, or for a collapsed history what ``mode`` says: warn, fail, or (off) pass."""
+    return F.when(F.coalesce(collapsed, F.lit(False)) & F.lit(mode != "off"), F.lit(mode)).otherwise("pass")
+
+
+def cost_of_scorecards(cards: DataFrame, prices: DataFrame) -> DataFrame:
+    """(skill, model, llm_usage: struct of input_tokens and output_tokens, or null) -> cost; without usage nothing was spent."""
+    used = F.col("llm_usage").isNotNull()
+    usage = cards.select(
+        "skill", F.coalesce("model", F.lit("default")).alias("model"), F.coalesce("llm_usage.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("llm_usage.output_tokens", F.lit(0)).alias("output_tokens"), used.alias("has_usage")
+    )
+    return cost(usage, prices).select("skill", "model", "has_usage", "total_usd")

@@ -48,3 +48,16 @@ def sarif(findings: DataFrame) -> DataFrame:
     place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
     return findings.select("uri", "rule", "line_no", F.to_json(result).alias("result"))
+
+
+def score_bar(score: Column, full: str = "#", empty: str = "-") -> Column:
+    """A bar of ten cells for a score of 0 to 10; halves go to the even neighbour."""
+    filled = F.greatest(F.lit(0), F.least(F.lit(10), F.bround(score, 0).cast("int")))
+    return F.concat(F.repeat(F.lit(full), filled), F.repeat(F.lit(empty), 10 - filled))
+
+
+def averages_card(averages: DataFrame, dimensions: list[str]) -> DataFrame:
+    """skill, card: a line a dimension with its bar, from columns avg_<dimension>; a null skill is all of them."""
+    rows = [F.concat(F.rpad(F.lit(d), 15, " "), score_bar(F.col(f"avg_{d}"))) for d in dimensions]
+    head = F.concat(F.coalesce("skill", F.lit("all skills")), F.lit(", "), F.col("runs").cast("string"), F.lit(" runs"))
+    return averages.select("skill", F.concat_ws("\n", head, *rows).alias("card"))

@@ -43,3 +43,8 @@ def documents_of(scored: DataFrame, version: str = "1.0.0") -> DataFrame:
         "grade", scoring.grade(F.col("composite_cents"), 2).alias("grade_label"), dims.alias("dimensions"), "red_flags", "bonuses", "recommendations", F.col("critical").alias("critical_issues"), F.col("n_lines").alias("transcript_lines"),
     )
     return scored.select("transcript_id", F.to_json(card).alias("scorecard"))
+
+
+def persist(cards: DataFrame, path: str) -> None:
+    """Add scorecards (run_id, skill, ...) to a store of one folder a skill; run_id keeps runs of one second apart."""
+    cards.withColumn("skill", F.coalesce("skill", F.lit("unknown"))).write.partitionBy("skill").mode("append").parquet(path)

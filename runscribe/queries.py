@@ -414,6 +414,43 @@ def rubric_criteria(spark, sf_dir):
     return transcripts.rubric_criteria(spark.createDataFrame([("r", "# R\n\n### Correctness\nis right\n### Safety\nis safe\n")], "name string, text string"))
 
 
+@query("SELECT * FROM (VALUES ('b', 'VBL002'), ('c', 'VBL002'), ('d', 'VBL004'), ('e', 'VBL002'), ('f', 'VBL002')) AS t(name, rule)")
+def hygiene_files(spark, sf_dir):
+    cases = [("a", "t/a.jsonl", "native"), ("b", "t/b.md", "native"), ("c", "../a.jsonl", None), ("d", "t/d.jsonl", None), ("e", None, None), ("f", "t/none.jsonl", "other")]
+    files = spark.createDataFrame([("t/a.jsonl", 3), ("t/b.md", 1), ("t/d.jsonl", 0), ("../a.jsonl", 2)], "path string, lines long")
+    return gates.hygiene_files(spark.createDataFrame(cases, "name string, transcript string, adapter string"), files, {"native": [".jsonl"]})
+
+
+@query("SELECT * FROM (VALUES ('a', 'VBL003', 'safety')) AS t(name, rule, dim)")
+def pinned_dimensions(spark, sf_dir):
+    cases = [("a", {"safety": 5.0, "correctness": 1.0}, {"safety": 5.0, "correctness": 2.0}), ("b", {"safety": 5.0}, None), ("c", None, {"safety": 5.0})]
+    return gates.pinned_dimensions(spark.createDataFrame(cases, "name string, lows map<string,double>, highs map<string,double>"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, ''), (2, 'fs:read'), (3, 'bash:read,fs:read')) AS t(id, missing)")
+def capability_gaps(spark, sf_dir):
+    rows = spark.createDataFrame([(1, " Bash:read, FS:read,net:none"), (2, "bash:read,fs:all,fs"), (3, None)], "id long, declared string")
+    return rows.select("id", F.array_join(gates.missing_capabilities(F.col("declared"), F.lit("bash:read,fs:read")), ",").alias("missing"))
+
+
+@query("SELECT * FROM (VALUES ('s', 'alpha', true, 7.0::DOUBLE), ('s', 'default', true, 3.0), ('t', 'alpha', false, 0.0)) AS t(skill, model, has_usage, total_usd)")
+def scorecard_cost(spark, sf_dir):
+    cards = [("s", "alpha", (1_000_000, 1_000_000)), ("s", None, (1_000_000, 1_000_000)), ("t", "alpha", None)]
+    prices = spark.createDataFrame([("alpha", 2.0, 5.0), ("default", 1.0, 2.0)], "model string, input double, output double")
+    out = gates.cost_of_scorecards(spark.createDataFrame(cards, "skill string, model string, llm_usage struct<input_tokens:long,output_tokens:long>"), prices)
+    return out.withColumn("total_usd", F.col("total_usd").cast("double"))
+
+
+_BARS_SQL = " || chr(10) || ".join(f"rpad('{d}', 15, ' ') || repeat('#', round_even(avg({d}), 0)::INT) || repeat('-', 10 - round_even(avg({d}), 0)::INT)" for d in scoring.DIMENSIONS)
+
+
+@query(f"WITH {HIST_SQL} SELECT skill, coalesce(skill, 'all skills') || ', ' || count(*) || ' runs' || chr(10) || {_BARS_SQL} AS card FROM hist GROUP BY ROLLUP (skill)")
+def averages_card(spark, sf_dir):
+    from .operators import reports
+
+    return reports.averages_card(history.averages(hist(spark, sf_dir)), list(scoring.DIMENSIONS))
+
+
 @query()
 def explain_documents(spark, sf_dir):
     from .operators import reports

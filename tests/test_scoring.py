@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runscribe.functions.patterns import CASED, PATTERNS, java
 from runscribe.operators import detectors, gates, history, reports, scoring
 from runscribe.operators.features import clamp, ladder, line_features, strip_docstrings, transcript_features
+from runscribe.plans import scorecard
 from runscribe.plans.scorecard import documents_of, scores
 from runscribe.queries import FIXTURE, RECORDS
 from runscribe.sources import transcripts
@@ -141,3 +142,16 @@ def test_files_keep_their_order(spark, tmp_path):
 def test_weights_need_every_dimension_and_sum_to_one(spark):
     df = spark.createDataFrame([("x", {"p": 0.5, "q": 0.5}), ("y", {"p": 1.0}), ("z", {"p": 0.6, "q": 0.5})], "name string, weights map<string,double>")
     assert [r["name"] for r in transcripts.checked_weights(df, ["p", "q"]).collect()] == ["x"]
+
+
+def test_collapse_gate_modes(spark):
+    df = spark.createDataFrame([(True,), (False,), (None,)], "collapsed boolean")
+    for mode, want in (("warn", ["warn", "pass", "pass"]), ("fail", ["fail", "pass", "pass"]), ("off", ["pass"] * 3)):
+        assert [r[0] for r in df.select(gates.collapse_gate(F.col("collapsed"), mode)).collect()] == want
+
+
+def test_store_keeps_runs_of_one_second(spark, tmp_path):
+    cards = spark.createDataFrame([(1, "s", 5), (2, "s", 6), (3, None, 7)], "run_id long, skill string, composite_cents int")
+    for half in (cards.where("run_id = 1"), cards.where("run_id > 1")):
+        scorecard.persist(half, str(tmp_path / "store"))
+    assert {(r["run_id"], r["skill"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {(1, "s"), (2, "s"), (3, "unknown")}
