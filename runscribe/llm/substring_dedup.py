@@ -5,7 +5,7 @@ it too.  An index of everything that every document is streamed against would me
 shard, so candidates are routed first, by narrow rows of hashes: each window has an anchor, its smallest
 12-gram, and consecutive windows with one anchor are a run.  Anchors that one document alone has end there.
 Runs that are equal in several documents name the smallest of them as their source; the windows of other runs
-with a shared anchor are compared one by one in the same way.  All of these are sums by hash, combined before
+with a shared anchor, wherever they stand in their document, are compared one by one in the same way.  All of these are sums by hash, combined before
 the shuffle, so a passage that a third of all documents hold costs each task one row.
 
 Then texts move, those of documents with candidates only.  Stretches whose windows name one source become
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     resolved = marked.where("source < doc_id").select("doc_id", "text_key", "first", "last", "source")
     alone = marked.where("source = doc_id")
     undecided = alone.where("low < doc_id").select("anchor").distinct()
-    open_runs = stage(alone.join(undecided, "anchor", "left_semi").dropDuplicates(["run"]), "substring-open")
+    open_runs = stage(alone.join(undecided, "anchor", "left_semi").dropDuplicates(["doc_id", "text_key", "first"]), "substring-open")
     involved = resolved.select("doc_id").union(resolved.select("source")).union(open_runs.select("doc_id")).distinct()
     texts = stage(keyed(own.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id", "text_key"]), "substring-texts")
     windows = window_hashes(open_runs, texts, window)

@@ -87,6 +87,18 @@ def test_substring_dedup(odd_docs, no_docs, window):
     assert substring_dedup.remove_repeats(no_docs, window).count() == 0
 
 
+def test_substring_dedup_of_passages_repeated_within_documents(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(12):
+        words = [f"v{k}x{x}" for x in rng.integers(0, 400, 140)]
+        passage, own = words[:60], words[60:100]
+        rows += [(10 * k + 1, " ".join(passage)), (10 * k + 2, " ".join(own + passage + own + passage + own))]
+        rows += [(10 * k + 3, " ".join(words[100:] + passage + own)), (10 * k + 3, " ".join(own + words[100:120] + passage + words[:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs).drop("kept_text")
+    assert sorted(map(tuple, got.collect()), key=repr) == removed(rows, 50)
+
+
 def test_fm_index_finds_all_windows():
     rng = np.random.default_rng(1)
     docs = [[b"w%d" % x for x in rng.integers(0, 6, n)] for n in (0, 40, 300, 7)]
