@@ -4,8 +4,9 @@ The lexicon is the terms whose document frequency lies in a band (an inverse-doc
 band from ``least`` of all documents up holds at most (mean distinct terms a document) / least terms, however
 large the corpus, and a histogram of frequencies raises its lower end where that would pass LEXICON_LIMIT, so
 it can be handed to every task.  A fingerprint hashes a document's sorted distinct lexicon terms within each
-of several random subsets of the lexicon; subsets are of different sizes, and one counts for a document if it
-holds one or two of its terms, so short and long documents have subsets of their own that an edit may spare.
+of several random subsets of the lexicon; subsets are of different sizes, down to a share of 2**-20, and one
+counts for a document if it holds one or two of its terms, so short and long documents have about as many
+subsets of their own that an edit may spare.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .workspace import stage
 
 TERM = re.compile(r"[^\W\d_]+")
 LEXICON_LIMIT = 1 << 18
-SUBSETS = 64
-#: Subset s takes a term with probability 2**-(1 + s % 8).
-RATES = 8
+#: Subset s takes a term with probability 2**-(1 + s % RATES); the sparsest take a quarter of a term of LEXICON_LIMIT.
+RATES = 20
+SUBSETS = 8 * RATES
 MOST_TERMS = 2
 DIGITS = 6
 #: Distinct terms of a task that are counted before rows go to the shuffle.
@@ -92,24 +93,30 @@ def lexicon(docs: DataFrame, least: float, most: float) -> np.ndarray:
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
 _SHIFT = np.array([64 - (1 + s % RATES) for s in range(SUBSETS)], np.uint64)
 UNUSED = "-" * DIGITS
+#: Terms whose subsets are drawn at a time.
+DRAWN_TERMS = 1 << 13
 
 
-def fingerprint(text: str | None, lex: np.ndarray) -> str:
+def subset_draws(terms: np.ndarray) -> np.ndarray:
+    """A row of SUBSETS bits a term: the subsets that take it."""
+    parts = [np.packbits((mix(terms[s : s + DRAWN_TERMS, None] ^ _SEEDS) >> _SHIFT) == 0, axis=1) for s in range(0, len(terms), DRAWN_TERMS)]
+    return np.concatenate(parts) if parts else np.empty((0, SUBSETS // 8), np.uint8)
+
+
+def fingerprint(text: str | None, lex: np.ndarray, draws: np.ndarray | None = None) -> str:
     """SUBSETS parts of DIGITS hex digits, UNUSED where a subset doesn't count, then a hash of all the terms.
 
     A text without a lexicon term has that last part alone, over all its terms; one without terms, of ``""``.
+    ``draws`` are the lexicon's subset_draws, if at hand.
     """
     every = terms_of(text)
-    inside = every
-    if len(lex):
-        at = np.minimum(np.searchsorted(lex, every), len(lex) - 1)
-        inside = every[lex[at] == every]
-    else:
-        inside = every[:0]
-    if not len(inside):
+    at = np.minimum(np.searchsorted(lex, every), max(len(lex) - 1, 0))
+    at = at[lex[at] == every] if len(lex) else at[:0]
+    if not len(at):
         return xxhash.xxh3_64_hexdigest(every.tobytes())
-    drawn = (mix(inside[:, None] ^ _SEEDS) >> _SHIFT) == 0
-    counts = drawn.sum(axis=0)
+    inside = lex[at]
+    drawn = np.unpackbits(subset_draws(inside) if draws is None else draws[at], axis=1).view(bool)
+    counts = np.count_nonzero(drawn, axis=0)
     parts = [UNUSED] * SUBSETS
     for s in np.flatnonzero((counts >= 1) & (counts <= MOST_TERMS)).tolist():
         parts[s] = xxhash.xxh3_64_hexdigest(inside[drawn[:, s]].tobytes())[:DIGITS]
@@ -181,12 +188,13 @@ def fingerprints(docs: DataFrame, least: float = 0.005, most: float = 0.3, bucke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
+        draws = subset_draws(lex)
 
         def finish(this, following):
             (doc_id, text, mark), (_, next_text, next_mark) = this, following
             cut = len(text) // 4
             edited = text[: len(text) - cut] + next_text[:cut]
-            edited_mark = mark if edited == text else fingerprint(edited, lex)
+            edited_mark = mark if edited == text else fingerprint(edited, lex, draws)
             return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, next_mark))
 
         def rows():
@@ -201,7 +209,7 @@ def fingerprints(docs: DataFrame, least: float = 0.005, most: float = 0.3, bucke
                     if closed:
                         continue
                     text = unpress.decompress(packed).decode()
-                    this = (doc_id, text, fingerprint(text, lex))
+                    this = (doc_id, text, fingerprint(text, lex, draws))
                     first = first or this
                     if pending is not None:
                         yield finish(pending, this)

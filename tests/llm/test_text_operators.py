@@ -254,6 +254,18 @@ def test_fingerprints_of_null_ids_and_one_document(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
 
 
+def test_fingerprints_of_texts_with_thousands_of_terms():
+    name = "".maketrans("0123456789", "abcdefghij")
+    words = [str(x).translate(name) for x in range(60_000)]
+    lex = np.sort(np.concatenate([imatch.terms_of(w) for w in words]))
+    for n in (30, 300, 3000, 20_000, 60_000):
+        text, near, other = " ".join(words[:n]), " ".join(words[n // 50 : n]), " ".join(words[n : 2 * n] or words[:2])
+        mark = imatch.fingerprint(text, lex)
+        parts = [mark[i : i + imatch.DIGITS] for i in range(0, imatch.SUBSETS * imatch.DIGITS, imatch.DIGITS)]
+        assert len(mark) == imatch.SUBSETS * imatch.DIGITS + 16 and 8 <= sum(p != imatch.UNUSED for p in parts) <= 32, n
+        assert 0.5 < imatch.likeness(mark, imatch.fingerprint(near, lex)) <= 1 and imatch.likeness(mark, imatch.fingerprint(other, lex)) < 0.2
+
+
 def test_language_id_learns_and_keeps_to_its_rules(spark, odd_docs, no_docs):
     out = langid.identify(odd_docs).collect()
     assert len(out) == odd_docs.count()
