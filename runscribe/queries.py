@@ -470,4 +470,4 @@ def watch_stream(spark, sf_dir):
     runs = hist(spark, sf_dir).select("skill", "run_id", "ts", F.col("composite_cents").cast("double").alias("composite_cents"))
     runs.write.parquet(f"{at}/runs")
     watch_once(spark.readStream.schema(runs.schema).parquet(f"{at}/runs"), f"{at}/state", f"{at}/changes")
-    return spark.read.parquet(f"{at}/changes").drop("ts")
+    return spark.read.parquet(f"{at}/changes").drop("ts", "batch")

@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+COLUMNS = ["skill", "run_id", "ts", "composite_cents"]
+LAST = "skill string, last double"
 
-CHANGES = "skill string, run_id long, ts timestamp_ntz, composite_cents double, change string"
 
+def changes(runs: DataFrame, before: DataFrame, bound: float = 5.0) -> DataFrame:
+    """``runs`` of a micro-batch, and ``before`` (skill, last) -> how each run changed against the one before.
 
-def changes(runs: DataFrame, bound: float = 5.0) -> DataFrame:
-    """(skill, run_id, ts, composite_cents) as a stream -> how each run changed against the one before.
-
-    State is one composite a skill.  Runs of a micro-batch are taken in (ts, run_id) order; the first run of a
-    skill is ``first``.
+    Runs are taken in (ts, run_id) order, a null ts last; the first run of a skill is ``first``.  Each skill is
+    sorted by Spark, which spills; no task holds a skill's runs.
     """
+    order = Window.partitionBy("skill").orderBy(F.col("ts").asc_nulls_last(), F.col("run_id").asc_nulls_last())
+    placed = runs.select(COLUMNS).withColumn("n", F.row_number().over(order)).withColumn("previous", F.lag("composite_cents").over(order))
+    old = before.select(F.col("skill").alias("old_skill"), "last", F.lit(True).alias("known"))
+    met = placed.join(old, F.col("skill").eqNullSafe(F.col("old_skill")), "left")
+    gain = F.col("composite_cents") - F.when(F.col("n") == 1, F.col("last")).otherwise(F.col("previous"))
+    gain = F.when(~F.isnan(gain), gain)
+    change = F.when((F.col("n") == 1) & F.col("known").isNull(), "first").when(gain > bound, "improved").when(gain < -bound, "regressed").otherwise("flat")
+    return met.select(*COLUMNS, change.alias("change"))
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "run_id"], kind="stable")
-        last, out = (state.get[0] if state.exists else None), []
-        for cents in rows["composite_cents"]:
-            gain = None if last is None else cents - last
-            out.append("first" if gain is None else "improved" if gain > bound else "regressed" if gain < -bound else "flat")
-            last = float(cents)
-        state.update((last,))
-        yield rows.assign(change=out)[["skill", "run_id", "ts", "composite_cents", "change"]]
 
-    return runs.groupBy("skill").applyInPandasWithState(follow, CHANGES, "last double", "append", GroupStateTimeout.NoTimeout)
+def last_runs(done: DataFrame, before: DataFrame) -> DataFrame:
+    """skill, last: each skill's last composite after the runs of a micro-batch."""
+    place = F.struct(F.col("ts").isNull(), "ts", F.col("run_id").isNull(), "run_id")
+    new = done.groupBy("skill").agg(F.max_by(F.struct("composite_cents"), place)["composite_cents"].cast("double").alias("last"))
+    old = before.join(new.select(F.col("skill").alias("new_skill")), F.col("skill").eqNullSafe(F.col("new_skill")), "left_anti")
+    return old.select("skill", "last").unionByName(new)
 
 
 def watch_once(runs: DataFrame, checkpoint: str, out: str) -> None:
-    """Handle all runs that are there, write their changes as Parquet, and stop; a later call goes on from there."""
-    changes(runs).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    """Handle all runs that are there, write their changes as Parquet, and stop; a later call goes on from there.
+
+    ``out`` has a folder batch=N for each micro-batch, and ``checkpoint`` each skill's last composite after it; a
+    micro-batch that is done again replaces both.
+    """
+
+    def follow(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(LAST).parquet(f"{checkpoint}/last/{n - 1}") if n else spark.createDataFrame([], LAST)
+        changes(batch, before).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        last_runs(spark.read.parquet(f"{out}/batch={n}"), before).write.mode("overwrite").parquet(f"{checkpoint}/last/{n}")
+
+    runs.writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
