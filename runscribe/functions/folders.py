@@ -10,11 +10,14 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set, a temporary one of this process."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a temporary one of this process, in local mode only."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (spark.master is {master!r})")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="checkpoints-")
     return _own

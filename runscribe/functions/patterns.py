@@ -27,7 +27,7 @@ PATTERNS = {
     "plugin_path": r"(?:^|[\s/\\'\"=:])\.(?:claude|git|vscode)[/\\]|(?:^|[\s/\\'\"=:])(\.bash_profile|\.bashrc|\.profile|\.zlogin|\.zprofile|\.zshenv|\.zshrc)(?:[\s'\"]|$)",
     "destructive": r"(rm\s+-rf|chmod\s+777|sudo\s+rm|\beval\s*\(|\bexec\s*\(|\bDROP\s+TABLE|\bTRUNCATE\s+TABLE)",
     "credential": r"\b(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*(\S+)",
-    "environment": r"env|os\.environ|getenv|config",
+    "environment": r"(env|\.env|os\.environ|getenv|config)",
     "scope_declared": r"\b(allowed[-_]tools|allowed|scopes?|permissions?|oauth[_-]?scopes?|grants?|roles?|access)\b\s*[:=]",
     "wildcard": r"\b(allowed[-_]tools|scopes?|permissions?|oauth[_-]?scopes?|grants?|access)\b\s*[:=]\s*[\[\"']*\s*(?:\*|\.\*|\ball\b|\bany\b|\bfull[_-]?access\b)",
     "write_scope": r"\b(write|delete|destroy|drop|admin|superuser|root|read[_-]?write|rw|full[_-]?access|manage|owner|\*:\*)\b",
@@ -97,7 +97,7 @@ GUARDS = {
     "danger": ["-rf", "--force", "--no-verify", "chmod", "eval", "exec", "sudo", "table", "--hard"],
     "hallucination": ["as an ai", "i cannot", "i don't", "made up", "fabricated", "hallucinated", "i made", "i was", "doesn't"],
     "tool_call": ["tool_use", "<invoke", "function_call", "running command", "executing", "$ ", "("],
-    "retry": ["retry", "trying again", "attempt ", "same command", "running again"],
+    "retry": ["retry", "trying again", "attempt ", "same command", "running again", "re-running"],
     "claim": ["pass", "green", "succeed", "works", "working", "correct"],
     "receipt": ["test", "pass", "fail", "tox", "exit", "coverage", "✓", "==="],
     "deviation": ["instead of", "ignoring", "skipping instruction", "not following", "deviat", "override", "disregard"],
