@@ -31,10 +31,11 @@ WITH rows AS (SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size,
      targets AS (SELECT source, size AS source_size, CAST(CASE WHEN weight * level > cap THEN cap ELSE weight * level END AS DOUBLE) AS target FROM ordered, level),
      plan AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole FROM targets),
      upto AS (SELECT r.doc_id, r.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         sum(r.size) OVER (PARTITION BY r.source ORDER BY r.h RANGE UNBOUNDED PRECEDING) AS running
+         sum(r.size) OVER (PARTITION BY r.source ORDER BY r.h RANGE UNBOUNDED PRECEDING) AS running, count(*) OVER (PARTITION BY r.source, r.h) AS n,
+         sum(r.size) OVER (PARTITION BY r.source, r.h) AS here
          FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(size * least(whole + CASE WHEN running <= rest THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
+       CAST(size * least(whole + CASE WHEN running <= rest THEN 1 ELSE 0 END, 2) + CASE WHEN running > rest AND running - here <= rest THEN floor((rest - (running - here)) / n) ELSE 0 END AS BIGINT) AS taken
 FROM upto
 """
 
@@ -109,7 +110,7 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    cut = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -2,28 +2,17 @@
 
 A staged table cuts lineage: a lost executor costs at most the tasks that ran on it, because later
 stages read Parquet files from ``spark.checkpoint.dir``.  The folder is read from the session; only
-where the session names none (tests, a laptop) is a temporary one made.
+where the session names none and its master is local (tests, a laptop) is a temporary one made.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, else one folder made for this process."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="checkpoints-")
-    return _own_folder
+from ..functions.folders import shared_folder
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,9 +23,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_columns(df: DataFrame, *needed: str) -> DataFrame:
-    """``df`` restricted to ``needed``; extra columns, whatever their names, never reach an operator's joins."""
-    return df.select(*needed)
+def set_aside(docs: DataFrame, **needed: Column | str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns renamed _own_0, _own_1, ... and ``needed`` beside them, and what gives the columns back.
+
+    An operator that adds columns of its own works on this form, so no name that a caller uses can clash with them.
+    """
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    named = docs.select(*own, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in needed.items()])
+    return named, [F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
