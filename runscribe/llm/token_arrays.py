@@ -93,6 +93,10 @@ _SIMPLE = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u0149\u014a-\u017e]
 _CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\na-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
 
 
+#: Python cuts at these, the library doesn't.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
 class ChunkTokens:
     """Token ids of texts, through a bounded cache of chunks between white space.
 
@@ -132,19 +136,19 @@ class ChunkTokens:
     def chunks(text: str | None) -> list[str]:
         if not text:
             return []
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if any(c in text for c in CONTROLS):
             return [text]
         return text.split()
 
-    def _pieces(self, chunk: str) -> list[bytes | int]:
-        """Pre-tokens of a chunk as bytes, and the ids of special tokens that stand in it."""
-        out: list[bytes | int] = []
+    def _pieces(self, chunk: str) -> list[str | int]:
+        """Pre-tokens of a chunk, in the letters that stand for bytes, and the ids of special tokens that stand in it."""
+        out: list[str | int] = []
         while chunk:
             found = min(((i, -len(s), s) for s in self.special if (i := chunk.find(s)) >= 0), default=None)
             plain = chunk if found is None else chunk[: found[0]]
             if plain:
                 normal = self.tokenizer.normalizer.normalize_str(plain)
-                out += [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+                out += [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
             if found is None:
                 break
             out.append(self.special[found[2]])
@@ -175,18 +179,48 @@ class ChunkTokens:
         ends = (np.cumsum(n)[np.flatnonzero(np.r_[of, 0] == 0) - 1] * 4).tolist()
         return [data[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _encode_other(self, chunk: str) -> bytes:
-        out = []
-        for piece in self._pieces(chunk):
-            ids = np.array([piece]) if isinstance(piece, int) else self._merged(np.frombuffer(piece, np.uint8), np.array([len(piece)]))[0]
-            out.append(ids.astype("<u4").tobytes())
-        return b"".join(out)
+    def _cut_others(self, chunks: list[str]) -> list[list[str | int]]:
+        """Pre-tokens of each chunk, in the letters that stand for bytes, and ids of special tokens.
+
+        Chunks without a special token go through the library's normalizer and pre-tokenizer as one text, with line
+        feeds between them as in :meth:`chunks`; where these can't be told afterwards, each goes alone.
+        """
+        out: list[list[str | int]] = [[] for _ in chunks]
+        plain = [i for i, c in enumerate(chunks) if not any(s in c for s in self.special) and not any(x in c for x in CONTROLS)]
+        normal = self.tokenizer.normalizer.normalize_str("\n".join(chunks[i] for i in plain))
+        breaks = np.array([m.start() for m in re.finditer(r"[ \n]", normal)], np.int64)
+        together = plain and len(breaks) == len(plain) - 1
+        if together:
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+            of = np.searchsorted(breaks, np.fromiter((a for _, (a, _) in found), np.int64, len(found)), "right").tolist()
+            for (piece, _), k in zip(found, of, strict=True):
+                out[plain[k]].append(piece)
+        alone = set(range(len(chunks))).difference(plain if together else ())
+        for i in alone:
+            out[i] = self._pieces(chunks[i])
+        return out
+
+    def _encode_others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks of any script; the distinct pre-tokens of all of them are merged together."""
+        if not chunks:
+            return []
+        cut = self._cut_others(chunks)
+        pieces = list({p for c in cut for p in c if isinstance(p, str)})
+        made: dict[str | int, bytes] = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
+        if pieces:
+            flat = np.fromiter(map(self.byte_of.__getitem__, "".join(pieces)), np.uint8)
+            left, counts = self._merged(flat, np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            data, ends = left.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+            made.update(zip(pieces, (data[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        return [b"".join([made[p] for p in c]) for c in cut]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        simple = [c for c in chunks if "<|" not in c and _SIMPLE.fullmatch(c)]
+        is_simple = [("<|" not in c) and _SIMPLE.fullmatch(c) is not None for c in chunks]
+        simple, other = ([c for c, s in zip(chunks, is_simple, strict=True) if s is kind] for kind in (True, False))
         made = dict(zip(simple, self._encode_simple(simple), strict=True))
-        return [made[c] if c in made else self._encode_other(c) for c in chunks]
+        made.update(zip(other, self._encode_others(other), strict=True))
+        return [made[c] for c in chunks]
 
     def learn(self, cut: list[list[str]]) -> None:
         """Put all chunks of a batch in the cache; when it is full, those not used since the last time go."""
