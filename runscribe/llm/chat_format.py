@@ -2,7 +2,8 @@
 
 A turn's content is a list of parts (text, image, audio, document).  A visitor writes text with its control
 strings escaped, replaces every other part by an ordered placeholder, and records the attachment's reference
-and the number of tokens that its placeholder expands to.  Turns are marked by ``<|im_start|>role`` and
+and the number of tokens that its placeholder expands to.  Text parts that stand side by side are escaped as one
+text, so no control string can be put together from several.  Turns are marked by ``<|im_start|>role`` and
 ``<|im_end|>``; assistant content is under the loss mask, kept as spans of the formatted text.
 """
 
@@ -30,6 +31,7 @@ PART = T.StructType(
         T.StructField("pages", T.LongType()),
     ]
 )
+KINDS = ("text", "image", "audio", "document")
 FORMATTED = "formatted string, loss_spans array<struct<start:int,end:int>>, attachments array<struct<ordinal:int,kind:string,ref:string,start:int,tokens:long>>"
 
 
@@ -46,6 +48,28 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.DOTALL)
 
 
+def amount(value: float | None) -> float:
+    """A size as it counts: missing, not finite or negative is 0, and none is over 10**9."""
+    return min(max(0.0, value), 1e9) if value is not None and math.isfinite(value) else 0.0
+
+
+def joined_texts(parts: list[dict | None]) -> Iterator[dict]:
+    """The parts in order, with text parts that stand side by side (null parts between them don't count) as one."""
+    texts: list[str] = []
+    for part in parts:
+        if part is None:
+            continue
+        if (part.get("type") or "text") == "text":
+            texts.append(part.get("text") or "")
+            continue
+        if texts:
+            yield {"type": "text", "text": "".join(texts)}
+            texts = []
+        yield part
+    if texts:
+        yield {"type": "text", "text": "".join(texts)}
+
+
 class PartVisitor:
     """Flattens parts in order; ``patch`` pixels and ``audio_rate`` and ``page_tokens`` set how far placeholders expand."""
 
@@ -61,24 +85,25 @@ class PartVisitor:
         self.length += len(text)
 
     def visit(self, part: dict) -> None:
+        """Anything whose type isn't known is an attachment of kind ``other``; no type at all is text."""
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part {kind!r}")
-        method(part)
+        getattr(self, f"visit_{kind}" if kind in KINDS else "visit_other")(part)
 
     def visit_text(self, part: dict) -> None:
         self.write(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        across, down = (math.ceil((part.get(k) or 0) / self.patch) for k in ("width", "height"))
+        across, down = (math.ceil(amount(part.get(k)) / self.patch) for k in ("width", "height"))
         self._place("image", part, max(1, across * down))
 
     def visit_audio(self, part: dict) -> None:
-        self._place("audio", part, max(1, math.ceil((part.get("seconds") or 0) * self.audio_rate)))
+        self._place("audio", part, max(1, math.ceil(amount(part.get("seconds")) * self.audio_rate)))
 
     def visit_document(self, part: dict) -> None:
-        self._place("document", part, max(1, (part.get("pages") or 0) * self.page_tokens))
+        self._place("document", part, max(1, int(amount(part.get("pages"))) * self.page_tokens))
+
+    def visit_other(self, part: dict) -> None:
+        self._place("other", part, 1)
 
     def _place(self, kind: str, part: dict, tokens: int) -> None:
         ordinal = len(self.attachments)
@@ -88,7 +113,7 @@ class PartVisitor:
     def turn(self, role: str | None, parts: list[dict]) -> None:
         self.write(f"{START}{escape_role(role or '')}\n")
         begin = self.length
-        for part in parts:
+        for part in joined_texts(parts):
             self.visit(part)
         if role == "assistant" and self.length > begin:
             self.spans.append({"start": begin, "end": self.length})
@@ -101,7 +126,8 @@ def format_conversations(turns: DataFrame, **expansion) -> DataFrame:
     ``turns``: conv_id, turn, role and either text or ``parts`` (array of PART).  Turns stand by turn number,
     nulls first, ties by role and content; repeated rows are repeated turns.  Null text or parts are empty; a
     null role is an empty role; a null conv_id is one conversation; spans are in code points.  Placeholders
-    can't be written by texts, whose ``<|`` is escaped.  A conversation is one row of the result, so its turns
+    can't be written by texts, whose ``<|`` is escaped.  A part of an unknown type is an attachment of kind
+    ``other`` with one token; sizes that are missing, negative or not finite count as 0.  A conversation is one row of the result, so its turns
     meet in one task; conversations are dealt by conv_id.
     """
     if "parts" in turns.columns:
@@ -128,7 +154,7 @@ def format_conversations(turns: DataFrame, **expansion) -> DataFrame:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted conversation of text parts, unescaped."""
+    """(role, text) of each turn of a formatted conversation, unescaped; placeholders stay as they stand in the text."""
     out = []
     for block in formatted.split(START)[1:]:
         role, _, rest = block.partition("\n")
