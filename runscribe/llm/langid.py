@@ -2,8 +2,8 @@
 
 A text is a vector of hashed character 1- to 3-grams of its letters (all of them, whatever its length).
 One-versus-rest linear support vector machines choose the language family; within a family, one-versus-one
-linear support vector machines vote between the closely related languages.  The machines are trained here,
-on a sample of at most ``per_language`` labelled documents a language.
+linear support vector machines vote between the closely related languages.  The machines are trained here, each
+in a task of its own, on a sample of at most ``per_language`` labelled documents a language; every label is learned.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import set_aside, stage
+
 DIMENSIONS = 1 << 13
-MOST_LANGUAGES = 200
 #: Languages by family; a language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "is", "nb", "nl", "no", "sv"],
@@ -58,27 +60,31 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     return np.bincount(grams, minlength=DIMENSIONS)
 
 
-def vector(counts: np.ndarray) -> np.ndarray:
-    return np.sqrt(counts / counts.sum()).astype(np.float32)
-
-
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Weights (the last is the bias) of a squared-hinge linear SVM by accelerated gradient descent; y is +-1."""
+    """Weights (the last is the bias) of a squared-hinge linear SVM by accelerated gradient descent; y is +-1.
+
+    The weights stay a sum of rows of ``x``, so the descent runs over one number a row and the rows' inner products.
+    """
+    centre = x.mean(axis=0)
+    x = x - centre
+    inner = x @ x.T
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1] + 1)
-    v, before, step = w.copy(), w.copy(), 1 / (4 + penalty)
+    a, bias, step = np.zeros(len(x)), 0.0, 1 / (4 + penalty)
+    at, at_bias, before, before_bias = a, bias, a, bias
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        slack = np.maximum(0, 1 - y * (inner @ at.astype(x.dtype) + at_bias))
         pull = 2 * weight * slack * y
-        w = v - step * (np.r_[penalty * v[:-1] - x.T @ pull, -pull.sum()])
-        v = w + t / (t + 3) * (w - before)
-        before = w
-    return w
+        a, bias = at - step * (penalty * at - pull), at_bias + step * pull.sum()
+        ahead = t / (t + 3)
+        at, at_bias = a + ahead * (a - before), bias + ahead * (bias - before_bias)
+        before, before_bias = a, bias
+    w = a @ x
+    return np.r_[w, bias - centre @ w]
 
 
 @dataclass
 class LanguageModel:
-    """``weights``: one column a machine, the bias last; families first, then the pairs within them."""
+    """``weights``: one column a machine, the bias last; families first (none if there is one only), then the pairs within them."""
 
     families: list[str] = field(default_factory=list)
     languages: dict[str, list[str]] = field(default_factory=dict)
@@ -86,37 +92,40 @@ class LanguageModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((DIMENSIONS + 1, 0), np.float32))
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> LanguageModel:
-        if not langs:
-            return cls()
-        known, lang = sorted(set(langs)), np.array(langs)
+    def of(cls, labels: list[str]) -> LanguageModel:
+        """The machines that these labels ask for, not yet trained."""
+        known = sorted(labels)
         of = {k: FAMILY_OF.get(k, k) for k in known}
         families = sorted(set(of.values()))
         languages = {f: [k for k in known if of[k] == f] for f in families}
-        centre = x.mean(axis=0)
-        x = (x - centre).astype(np.float64)
-        family = np.array([of[k] for k in langs])
-        machines = [linear_svm(x, np.where(family == f, 1.0, -1.0)) for f in families] if len(families) > 1 else []
-        pairs = [(a, b) for f in families for i, a in enumerate(languages[f]) for b in languages[f][i + 1 :]]
-        for a, b in pairs:
-            rows = (lang == a) | (lang == b)
-            machines.append(linear_svm(x[rows], np.where(lang[rows] == a, 1.0, -1.0)))
-        weights = np.stack(machines, axis=1) if machines else np.zeros((x.shape[1] + 1, 0))
-        weights[-1] -= centre @ weights[:-1]  # the machines saw centred vectors
-        return cls(families, languages, pairs, weights.astype(np.float32))
+        return cls(families, languages, [(a, b) for f in families for i, a in enumerate(languages[f]) for b in languages[f][i + 1 :]])
+
+    def roles(self, per_language: int, rest_rows: int) -> list[tuple[str, int, int, float]]:
+        """(language, machine, side, share): which machines a language's sample rows teach, as +1 or -1, and what share of them.
+
+        A family's machine sees all rows of the family and about ``rest_rows`` of the others.
+        """
+        out, n = [], len(self.families) if len(self.families) > 1 else 0
+        others = sum(map(len, self.languages.values()))
+        for m, f in enumerate(self.families[:n]):
+            share = min(1.0, rest_rows / max(1, per_language * (others - len(self.languages[f]))))
+            out += [(k, m, 1 if g == f else -1, 1.0 if g == f else share) for g in self.families for k in self.languages[g]]
+        for m, (a, b) in enumerate(self.pairs, n):
+            out += [(a, m, 1, 1.0), (b, m, -1, 1.0)]
+        return out
 
     def predict(self, counts: np.ndarray | None) -> tuple[str, float]:
-        """(language, score): the score is the product of the logistic margins that decided."""
+        """(language, score): the score is the lowest of the logistic margins that decided, so it doesn't shrink with their number."""
         if counts is None or not self.families:
             return "und", 0.0
         at = np.flatnonzero(counts)
         margins = np.sqrt(counts[at] / counts.sum()).astype(np.float32) @ self.weights[at] + self.weights[-1]
-        score, n = 1.0, 0
+        least, n = float("inf"), 0
         family = self.families[0]
         if len(self.families) > 1:
             n = len(self.families)
             k = int(np.argmax(margins[:n]))
-            family, score = self.families[k], 1 / (1 + np.exp(-4 * float(margins[k])))
+            family, least = self.families[k], float(margins[k])
         votes = dict.fromkeys(self.languages[family], 0)
         strength = dict.fromkeys(self.languages[family], 0.0)
         sure = {}
@@ -129,8 +138,8 @@ class LanguageModel:
         best = max(votes, key=lambda k: (votes[k], strength[k], k))
         for (a, b), m in sure.items():
             if best in (a, b):
-                score *= 1 / (1 + np.exp(-4 * (m if best == a else -m)))
-        return best, float(min(1.0, max(0.0, score)))
+                least = min(least, m if best == a else -m)
+        return best, float(1 / (1 + np.exp(-4 * np.clip(least, -20, 20))))
 
 
 def held_out() -> Column:
@@ -138,21 +147,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 250) -> LanguageModel:
-    """A model of the labelled documents that aren't held out.
+def sample(docs: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
+    """(lang, draw, grams) of at most ``per_language`` labelled documents a language that aren't held out, and the labels.
 
-    The sample has about ``per_language`` documents a language, by a hash of (doc_id, text), and no more than
-    1.5 * per_language * languages in all; only its gram counts reach the driver.  Of more than MOST_LANGUAGES
-    labels the most frequent are learned.
+    Documents are drawn by a hash of (doc_id, text), at a rate that gives each language a few more than it needs.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return LanguageModel()
+    rates = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.2 * per_language) / F.count("*")).alias("rate"))
+    rates = stage(rates.withColumnRenamed("lang", "label"), "langid-rates")  # one row a language
     draw = F.xxhash64("doc_id", "text").bitwiseAND((1 << 40) - 1) / float(1 << 40)
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_language / n))).otherwise(rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,35 +168,66 @@ def fit(docs: DataFrame, per_language: int = 250) -> LanguageModel:
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(take), batch.column("draw").take(take), pa.array(grams, pa.binary())], ["lang", "draw", "grams"])
 
-    drawn = usable.withColumn("draw", draw).where(F.col("draw") < rate).mapInArrow(run, "lang string, draw double, grams binary")
-    sample = drawn.orderBy("draw", "lang", "grams").limit(int(1.5 * per_language * len(counts)) + 1).collect()
-    x, langs, had = [], [], dict.fromkeys(counts, 0)
-    for r in sample:
-        if had[r["lang"]] < per_language:
-            had[r["lang"]] += 1
-            at, c = np.frombuffer(r["grams"], "<u4").reshape(2, -1)
-            row = np.zeros(DIMENSIONS)
-            row[at] = c
-            x.append(vector(row))
-            langs.append(r["lang"])
-    return LanguageModel.fit(np.array(x, np.float32).reshape(-1, DIMENSIONS), langs)
+    drawn = usable.withColumn("draw", draw).join(rates, F.col("lang") == F.col("label")).where(F.col("draw") < F.col("rate"))
+    drawn = drawn.select("lang", "text", "draw").mapInArrow(run, "lang string, draw double, grams binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "grams"))  # about 1.2 * per_language rows a language
+    rows = stage(drawn.withColumn("place", place).where(F.col("place") <= per_language).drop("place"), "langid-sample")
+    return rows, [r["lang"] for r in rows.select("lang").distinct().collect()]
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred and score.  One pass, no shuffle; only ``text`` decides.
+def fit(docs: DataFrame, per_language: int = 250, rest_rows: int = 2000) -> LanguageModel:
+    """A model of the labelled documents that aren't held out.
 
-    Null text and texts without letters are ``und`` with score 0, as is everything when nothing was learned.
+    A machine is trained in one task, on at most ``per_language`` documents of each language that it tells apart; a
+    family's machine sees its own languages and about ``rest_rows`` documents of all others.  Only weights reach the driver.
     """
-    names = docs.columns
+    rows, labels = sample(docs, per_language)
+    model = LanguageModel.of(labels)
+    roles = model.roles(per_language, rest_rows)
+    if not roles:
+        return model
+
+    def train(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lang", "draw", "grams"])
+        x = np.zeros((len(rows), DIMENSIONS), np.float32)
+        for i, grams in enumerate(rows["grams"]):
+            at, c = np.frombuffer(grams, "<u4").reshape(2, -1)
+            x[i, at] = np.sqrt(c / c.sum())
+        return pd.DataFrame({"machine": [key[0]], "weights": [linear_svm(x, rows["side"].to_numpy(np.float64)).astype("<f4").tobytes()]})
+
+    parts = rows.sparkSession.createDataFrame(roles, "label string, machine int, side int, share double")
+    again = F.xxhash64("grams", "machine").bitwiseAND((1 << 40) - 1) / float(1 << 40)
+    taught = rows.join(parts, F.col("lang") == F.col("label")).where(again < F.col("share")).select("machine", "side", "lang", "draw", "grams")
+    trained = taught.groupBy("machine").applyInPandas(train, "machine int, weights binary").collect()
+    model.weights = np.zeros((DIMENSIONS + 1, 1 + max(m for _, m, *_ in roles)), np.float32)
+    for r in trained:
+        model.weights[:, r["machine"]] = np.frombuffer(r["weights"], "<f4")
+    return model
+
+
+def predictions(rows: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """``rows`` with lang_pred and score from its column ``text``; no other column is looked at."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(gram_counts(t)) for t in batch.column("text").to_pylist()]
+            found = [model.predict(gram_counts(t)) for t in batch.column(text).to_pylist()]
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` with lang_pred and score, which take the place of own columns of these names.  One pass, no shuffle.
+
+    Only ``text`` decides.  Null text and texts without letters are ``und`` with score 0, as is everything when
+    nothing was learned.
+    """
+    docs = docs.drop("lang_pred", "score")
+    named, back = set_aside(docs, text="text")
+    return predictions(named, model, "text").select(*back, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, per_language: int = 250) -> DataFrame:
@@ -209,7 +243,5 @@ def identify(docs: DataFrame, per_language: int = 250) -> DataFrame:
 def accepted(docs: DataFrame, per_language: int = 250, least: float = 0.02) -> DataFrame:
     """The documents, with their own columns, whose language is found with a score of at least ``least``."""
     model = fit(docs, per_language)
-    # renamed while the prediction runs, so columns of docs that are called lang_pred or score stay theirs
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text"))
-    kept = predict(named, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    named, back = set_aside(docs, text="text")
+    return predictions(named, model, "text").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*back)
