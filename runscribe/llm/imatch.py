@@ -2,8 +2,7 @@
 
 The lexicon is the terms whose document frequency lies in a band (an inverse-document-frequency band).  A
 band from ``least`` of all documents up holds at most (mean distinct terms a document) / least terms, however
-large the corpus, and a histogram of frequencies raises its lower end where that would pass LEXICON_LIMIT, so
-it can be handed to every task.  A fingerprint hashes a document's sorted distinct lexicon terms within each
+large the corpus, so it can be handed to every task, and its bounds are the same at every size.  A fingerprint hashes a document's sorted distinct lexicon terms within each
 of several random subsets of the lexicon; subsets are of different sizes, down to a share of 2**-20, and one
 counts for a document if it holds one or two of its terms, so short and long documents have about as many
 subsets of their own that an edit may spare.
@@ -24,17 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import mix, signed
-from .workspace import stage
 
 TERM = re.compile(r"[^\W\d_]+")
-LEXICON_LIMIT = 1 << 18
-#: Subset s takes a term with probability 2**-(1 + s % RATES); the sparsest take a quarter of a term of LEXICON_LIMIT.
+#: Subset s takes a term with probability 2**-(1 + s % RATES); a document of a million lexicon terms still has subsets with one.
 RATES = 20
 SUBSETS = 8 * RATES
 MOST_TERMS = 2
 DIGITS = 6
 #: Distinct terms of a task that are counted before rows go to the shuffle.
 HELD_TERMS = 2_000_000
+#: Text of a bucket of documents in doc_id order, and how many buckets there are at most (their bounds go to every task).
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 
 
 def terms_of(text: str | None) -> np.ndarray:
@@ -74,20 +73,10 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, least: float, most: float) -> np.ndarray:
-    """Sorted hashes of the terms in the band, LEXICON_LIMIT at most."""
-    n_docs = docs.count()
-    in_band = stage(document_frequencies(docs).where((F.col("df") >= max(2, least * n_docs)) & (F.col("df") <= max(2, most * n_docs))), "imatch-band")
-    step = F.floor(F.log2("df") * 8).alias("step")  # eighths of an octave: a few hundred rows
-    size, lowest = 0, None
-    for r in sorted(in_band.groupBy(step).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
-        if size + r["n"] > LEXICON_LIMIT:
-            break
-        size, lowest = size + r["n"], r["step"]
-    if lowest is None:
-        return np.empty(0, np.uint64)
-    kept = in_band.where(F.floor(F.log2("df") * 8) >= lowest).select("term").toArrow()
-    return np.sort(kept.column("term").to_numpy().view(np.uint64))
+def lexicon(docs: DataFrame, n_docs: int, least: float, most: float) -> np.ndarray:
+    """Sorted hashes of the terms in the band."""
+    frequent = document_frequencies(docs).where((F.col("df") >= max(2, least * n_docs)) & (F.col("df") <= max(2, most * n_docs)))
+    return np.sort(frequent.select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
 
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
@@ -104,12 +93,15 @@ def subset_draws(terms: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, lex: np.ndarray, draws: np.ndarray | None = None) -> str:
+    return fingerprint_of(terms_of(text), lex, draws)
+
+
+def fingerprint_of(every: np.ndarray, lex: np.ndarray, draws: np.ndarray | None = None) -> str:
     """SUBSETS parts of DIGITS hex digits, UNUSED where a subset doesn't count, then a hash of all the terms.
 
-    A text without a lexicon term has that last part alone, over all its terms; one without terms, of ``""``.
-    ``draws`` are the lexicon's subset_draws, if at hand.
+    ``every``: the text's sorted distinct term hashes.  A text without a lexicon term has that last part alone, over
+    all its terms; one without terms, of ``""``.  ``draws`` are the lexicon's subset_draws, if at hand.
     """
-    every = terms_of(text)
     at = np.minimum(np.searchsorted(lex, every), max(len(lex) - 1, 0))
     at = at[lex[at] == every] if len(lex) else at[:0]
     if not len(at):
@@ -139,37 +131,38 @@ def likeness(a: str, b: str) -> float:
     return same / used if used else 0.0
 
 
-def in_order(docs: DataFrame, buckets: int) -> DataFrame:
+def in_order(docs: DataFrame, buckets: int, null_buckets: int) -> DataFrame:
     """bucket, role, doc_id, packed (compressed text), sorted within partitions; buckets are ranges of doc_id.
 
     The first document of the next bucket also closes a bucket (role 1), the first of all the last (role 2),
-    so each bucket is complete without any other.  The bounds are ids that occur.
+    so each bucket is complete without any other.  The bounds are ids that occur.  Rows without doc_id are dealt
+    by their text over buckets of their own, each opened by the first document of all (role -1).
     """
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
     shares = [i / buckets for i in range(1, buckets)]
-    row = ids.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", shares, 10000).alias("cuts") if shares else F.lit(None).alias("cuts")).first()
+    row = ids.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", shares, max(10_000, 20 * buckets)).alias("cuts") if shares else F.lit(None).alias("cuts")).first()
     low, cuts = row["low"], sorted(set(row["cuts"] or []) - {row["low"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        starts = set(cuts)
+        starts, nulls = set(cuts), range(len(cuts) + 1, len(cuts) + 1 + null_buckets)
         for batch in batches:
+            packed = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
             at, bucket, role = [], [], []
-            ids_of = batch.column("doc_id").to_pylist()
-            for i, d in enumerate(ids_of):
-                b = len(cuts) if d is None else bisect_right(cuts, d)
-                at.append(i), bucket.append(b), role.append(0)
+            for i, d in enumerate(batch.column("doc_id").to_pylist()):
+                places = [(bisect_right(cuts, d), 0)] if d is not None else [(nulls[xxhash.xxh3_64_intdigest(packed[i]) % null_buckets], 0)]
                 if d in starts:
-                    at.append(i), bucket.append(b - 1), role.append(1)
+                    places.append((places[0][0] - 1, 1))
                 if d is not None and d == low:
-                    at.append(i), bucket.append(len(cuts)), role.append(2)
-            packed = pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+                    places += [(len(cuts), 2), *((n, -1) for n in nulls)]
+                for b, r in places:
+                    at.append(i), bucket.append(b), role.append(r)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(role, pa.int32()), batch.column("doc_id").take(take), packed.take(take)], ["bucket", "role", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(role, pa.int32()), batch.column("doc_id").take(take), pa.array(packed, pa.binary()).take(take)], ["bucket", "role", "doc_id", "packed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text").mapInArrow(run, f"bucket int, role int, doc_id {kind}, packed binary")
-    return dealt.repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").asc_nulls_last(), "packed")
+    return dealt.repartition(max(1, (buckets + null_buckets) // 2), "bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").asc_nulls_last(), "packed")
 
 
 def fingerprints(docs: DataFrame, least: float = 0.005, most: float = 0.3, buckets: int | None = None) -> DataFrame:
@@ -177,24 +170,38 @@ def fingerprints(docs: DataFrame, least: float = 0.005, most: float = 0.3, bucke
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  The
     edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
-    document in doc_id order (after the last, the first).  Null text is empty; a null doc_id comes last; rows
-    with equal doc_id follow each other by their text; a single document is its own next; equal texts have
-    equal fingerprints; an empty table gives no rows; extra columns are ignored.
+    document in doc_id order (after the last, the first).  Null text is empty; a row without doc_id has no place in
+    the order, and the first document counts as its next (itself, if no row has a doc_id); rows with equal doc_id
+    follow each other in a fixed order; a single document is its own next; equal texts have equal fingerprints; an
+    empty table gives no rows; extra columns are ignored.
+
+    A bucket is a range of about BUCKET_BYTES of text, so what a task reads doesn't grow with the corpus.
     """
     spark = docs.sparkSession
-    lex = lexicon(docs, least, most)
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    octets = F.octet_length("text")
+    size = docs.agg(F.count("*").alias("n"), F.sum(octets).alias("all"), F.sum(F.when(F.col("doc_id").isNull(), octets)).alias("null"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    lex = lexicon(docs, size["n"], least, most)
+    buckets = buckets or min(MOST_BUCKETS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size["all"] or 0) // BUCKET_BYTES + 1))
+    null_buckets = min(MOST_BUCKETS, 1 + (size["null"] or 0) // BUCKET_BYTES) if size["nulls"] else 0
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         draws = subset_draws(lex)
 
+        def read(doc_id, packed):
+            """doc_id, text, the terms of what no edit reaches, where that ends (at a blank, so no word is cut), and the fingerprint."""
+            text = unpress.decompress(packed).decode()
+            end = max(0, text.rfind(" ", 0, len(text) - len(text) // 4))
+            spared = terms_of(text[:end])
+            return doc_id, text, spared, end, fingerprint_of(np.union1d(spared, terms_of(text[end:])), lex, draws)
+
         def finish(this, following):
-            (doc_id, text, mark), (_, next_text, next_mark) = this, following
+            (doc_id, text, spared, end, mark), (_, next_text, _, _, next_mark) = this, following
             cut = len(text) // 4
-            edited = text[: len(text) - cut] + next_text[:cut]
-            edited_mark = mark if edited == text else fingerprint(edited, lex, draws)
+            changed = text[end : len(text) - cut] + next_text[:cut]
+            edited = text[:end] + changed
+            edited_mark = mark if edited == text else fingerprint_of(np.union1d(spared, terms_of(changed)), lex, draws)
             return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, next_mark))
 
         def rows():
@@ -203,19 +210,18 @@ def fingerprints(docs: DataFrame, least: float = 0.005, most: float = 0.3, bucke
             for batch in batches:
                 for bucket, role, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "role", "doc_id", "packed")), strict=True):
                     if bucket != at:
-                        if pending is not None:  # no document closed the bucket: all ids are null
-                            yield finish(pending, first)
                         pending, first, at, closed = None, None, bucket, False
-                    if closed:
+                    if closed or (role == -1 and first is not None):
                         continue
-                    text = unpress.decompress(packed).decode()
-                    this = (doc_id, text, fingerprint(text, lex, draws))
-                    first = first or this
-                    if pending is not None:
-                        yield finish(pending, this)
-                    pending, closed = (None, True) if role else (this, False)
-            if pending is not None:
-                yield finish(pending, first)
+                    this = read(doc_id, packed)
+                    if role == -1:
+                        first = this
+                    elif doc_id is None:
+                        yield finish(this, first or this)
+                    else:
+                        if pending is not None:
+                            yield finish(pending, this)
+                        pending, closed = (None, True) if role else (this, False)
 
         out = []
         for r in rows():
@@ -231,4 +237,4 @@ def fingerprints(docs: DataFrame, least: float = 0.005, most: float = 0.3, bucke
     doc_type = docs.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(doc_type)), ("n_chars", pa.int64()), *((n, pa.string()) for n in names[2:5]), *((n, pa.float64()) for n in names[5:])])
     kinds = f"doc_id {doc_type.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs, buckets).mapInArrow(run, kinds)
+    return in_order(docs, buckets, null_buckets).mapInArrow(run, kinds)
