@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import stage
+from .workspace import set_aside, stage
 
 #: log2 of the sketch's registers; the standard error is 1.04 / sqrt(2**12) = 1.6 %.
 SKETCH_LOG2 = 12
@@ -64,24 +64,24 @@ def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 18) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed.
+    """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed behind its own columns.
 
     Lines are what stands between line feeds, compared without blanks at either end; blank lines stay.  The
     document with the smallest doc_id that has a boilerplate line keeps it.  Null text has no lines and stays
     null; null sources are no site; rows with equal doc_id and text are cut alike; a null doc_id is never
-    the first document; other columns stay as they are.
+    the first document; other columns stay as they are, except that own columns called n_lines or n_removed
+    give way to the operator's.
     """
+    docs = docs.drop("n_lines", "n_removed")
     lines = lines_of(docs)
     boilerplate = stage(widespread_lines(lines, min_sites), "line-boilerplate")
     hits = lines.join(boilerplate, ["k1", "k2"]).where("NOT doc_id <=> first_doc")
-    gone = (
-        hits.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_gone_doc"), F.col("text_key").alias("_gone_text"), "_gone")
-    )
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.xxhash64("text") == F.col("_gone_text")), "left")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return (
-        joined.withColumn("n_lines", n_lines.cast("long"))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("text", F.pandas_udf(_without_lines, "string")("text", "_gone"))
-        .drop("_gone", "_gone_doc", "_gone_text")
-    )
+    gone = hits.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
+    named, back = set_aside(docs, own_doc="doc_id", own_text="text", own_key=F.xxhash64("text"))
+    joined = named.join(gone, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
+    n_lines = F.when(F.col("own_text").isNull(), 0).otherwise(F.size(F.split("own_text", "\n"))).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    # a set look-up a line: array_contains over the removed places would grow with lines times removed lines
+    cut = F.when(F.col("gone").isNull(), F.col("own_text")).otherwise(F.pandas_udf(_without_lines, "string")("own_text", "gone"))
+    kept = [cut.alias("text") if c == "text" else b for c, b in zip(docs.columns, back, strict=True)]
+    return joined.select(*kept, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import gram_hashes, mix, prefix_sums, run_hashes, signed, word_hashes
-from .workspace import stage
+from .workspace import set_aside, stage
 
 MINIMA, BAND_ROWS, LOW_BITS = 256, 5, 2
 BANDS = MINIMA // BAND_ROWS
@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5) ->
     nothing, so they are kept, as are rows without doc_id, whose component is null.  Rows that repeat a doc_id
     are one node with every row's links.  An empty table gives no rows; extra columns are ignored.
 
-    A pair exactly at 0.75 escapes all 51 bands with probability (1 - 0.75**5)**51 = 1e-6, one at 0.8 with 2e-9.
+    A pair exactly at 0.75 escapes all 51 bands with probability (1 - 0.75**5)**51 = 1e-6, one at 0.8 with 2e-9, and
+    the estimate, whose standard error there is 0.033 (256 two-bit minima), drops it with about 2e-8 (MARGIN).
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed_docs = stage(signatures(own, words), "minhash-signatures")
@@ -284,5 +285,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5) ->
 
 def kept_documents(docs: DataFrame, threshold: float = 0.75, words: int = 5) -> DataFrame:
     """The documents, with all their columns, without those that have a smaller near-duplicate."""
-    gone = near_duplicates(docs, threshold, words).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, threshold, words).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    named, back = set_aside(docs, doc="doc_id")
+    return named.join(gone, F.col("doc") == F.col("gone"), "left_anti").select(*back)
