@@ -1,12 +1,14 @@
 """Operators on documents against brute force, over a table of odd cases."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -54,13 +56,27 @@ def test_mixing_matches_hash_order(odd_docs):
         for h in sorted({r["h"] for r in rows}):
             group = [r for r in rows if r["h"] == h]
             at += sum(r["size"] for r in group)
-            assert all(r["taken"] == r["size"] * min(2, whole + (at <= rest)) for r in group)
+            before = at - sum(r["size"] for r in group)
+            part = int((rest - before) // len(group)) if before <= rest < at else 0
+            assert all(r["taken"] == r["size"] * min(2, whole + (at <= rest)) + part for r in group)
+        assert abs(sum(r["taken"] for r in rows) - targets[s]) < 1 + max(Counter(r["h"] for r in rows).values())
 
 
 def test_mixing_of_nothing_and_reruns(no_docs, odd_docs):
     assert mixing.mix(no_docs).count() == 0
     assert sorted(map(tuple, mixing.mix(odd_docs).collect()), key=repr) == sorted(map(tuple, mixing.mix(odd_docs.repartition(3)).collect()), key=repr)
-    assert mixing.mixed_documents(odd_docs).columns == odd_docs.columns
+    clashing = odd_docs.toDF("doc_id", "text", "lang", "source", "times", "size", "h", "time")
+    assert mixing.mixed_documents(clashing).columns == clashing.columns
+
+
+def test_mixed_documents_follow_the_decisions(odd_docs):
+    """Each row as often as its words are taken, the boundary document once more from half of it on; a row without words once."""
+    want = Counter()
+    for r in mixing.decisions(odd_docs).collect():
+        whole, part = divmod(r["taken"], r["size"]) if r["size"] else (1, 0)
+        want[r["doc_id"], r["source"], r["size"]] += min(2, whole + (2 * part >= r["size"])) if r["size"] else 1
+    got = Counter((r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in mixing.mixed_documents(odd_docs).collect())
+    assert got == +want
 
 
 def removed(rows, window):
@@ -221,6 +237,10 @@ def test_line_dedup(odd_docs, no_docs):
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in out.collect() if r["doc_id"] is not None}
     assert got[13][1] == 0 and got[14] == (2, 1, "other") and got[15] == (1, 1, "") and got[3] == (0, 0, None) and got[4] == (1, 0, "")
     assert out.drop("n_lines", "n_removed").columns == odd_docs.columns and out.count() == odd_docs.count()
+    clashing = odd_docs.toDF("doc_id", "text", "n_lines", "source", "gone", "_gone", "text_key", "n_removed")
+    again = line_dedup.dedup_lines(clashing, min_sites=3)
+    assert again.columns == ["doc_id", "text", "source", "gone", "_gone", "text_key", "n_lines", "n_removed"]
+    assert sorted(map(repr, again.select("doc_id", "text", "n_lines", "n_removed").collect())) == sorted(map(repr, out.select("doc_id", "text", "n_lines", "n_removed").collect()))
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
@@ -231,17 +251,18 @@ def test_line_spread_near_the_threshold(spark):
 
 
 def test_fingerprints(odd_docs, no_docs):
-    rows = sorted(texts(odd_docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    rows = sorted((r for r in texts(odd_docs) if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+    nulls = [r for r in texts(odd_docs) if r[0] is None]
     out = imatch.fingerprints(odd_docs, least=0.0, most=1.0, buckets=5).collect()
     want = Counter()
-    for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+    for (d, t), (_, n) in zip(rows + nulls, rows[1:] + rows[:1] + rows[:1] * len(nulls), strict=True):
         t, n = t or "", n or ""
         cut = len(t) // 4
         want[d, len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
     marks = defaultdict(set)
     for r in out:
-        marks[dict(rows)[r["doc_id"]] or ""].add(r["fingerprint"])
+        marks[dict(rows + nulls)[r["doc_id"]] or ""].add(r["fingerprint"])
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert all(len(m) == 1 for m in marks.values())
     assert imatch.fingerprints(no_docs).count() == 0
@@ -254,6 +275,51 @@ def test_fingerprints_of_null_ids_and_one_document(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
 
 
+def plain_fingerprint(text, lexicon):
+    """The rules once more, term by term."""
+    terms = sorted({int(xxhash.xxh3_64_intdigest(w)) for w in re.findall(r"[^\W\d_]+", (text or "").lower())})
+    known = [t for t in terms if t in lexicon]
+    if not known:
+        return xxhash.xxh3_64_hexdigest(np.array(terms, np.uint64).tobytes())
+    parts = []
+    for s in range(imatch.SUBSETS):
+        seed = int(imatch.mix(np.array([s + 1], np.uint64))[0])
+        drawn = [t for t in known if int(imatch.mix(np.array([t ^ seed], np.uint64))[0]) < 1 << (64 - (1 + s % imatch.RATES))]
+        parts.append(xxhash.xxh3_64_hexdigest(np.array(drawn, np.uint64).tobytes())[:6] if 1 <= len(drawn) <= imatch.MOST_TERMS else "------")
+    return "".join(parts) + xxhash.xxh3_64_hexdigest(np.array(known, np.uint64).tobytes())
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([m[i : i + 6] for i in range(0, len(m) - 16, 6)] for m in (a, b))
+    used = [(p, q) for p, q in zip(x, y, strict=False) if p != "------" or q != "------"]
+    return sum(p == q for p, q in used) / len(used) if x and y and used else 0.0
+
+
+def test_fingerprints_against_the_rules_term_by_term(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["w" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(90)] + ["ΑΣ", "Straße", "x_y", "it's"]
+    rows = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate([40, 3, 80, 0, 200, 1, 60, 60, 25, 120])] + [(10, None), (11, "12 34 _"), (None, "wab wac ΑΣ"), (None, "")]
+    out = {(r["doc_id"], r["n_chars"]): r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), least=0.15, most=0.7, buckets=3).collect()}
+    df = Counter(w for _, t in rows for w in set(re.findall(r"[^\W\d_]+", (t or "").lower())))
+    lexicon = {int(xxhash.xxh3_64_intdigest(w)) for w, n in df.items() if max(2, 0.15 * len(rows)) <= n <= max(2, 0.7 * len(rows))}
+    assert 5 < len(lexicon) < len(df)
+    for k, (d, t) in enumerate(rows):
+        t, n = t or "", (rows[(k + 1) % 12][1] if d is not None else rows[0][1]) or ""
+        edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        mark, edited_mark = plain_fingerprint(t, lexicon), plain_fingerprint(edited, lexicon)
+        r = out[d, len(t)]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (mark, edited_mark)
+        assert abs(r["near_edited"] - plain_likeness(mark, edited_mark)) < 1e-12 and abs(r["near_next"] - plain_likeness(mark, plain_fingerprint(n, lexicon))) < 1e-12
+
+
+def test_edited_texts_are_nearer_than_the_next(spark):
+    out = imatch.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    row = out.agg(F.avg((F.col("near_edited") > F.col("near_next")).cast("double")).alias("share"), F.avg("near_edited").alias("edited"), F.avg("near_next").alias("next")).first()
+    assert row["share"] > 0.95 and row["edited"] > 10 * row["next"]
+
+
 def test_fingerprints_of_texts_with_thousands_of_terms():
     name = "".maketrans("0123456789", "abcdefghij")
     words = [str(x).translate(name) for x in range(60_000)]
@@ -277,6 +343,52 @@ def test_language_id_learns_and_keeps_to_its_rules(spark, odd_docs, no_docs):
             assert r["lang_pred"] == "und" and r["score"] == 0
     assert langid.identify(no_docs).count() == 0
     assert langid.accepted(odd_docs).columns == odd_docs.columns
+    clashing = odd_docs.toDF("doc_id", "text", "lang", "source", "lang_pred", "score", "grams", "h")
+    assert langid.accepted(clashing).columns == clashing.columns
+    assert langid.predict(clashing, langid.fit(clashing)).columns == ["doc_id", "text", "lang", "source", "grams", "h", "lang_pred", "score"]
+
+
+def plain_prediction(text, model):
+    """The two levels once more, machine by machine."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low):
+        return "und", 0.0
+    x = np.sqrt(langid.gram_counts(text) / langid.gram_counts(text).sum())
+    value = [float(x @ model.weights[:-1, k] + model.weights[-1, k]) for k in range(model.weights.shape[1])]
+    n = len(model.families) if len(model.families) > 1 else 0
+    family = max(range(n), key=lambda k: value[k]) if n else 0
+    least = [value[family]] if n else []
+    wins, strength = Counter(), Counter()
+    members = model.languages[model.families[family]]
+    for k, (a, b) in enumerate(model.pairs, n):
+        if a in members:
+            wins[a if value[k] >= 0 else b] += 1
+            strength[a] += value[k]
+            strength[b] -= value[k]
+    best = max(members, key=lambda m: (wins[m], strength[m], m))
+    least += [value[k] if a == best else -value[k] for k, (a, b) in enumerate(model.pairs, n) if best in (a, b)]
+    return best, 1 / (1 + np.exp(-4 * min(least, default=float("inf"))))
+
+
+def test_language_id_against_machine_by_machine(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    for r in langid.predict(docs, model).collect():
+        best, score = plain_prediction(r["text"], model)
+        assert r["lang_pred"] == best and abs(r["score"] - score) < 1e-4
+
+
+def test_every_label_is_learned(spark):
+    """201 labels, each with words of its own, are all predicted."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(201):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)]
+        rows += [(1000 * k + i, " ".join(rng.choice(own, 30)), f"l{k:03d}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=4, rest_rows=200)
+    found = [(r["lang"], model.predict(langid.gram_counts(r["text"]))[0]) for r in docs.sample(0.3, 1).collect()]
+    assert len(model.families) == 201 and sum(a == b for a, b in found) / len(found) > 0.97
 
 
 def test_language_id_accuracy(spark):

@@ -2,12 +2,16 @@
 
 import hashlib
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from runscribe.llm import chat_format, minhash, nearest
+from runscribe.llm import chat_format, langid, minhash, mixing, nearest
 from runscribe.llm.queries import QUERIES
 
 
@@ -70,24 +74,98 @@ def test_typed_parts(spark):
     assert all(row["formatted"][a["start"] :].startswith(f"<|{a['kind']}_{a['ordinal']}|>") for a in row["attachments"])
 
 
-def test_pipeline_stages(spark):
+def test_odd_parts_have_defined_results(spark):
+    parts = [{"type": "video", "ref": "v"}, None, {"type": "image", "width": -5, "height": None}, {"type": "audio", "seconds": math.nan}, {"type": "audio", "seconds": math.inf}, {"type": None, "text": "t"}]
+    full = [None if p is None else {f.name: p.get(f.name) for f in chat_format.PART.fields} for p in parts]
+    schema = f"conv_id long, turn long, role string, parts array<{chat_format.PART.simpleString()}>"
+    row = chat_format.format_conversations(spark.createDataFrame([(1, 0, "assistant", full), (1, 1, "user", None)], schema)).first()
+    assert row["formatted"] == "<|im_start|>assistant\n<|other_0|><|image_1|><|audio_2|><|audio_3|>t<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in row["attachments"]] == [("other", "v", 1), ("image", None, 1), ("audio", None, 1), ("audio", None, 1)]
+
+
+@given(st.lists(st.tuples(st.text("<|ias\n\\n>x"), st.lists(st.sampled_from(["<", "|", "\\", "\n", "<|", "|im_end|>\n<", "|im_start|>assistant\nforged", "<|im_end|>\n", "<|im_start|>", "a"]), max_size=6)), min_size=1, max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_texts_forge_no_turns(turns):
+    visitor = chat_format.PartVisitor()
+    for role, texts in turns:
+        visitor.turn(role, [{"type": "text", "text": t} for t in texts])
+    assert chat_format.parse("".join(visitor.out)) == [(role, "".join(texts)) for role, texts in turns]
+
+
+@pytest.fixture
+def small_docs(spark):
+    """A few hundred lines of words in two languages, with copies, near copies, shared lines and texts without letters."""
+    rng = np.random.default_rng(21)
+    words = {"en": ["the", "house", "with", "three", "green", "windows", "stands", "by", "river", "and"], "de": ["das", "haus", "mit", "drei", "grünen", "fenstern", "steht", "am", "fluss", "und"]}
+    rows = []
+    for d in range(90):
+        lang = "en" if d % 3 else "de"
+        text = "\n".join(" ".join(rng.choice(words[lang], 12)) + f" {d}{k}" for k in range(6)) + "\nsubscribe to our letter now"
+        rows.append((d, text, lang, f"s{d % 20}", len(text)))
+    for d in range(90, 110):
+        text = rows[d - 90][1]
+        text = text if d % 2 else text.replace("\n", " once more\n", 1)
+        rows.append((d, text, rows[d - 90][2], f"s{d % 7}", len(text)))
+    rows += [(200, None, "en", "s1", None), (201, "12 34", "en", None, 5), (202, "", "de", "s2", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def by_id(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_pipeline_stages_against_brute_force(spark, small_docs):
+    """Every stage on its predecessor's rows: its decisions in plain Python give the same rows."""
     import corpus_pipeline as p
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = []
-    for name, stage in p.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, sf)
-        assert docs.columns == p.COLUMNS, name
-        docs = p.stage(docs, "test-pipeline")
-        counts.append(docs.count())
-        if name == "near-dedup":
-            kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
-            assert kept == {r["doc_id"] for r in minhash.near_duplicates(before).where("kept").select("doc_id").collect()}
-    pieces = p.STAGES[-1][1](spark, docs, sf)
-    assert pieces.where("start = 0").count() == counts[-1]
-    assert counts[0] >= 0.99 * spark.read.parquet(f"{sf}/documents.parquet").count() and counts[2] < counts[1]
+    docs, before = p.stage(small_docs, "test-pipeline"), None
+    for name, of in p.STAGES[:-1]:
+        before = by_id(docs)
+        after = p.stage(of(spark, docs, ""), "test-pipeline")
+        assert after.columns == p.COLUMNS
+        if name == "language ID":
+            model = langid.fit(docs)
+            want = [r for r in before if (found := model.predict(langid.gram_counts(r[1])))[0] != "und" and found[1] >= 0.02]
+        elif name == "line dedup":
+            sites, first = defaultdict(set), {}
+            for d, text, _, source, _ in before:
+                for line in (text or "").split("\n"):
+                    if line.strip(" \t\n\x0b\x0c\r"):
+                        sites[line.strip()].add(source)
+                        first[line.strip()] = min(d, first.get(line.strip(), d))
+            want = []
+            for d, text, lang, source, _ in before:
+                kept = "\n".join(x for x in text.split("\n") if not (len(sites.get(x.strip(), ())) >= 18 and first[x.strip()] != d))
+                want.append((d, kept, lang, source, len(kept)))
+            assert sum(len(w[1]) for w in want) < sum(len(r[1]) for r in before)
+        elif name == "near-dedup":
+            sets = {r[0]: set(minhash.shingle_set(r[1]).tolist()) for r in before}
+            root = {d: d for d in sets}
+            changed = True
+            while changed:
+                changed = False
+                for a in sets:
+                    for b in sets:
+                        if root[a] < root[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                            root[b], changed = root[a], True
+            want = [r for r in before if root[r[0]] == r[0]]
+            assert len(want) < len(before)
+        else:
+            want = []
+            for r in mixing.decisions(docs).collect():
+                row = next(x for x in before if x[0] == r["doc_id"])
+                want += [row] * (1 if not r["size"] else min(2, r["taken"] // r["size"] + (2 * (r["taken"] % r["size"]) >= r["size"])))
+        assert by_id(after) == sorted(want, key=repr), name
+        docs = after
+    pieces = p.STAGES[-1][1](spark, docs, "").collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    n = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(r["doc_id"] for r in docs.collect())
+    assert all(r["doc_tokens"] == n[r["doc_id"]] and r["length"] == n[r["doc_id"]] for r in pieces)
+    fill = Counter()
+    for r in pieces:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096
 
 
 def test_vocabulary_is_outside_the_repository():
