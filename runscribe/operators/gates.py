@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import has, java
-from .scoring import GRADES
+from .scoring import DIMENSIONS, GRADES
 
 RANKS = {g: len(GRADES) - 1 - i for i, (_, g, _) in enumerate(GRADES)}
 
@@ -35,6 +35,57 @@ def bound_violations(cases: DataFrame, scores: DataFrame) -> DataFrame:
     return bounds.join(scores, ["name", "dim"], "left").where(broken).select("name", "dim", "kind", "bound", got.alias("score"))
 
 
+def regressions(cases: DataFrame, cards: DataFrame) -> DataFrame:
+    """(name, low, high, grade_min, lows, highs) against (name, composite_cents, grade, the dimensions) -> name, passed, errors in order.
+
+    A case without a scorecard has composite 0, grade F and dimensions of 0.  ``grade_min`` compares ranks.
+    """
+    c = F.col
+    dims = DIMENSIONS
+    met = cases.join(cards.select("name", (c("composite_cents") / 100).cast("double").alias("composite"), c("grade").alias("got_grade"), F.create_map(*[x for d in dims for x in (F.lit(d), c(d).cast("double"))]).alias("got")), "name", "left")
+    composite, got_grade = F.coalesce("composite", F.lit(0.0)), F.coalesce("got_grade", F.lit("F"))
+
+    def of(dim: Column) -> Column:
+        return F.coalesce(F.try_element_at("got", dim), F.lit(0.0))
+
+    def shown(x: Column) -> Column:
+        return F.format_string("%.2f", x.cast("double"))
+
+    def sides(bounds: str, below: bool) -> Column:
+        entries = F.array_sort(F.map_entries(F.coalesce(bounds, F.expr("CAST(map() AS map<string,double>)"))))
+        broken = F.filter(entries, lambda e: of(e["key"]) < e["value"] if below else of(e["key"]) > e["value"])
+        word = " < expected_min " if below else " > expected_max "
+        return F.transform(broken, lambda e: F.concat(F.lit("dimension "), e["key"], F.lit("="), shown(of(e["key"])), F.lit(word), shown(e["value"])))
+
+    first = F.array_compact(
+        F.array(
+            F.when(composite < c("low"), F.concat(F.lit("composite "), shown(composite), F.lit(" < expected_min "), shown(c("low")))),
+            F.when(composite > c("high"), F.concat(F.lit("composite "), shown(composite), F.lit(" > expected_max "), shown(c("high")))),
+            F.when(grade_rank(got_grade) < grade_rank(c("grade_min")), F.concat(F.lit("grade "), got_grade, F.lit(" below expected_min "), c("grade_min"))),
+        )
+    )
+    errors = F.concat(first, sides("lows", True), sides("highs", False))
+    return met.select("name", (F.size(errors) == 0).alias("passed"), errors.alias("errors"))
+
+
+def ci_gate(cards: DataFrame, threshold: str | None = None) -> DataFrame:
+    """(skill, composite_cents, grade, one_liner) -> skill, message, output, status (1 below the threshold).  A threshold that is no number gates nothing."""
+    try:
+        bound = float(threshold) if threshold and str(threshold).strip() else None
+    except ValueError:
+        bound = None
+    composite = (F.col("composite_cents") / 100).cast("double")
+    shown = F.format_string("%.2f", composite)
+    message = F.concat("skill", F.lit(" -> "), shown, F.lit("/10 ("), F.col("grade"), F.lit(") — "), F.coalesce("one_liner", F.lit("")))
+    status = F.lit(0) if bound is None else F.when(composite < bound, 1).otherwise(0)
+    return cards.select("skill", message.alias("message"), F.concat(F.lit("composite="), shown, F.lit("\ngrade="), F.col("grade")).alias("output"), status.alias("status"))
+
+
+def finished(runs: DataFrame, event: str = "event") -> DataFrame:
+    """Runs that may be scored: those that ended with a failure of the service are left out."""
+    return runs.where(F.coalesce(F.col(event), F.lit("")) != "StopFailure")
+
+
 def hygiene(cases: DataFrame) -> DataFrame:
     """(name, low, high, grade_min, grade_max) -> findings of cases without bounds or with brittle ones."""
     no_spec = F.coalesce("low", "high").isNull() & F.coalesce("grade_min", "grade_max").isNull()
@@ -68,11 +119,20 @@ def rewrite_lint(lines: DataFrame) -> DataFrame:
 
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """(…, model, input_tokens, output_tokens) with prices a million tokens; an unknown model costs the default."""
-    default = prices.where("model = 'default'").select(F.col("input").alias("di"), F.col("output").alias("do"))
-    priced = usage.join(F.broadcast(prices.limit(10_000)), "model", "left").crossJoin(F.broadcast(default.limit(1)))
-    each = [(F.col(t).cast("decimal(20,0)") * F.coalesce(p, d).cast("decimal(12,4)") / 1_000_000).cast("decimal(24,6)") for t, p, d in (("input_tokens", "input", "di"), ("output_tokens", "output", "do"))]
-    return priced.select(*usage.columns, each[0].alias("input_usd"), each[1].alias("output_usd"), (each[0] + each[1]).alias("total_usd"))
+    """(…, model, input_tokens, output_tokens) with prices a million tokens; an unknown model costs the default.
+
+    Every usage row stays.  Without a price for its model or a ``default`` row its cost is null; negative or missing
+    tokens have no cost either.  Of prices that repeat a model the highest counts.
+    """
+    table = prices.groupBy("model").agg(F.max(F.struct("input", "output")).alias("own"))
+    default = table.where("model = 'default'").select(F.lit(1).alias("_all"), F.col("own").alias("rest"))  # one row at most
+    own = table.where("model <> 'default'").withColumnRenamed("model", "priced")
+    joined = usage.withColumn("_all", F.lit(1)).join(own, F.col("model") == F.col("priced"), "left").join(default, "_all", "left")
+    each = []
+    for tokens, side in (("input_tokens", "input"), ("output_tokens", "output")):
+        n = F.when(F.col(tokens) >= 0, F.col(tokens)).cast("decimal(20,0)")
+        each.append((n * F.coalesce(f"own.{side}", f"rest.{side}").cast("decimal(12,4)") / 1_000_000).cast("decimal(24,6)"))
+    return joined.select(*usage.columns, each[0].alias("input_usd"), each[1].alias("output_usd"), (each[0] + each[1]).alias("total_usd"))
 
 
 def pinned_dimensions(cases: DataFrame) -> DataFrame:
@@ -102,6 +162,16 @@ def missing_capabilities(declared: Column, required: Column) -> Column:
     return F.array_except(capabilities(required), capabilities(declared))
 
 
+def capability_rationale(declared: Column, required: Column) -> Column:
+    """Which of three cases holds: none declared, some missing, or all there."""
+    have, missing = capabilities(declared), missing_capabilities(declared, required)
+    return (
+        F.when(F.size(have) == 0, "no capabilities declared; declare the expected ones explicitly")
+        .when(F.size(missing) > 0, F.concat(F.lit("declared "), F.size(have).cast("string"), F.lit(" capabilities but missing required: "), F.array_join(missing, ",")))
+        .otherwise(F.concat(F.lit("capabilities OK ("), F.array_join(have, ","), F.lit(")")))
+    )
+
+
 def collapse_gate(collapsed: Column, mode: str = "warn") -> Column:
     """``pass``, or for a collapsed history what ``mode`` says: warn, fail, or (off) pass."""
     return F.when(F.coalesce(collapsed, F.lit(False)) & F.lit(mode != "off"), F.lit(mode)).otherwise("pass")

@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.folders import stage
 from .scoring import DIMENSIONS, STANDARDS, by_dimension
 
 
-def runs() -> WindowSpec:
-    """A skill's runs from the first; ties of time by run."""
+def latest_first() -> WindowSpec:
+    return Window.partitionBy("skill").orderBy(F.desc("ts"), F.desc("run_id"))
+
+
+def first_runs() -> WindowSpec:
+    """A skill's runs from the first; ties of time by run.  Only for a limited number of rows a skill."""
     return Window.partitionBy("skill").orderBy("ts", "run_id")
 
 
-def latest_first() -> WindowSpec:
-    return Window.partitionBy("skill").orderBy(F.desc("ts"), F.desc("run_id"))
+def in_ranges(hist: DataFrame, *order: Column) -> DataFrame:
+    """``hist`` with _part: ranges of (skill, order), so a skill's runs are dealt over many tasks; rows of equal keys share one."""
+    parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(hist.repartitionByRange(parts, F.col("skill"), *order).withColumn("_part", F.spark_partition_id()), "history-ranges")
+
+
+def over_runs(hist: DataFrame, reach: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """``hist`` with columns over each skill's runs in (ts, run_id) order that look back at most ``reach`` rows.
+
+    Each range of runs gets the last ``reach`` rows of the ranges before it and is a window of its own, so no task
+    holds a skill.  What is carried grows with the number of ranges, not of runs.
+    """
+    rows = in_ranges(hist, F.col("ts"), F.col("run_id"))
+    own = Window.partitionBy("skill", "_part").orderBy("ts", "run_id")
+    back = Window.partitionBy("skill", "_part").orderBy(F.desc("ts"), F.desc("run_id"))
+    tails = rows.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= reach).drop("_back")
+    held = rows.select("skill", "_part").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("skill").orderBy("_part")))
+    source = held.select(F.col("skill").alias("_s"), F.col("_part").alias("_from"), F.explode(F.sequence(F.col("_k") + 1, F.col("_k") + reach)).alias("_to"))
+    target = held.select(F.col("skill").alias("_t"), F.col("_part").alias("_into"), F.col("_k").alias("_to"))
+    moves = source.join(target, F.col("_s").eqNullSafe(F.col("_t")) & (source["_to"] == target["_to"])).select("_s", "_from", "_into")
+    carried = tails.join(moves, F.col("skill").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_from"))).withColumn("_part", F.col("_into")).drop("_s", "_from", "_into")
+    both = rows.withColumn("_carried", F.lit(False)).unionByName(carried.withColumn("_carried", F.lit(True)))
+    return both.withColumns(columns(own)).where("NOT _carried").drop("_carried", "_part")
 
 
 def averages(hist: DataFrame) -> DataFrame:
@@ -32,31 +60,51 @@ def direction(change: Column, bound: float) -> Column:
 
 def three_point_trend(hist: DataFrame) -> DataFrame:
     """Last minus first of the three runs before each run, over 50 hundredths either way; fewer than two are flat."""
-    frame = runs().rowsBetween(-3, -1)
-    change = F.when(F.count("*").over(frame) >= 2, F.last("composite_cents").over(frame) - F.first("composite_cents").over(frame)).otherwise(0)
-    return hist.withColumn("trend", direction(change, 50))
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        frame = w.rowsBetween(-3, -1)
+        change = F.when(F.count("*").over(frame) >= 2, F.last("composite_cents").over(frame) - F.first("composite_cents").over(frame)).otherwise(0)
+        return {"trend": direction(change, 50)}
+
+    return over_runs(hist, 3, columns)
 
 
 def run_to_run(hist: DataFrame, bound: float = 30) -> DataFrame:
-    change = F.coalesce(F.col("composite_cents") - F.lag("composite_cents").over(runs()), F.lit(0))
-    return hist.withColumn("change", change).withColumn("trend", direction(change, bound))
+    changed = over_runs(hist, 1, lambda w: {"change": F.coalesce(F.col("composite_cents") - F.lag("composite_cents").over(w), F.lit(0))})
+    return changed.withColumn("trend", direction(F.col("change"), bound))
 
 
 def consistency(hist: DataFrame) -> DataFrame:
-    """Score by the population deviation of all earlier composites (in points); 5 without history."""
-    sigma = F.stddev_pop(F.col("composite_cents") / 100.0).over(runs().rowsBetween(Window.unboundedPreceding, -1))
+    """Score by the population deviation of all earlier composites (in points); 5 without history.
+
+    Sums of a range meet the sums of the ranges before it: n, the sum and the sum of squares are exact decimals.
+    """
+    rows = in_ranges(hist, F.col("ts"), F.col("run_id")).withColumn("_x", F.col("composite_cents").cast("decimal(12,1)"))
+    sums = {"_n": F.count("_x"), "_s": F.sum("_x"), "_q": F.sum((F.col("_x") * F.col("_x")).cast("decimal(20,2)"))}
+    parts = rows.groupBy("skill", "_part").agg(*[v.alias(k) for k, v in sums.items()])  # one row a range
+    earlier = Window.partitionBy("skill").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("skill").alias("_t"), F.col("_part").alias("_p"), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}0") for k in sums])
+    here = Window.partitionBy("skill", "_part").orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumns({k: v.over(here) for k, v in sums.items()}).join(before, F.col("skill").eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p")))
+    n, s, q = (F.coalesce(k, F.lit(0)) + F.col(f"{k}0") for k in sums)
+    n, s, q = n.cast("decimal(13,0)"), s.cast("decimal(17,1)"), q.cast("decimal(25,2)")
+    sigma = F.when(n > 0, F.sqrt((n * q - s * s).cast("double")) / n.cast("double") / 100)
     score = F.when(sigma.isNull(), 5).when(sigma > 2.5, 5).when(sigma > 1.5, 6).when(sigma > 0.8, 7).otherwise(9)
-    return hist.withColumn("sigma", F.round(sigma, 4)).withColumn("consistency_score", score)
+    return joined.select(*hist.columns, F.round(sigma, 4).alias("sigma"), score.alias("consistency_score"))
 
 
 def verifier_collapse(hist: DataFrame, window: int = 10, least: int = 5, top: float = 8.5, share: float = 0.95, spread: float = 0.3) -> DataFrame:
     """Whether the runs before a run are nearly all at the top and hardly differ."""
-    frame = runs().rowsBetween(-window, -1)
-    n = F.count("*").over(frame)
-    at_top = F.sum(F.when(F.col("composite_cents") >= top * 100, 1).otherwise(0)).over(frame).cast("double") / F.nullif(n, F.lit(0))
-    sigma = F.stddev_pop(F.col("composite_cents") / 100.0).over(frame)
-    flagged = F.coalesce((n >= least) & (at_top >= share) & (sigma < spread), F.lit(False))
-    return hist.withColumn("window_runs", n).withColumn("top_share", F.round(at_top, 4)).withColumn("sigma", F.round(sigma, 4)).withColumn("collapsed", flagged)
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        frame = w.rowsBetween(-window, -1)
+        n = F.count("*").over(frame)
+        at_top = F.sum(F.when(F.col("composite_cents") >= top * 100, 1).otherwise(0)).over(frame).cast("double") / F.nullif(n, F.lit(0))
+        sigma = F.stddev_pop(F.col("composite_cents") / 100.0).over(frame)
+        flagged = F.coalesce((n >= least) & (at_top >= share) & (sigma < spread), F.lit(False))
+        return {"window_runs": n, "top_share": F.round(at_top, 4), "sigma": F.round(sigma, 4), "collapsed": flagged}
+
+    return over_runs(hist, window, columns)
 
 
 def deltas_to_standard(hist: DataFrame) -> DataFrame:
@@ -82,36 +130,69 @@ def suggestion_count(delta: Column, available: Column) -> Column:
 
 
 def against(hist: DataFrame, baseline: int = -2, target: int = -1) -> DataFrame:
-    """By skill, dim: value of two runs by index (negative from the end), their delta, and its direction (over 5 hundredths)."""
+    """By skill, dim: value of two runs by index (negative from the end), their delta, and its direction (over 5 hundredths).
 
-    def at(index: int) -> Column:
-        return F.col("back") == -index if index < 0 else F.col("forth") == index + 1
+    Each index takes the first rows of one order, which are limited before the shuffle.
+    """
 
-    rows = hist.withColumn("forth", F.row_number().over(runs())).withColumn("back", F.row_number().over(latest_first()))
-    rows = rows.withColumn("composite", F.col("composite_cents") / 100.0).where(at(baseline) | at(target))
-    parts = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("v")) for d in [*DIMENSIONS, "composite"]]))
-    long = rows.select("skill", at(baseline).alias("is_base"), at(target).alias("is_target"), parts.alias("p"))
-    out = long.groupBy("skill", F.col("p.dim").alias("dim")).agg(F.max(F.when(F.col("is_base"), F.col("p.v"))).alias("before"), F.max(F.when(F.col("is_target"), F.col("p.v"))).alias("after"))
+    def run_at(index: int, name: str) -> DataFrame:
+        order, n = (latest_first(), -index) if index < 0 else (first_runs(), index + 1)
+        rows = hist.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).where(F.col("_n") == n).withColumn("composite", F.col("composite_cents") / 100.0)
+        parts = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("v")) for d in [*DIMENSIONS, "composite"]]))
+        return rows.select("skill", parts.alias("p")).select("skill", "p.dim", F.col("p.v").alias(name))
+
+    out = run_at(baseline, "before").join(run_at(target, "after"), ["skill", "dim"])
     delta = F.round(F.col("after") - F.col("before"), 2)
     return out.where("before IS NOT NULL AND after IS NOT NULL").withColumn("delta", delta).withColumn("change", F.when(delta > 0.05, "improved").when(delta < -0.05, "regressed").otherwise("flat"))
 
 
+def against_status(changes: DataFrame, runs: DataFrame) -> DataFrame:
+    """skill, status: 2 where the composite regressed, 1 where a skill has too few runs for both indexes, else 0."""
+    found = changes.where("dim = 'composite'").select("skill", F.when(F.col("delta") < -0.05, 2).otherwise(0).alias("status"))
+    return runs.select("skill").distinct().join(found, "skill", "left").select("skill", F.coalesce("status", F.lit(1)).alias("status"))
+
+
 def pairwise(left: DataFrame, right: DataFrame) -> DataFrame:
     """Full outer join of two runs' (run key, dim, score) on dim: delta is null where either side is missing."""
     a, b = left.select("key", "dim", F.col("score").alias("a")), right.select("key", "dim", F.col("score").alias("b"))
     return a.join(b, ["key", "dim"], "full").withColumn("delta", (F.col("b") - F.col("a")).cast("int")).withColumn("hard_drop", F.coalesce(F.col("b") - F.col("a") <= -3, F.lit(False)))
 
 
+# Bounds of what a comparison tells, and bytes a line.
+DROP, GROWTH, DRIFT, HARD, LINE_BYTES = -0.3, 4000, 2, -3, 80
+
+
+def narrative(pairs: DataFrame) -> DataFrame:
+    """Two runs a row (a_ and b_ before composite_cents, n_lines and the dimensions) -> with notes and status (2 on a regression)."""
+    c = F.col
+    a, b = c("a_composite_cents") / 100, c("b_composite_cents") / 100
+    cents = (c("b_composite_cents") - c("a_composite_cents")).cast("double")
+    dropped = cents <= DROP * 100
+    lines_a, lines_b = c("a_n_lines") * LINE_BYTES, c("b_n_lines") * LINE_BYTES
+    whole = {d: (c(f"a_{d}").cast("int"), c(f"b_{d}").cast("int")) for d in DIMENSIONS}
+    slid_a, slid_b = whole["consistency"]
+    hard = F.array_compact(F.array(*[F.when(y - x <= HARD, F.format_string(f"{d} %d → %d (%+d)", x, y, y - x)) for d, (x, y) in whole.items()]))
+    notes = F.array_compact(
+        F.array(
+            F.when(dropped, F.format_string(f"composite dropped %+.2f (%.2f → %.2f) — regression threshold {DROP:.2f}", cents / 100, a.cast("double"), b.cast("double"))),
+            F.when(lines_b - lines_a >= GROWTH, F.format_string("memory block grew ~%dk → ~%dk bytes — likely memory pollution", F.floor(lines_a / 1000), F.floor(lines_b / 1000))),
+            F.when(slid_a - slid_b >= DRIFT, F.format_string("consistency slid %d → %d (%+d) — suggests the skill is drifting", slid_a, slid_b, slid_b - slid_a)),
+            F.when(F.size(hard) > 0, F.concat(F.lit("hard regressions: "), F.array_join(hard, "; "))),
+        )
+    )
+    none = F.array(F.lit("no notable regressions — runs are within expected variance"))
+    return pairs.withColumn("notes", F.when(F.size(notes) > 0, notes).otherwise(none)).withColumn("status", F.when(F.coalesce(dropped, F.lit(False)), 2).otherwise(0))
+
+
 def diff_counts(hist: DataFrame) -> DataFrame:
     """How many dimensions improved, regressed or stayed against the run before; a missing one stayed."""
-    before = {d: F.lag(d).over(runs()) for d in DIMENSIONS}
-    marked = hist.select("skill", "run_id", *[F.coalesce(F.signum(F.col(d) - before[d]), F.lit(0.0)).alias(d) for d in DIMENSIONS])
-    each = F.array(*DIMENSIONS)
+    signs = over_runs(hist, 1, lambda w: {f"_{d}": F.coalesce(F.signum(F.col(d) - F.lag(d).over(w)), F.lit(0.0)) for d in DIMENSIONS})
+    each = F.array(*[f"_{d}" for d in DIMENSIONS])
 
     def number(sign: float) -> Column:
         return F.size(F.filter(each, lambda x: x == sign))
 
-    return marked.select("skill", "run_id", number(1.0).alias("improved"), number(-1.0).alias("regressed"), number(0.0).alias("unchanged"))
+    return signs.select("skill", "run_id", number(1.0).alias("improved"), number(-1.0).alias("regressed"), number(0.0).alias("unchanged"))
 
 
 def latest(hist: DataFrame) -> DataFrame:
@@ -134,12 +215,51 @@ def weekly_digest(hist: DataFrame, now: Column, regress: float = 50) -> DataFram
 
 
 def tie_break_rank(hist: DataFrame) -> DataFrame:
+    """Place of each run within its skill by ten keys (the last two, n_flags and n_bonuses, where they are there); ties share a place."""
     order = [F.desc(c) for c in ("composite_cents", "correctness", "safety", "completeness", "actionability", "adherence", "efficiency", "consistency")]
-    return hist.withColumn("place", F.rank().over(Window.partitionBy("skill").orderBy(*order)))
+    order += [F.asc("n_flags")] if "n_flags" in hist.columns else []
+    order += [F.desc("n_bonuses")] if "n_bonuses" in hist.columns else []
+    rows = in_ranges(hist, *order)
+    parts = rows.groupBy("skill", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("skill").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("skill").alias("_t"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_here", F.rank().over(Window.partitionBy("skill", "_part").orderBy(*order)))
+    joined = placed.join(before, F.col("skill").eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*hist.columns, (F.col("_here") + F.col("_before")).alias("place"))
 
 
 def sigma_anomaly(hist: DataFrame, window: int = 10, sigmas: float = 2.0) -> DataFrame:
-    frame = runs().rowsBetween(-window, -1)
-    c = F.col("composite_cents") / 100.0
-    mean, dev = F.avg(c).over(frame), F.stddev_pop(c).over(frame)
-    return hist.withColumn("anomaly", F.coalesce(F.abs(c - mean) > sigmas * dev, F.lit(False)))
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        frame = w.rowsBetween(-window, -1)
+        c = F.col("composite_cents") / 100.0
+        return {"anomaly": F.coalesce(F.abs(c - F.avg(c).over(frame)) > sigmas * F.stddev_pop(c).over(frame), F.lit(False))}
+
+    return over_runs(hist, window, columns)
+
+
+def suggestions(deltas: DataFrame, tips: DataFrame) -> DataFrame:
+    """skill, dim, delta, tips: the first tips (dim, tip_no, tip) of each dimension below its standard, more the further below it is."""
+    listed = tips.groupBy("dim").agg(F.transform(F.sort_array(F.collect_list(F.struct("tip_no", "tip"))), lambda t: t["tip"]).alias("all_tips"))
+    below = deltas.where("delta < 0").join(listed, "dim", "left")
+    known = F.coalesce("all_tips", F.array(F.lit("Review and improve this dimension")))
+    return below.select("skill", "dim", "delta", F.slice(known, F.lit(1), suggestion_count(F.col("delta"), F.size(known))).alias("tips"))
+
+
+def benchmark_documents(hist: DataFrame, tips: DataFrame, standard: float = 7.5, source: str = "defaults") -> DataFrame:
+    """skill, num_scores, composite_average, composite_benchmark, composite_delta, dimensions, strongest, weakest, suggestions, benchmark_source."""
+    deltas = deltas_to_standard(hist)
+    dims = deltas.groupBy("skill").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("ord", F.struct(F.col("dim").alias("dimension"), F.round("average", 2).alias("average"), "benchmark", F.round("delta", 2).alias("delta"), "status").alias("d")))), lambda x: x["d"]
+        ).alias("dimensions")
+    )
+    top = strongest_and_weakest(deltas)
+    named = {side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("place", "dim")))), lambda x: x["dim"]) for side in ("strong", "weak")}
+    ends = top.groupBy("skill").agg(named["strong"].alias("strongest"), named["weak"].alias("weakest"))
+    advice = suggestions(deltas, tips).join(deltas.select("skill", "dim", "ord"), ["skill", "dim"])
+    told = advice.groupBy("skill").agg(F.transform(F.sort_array(F.collect_list(F.struct("delta", "ord", F.struct(F.col("dim").alias("dimension"), F.round("delta", 2).alias("delta"), "tips").alias("s")))), lambda x: x["s"]).alias("suggestions"))
+    mean = hist.groupBy("skill").agg(F.count("*").alias("num_scores"), F.round(F.avg("composite_cents") / 100, 2).alias("composite_average"))
+    out = mean.join(dims, "skill").join(ends, "skill", "left").join(told, "skill", "left")
+    return out.select(
+        "skill", "num_scores", "composite_average", F.lit(standard).alias("composite_benchmark"), F.round(F.col("composite_average") - standard, 2).alias("composite_delta"), "dimensions", "strongest", "weakest", "suggestions", F.lit(source).alias("benchmark_source")
+    )

@@ -1,53 +1,144 @@
-"""Scorecards as text: explanations, findings as lint results, cards."""
+"""Scorecards as documents and texts: explanations, comparisons, findings as lint results, cards."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scoring import DIMENSIONS, WEIGHTS
+from .scoring import DIMENSIONS
 
+# The format's name and what stands at the end of a text that is cut.
+EXPLAIN_VERSION = "explain.v1"
+FOOTER_URL = "\n\n_Output truncated to {limit} chars to fit GitHub's PR comment limit. See full report at {url}._\n"
+FOOTER = "\n\n_Output truncated to {limit} chars to fit GitHub's PR comment limit. Re-run with `--max-evidence-chars=0` for the full report._\n"
 
-def cut(text: Column, most: int) -> Column:
-    """At most ``most`` characters, the last three dots if something goes; 0 keeps all."""
+
+def cut(text: Column, most: int, url: str | None = None) -> Column:
+    """At most ``most`` characters, footer included, if something goes; 0 keeps all."""
     if not most:
         return text
+    footer = FOOTER_URL.format(limit=most, url=url) if url else FOOTER.format(limit=most)
+    body = F.regexp_replace(F.left(text, F.lit(max(0, most - len(footer)))), r"(?U)\s+$", "")
+    return F.when(F.length(text) > most, F.concat(body, F.lit(footer))).otherwise(text)
+
+
+def short(text: Column, most: int = 140) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
 
 
-def number(value: Column) -> Column:
-    return F.format_string("%.2f", value.cast("double"))
+def truncated_transcript(text: Column, most: int = 16_000) -> Column:
+    """Head and tail of a text over ``most`` characters, with the number of those left out between."""
+    half, n = most // 2, F.length(text)
+    mark = F.concat(F.lit("\n\n... ["), (n - most).cast("string"), F.lit(f" chars elided to stay under the {most}-char transcript budget] ...\n\n"))
+    return F.when(n <= most, text).otherwise(F.concat(F.left(text, F.lit(half)), mark, F.right(text, F.lit(half))))
 
 
-def explain_markdown(scored: DataFrame, key: str = "transcript_id", most: int = 4000) -> DataFrame:
-    """key, markdown: heading, a row a dimension, and flags, cut to ``most`` characters."""
-    rows = [F.concat(F.lit(f"| {d} | "), F.col(d).cast("double").cast("string"), F.lit(f" | {w / 100:.2f} |")) for d, w in WEIGHTS.items()]
-    flags = F.when(F.size("red_flags") > 0, F.concat(F.lit("\n\nRed flags: "), F.array_join(F.transform("red_flags", lambda f: F.replace(f, F.lit("|"), F.lit("\\|"))), "; "))).otherwise("")
-    head = F.concat(F.lit("# "), F.col("grade"), F.lit(" "), number(F.col("composite_cents") / 100), F.lit("\n\n| dimension | score | weight |\n|---|---|---|\n"))
-    return scored.select(key, cut(F.concat(head, F.array_join(F.array(*rows), "\n"), flags), most).alias("markdown"))
+def dimension_entries(card: str = "card") -> Column:
+    """The dimensions of a card in canonical order, as an array with their names."""
+    c = f"{card}.dimensions"
+    return F.array(*[F.struct(F.lit(d).alias("name"), *[F.col(f"{c}.{d}.{f}").alias(f) for f in ("score", "weight", "weighted", "justification")]) for d in DIMENSIONS])
 
 
-def one_liner(scored: DataFrame, skill: Column) -> Column:
-    """One sentence by the composite, with the best and the worst dimension."""
-    shown = F.initcap(F.regexp_replace(skill, "[-_]", " "))
-    name = F.concat(shown, F.lit(" ("), F.col("grade"), F.lit(")"))
-    best, worst = (F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), F.col(d).cast("double"))])[F.col(c)] for c in ("best_dim", "worst_dim"))
-    low = F.concat(F.col("worst_dim"), F.lit(" needs attention ("), worst.cast("int").cast("string"), F.lit("/10)"))
-    good = F.concat(F.lit("Good "), name, F.lit(" -- "), F.when(best >= 9, F.concat(F.lit("strong "), F.col("best_dim"))).otherwise("solid across the board"), F.when(worst < 7, F.concat(F.lit(", "), F.col("worst_dim"), F.lit(" could improve"))).otherwise(""))
-    cents = F.col("composite_cents")
-    return (
-        F.when(cents >= 900, F.concat(F.lit("Excellent "), name, F.lit(" -- top marks across all dimensions")))
-        .when(cents >= 700, good)
-        .when(cents >= 500, F.concat(F.lit("Acceptable "), name, F.lit(" -- "), low))
-        .otherwise(F.concat(F.lit("Below-par "), name, F.lit(" -- critical gaps in "), F.col("worst_dim"), F.lit(" ("), worst.cast("int").cast("string"), F.lit("/10)")))
-    )
+def evidence(card: str = "card") -> Column:
+    return F.struct(F.col(f"{card}.transcript_lines").alias("transcript_lines"), F.size(f"{card}.red_flags").alias("red_flag_count"), F.size(f"{card}.bonuses").alias("bonus_count"))
+
+
+def explain_documents(cards: DataFrame, key: str = "transcript_id") -> DataFrame:
+    """key, document: the stable projection of a scorecard as JSON text; null fields are absent."""
+    c = lambda f: F.col(f"card.{f}")
+    names = {"rubric": "rubric_used", "composite": "composite_score"}
+    head = ["skill", "timestamp", "rubric", "model", "tokenizer_baseline", "composite", "raw_composite", "grade", "grade_label", "summary", "one_liner"]
+    adjustments = F.struct(c("adjustments.deduction").alias("deduction"), c("adjustments.bonus").alias("bonus"), c("red_flags").alias("red_flags"), c("bonuses").alias("bonuses"))
+    fields = [F.lit(EXPLAIN_VERSION).alias("format_version"), *[c(names.get(f, f)).alias(f) for f in head], dimension_entries().alias("dimensions"), adjustments.alias("adjustments")]
+    fields += [c("critical_issues").alias("critical_issues"), c("recommendations").alias("recommendations"), evidence().alias("evidence"), c("verifier_collapse").alias("verifier_collapse")]
+    return cards.select(key, F.to_json(F.struct(*fields)).alias("document"))
+
+
+def explain_markdown(cards: DataFrame, key: str = "transcript_id", most: int = 4000, url: str | None = None) -> DataFrame:
+    """key, markdown: heading, collapse, a row a dimension, adjustments, critical issues, recommendations and evidence, cut to ``most``."""
+    c = lambda f: F.col(f"card.{f}")
+
+    def number(x: Column) -> Column:
+        return F.regexp_replace(F.format_string("%.2f", x.cast("double")), r"(\.\d)0$", "$1")
 
+    def bullets(title: str, items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")))
 
-def sarif(findings: DataFrame) -> DataFrame:
-    """(uri, rule, message, line_no) -> one SARIF result a finding, as JSON."""
-    place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region")).alias("physicalLocation")))
-    result = F.struct(F.col("rule").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
-    return findings.select("uri", "rule", "line_no", F.to_json(result).alias("result"))
+    head = F.concat(
+        F.lit("# Scorecard — `"), c("skill"), F.lit("`\n\n**Composite:** "), number(c("composite_score")), F.lit("/10 — **Grade:** "), c("grade"), F.lit(" ("), c("grade_label"), F.lit(")  \n**Rubric:** `"), c("rubric_used"),
+        F.lit("` · **Model:** `"), F.coalesce(c("model"), F.lit("_unknown_")), F.lit("` · **Timestamp:** `"), F.coalesce(c("timestamp"), F.lit("?")), F.lit("`\n\n> "), c("one_liner"), F.lit("\n\n_"), c("summary"), F.lit("_"),
+    )
+    collapse = F.when(c("verifier_collapse"), F.concat(F.lit("## ⚠️ Verifier collapse detected\n\n- **Reason:** "), c("dimensions.consistency.verifier_collapse_reason")))
+    row = lambda e: F.concat(
+        F.lit("| "), e["name"], F.lit(" | "), number(e["score"]), F.lit("/10 | "), number(e["weight"]), F.lit(" | "), number(e["weighted"]), F.lit(" | "), short(F.replace(e["justification"], F.lit("|"), F.lit("\\|"))), F.lit(" |")
+    )
+    table = F.concat(F.lit("## Per-dimension breakdown\n\n| Dimension | Score | Weight | Weighted | Justification |\n|-----------|-------|--------|----------|---------------|\n"), F.array_join(F.transform(dimension_entries(), row), "\n"))
+    lines = F.array_compact(
+        F.array(
+            F.when(F.size(c("red_flags")) > 0, F.concat(F.lit("- **Red flags** (−"), number(c("adjustments.deduction")), F.lit("): "), F.array_join(c("red_flags"), ", "))),
+            F.when(F.size(c("bonuses")) > 0, F.concat(F.lit("- **Bonuses** (+"), number(c("adjustments.bonus")), F.lit("): "), F.array_join(c("bonuses"), ", "))),
+        )
+    )
+    adjusted = F.when(F.size(lines) > 0, F.concat(F.lit("## Adjustments\n\n"), F.array_join(lines, "\n")))
+    seen = F.format_string("## Evidence\n\n- %d transcript lines analysed\n- %d red-flag patterns matched\n- %d bonus signals matched", c("transcript_lines"), F.size(c("red_flags")), F.size(c("bonuses")))
+    text = F.concat(F.concat_ws("\n\n", head, collapse, table, adjusted, bullets("Critical issues", c("critical_issues")), bullets("Recommendations", c("recommendations")), seen), F.lit("\n"))
+    return cards.select(key, cut(text, most, url).alias("markdown"))
+
+
+def strengths_and_weaknesses(cards: DataFrame, key: str = "transcript_id", n: int = 3) -> DataFrame:
+    """key, strengths, weaknesses: the n highest and lowest dimensions, ties in canonical order."""
+    def ranked(sign: int) -> Column:
+        rows = F.array(*[F.struct((sign * F.col(f"card.dimensions.{d}.score")).alias("s"), F.lit(i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DIMENSIONS)])
+        return F.transform(F.slice(F.array_sort(rows), 1, n), lambda r: r["d"])
+
+    return cards.select(key, ranked(-1).alias("strengths"), ranked(1).alias("weaknesses"))
+
+
+def comparison_text(pairs: DataFrame) -> Column:
+    """A table of two runs (a_ and b_ columns, notes; see history.narrative)."""
+    c = F.col
+    rows = []
+    for d in DIMENSIONS:
+        x, y = c(f"a_{d}").cast("int"), c(f"b_{d}").cast("int")
+        shown = [F.lpad(F.coalesce(v, F.lit("-")), 5, " ") for v in (x.cast("string"), y.cast("string"), F.format_string("%+d", F.when(x.isNotNull() & y.isNotNull(), y - x)))]
+        known = x.isNotNull() & y.isNotNull()
+        shown[2] = F.when(known, shown[2]).otherwise(F.lpad(F.lit("-"), 5, " "))
+        rows.append(F.concat_ws(" ", F.rpad(F.lit(d), 15, " "), *shown))
+    heads = [F.concat(F.lit(f"run {s.upper()}: "), c(f"{s}_ts").cast("string"), F.format_string("  composite %.2f / %s", (c(f"{s}_composite_cents") / 100).cast("double"), c(f"{s}_grade"))) for s in ("a", "b")]
+    rule = F.lit("─" * 37)
+    told = F.array_join(F.transform("notes", lambda t: F.concat(F.lit("  - "), t)), "\n")
+    return F.concat_ws("\n", *heads, F.lit(""), F.lit(f"{'dimension':<15} {'A':>5} {'B':>5} {'Δ':>5}"), rule, *rows, rule, F.lit(""), F.lit("narrative:"), told)
+
+
+def report_documents(hist: DataFrame, averages: DataFrame, last: int) -> DataFrame:
+    """skill, scores (the last runs, oldest first), averages: one row a skill."""
+    from .history import last_runs
+
+    run = F.struct("run_id", (F.col("composite_cents") / 100).cast("double").alias("composite_score"), *DIMENSIONS)
+    rows = last_runs(hist, last).groupBy("skill").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("ts"), F.col("run_id").alias("r"), run.alias("run")))), lambda x: x["run"]).alias("scores"))
+    means = averages.where("skill IS NOT NULL").select("skill", F.struct(F.col("runs").alias("count"), F.round(F.col("avg_cents") / 100, 2).alias("composite_avg"), *[F.round(f"avg_{d}", 2).alias(d) for d in DIMENSIONS]).alias("averages"))
+    return rows.join(means, "skill")
+
+
+def sarif(findings: DataFrame, tool: str, rules: list[tuple[str, str, str]], score: Column | None = None) -> DataFrame:
+    """(manifest, case_name, case_index, rule, message) -> manifest, log: one SARIF 2.1.0 log a manifest, results in order of cases.
+
+    ``rules``: (id, name, short text).  A manifest's findings are one document.
+    """
+    listed = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.struct(F.lit(t).alias("text")).alias("shortDescription"), F.struct(F.lit("warning").alias("level")).alias("defaultConfiguration")) for i, n, t in sorted(rules)])
+    place = F.array(
+        F.struct(
+            F.struct(F.struct(F.col("manifest").alias("uri")).alias("artifactLocation")).alias("physicalLocation"),
+            F.array(F.struct(F.col("case_name").alias("name"), F.lit("object").alias("kind"), F.concat(F.lit("cases["), F.col("case_index").cast("string"), F.lit("]")).alias("fullyQualifiedName"))).alias("logicalLocations"),
+        )
+    )
+    result = F.struct(F.col("rule").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.concat(F.lit("["), F.col("case_name"), F.lit("] "), F.col("message")).alias("text")).alias("message"), place.alias("locations"))
+    results = F.transform(F.sort_array(F.collect_list(F.struct("case_index", "rule", result.alias("r")))), lambda x: x["r"])
+    grouped = findings.groupBy("manifest").agg(results.alias("results"), F.count_distinct("case_name").alias("flagged"))
+    driver = F.struct(F.lit(tool).alias("name"), listed.alias("rules"))
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), "results", F.struct("manifest", F.col("flagged").alias("flagged_cases")).alias("properties"))
+    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
+    return grouped.select("manifest", "flagged", F.to_json(log).alias("log"))
 
 
 def score_bar(score: Column, full: str = "#", empty: str = "-") -> Column:
@@ -61,3 +152,25 @@ def averages_card(averages: DataFrame, dimensions: list[str]) -> DataFrame:
     rows = [F.concat(F.rpad(F.lit(d), 15, " "), score_bar(F.col(f"avg_{d}"))) for d in dimensions]
     head = F.concat(F.coalesce("skill", F.lit("all skills")), F.lit(", "), F.col("runs").cast("string"), F.lit(" runs"))
     return averages.select("skill", F.concat_ws("\n", head, *rows).alias("card"))
+
+
+def radar(dimensions: list[str], radius: float = 1.0) -> list[Column]:
+    """x and y of each dimension's point, the first straight up, in turn."""
+    import math
+
+    out = []
+    for i, d in enumerate(dimensions):
+        angle = -math.pi / 2 + 2 * math.pi * i / len(dimensions)
+        out += [F.round(F.col(d) / 10.0 * radius * math.cos(angle), 6).alias(f"x{i}"), F.round(F.col(d) / 10.0 * radius * math.sin(angle), 6).alias(f"y{i}")]
+    return out
+
+
+def trend_line(hist: DataFrame, last: int, width: float = 320.0, height: float = 60.0) -> DataFrame:
+    """skill, points: "x,y" of the last runs' composites, oldest first, evenly spaced over a box of width by height."""
+    from .history import last_runs
+
+    runs = F.sort_array(F.collect_list(F.struct((-F.col("recency")).alias("at"), F.col("composite_cents").alias("c"))))
+    rows = last_runs(hist, last).groupBy("skill").agg(runs.alias("runs"))
+    step = F.when(F.size("runs") > 1, width / (F.size("runs") - 1)).otherwise(0.0)
+    point = lambda r, i: F.format_string("%.1f,%.1f", i * step, F.lit(height) - r["c"].cast("double") / 1000 * height)
+    return rows.select("skill", F.array_join(F.transform("runs", point), " ").alias("points"))

@@ -25,10 +25,15 @@ RECOMMENDATIONS = {
 DIMENSIONS = list(WEIGHTS)
 
 
-def correctness(dock: int = 2) -> Column:
+def correctness_found(dock: int, unsupported: Column) -> Column:
+    """What is left of 10 before a perfect score is withheld."""
     n = F.col("n_lines")
     score = 10 - ladder(density(F.col("n_error"), n), (10, 4), (5, 3), (2, 2), (0, 1)) - ladder(density(F.col("n_hallucination"), n), (2, 2), (0, 1))
-    score = score - F.when(F.col("is_claim") & ~F.col("has_receipt"), dock).otherwise(0)
+    return score - F.when(unsupported, dock).otherwise(0)
+
+
+def correctness(dock: int, unsupported: Column) -> Column:
+    score = correctness_found(dock, unsupported)
     return clamp(F.when((score >= 10) & ~F.col("has_receipt"), 9).otherwise(score))
 
 
@@ -69,6 +74,12 @@ def composite_cents(scores: dict[str, Column] | None = None) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(scores[d].cast("decimal(5,1)"), F.lit(5).cast("decimal(5,1)")) * w for d, w in WEIGHTS.items())).cast("decimal(8,1)")
 
 
+def weighted_cents() -> Column:
+    """Sum of the scores by the columns weight_<dimension>, in hundredths, rounded to whole ones; a missing score counts 5."""
+    each = (F.coalesce(F.col(d).cast("decimal(5,1)"), F.lit(5).cast("decimal(5,1)")) * F.col(f"weight_{d}") for d in DIMENSIONS)
+    return F.round(reduce(lambda a, b: a + b, each) * 100, 0).cast("decimal(8,1)")
+
+
 def adjusted_cents(cents: Column, n_flags: Column, n_bonuses: Column) -> Column:
     """At most 2 points off for red flags, not under 1; at most 1 on for bonuses, not over 10."""
     down = F.greatest(F.lit(100), cents - F.least(n_flags * 50, F.lit(200)))

@@ -15,10 +15,26 @@ OPERATION_KEYS = ["op", "operation", "direction", "action", "event", "type"]
 MEMORY_MARK, PULL_MARK, PUSH_MARK, SESSION_MARK = "[system-memory] ", "[managed-memory-pull] ", "[managed-memory-push] ", "--- session break ---"
 
 
+BODY_KEYS = ["content", "text", "snippet", "value"]
+#: What ends a line of text.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """transcript_id (file), name, modified, value: a file a row."""
+    meta = F.col("_metadata.file_path").alias("transcript_id"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified")
+    return spark.read.text(path, wholetext=True).select(*meta, "value")
+
+
+def records_of(files: DataFrame) -> DataFrame:
+    """(transcript_id, value) -> transcript_id, line_no, raw: the lines that aren't blank."""
+    cut = files.select("transcript_id", F.posexplode(F.split("value", LINE_ENDS)).alias("line_no", "raw"))
+    return cut.withColumn("raw", strip("raw")).where("raw <> ''")
+
+
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of text files, in order: transcript_id (file), line_no, raw.  A file is read whole, so its lines keep their order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("transcript_id"), F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("line_no", "raw"))
-    return files.withColumn("raw", strip("raw")).where("raw <> ''")
+    return records_of(text_files(spark, path))
 
 
 def strip(name: str | Column) -> Column:
@@ -57,48 +73,146 @@ def _any_word(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
 
 
+def _object(raw: Column) -> Column:
+    """The JSON object of a record, null where it is none."""
+    v = F.when(raw.startswith("{"), F.try_parse_json(raw))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
+def _managed_mark(v: Column, low: Column) -> Column:
+    """The mark of a managed-memory record: by the first operation field that says push or pull, else by its body."""
+    said = []
+    for k in OPERATION_KEYS:
+        value = F.lower(_string(v, f"$.{k}"))
+        said.append(F.when(_any_word(value, PUSH_WORDS), PUSH_MARK).when(_any_word(value, PULL_WORDS), PULL_MARK))
+    return F.coalesce(*said, F.when(_any_word(low, PUSH_WORDS), PUSH_MARK).otherwise(PULL_MARK))
+
+
+def _record_texts(v: Column, raw: Column) -> Column:
+    """The first of TEXT_KEYS that is a text that isn't empty or a list ends the search; a list gives its blocks' texts, which may be none."""
+    found = []
+    for k in TEXT_KEYS:
+        kind = _kind(v, f"$.{k}")
+        text = F.when(kind == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+        blocks = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, f"$.{k}", "array<variant>"))
+        each = F.transform(blocks, lambda b: F.when(F.schema_of_variant(b).startswith("OBJECT"), F.coalesce(_string(b, "$.text"), _string(b, "$.content"))))
+        found += [F.when(text != "", F.array(text)), F.filter(each, lambda x: x.isNotNull())]
+    return F.coalesce(*found, F.array(raw))
+
+
 def native_lines(records: DataFrame) -> DataFrame:
     """Like :func:`jsonl_lines`, with lists of content blocks flattened and memory records marked.
 
     Memory state: a record that speaks of memory enters; a user record always leaves, other speakers leave
     when they don't speak of it; lines inside are marked.  Managed memory is marked by its operation instead.
     """
-    v = F.when(F.col("raw").startswith("{"), F.try_parse_json("raw"))
+    raw = F.col("raw")
+    v = _object(raw)
     low = F.lower("raw")
-    role = F.lower(_string(v, "$.role"))
-    blocks = F.coalesce(*[F.when(_kind(v, f"$.{k}").startswith("ARRAY"), F.try_variant_get(v, f"$.{k}", "array<variant>")) for k in TEXT_KEYS])
-    from_blocks = F.filter(F.transform(blocks, lambda b: F.coalesce(F.when(F.schema_of_variant(b).startswith("OBJECT"), F.coalesce(_string(b, "$.text"), _string(b, "$.content"))), F.when(F.schema_of_variant(b) == "STRING", b.cast("string")))), lambda x: x.isNotNull() & (x != ""))
-    plain = F.coalesce(*[F.when(_string(v, f"$.{k}") != "", _string(v, f"$.{k}")) for k in TEXT_KEYS])
-    texts = F.when(plain.isNotNull(), F.array(plain)).when(blocks.isNotNull(), from_blocks).otherwise(F.array("raw"))
+    role = _string(v, "$.role")
     managed = v.isNotNull() & _any_word(low, MANAGED_WORDS)
-    operation = F.lit(None).cast("string")
-    for k in reversed(OPERATION_KEYS):
-        value = F.lower(_string(v, f"$.{k}"))
-        operation = F.when(_any_word(value, PUSH_WORDS), PUSH_MARK).when(_any_word(value, PULL_WORDS), PULL_MARK).otherwise(operation)
-    operation = F.coalesce(operation, F.when(_any_word(low, PUSH_WORDS), PUSH_MARK).otherwise(PULL_MARK))
     speaks = v.isNotNull() & _any_word(low, MEMORY_WORDS)
     event = F.when(role == "user", 0).when(speaks, 1).when(role.isin("assistant", "tool"), 0)
     inside = F.last(event, ignorenulls=True).over(Window.partitionBy("transcript_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     ms = F.coalesce(_duration(v, "$.duration_ms"), _duration(v, "$.hookSpecificOutput.duration_ms"))
     timing = F.when(ms.isNotNull(), F.array(F.concat(F.lit("[tool_duration_ms: "), ms.cast("string"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-    mark = F.when(managed, operation).when(inside == 1, F.lit(MEMORY_MARK)).otherwise(F.lit(""))
-    rows = records.select("transcript_id", "line_no", texts.alias("texts"), mark.alias("mark"), timing.alias("timing"))
+    mark = F.when(managed, _managed_mark(v, low)).when((inside == 1) & v.isNotNull(), F.lit(MEMORY_MARK)).otherwise(F.lit(""))
+    rows = records.select("transcript_id", "line_no", F.when(v.isNull(), F.array(raw)).otherwise(_record_texts(v, raw)).alias("texts"), mark.alias("mark"), timing.alias("timing"))
     parts = F.concat(F.transform("texts", lambda t: F.concat(F.col("mark"), t)), F.col("timing"))
     return _numbered(rows.select("transcript_id", "line_no", F.posexplode(parts).alias("part", "text")))
 
 
+def retagged(lines: DataFrame) -> DataFrame:
+    """Marks managed-memory records among lines that are JSON text still; marked lines and all others stay as they are."""
+    text = F.col("text")
+    line = strip("text")
+    v = F.when(~text.startswith(PULL_MARK) & ~text.startswith(PUSH_MARK) & line.endswith("}"), _object(line))
+    body = F.coalesce(*[F.when(_string(v, f"$.{k}") != "", _string(v, f"$.{k}")) for k in BODY_KEYS], line)
+    low = F.lower(line)
+    return lines.withColumn("text", F.when(v.isNotNull() & _any_word(low, MANAGED_WORDS), F.concat(_managed_mark(v, low), body)).otherwise(text))
+
+
+def _truthy(v: Column, path: str) -> Column:
+    """The text at ``path`` if it is one that isn't empty."""
+    return F.when(_string(v, path) != "", _string(v, path))
+
+
+def _message_texts(m: Column) -> Column:
+    """Texts of a chat message: its content, parts flattened (``text``, else ``content``), then a line for each tool call."""
+    none = F.array().cast("array<string>")
+    blocks = F.when(_kind(m, "$.content").startswith("ARRAY"), F.try_variant_get(m, "$.content", "array<variant>"))
+    each = F.transform(blocks, lambda b: F.when(F.schema_of_variant(b) == "STRING", F.nullif(b.cast("string"), F.lit(""))).otherwise(F.coalesce(_truthy(b, "$.text"), _truthy(b, "$.content"))))
+    calls = F.when(_kind(m, "$.tool_calls").startswith("ARRAY"), F.try_variant_get(m, "$.tool_calls", "array<variant>"))
+
+    def call(c: Column) -> Column:
+        other = F.coalesce(F.to_json(F.try_variant_get(c, "$.function.arguments", "variant")), F.lit("{}"))
+        given = F.when(_kind(c, "$.function.arguments") == "STRING", _string(c, "$.function.arguments")).when(_kind(c, "$.function.arguments") == "VOID", F.lit("{}")).otherwise(other)
+        return F.concat(F.lit("tool_use: "), _truthy(c, "$.function.name"), F.lit("("), given, F.lit(")"))
+
+    own = F.when(_truthy(m, "$.content").isNotNull(), F.array(_truthy(m, "$.content"))).otherwise(F.coalesce(each, none))
+    return F.filter(F.concat(own, F.coalesce(F.transform(calls, call), none)), lambda t: t.isNotNull())
+
+
 def chat_lines(files: DataFrame) -> DataFrame:
-    """(transcript_id, value): a JSON array of messages or an object with ``messages``; tool calls are lines of their own."""
+    """(transcript_id, value): a JSON array of messages, an object with ``messages``, or one message a line."""
     v = F.try_parse_json("value")
-    messages = F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")))
-    rows = files.select("transcript_id", F.posexplode(messages).alias("line_no", "m"))
-    m = F.col("m")
-    blocks = F.when(_kind(m, "$.content").startswith("ARRAY"), F.try_variant_get(m, "$.content", "array<variant>"))
-    texts = F.when(_string(m, "$.content").isNotNull(), F.array(_string(m, "$.content"))).otherwise(F.transform(blocks, lambda b: F.coalesce(_string(b, "$.text"), _string(b, "$.content"))))
-    calls = F.transform(F.try_variant_get(m, "$.tool_calls", "array<variant>"), lambda c: F.concat(F.lit("tool_use: "), F.coalesce(_string(c, "$.function.name"), F.lit("")), F.lit("("), F.coalesce(_string(c, "$.function.arguments"), F.lit("")), F.lit(")")))
-    none = F.array().cast("array<string>")
-    parts = F.filter(F.concat(F.coalesce(texts, none), F.coalesce(calls, none)), lambda t: t.isNotNull() & (t != ""))
-    return _numbered(rows.select("transcript_id", "line_no", F.posexplode(parts).alias("part", "text")))
+    listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(_kind(v, "$.messages").startswith("ARRAY"), F.try_variant_get(v, "$.messages", "array<variant>"))
+    by_line = F.transform(F.split("value", LINE_ENDS), lambda x: _object(strip(x)))
+    rows = files.select("transcript_id", F.posexplode(F.coalesce(listed, by_line)).alias("line_no", "m"))
+    return _numbered(rows.select("transcript_id", "line_no", F.posexplode(_message_texts(F.col("m"))).alias("part", "text")))
+
+
+def markdown_lines(files: DataFrame) -> DataFrame:
+    """(transcript_id, value): lines that aren't blank, without blanks at either end."""
+    return _numbered(records_of(files).select("transcript_id", "line_no", F.lit(0).alias("part"), F.col("raw").alias("text")))
+
+
+def codex_lines(files: DataFrame) -> DataFrame:
+    """(transcript_id, name, value): files called .json or .jsonl are chats, all others text."""
+    is_chat = F.lower("name").rlike(r"\.jsonl?$")
+    return chat_lines(files.where(is_chat)).unionByName(markdown_lines(files.where(~is_chat)))
+
+
+def native_file_lines(files: DataFrame) -> DataFrame:
+    return retagged(native_lines(records_of(files)))
+
+
+ADAPTERS = {
+    "claude-code": native_file_lines,
+    "codex": codex_lines,
+    "cowork": native_file_lines,
+    "openai-compatible": chat_lines,
+    "cursor": chat_lines,
+    "continue": chat_lines,
+}
+DEFAULT_ADAPTER = "claude-code"
+
+
+def adapted_lines(files: DataFrame, adapter: str | None = None) -> DataFrame:
+    """(transcript_id, name, value) -> lines by a named adapter; without a name the built-in reading, an unknown name is an error."""
+    if adapter is None:
+        return jsonl_lines(records_of(files))
+    if adapter not in ADAPTERS:
+        raise ValueError(f"unknown adapter {adapter!r}; there are {sorted(ADAPTERS)}")
+    return ADAPTERS[adapter](files)
+
+
+def folder_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All ``*.jsonl`` files of each folder as one transcript, by time of change and name, with a mark between them."""
+    files = text_files(spark, path).where(F.col("name").endswith(".jsonl")).withColumn("group_id", F.regexp_replace("transcript_id", r"/[^/]*$", ""))
+    return retagged(session_lines(native_lines(records_of(files)), files.select("transcript_id", "group_id", "modified", "name")))
+
+
+def record_turns(records: DataFrame) -> DataFrame:
+    """(transcript_id, line_no, raw) -> transcript_id, turn_no, role, text: user and assistant records of a JSON-lines transcript."""
+    v = _object(F.col("raw"))
+    role = F.lower(_string(v, "$.role"))
+    kind = F.when(role.isin("user", "human"), "user").when(role.isin("assistant", "model", "ai"), "assistant")
+    blocks = F.when(_kind(v, "$.content").startswith("ARRAY"), F.try_variant_get(v, "$.content", "array<variant>"))
+    each = F.transform(blocks, lambda b: F.when(F.schema_of_variant(b) == "STRING", b.cast("string")).otherwise(F.coalesce(_truthy(b, "$.text"), _string(b, "$.content"))))
+    text = F.coalesce(_string(v, "$.content"), F.array_join(F.filter(each, lambda x: x.isNotNull()), " "))
+    rows = records.select("transcript_id", F.col("line_no").alias("turn_no"), kind.alias("role"), text.alias("text"))
+    return rows.where(F.col("role").isNotNull() & (strip("text") != ""))
 
 
 def session_lines(lines: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -127,9 +241,9 @@ def resolve_rubrics(skills: DataFrame, rubrics: DataFrame) -> DataFrame:
     return tries.groupBy("skill").agg(F.coalesce(F.max_by(F.when(F.col("known") == 1, F.col("name")), F.when(F.col("known") == 1, F.length("name"))), F.lit("default")).alias("rubric"))
 
 
-def model_of(records: DataFrame) -> DataFrame:
-    """transcript_id, model: the first model name in the raw text, in lower case, without a trailing date."""
-    found = F.nullif(F.regexp_extract("raw", r'(?i)"[a-z_]*model"\s*:\s*"([a-z0-9][a-z0-9.:/_-]*)"', 1), F.lit(""))
+def model_of(records: DataFrame, prefix: str = "claude-") -> DataFrame:
+    """transcript_id, model: the first id with ``prefix`` under a key that is ``model`` or ends in ``.model``, in lower case, without a trailing date."""
+    found = F.nullif(F.regexp_extract("raw", rf'(?i)"(?:[\w.]+\.)?model"\s*:\s*"({prefix}[a-z0-9.\-]+)"', 1), F.lit(""))
     first = F.min_by(found, F.when(found.isNotNull(), F.col("line_no")))
     return records.groupBy("transcript_id").agg(F.regexp_replace(F.lower(first), r"-\d{8}$", "").alias("model"))
 
@@ -146,3 +260,32 @@ def checked_weights(sidecars: DataFrame, dimensions: list[str]) -> DataFrame:
     has_all = F.forall(F.array(*[F.lit(d) for d in dimensions]), lambda d: F.map_contains_key("weights", d))
     total = F.aggregate(F.array(*[F.col("weights")[d] for d in dimensions]), F.lit(0.0), lambda a, x: a + x)
     return sidecars.where(has_all & (F.abs(total - 1) <= 1e-6))
+
+
+def rubric_weights(runs: DataFrame, sidecars: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(…, rubric) with ``weights`` of the rubric's sidecar, null where it has none that is valid."""
+    good = checked_weights(sidecars, dimensions).select(F.col("name").alias("_rubric"), F.transform_values("weights", lambda k, w: w.cast("double")).alias("weights"))
+    return runs.join(good, F.col("rubric") == F.col("_rubric"), "left").drop("_rubric")
+
+
+CASE = (
+    "struct<name: string, skill: string, transcript: string, adapter: string, expected_grade_min: string, expected_grade_max: string, expected_composite_min: double,"
+    " expected_composite_max: double, expected_dimension_min: map<string, double>, expected_dimension_max: map<string, double>>"
+)
+
+
+def manifest_cases(files: DataFrame) -> DataFrame:
+    """(manifest, value: JSON with ``cases``) -> manifest, case_index and the fields of each case; bounds that aren't there are null."""
+    rows = files.select("manifest", F.posexplode(F.from_json("value", f"struct<cases: array<{CASE}>>")["cases"]).alias("case_index", "c"))
+    renamed = {"grade_min": "expected_grade_min", "grade_max": "expected_grade_max", "low": "expected_composite_min", "high": "expected_composite_max", "lows": "expected_dimension_min", "highs": "expected_dimension_max"}
+    return rows.select("manifest", "case_index", *[F.col(f"c.{c}") for c in ("name", "skill", "transcript", "adapter")], *[F.col(f"c.{c}").alias(n) for n, c in renamed.items()])
+
+
+def standards_of(files: DataFrame, defaults: dict[str, float], composite: float = 7.5) -> DataFrame:
+    """(source, value: markdown) -> source, dim, benchmark: rows ``| dimension | number |`` and a line ``composite number``, else the defaults."""
+    low, found = F.lower("value"), []
+    for d, default in {**defaults, "composite": composite}.items():
+        pattern = r"composite[^\d\n]*(\d+(?:\.\d+)?)" if d == "composite" else rf"\|\s*{d}\s*\|\s*(\d+(?:\.\d+)?)"
+        number = F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).cast("double")
+        found.append(F.struct(F.lit(d).alias("dim"), F.coalesce(number, F.lit(float(default))).alias("benchmark")))
+    return files.select("source", F.explode(F.array(*found)).alias("b")).select("source", "b.*")

@@ -9,7 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from runscribe.queries import Q, S
+from runscribe.registry import ORACLES as S
+from runscribe.registry import QUERIES as Q
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -24,7 +25,7 @@ def tables():
 
 
 def plain(v):
-    return round(float(v), 6) if isinstance(v, float | decimal.Decimal) else v
+    return [plain(x) for x in v] if isinstance(v, list) else round(float(v), 6) if isinstance(v, float | decimal.Decimal) else v
 
 
 @pytest.mark.parametrize("name", sorted(S))

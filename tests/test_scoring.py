@@ -5,13 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from runscribe.functions.patterns import CASED, PATTERNS, java
-from runscribe.operators import detectors, gates, history, reports, scoring
+from runscribe.functions import folders
+from runscribe.functions.patterns import CASED, GUARDS, PATTERNS, hits, java, lowered
+from runscribe.operators import detectors, gates, history, justify, reports, scoring
 from runscribe.operators.features import clamp, ladder, line_features, strip_docstrings, transcript_features
 from runscribe.plans import scorecard
-from runscribe.plans.scorecard import documents_of, scores
-from runscribe.queries import FIXTURE, RECORDS
-from runscribe.sources import transcripts
+from runscribe.plans.config import Settings, settings
+from runscribe.plans.scorecard import documents_of, scorecards, scores
+from runscribe.queries import FIXTURE
+from runscribe.sources import store, transcripts
 
 
 def lines_of(spark, *texts, key=1):
@@ -27,6 +29,36 @@ def test_patterns_match_as_python_does(spark, name):
     assert [r[0] for r in got] == [len(list(re.finditer(body, t, flags))) for t in texts]
 
 
+#: A text for each alternative of each guarded pattern.
+ALTERNATIVES = {
+    "error": "error|failed|failure|exception|traceback|FAIL|fatal|panic|cannot|could not|unable to|segfault|abort|undefined|NoneType",
+    "incomplete": "TODO|FIXME|HACK|XXX|skipped|not implemented|partial|placeholder|stub|coming soon|left as exercise|WIP",
+    "danger": "rm -rf|--force|--no-verify|chmod 777|eval (|exec(|sudo rm|DROP TABLE|TRUNCATE  TABLE|--hard",
+    "hallucination": "as an AI|I cannot|I don't have access|note: I made up|fabricated|hallucinated|I made an error|I was wrong about|that file doesn't exist|doesn't actually exist",
+    "tool_call": "tool_use|<invoke|function_call|Running command|Executing|$ x|bash (|Read(|Write(|Edit(|Grep(|Glob(",
+    "retry": "retrying|retry|trying again|attempt 3|same command|running again|re-running",
+    "claim": "all tests pass|checks passing|suite green|build succeeded|lint passed|ci passes|pipeline succeed|tests are green|everything works|everything is green|verified working|confirmed correct|verified it works|100% pass|100% green|all green",
+    "receipt": "Ran 3 tests|3 passed|3 failed|3 passing|pytest|unittest|npm test|npm run test|go test|cargo test|make test|tox|exit code 0|coverage 9|✓ 3|=== 3 passed ===|$ run test",
+    "deviation": "instead of|ignoring|skipping instruction|not following|deviat|override|disregard",
+    "file_action": "created file|wrote to|saved|updated file|edited|Write(|Edit(",
+    "placeholder": "<YOUR_|INSERT_HERE|REPLACE_THIS|CHANGEME|xxx|placeholder",
+    "credential": "password=x|passwd: x|secret=x|token: x|api_key=x|api-key: x|apikey=x",
+    "flag_fabricated": "hallucinated|fabricated|made up", "flag_contradict": "contradict", "flag_ignored": "ignored explicit|ignoring constraint|ignored instruction",
+    "flag_placeholder": "placeholder|CHANGEME|INSERT_HERE|REPLACE_THIS|<YOUR_", "edge_case": "edge  case", "trade_off": "trade-off|tradeoff|pro and cons|pros and cons|alternative", "structure": "## x|### x|- x", "chmod_777": "chmod  777",
+    "root_delete": "rm -rf /", "root_delete_any_case": "RM -RF /",
+}
+
+
+@pytest.mark.parametrize("name", sorted(GUARDS))
+def test_guards_hide_no_match(spark, name):
+    """Every alternative counts as often with the guard as without it, in any case of letters that the pattern takes."""
+    texts = ALTERNATIVES[name].split("|") + (["| a |"] if name == "structure" else [])
+    shapes = [t for x in texts for t in ((x,) if name in CASED or name == "root_delete" else (x, x.upper(), x.lower(), x.title()))]
+    rows = lines_of(spark, *shapes).select("text", hits(F.col("text"), name).alias("bare"), hits(F.col("text"), name, lowered(F.col("text"))).alias("guarded")).collect()
+    assert [r["text"] for r in rows if r["bare"] != r["guarded"]] == []
+    assert all(r["bare"] for r in rows if r["text"] in texts), [r["text"] for r in rows if r["text"] in texts and not r["bare"]]
+
+
 def test_ladder_is_first_match_and_strict(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 2.0, 2.1, 5.0, 5.1, 10.0, 10.1)], "x double")
     assert [r[0] for r in df.select(ladder(F.col("x"), (10, 4), (5, 3), (2, 2), (0, 1))).collect()] == [0, 1, 1, 2, 2, 3, 3, 4]
@@ -36,16 +68,22 @@ def test_ladder_is_first_match_and_strict(spark):
 def test_success_needs_a_receipt(spark):
     faked = scores(lines_of(spark, "fixed it", "All tests passed")).first()
     real = scores(lines_of(spark, "Ran 3 tests", "All tests passed")).first()
-    assert faked["correctness"] == 8 and "Unverified success claim" in faked["red_flags"]
+    assert faked["correctness"] == 8 and faked["red_flags"] == [detectors.SUCCESS_FLAG]
     assert real["correctness"] == 10 and not real["red_flags"]
     asked = detectors.unverified_success(line_features(lines_of(spark, "please make sure all tests pass")))
     assert asked.count() == 0
 
 
 def test_docstrings_span_lines(spark):
-    out = strip_docstrings(lines_of(spark, 'x """ TODO', "TODO ''' y", 'z """ TODO', "'''open", "TODO"))
-    assert [r["bare"] for r in out.orderBy("line_no").collect()] == ["x ", "", " TODO", "", ""]
-    assert transcript_features(line_features(out)).first()["n_incomplete"] == 1
+    lines = lines_of(spark, 'x """ TODO', "TODO ''' y", 'z """ TODO', "'''open", "TODO")
+    out = strip_docstrings(lines.union(lines_of(spark, "no quotes TODO", key=2)))
+    assert [(r["transcript_id"], r["bare"]) for r in out.collect()] == [(1, "x \n TODO\n\n")]
+    double, single = '"' * 3, "'" * 3
+    texts = [f"a{double}b{double}c", f"{single}x", f"a {double} {single} {double} TODO {single}{double}{single} b"]
+    assert [strip_docstrings(lines_of(spark, t)).first()["bare"] for t in texts] == ["ac", "", "a  TODO  b"]
+    s = {r["transcript_id"]: r["completeness"] for r in scores(lines.union(lines_of(spark, *["TODO"] * 5, key=2))).collect()}
+    assert s == {1: 4, 2: 4}  # one hit in five lines either way: density over 5
+    assert scores(lines_of(spark, '"""', "TODO TODO", '"""', *["fine"] * 30)).first()["completeness"] == 10
 
 
 def test_secret_lines(spark):
@@ -120,15 +158,130 @@ def test_gates(spark):
 
 
 def test_report_texts(spark):
-    s = scores(lines_of(spark, "error TODO", "xxx | y"))
-    assert len(reports.explain_markdown(s, most=50).first()["markdown"]) == 50 and reports.explain_markdown(s, most=0).first()["markdown"].count("\n") > 8
+    s = scores(lines_of(spark, "error TODO", "xxx | y"), notes=True)
+    c = scorecards(s)
+    assert len(reports.explain_markdown(c, most=300).first()["markdown"]) <= 300 and reports.explain_markdown(c, most=0).first()["markdown"].count("\n") > 20
+    assert reports.explain_markdown(c, most=300, url="http://x").first()["markdown"].endswith("See full report at http://x._\n")
     assert '"composite_score"' in documents_of(s).first()["scorecard"]
-    assert "needs attention" in s.select(reports.one_liner(s, F.lit("code-review")).alias("x")).first()["x"] or s.first()["composite_cents"] >= 700
-    assert '"ruleId":"R"' in reports.sarif(spark.createDataFrame([("u", "R", "m", 3)], "uri string, rule string, message string, line_no int")).first()["result"]
+    log = reports.sarif(spark.createDataFrame([("m", "c", 3, "R", "bad")], "manifest string, case_name string, case_index int, rule string, message string"), "lint", [("R", "rule", "text")]).first()["log"]
+    assert '"ruleId":"R"' in log and '"fullyQualifiedName":"cases[3]"' in log and '"version":"2.1.0"' in log
+
+
+def test_quoted_claims_and_titles(spark):
+    df = spark.createDataFrame([("all tests pass",), ("it's green",), ("'a' \"b\"",), ("a\\b",)], "t string")
+    assert [r[0] for r in df.select(justify.quoted(F.col("t"))).collect()] == [repr(r["t"]) for r in df.collect()]
+    words = spark.createDataFrame([("v2x code",), ("it's",), ("éTÉ b",)], "t string")
+    assert [r[0] for r in words.select(justify.title(F.col("t"))).collect()] == [r["t"].title() for r in words.collect()]
+
+
+def test_whole_plan_with_history_turns_and_settings(spark):
+    lines = lines_of(spark, "It is four", "Are you sure?", "You're right, sorry", *["[tool_duration_ms: 900]"] * 3)
+    turns = spark.createDataFrame([(1, 0, "assistant", "four"), (1, 1, "user", "Are you sure?"), (1, 2, "assistant", "You're right, sorry")], "transcript_id int, turn_no int, role string, text string")
+    runs_of = spark.createDataFrame([(1, "s", "big")], "transcript_id int, skill string, model string")
+    past = runs(spark, [950] * 12).select("skill", "run_id", "ts", "composite_cents")
+    set_up = settings('{"scoring": {"efficiency": {"duration_ms_dock_threshold": 500}}, "verifier_collapse": {"enabled": true}}', {"big": 0.002})
+    r = scores(lines, runs_of, turns, past, set_up, notes=True).first()
+    assert r["consistency"] == 6 and r["collapsed"] and "verifier collapse: 10/10 of recent composites >= 8.5" in r["why_consistency"]
+    assert r["red_flags"] == [detectors.FLIP_FLAG] and r["sycophancy"]["flipped"] and r["sycophancy"]["score"] == 0.2
+    assert float(r["efficiency"]) == 5.5 and "3 tool call(s) exceeded 500ms (slowest: [900, 900, 900])" in r["why_efficiency"] and "Very long transcript (6 lines, threshold 4)" in r["why_efficiency"]
+    plain = scores(lines, runs_of, turns, past, Settings()).first()
+    assert plain["consistency"] == 9 and float(plain["efficiency"]) == 8.0
+    assert scores(lines, runs_of, past=past.limit(0)).first()["consistency"] == 5
+
+
+def test_settings_fall_back_as_a_whole():
+    assert settings("{broken").weights == Settings().weights == settings('{"scoring": {"dimensions": {"safety": 0.9}}}').weights
+    got = settings('{"scoring": {"dimensions": {"correctness": 0.3, "completeness": 0.2, "adherence": 0.1, "actionability": 0.15, "efficiency": 0.1, "safety": 0.1, "own": 0.05}}}')
+    assert got.weights["correctness"] == 0.3 and got.weights["consistency"] == 0.05 and "own" not in got.weights
+    assert settings('{"verifier_collapse": {"enabled": true, "window": "x"}}').collapse is None and settings('{"tokenizer_baselines": {"m": "1.5", "n": "x"}}').baselines == {"default": 1.0, "m": 1.5}
+    assert settings('[1]') == Settings() and settings(None) == Settings()
+
+
+def test_costs_keep_every_usage_row(spark):
+    usage = spark.createDataFrame([("m19999", 1_000_000, 0), ("none", 1_000_000, 0), (None, 1, 1), ("m1", -5, 1)], "model string, input_tokens long, output_tokens long")
+    prices = spark.range(20_001).selectExpr("concat('m', id) AS model", "CAST(id AS DOUBLE) AS input", "1.0D AS output")
+    assert [r["total_usd"] for r in gates.cost(usage, prices).orderBy(F.desc_nulls_last("input_usd")).collect()] == [19999, None, None, None]
+    priced = prices.union(spark.createDataFrame([("default", 3.0, 1.0)], prices.schema))
+    assert {r["model"]: float(r["total_usd"]) for r in gates.cost(usage, priced).where("total_usd IS NOT NULL").collect()} == {"m19999": 19999.0, "none": 3.0, None: 0.000004}
+
+
+def test_windows_over_ranges_equal_windows_over_skills(spark):
+    """One skill with most runs, spread over ranges, ties of time, one of a single run, and a null skill."""
+    from pyspark.sql import Window
+
+    rows = [("hot" if i % 9 else "cold" if i % 2 else None, i, i // 3, (i * 7919) % 901, *[(i * k) % 10 + 1 for k in range(1, 8)]) for i in range(400)] + [("one", 999, 1, 500, *[5] * 7)]
+    h = spark.createDataFrame(rows, f"skill string, run_id int, ts int, composite_cents int, {', '.join(f'{d} int' for d in scoring.DIMENSIONS)}")
+    w = Window.partitionBy("skill").orderBy("ts", "run_id")
+    c = F.col("composite_cents") / 100.0
+    plain = h.select("run_id", F.lag("composite_cents").over(w).alias("lag"), F.count("*").over(w.rowsBetween(-10, -1)).alias("n"), F.round(F.stddev_pop(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), 4).alias("s"), F.rank().over(Window.partitionBy("skill").orderBy(F.desc("composite_cents"), F.desc("correctness"), F.desc("safety"), F.desc("completeness"), F.desc("actionability"), F.desc("adherence"), F.desc("efficiency"), F.desc("consistency"))).alias("p"))
+    want = {r["run_id"]: tuple(r)[1:] for r in plain.collect()}
+    lag = {r["run_id"]: r["l"] for r in history.over_runs(h, 1, lambda w: {"l": F.lag("composite_cents").over(w)}).collect()}
+    n = {r["run_id"]: r["window_runs"] for r in history.verifier_collapse(h).collect()}
+    s = {r["run_id"]: r["sigma"] for r in history.consistency(h).collect()}
+    p = {r["run_id"]: r["place"] for r in history.tie_break_rank(h).collect()}
+    assert {i: (lag[i], n[i], s[i], p[i]) for i in want} == want
+
+
+def test_off_local_mode_asks_for_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://x"}.get(key, default))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folders.shared_folder(Session())
+
+
+RECORDS = [
+    ("a", 0, '{"role":"user","content":"hello","duration_ms":12}'), ("a", 1, '{"role":"assistant","content":[{"type":"text","text":"one"},{"type":"text","text":"two"}]}'), ("a", 2, "not json"),
+    ("a", 3, '{"role":"system","text":"auto-memory start"}'), ("a", 4, '{"role":"x","text":"inside"}'), ("a", 5, '{"role":"user","content":"out"}'), ("a", 6, '{"op":"write","text":"agent_memory m"}'), ("a", 7, '{"content":5,"output":"o","duration_ms":true}'),
+    ("a", 8, '{"text":"from text","content":[{"text":"from list"},"bare"]}'), ("a", 9, '{"content":[],"text":"later"}'), ("a", 10, '{"content":"","text":"second"}'), ("a", 11, '[1,2]'), ("a", 12, '{"other":1}'), ("a", 13, '{"hookSpecificOutput":{"duration_ms":7},"data":"d","duration_ms":-1}'),
+]
+
+
+def test_native_lines_follow_the_order_of_keys(spark):
+    records = spark.createDataFrame(RECORDS, "transcript_id string, line_no int, raw string")
+    assert [r["text"] for r in transcripts.native_lines(records).orderBy("line_no").collect()] == [
+        "hello", "[tool_duration_ms: 12]", "one", "two", "not json", "[system-memory] auto-memory start", "[system-memory] inside", "out", "[managed-memory-push] agent_memory m", "o", "from list", "second", "[1,2]", '{"other":1}', "d", "[tool_duration_ms: 7]",
+    ]
+
+
+def test_model_ids(spark):
+    rows = [("a", 0, '{"model":"gpt-4"}'), ("a", 1, '{"gen_ai.request.model": "Claude-B-1-20250101", "x": 1}'), ("a", 2, '{"model":"claude-c"}'), ("b", 0, '{"a_model":"claude-d"}')]
+    df = spark.createDataFrame(rows, "transcript_id string, line_no int, raw string")
+    assert {r["transcript_id"]: r["model"] for r in transcripts.model_of(df).collect()} == {"a": "claude-b-1", "b": None}
+
+
+def test_adapters_by_name(spark):
+    files = spark.createDataFrame([("x", "s.md", " # Head \n\n- done\n"), ("y", "s.json", '[{"role":"user","content":"hi"},{"content":null,"tool_calls":[{"function":{"name":"f","arguments":{"a":1}}},{"function":{}}]}]')], "transcript_id string, name string, value string")
+    got = {n: sorted((r["transcript_id"], r["line_no"], r["text"]) for r in transcripts.adapted_lines(files, n).collect()) for n in transcripts.ADAPTERS}
+    assert got["codex"] == [("x", 0, "# Head"), ("x", 1, "- done"), ("y", 0, "hi"), ("y", 1, 'tool_use: f({"a":1})')]
+    assert got["cursor"] == got["continue"] == got["openai-compatible"] == got["codex"][2:] and got["cowork"] == got["claude-code"]
+    with pytest.raises(ValueError, match="unknown adapter"):
+        transcripts.adapted_lines(files, "claude_code")
+
+
+def test_folders_of_sessions(spark, tmp_path):
+    import os
+
+    for name, text, at in (("b.jsonl", '{"content":"late"}', 200), ("c.jsonl", '{"content":"early"}\n{"event":"agent_memory","value":"v","op":"fetch"}', 100), ("memory.json", '{"content":"no"}', 50)):
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (at, at))
+    assert [r["text"] for r in transcripts.folder_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == ["early", '[managed-memory-pull] {"event":"agent_memory","value":"v","op":"fetch"}', "--- session break ---", "late"]
+
+
+def test_store_of_documents(spark, tmp_path):
+    made = documents_of(scores(lines_of(spark, "fine"), spark.createDataFrame([(1, "s", "2026-01-01T00:00:00Z")], "transcript_id int, skill string, timestamp string"), notes=True)).first()["scorecard"]
+    (tmp_path / "s_1.json").write_text(made)
+    (tmp_path / "s_2.json").write_text("{broken")
+    (tmp_path / "note.txt").write_text("no card")
+    docs = store.document_files(spark, str(tmp_path))
+    assert [(r["skill"], r["run_id"], r["n_lines"]) for r in store.runs_of(docs).collect()] == [("s", "s_1.json", 1)]
+    assert [r["file"] for r in store.quarantined(docs).collect()] == ["s_2.json"] and store.newest(docs).first()["file"] == "s_2.json"
+    assert [tuple(r) for r in store.problems(docs).collect()] == [("s_2.json", "no JSON object")]
 
 
 def test_jsonl_keeps_blocks_raw_and_empty_texts(spark):
-    records = spark.createDataFrame([*RECORDS, ("a", 8, '{"content":"","text":"t"}'), ("a", 9, "{broken")], "transcript_id string, line_no int, raw string")
+    records = spark.createDataFrame([*RECORDS[:8], ("a", 8, '{"content":"","text":"t"}'), ("a", 9, "{broken")], "transcript_id string, line_no int, raw string")
     got = [r["text"] for r in transcripts.jsonl_lines(records).orderBy("line_no").collect()]
     assert got[:3] == ["hello", "[tool_duration_ms: 12]", RECORDS[1][2]] and got[-2:] == ["", "{broken"]
 
