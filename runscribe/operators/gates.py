@@ -100,6 +100,11 @@ def hygiene_score(cases: DataFrame, findings: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases")).crossJoin(flagged).select("cases", "flagged", F.coalesce(F.round(1 - F.col("flagged") / F.nullif("cases", F.lit(0)), 4), F.lit(1.0)).alias("score"))
 
 
+def hygiene_status(scores: DataFrame, least: float = 0.85) -> DataFrame:
+    """cases, flagged, score -> with status: 0 from ``least`` on, else 1."""
+    return scores.withColumn("status", F.when(F.col("score") >= least, 0).otherwise(1))
+
+
 def rewrite_lint(lines: DataFrame) -> DataFrame:
     """(source_id, line_no, text) -> rule and first line: undisclosed rewrites, no source, flipped errors, secrets; comments don't count."""
     code = lines.where(~F.regexp_replace("text", r"^\s+", "").startswith("#"))

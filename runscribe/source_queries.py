@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import detectors, gates, reports, scoring
+from .operators import detectors, gates, reports, scoring, second_opinion
 from .queries import HIST_SQL, hist, query, read
 from .sources import store, transcripts
+from .streaming import watch
 
 
 def _kind() -> Column:
@@ -364,3 +365,44 @@ def collapse_gate(spark, sf_dir):
     return past.select("skill", gates.collapse_gate(F.col("collapsed"), "fail").alias("gate"))
 
 
+
+
+@query(f"WITH {HIST_SQL}, d AS (SELECT skill, run_id, composite_cents AS c, lag(composite_cents) OVER w AS b, {', '.join(f'coalesce(sign({d} - lag({d}) OVER w), 0) AS x{i}' for i, d in enumerate(scoring.DIMENSIONS))} FROM hist WINDOW w AS (PARTITION BY skill ORDER BY ts, run_id)), "
+       + "n AS (SELECT *, " + ", ".join(f"{' + '.join(f'CASE WHEN x{i} = {s} THEN 1 ELSE 0 END' for i in range(7))} AS {n}" for s, n in ((1, "up"), (-1, "down"), (0, "same"))) + " FROM d) "
+       "SELECT skill, run_id, printf('[watch] %s: improved %d, regressed %d, unchanged %d since last run — %s', skill, up, down, same, CASE WHEN b IS NULL THEN printf('composite %.2f (first run)', (c / 100.0)::DOUBLE) ELSE printf('composite %.2f %s %.2f (%s%.2f)', (b / 100.0)::DOUBLE, CASE WHEN c - b > 5 THEN '↑' WHEN c - b < -5 THEN '↓' ELSE '→' END, (c / 100.0)::DOUBLE, CASE WHEN c >= b THEN '+' ELSE '' END, ((c - b) / 100.0)::DOUBLE) END) AS header FROM n")
+def watch_headers(spark, sf_dir):
+    return watch.headers(hist(spark, sf_dir))
+
+
+@query("SELECT lpad(event_id::VARCHAR, 9, '0') AS file, '[watch] removed: ' || lpad(event_id::VARCHAR, 9, '0') AS header FROM events WHERE event_id % 50 = 3")
+def watch_removed(spark, sf_dir):
+    before = stored(spark, sf_dir)
+    return watch.removed(before, before.where("CAST(file AS BIGINT) % 50 <> 3"))
+
+
+@query("""WITH a AS (SELECT doc_id, doc_id % 15 - 2 AS s, doc_id % 4 AS k FROM documents WHERE doc_id IS NOT NULL)
+  SELECT doc_id, CASE WHEN k = 3 THEN NULL ELSE greatest(1, least(10, s)) END AS safety, CASE WHEN k <> 3 THEN greatest(1, least(10, round_even(s + 0.5, 0)::INT)) END AS correctness, CASE WHEN k <> 3 THEN 'because ' || doc_id END AS why, CASE WHEN k <> 3 THEN 2 END AS n FROM a""")
+def second_opinions_read(spark, sf_dir):
+    """Answers with fences, prose, commas too many, texts for numbers, and none."""
+    d = F.col("doc_id")
+    s = (d % 15 - 2).cast("string")
+    body = F.concat(F.lit('{"correctness": {"score": '), (d % 15 - 1.5).cast("string"), F.lit(', "justification": "x"}, "safety": {"score": '), s, F.lit(', "justification": " because '), d.cast("string"), F.lit(' "}, "adherence": {"score": "9"}, "efficiency": {"score": true}'), F.when(d % 4 == 1, ", }").otherwise("}"))
+    answer = F.when(d % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(d % 4 == 3, "no object").otherwise(F.concat(F.lit("Here: "), body, F.lit(" done")))
+    rows = read(spark, sf_dir, "documents").where(d.isNotNull()).select("doc_id", second_opinion.parsed(answer).alias("p"))
+    one = lambda dim: F.try_element_at(F.filter("p", lambda e: e["dim"] == dim), F.lit(1))
+    return rows.select("doc_id", one("safety")["llm_score"].alias("safety"), one("correctness")["llm_score"].alias("correctness"), one("safety")["llm_justification"].alias("why"), F.when(F.col("p").isNotNull(), F.size("p")).alias("n"))
+
+
+@query("""SELECT conv_id AS transcript_id, 'Rubric: default' || chr(10) || 'Dimensions: correctness, completeness, adherence, actionability, efficiency, safety, consistency' || chr(10) || chr(10) || 'Per-dimension criteria:' || chr(10) || '- safety: no secrets' || chr(10) || chr(10) || '---BEGIN TRANSCRIPT---' || chr(10)
+  || CASE WHEN length(t) <= 500 THEN t ELSE left(t, 250) || chr(10) || chr(10) || '... [' || (length(t) - 500) || ' chars elided to stay under the 500-char transcript budget] ...' || chr(10) || chr(10) || right(t, 250) END || chr(10) || '---END TRANSCRIPT---' || chr(10) || chr(10) || 'Return only the JSON object.' AS prompt
+  FROM (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)""")
+def second_opinion_prompts(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("line_no"), "text")
+    runs = rows.select("transcript_id").distinct().withColumns({"rubric": F.lit(None).cast("string"), "criteria": F.create_map(F.lit("safety"), F.lit(" no secrets "), F.lit("other"), F.lit("x"))})
+    return second_opinion.prompts(rows, runs, 500)
+
+
+@query(f"WITH {_CASES_SQL}, s AS (SELECT count(*) FILTER (v1 OR v3) AS flagged, round(1 - count(*) FILTER (v1 OR v3) / count(*), 4)::DOUBLE AS score FROM marked) SELECT flagged, CASE WHEN score >= 0.85 THEN 0 ELSE 1 END AS status FROM s")
+def hygiene_status(spark, sf_dir):
+    all_cases = cases(spark, sf_dir)
+    return gates.hygiene_status(gates.hygiene_score(all_cases, gates.hygiene(all_cases))).select("flagged", "status")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["skill", "run_id", "ts", "composite_cents"]
-LAST = "skill string, last double"
+LAST = "skill string, last double, recent array<double>"
+#: Composites of a skill that its state keeps.
+WINDOW = 10
 
 
 def changes(runs: DataFrame, before: DataFrame, bound: float = 5.0) -> DataFrame:
@@ -26,11 +28,38 @@ def changes(runs: DataFrame, before: DataFrame, bound: float = 5.0) -> DataFrame
 
 
 def last_runs(done: DataFrame, before: DataFrame) -> DataFrame:
-    """skill, last: each skill's last composite after the runs of a micro-batch."""
-    place = F.struct(F.col("ts").isNull(), "ts", F.col("run_id").isNull(), "run_id")
-    new = done.groupBy("skill").agg(F.max_by(F.struct("composite_cents"), place)["composite_cents"].cast("double").alias("last"))
-    old = before.join(new.select(F.col("skill").alias("new_skill")), F.col("skill").eqNullSafe(F.col("new_skill")), "left_anti")
-    return old.select("skill", "last").unionByName(new)
+    """skill, last, recent: each skill's last composite and last WINDOW composites (oldest first) after the runs of a micro-batch."""
+    order = Window.partitionBy("skill").orderBy(F.col("ts").desc_nulls_first(), F.col("run_id").desc_nulls_first())
+    ends = done.withColumn("n", F.row_number().over(order)).where(F.col("n") <= WINDOW)  # limited before the shuffle
+    told = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("at"), F.col("composite_cents").cast("double").alias("c"))))
+    new = ends.groupBy("skill").agg(F.transform(told, lambda x: x["c"]).alias("new"))
+    old = before.select(F.col("skill").alias("old_skill"), F.lit(True).alias("known"), F.col("last").alias("old_last"), F.coalesce("recent", F.array().cast("array<double>")).alias("old"))
+    met = new.join(old, F.col("skill").eqNullSafe(F.col("old_skill")), "full")
+    every = F.concat(F.coalesce("old", F.array().cast("array<double>")), F.coalesce("new", F.array().cast("array<double>")))
+    skill = F.when(F.col("new").isNull(), F.col("old_skill")).otherwise(F.col("skill"))
+    last = F.when(F.col("new").isNull(), F.col("old_last")).otherwise(F.element_at("new", -1))
+    return met.select(skill.alias("skill"), last.alias("last"), F.slice(every, F.greatest(F.size(every) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)).alias("recent"))
+
+
+def headers(hist: DataFrame, bound: float = 5.0) -> DataFrame:
+    """skill, run_id, header: what a watcher prints of each run against the one before."""
+    from ..operators import history
+
+    counts = history.diff_counts(hist)
+    gains = history.over_runs(hist, 1, lambda w: {"_before": F.lag("composite_cents").over(w)})
+    now, was = (F.col("composite_cents") / 100).cast("double"), (F.col("_before") / 100).cast("double")
+    gain = F.col("composite_cents") - F.col("_before")
+    arrow = F.when(gain > bound, "↑").when(gain < -bound, "↓").otherwise("→")
+    change = F.when(was.isNull(), F.format_string("composite %.2f (first run)", now)).otherwise(F.format_string("composite %.2f %s %.2f (%+.2f)", was, arrow, now, (gain / 100).cast("double")))
+    first = was.isNull()
+    n = [F.when(first, x).otherwise(F.col(c)) for c, x in (("improved", 0), ("regressed", 0), ("unchanged", 7))]
+    text = F.format_string("[watch] %s: improved %d, regressed %d, unchanged %d since last run — %s", "skill", *n, change)
+    return gains.join(counts, ["skill", "run_id"]).select("skill", "run_id", text.alias("header"))
+
+
+def removed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(file) that were there and are not any more -> file, header.  A file stream doesn't see this, so it is asked in batch."""
+    return before.select("file").join(now.select("file"), "file", "left_anti").select("file", F.concat(F.lit("[watch] removed: "), "file").alias("header"))
 
 
 def watch_once(runs: DataFrame, checkpoint: str, out: str) -> None:

@@ -9,7 +9,7 @@ SCHEMA = "skill string, run_id long, ts timestamp_ntz, composite_cents double"
 
 
 def test_watch_goes_on_over_batches(spark, tmp_path):
-    rng, last, want = random.Random(2), {}, []
+    rng, last, want, seen = random.Random(2), {}, [], {}
     at = {k: str(tmp_path / k) for k in ("runs", "state", "out")}
     for part in range(3):
         rows = [(rng.choice(["hot", "hot", "hot", "a", None]), 1000 * part + i, datetime(2026, 1, 1 + part) + timedelta(minutes=rng.randrange(20)), float(rng.randrange(40))) for i in range(60)]
@@ -20,7 +20,11 @@ def test_watch_goes_on_over_batches(spark, tmp_path):
             gain = None if cents is None or last.get(skill) is None else cents - last[skill]
             known = skill in last
             last[skill] = cents
+            seen.setdefault(skill, []).append(cents)
             want.append((run_id, "first" if not known else "flat" if gain is None else "improved" if gain > 5 else "regressed" if gain < -5 else "flat"))
+    state = {r["skill"]: (r["last"], r["recent"]) for r in spark.read.parquet(f"{at['state']}/last/2").collect()}
+    assert {k: repr(v[0]) for k, v in state.items()} == {k: repr(v) for k, v in last.items()}
+    assert {k: repr(v[1]) for k, v in state.items()} == {k: repr(v[-10:]) for k, v in seen.items()}
     got = spark.read.parquet(at["out"])
     assert sorted((r["run_id"], r["change"]) for r in got.collect()) == sorted(want)
 
