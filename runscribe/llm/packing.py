@@ -8,8 +8,8 @@ often as the counts allow.  A plan has at most about as many fillings as there a
 corpus holds, so it is small enough to hand to every task.
 
 Pieces then find their place by rank: the n-th piece of a length goes to the n-th slot of that length.
-Ranks come from a window over (length, salt), so a length that a third of all pieces share is dealt over
-``salts`` tasks.
+Ranks come from a window over (length, salt) with as many salts as the length's count asks for, so a length
+that a third of all pieces share is dealt over tasks of about ROWS_PER_TASK pieces, however large the corpus.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from .token_counts import slices
 from .workspace import stage
 
 
+#: Pieces of one length that are ranked in one task.
+ROWS_PER_TASK = 500_000
+
+
 def fullest_filling(counts: dict[int, int], lengths: list[int], capacity: int, slack_for_power: int) -> dict[int, int]:
     """The multiset {length: count} of one window: the longest length, and what comes closest to capacity with it.
 
@@ -134,22 +138,23 @@ def place(ranked: DataFrame, plan: list[tuple[int, dict[int, int]]]) -> DataFram
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece of each document.
 
     Offsets run from 0 without gaps in each sequence; no sequence exceeds ``window`` tokens.  Null and empty
     texts are the end id alone, so every row has at least one piece; repeated rows are packed as often as
-    they occur; pieces of equal length are interchangeable and ranked by (doc_id, start), nulls first; an
+    they occur; pieces of equal length are interchangeable and ranked by salt and (doc_id, start), nulls first; an
     empty table gives no rows; extra columns are ignored.
     """
-    pieces = stage(
-        cut_tokens(docs, vocabulary, window, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))), "pack-pieces"
-    )
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
-    upto = F.sum("n").over(Window.partitionBy("length").orderBy("salt"))  # at most `salts` rows a length
+    spark = docs.sparkSession
+    pieces = stage(cut_tokens(docs, vocabulary, window, end_id).withColumn("draw", F.xxhash64("doc_id", "start")), "pack-pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
+    salts = spark.createDataFrame([(k, -(-n // rows_per_task)) for k, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod("draw", F.col("salts")))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("length").orderBy("salt"))  # one row a task
     before = counts.select("length", "salt", (upto - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = pieces.withColumn("within", within).join(before, ["length", "salt"])
+    ranked = salted.withColumn("within", within).join(before, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("within") - 1).alias("rank"))
     return place(ranked, plan_windows(histogram, window))

@@ -7,20 +7,12 @@ where the session names none and its master is local (tests, a laptop) is a temp
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.folders import shared_folder
-
+from ..functions.folders import shared_folder, stage
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a reader of those files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["read_table", "set_aside", "shared_folder", "stage"]
 
 
 def set_aside(docs: DataFrame, **needed: Column | str) -> tuple[DataFrame, list[Column]]:

@@ -195,7 +195,7 @@ def test_estimates_are_near():
 
 
 def test_packing(odd_docs, no_docs, library):
-    out = packing.pack(odd_docs, VOCABULARY, window=64, salts=3).collect()
+    out = packing.pack(odd_docs, VOCABULARY, window=64, rows_per_task=5).collect()
     want = Counter()
     for d, t in texts(odd_docs):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
