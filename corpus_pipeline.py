@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Language ID and packing are beyond SQL; tests hold each stage against a brute-force version.
+#: Language ID and packing are beyond SQL; a test holds the rows of each stage against plain Python on a small table.
 ORACLE_SQL = None
 
 
