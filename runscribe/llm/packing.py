@@ -9,7 +9,7 @@ corpus holds, so it is small enough to hand to every task.
 
 Pieces then find their place by rank: the n-th piece of a length goes to the n-th slot of that length.
 Ranks come from a window over (length, salt) with as many salts as the length's count asks for, so a length
-that a third of all pieces share is dealt over tasks of about ROWS_PER_TASK pieces, however large the corpus.
+that a third of all pieces share is dealt over tasks of a fair share of all pieces, at most about ROWS_PER_TASK.
 """
 
 from __future__ import annotations
@@ -149,8 +149,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     spark = docs.sparkSession
     pieces = stage(cut_tokens(docs, vocabulary, window, end_id).withColumn("draw", F.xxhash64("doc_id", "start")), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    salts = spark.createDataFrame([(k, -(-n // rows_per_task)) for k, n in histogram.items()], "length long, salts long")
-    salted = pieces.join(salts, "length").withColumn("salt", F.pmod("draw", F.col("salts")))
+    fair = max(1, min(rows_per_task, sum(histogram.values()) // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = spark.createDataFrame([(k, -(-n // fair)) for k, n in histogram.items()], "length long, salts long")  # at most `window` rows: broadcast, so that no length is dealt to one task
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod("draw", F.col("salts")))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("salt"))  # one row a task
     before = counts.select("length", "salt", (upto - F.col("n")).alias("before"))
