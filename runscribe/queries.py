@@ -88,7 +88,8 @@ SETTINGS = settings(
 def scored(spark: SparkSession, sf_dir: str, notes: bool = False) -> DataFrame:
     """All transcripts by the whole plan: docstrings, privilege, durations, baselines, pushback, history with the collapse dock."""
     rows = lines(spark, sf_dir)
-    facts = run_facts(rows.select("transcript_id").distinct())
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id")).union(read(spark, sf_dir, "conversations").select(F.col("conv_id") + CONVERSATIONS).distinct())
+    facts = run_facts(ids.union(spark.createDataFrame(sorted({(t,) for t, *_ in FIXTURE}), "transcript_id long")))
     past = hist(spark, sf_dir).select("skill", "run_id", "ts", "composite_cents")
     return scores(rows, facts, turns(spark, sf_dir), past, SETTINGS, notes)
 
