@@ -252,3 +252,31 @@ def report_documents(spark, sf_dir):
 def against_status(spark, sf_dir):
     h = hist(spark, sf_dir)
     return history.against_status(history.against(h), h)
+
+
+_ORD_SQL = "CASE dim " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(scoring.DIMENSIONS)) + " ELSE 7 END"
+_AGAINST_SQL = (
+    f"{HIST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY ts DESC, run_id DESC) AS back FROM hist), a AS (SELECT * FROM r WHERE back = 2), b AS (SELECT * FROM r WHERE back = 1), l AS ("
+    + " UNION ALL ".join(f"SELECT skill, '{d}' AS dim, a.{d}::DOUBLE AS v, b.{d}::DOUBLE AS w FROM a JOIN b USING (skill)" for d in scoring.DIMENSIONS)
+    + " UNION ALL SELECT skill, 'composite', a.composite_cents / 100.0::DOUBLE, b.composite_cents / 100.0::DOUBLE FROM a JOIN b USING (skill)), m AS (SELECT *, round(w - v, 2) AS d, CASE WHEN round(w - v, 2) > 0.05 THEN '↑' WHEN round(w - v, 2) < -0.05 THEN '↓' ELSE '→' END AS arrow FROM l)"
+)
+
+
+@query(f"""WITH {_AGAINST_SQL}, t AS (SELECT skill, {_ORD_SQL} AS o, CASE dim WHEN 'composite' THEN printf('%-15s %7.2f  %7.2f  %+6.2f %s', dim, v, w, d, arrow) ELSE printf('%-15s %7s  %7s  %+6.1f %s', dim, v::INT::VARCHAR, w::INT::VARCHAR, d, arrow) END AS line, CASE dim WHEN 'composite' THEN d END AS moved FROM m)
+  SELECT skill, '{"dimension":<15} {"before":>7}  {"after":>7}  {"delta":>7}' || chr(10) || repeat('─', 45) || chr(10) || string_agg(line, chr(10) ORDER BY o) || chr(10) || repeat('─', 45) || chr(10) || CASE WHEN max(moved) > 0.05 THEN printf('IMPROVED (+%.2f)', max(moved)) WHEN max(moved) < -0.05 THEN printf('REGRESSED (%+.2f)', max(moved)) ELSE 'FLAT' END AS delta_text FROM t GROUP BY skill""")
+def against_text(spark, sf_dir):
+    return reports.delta_texts(history.against(hist(spark, sf_dir)))
+
+
+@query(f"""WITH {HIST_SQL}, l AS (SELECT run_id, 'safety' AS dim, 3 AS place, safety AS score FROM hist UNION ALL SELECT run_id, 'own-b', 1, 2 FROM hist UNION ALL SELECT run_id, 'own-a', 2, 4 FROM hist WHERE run_id % 2 = 0 UNION ALL SELECT run_id, 'correctness', 9, correctness FROM hist)
+  SELECT run_id, list(dim ORDER BY {_ORD_SQL}, place) AS names, list(score::BIGINT ORDER BY {_ORD_SQL}, place) AS scores FROM l GROUP BY run_id""")
+def ordered_dimensions(spark, sf_dir):
+    """Canonical dimensions first, a rubric's own ones behind them."""
+    r = F.col("run_id")
+    extra = F.array_compact(F.array(
+        F.struct(F.lit("safety").alias("dim"), F.lit(3).alias("place"), F.col("safety").alias("score")), F.struct(F.lit("own-b").alias("dim"), F.lit(1).alias("place"), F.lit(2).cast("long").alias("score")),
+        F.when(r % 2 == 0, F.struct(F.lit("own-a").alias("dim"), F.lit(2).alias("place"), F.lit(4).cast("long").alias("score"))), F.struct(F.lit("correctness").alias("dim"), F.lit(9).alias("place"), F.col("correctness").alias("score")),
+    ))
+    rows = hist(spark, sf_dir).select("run_id", F.explode(extra).alias("e")).select("run_id", "e.*")
+    out = reports.ordered_dimensions(rows, "run_id")
+    return out.select("run_id", F.transform("dimensions", lambda d: d["name"]).alias("names"), F.transform("dimensions", lambda d: d["score"]).alias("scores"))

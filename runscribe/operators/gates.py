@@ -123,6 +123,14 @@ def rewrite_lint(lines: DataFrame) -> DataFrame:
     return at.select("source_id", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("source_id", "f.rule", "f.line_no")
 
 
+def lint_status(lines: DataFrame, findings: DataFrame) -> DataFrame:
+    """source_id, n_findings, status of each source of ``lines``: 0 without findings, 1 with, 2 where it has no text at all."""
+    sources = lines.groupBy("source_id").agg(F.max(F.col("text").isNotNull()).alias("there"))
+    found = findings.groupBy("source_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return sources.join(found, "source_id", "left").select("source_id", n.alias("n_findings"), F.when(~F.col("there"), 2).when(n > 0, 1).otherwise(0).alias("status"))
+
+
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """(…, model, input_tokens, output_tokens) with prices a million tokens; an unknown model costs the default.
 

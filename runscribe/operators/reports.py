@@ -39,6 +39,13 @@ def dimension_entries(card: str = "card") -> Column:
     return F.array(*[F.struct(F.lit(d).alias("name"), *[F.col(f"{c}.{d}.{f}").alias(f) for f in ("score", "weight", "weighted", "justification")]) for d in DIMENSIONS])
 
 
+def ordered_dimensions(scores: DataFrame, key: str) -> DataFrame:
+    """(key, dim, place, score) -> key, dimensions: the canonical ones in their order, then all others by place."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for i, d in enumerate(DIMENSIONS) for x in (d, i)])[F.col("dim")], F.lit(len(DIMENSIONS)))
+    rows = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "place", F.struct(F.col("dim").alias("name"), "score").alias("entry"))))
+    return scores.groupBy(key).agg(F.transform(rows, lambda r: r["entry"]).alias("dimensions"))
+
+
 def evidence(card: str = "card") -> Column:
     return F.struct(F.col(f"{card}.transcript_lines").alias("transcript_lines"), F.size(f"{card}.red_flags").alias("red_flag_count"), F.size(f"{card}.bonuses").alias("bonus_count"))
 
@@ -110,6 +117,25 @@ def comparison_text(pairs: DataFrame) -> Column:
     return F.concat_ws("\n", *heads, F.lit(""), F.lit(f"{'dimension':<15} {'A':>5} {'B':>5} {'Δ':>5}"), rule, *rows, rule, F.lit(""), F.lit("narrative:"), told)
 
 
+def delta_texts(changes: DataFrame) -> DataFrame:
+    """skill, delta_text: a table of two runs (see history.against), dimensions in order, the composite last, and how it moved."""
+    c = F.col
+    order = F.create_map(*[F.lit(x) for i, d in enumerate([*DIMENSIONS, "composite"]) for x in (d, i)])[c("dim")]
+    arrow = F.when(c("delta") > 0.05, "↑").when(c("delta") < -0.05, "↓").otherwise("→")
+
+    def shown(v: Column) -> Column:
+        return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.format_string("%.1f", v))
+
+    row = F.format_string("%-15s %7s  %7s  %+6.1f %s", "dim", shown(c("before")), shown(c("after")), "delta", arrow)
+    last = F.format_string("%-15s %7.2f  %7.2f  %+6.2f %s", "dim", "before", "after", "delta", arrow)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.when(c("dim") == "composite", last).otherwise(row).alias("t")))), lambda x: x["t"])
+    moved = F.max(F.when(c("dim") == "composite", c("delta")))
+    word = F.when(moved > 0.05, F.format_string("IMPROVED (+%.2f)", moved)).when(moved < -0.05, F.format_string("REGRESSED (%+.2f)", moved)).otherwise("FLAT")
+    head = f"{'dimension':<15} {'before':>7}  {'after':>7}  {'delta':>7}"
+    out = changes.groupBy("skill").agg(rows.alias("rows"), word.alias("word"))
+    return out.select("skill", F.concat_ws("\n", F.lit(head), F.lit("─" * 45), F.array_join("rows", "\n"), F.lit("─" * 45), "word").alias("delta_text"))
+
+
 def report_documents(hist: DataFrame, averages: DataFrame, last: int) -> DataFrame:
     """skill, scores (the last runs, oldest first), averages: one row a skill."""
     from .history import last_runs

@@ -66,3 +66,23 @@ def parsed(answer: Column) -> Column:
         why = F.regexp_replace(F.coalesce(F.try_variant_get(v, f"$.{d}.justification", "string"), F.lit("")), r"(?U)^\s+|\s+$", "")
         entries.append(F.when(number.isNotNull(), F.struct(F.lit(d).alias("dim"), F.greatest(F.lit(1), F.least(F.lit(10), F.bround(number, 0).cast("int"))).alias("llm_score"), why.alias("llm_justification"))))
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array_compact(F.array(*entries)))
+
+
+# The least soft budget in tokens, and how far the hard limit lies above it.
+LEAST_BUDGET, CEILING = 20_000, 1.25
+
+
+def budget(asked: Column, most_answer: Column) -> Column:
+    """soft and hard token limits of a call: the soft one at least LEAST_BUDGET, the hard one above it; without a budget only ``most_answer``."""
+    soft = F.when(F.coalesce(asked, F.lit(0)) != 0, F.greatest(asked.cast("long"), F.lit(LEAST_BUDGET).cast("long")))
+    hard = F.greatest(most_answer.cast("long"), F.floor(soft * CEILING))
+    return F.struct(soft.alias("soft"), F.coalesce(hard, most_answer.cast("long")).alias("hard"))
+
+
+def cache_time(force_short: Column, allow_long: Column) -> Column:
+    """How long a prompt is kept: the switch for short comes before that for long; both off is short."""
+
+    def on(switch: Column) -> Column:
+        return ~F.trim(F.coalesce(switch, F.lit(""))).isin("", "0", "false", "False")
+
+    return F.when(on(force_short), "5m").when(on(allow_long), "1h").otherwise("5m")
