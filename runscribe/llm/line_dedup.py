@@ -2,7 +2,11 @@
 
 Each line hash gets a HyperLogLog sketch of the sites (sources) that hold it; sketches merge map-side and
 then by key.  An estimate far from the threshold decides; lines near it get an exact distinct count.
-Lines on ``min_sites`` sites or more are boilerplate and go from every document but the first that has them.
+Lines on ``min_sites`` sites or more are boilerplate and go from every text but the first that has them.
+
+Copied documents spread their own lines too.  So documents whose smallest other line is the same, as exact
+copies' and most near copies' is, count as one, with one site.  A first sketch over all sites leaves the lines
+that can reach the threshold at all; only their rows are grouped further.
 """
 
 from __future__ import annotations
@@ -21,36 +25,46 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_key, pos, k1, k2 of each line that isn't blank; 128 bits of hash are a line's key."""
-    lines = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.trim(F.col("line"), F.lit(BLANKS))
-    return (
-        lines.withColumn("line", line)
-        .where("line <> ''")
-        .select("doc_id", "source", "text_key", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
-    )
+    """doc_id, source, text_key, pos, k1, k2, beside of each line that isn't blank.
+
+    128 bits of hash are a line's key; ``beside`` is a hash of the smallest other line of the text, by MD5, or of none.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(BLANKS)).alias("line")))
+    held = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.filter(lines, lambda x: x["line"] != "").alias("lines"))
+    held = held.withColumn("sums", F.transform("lines", lambda x: F.md5(x["line"]))).withColumn("low", F.array_min("sums"))
+    held = held.withColumn("second", F.array_min(F.filter("sums", lambda x: x != F.col("low"))))
+    each = held.select("doc_id", "source", "text_key", "low", "second", F.explode("lines").alias("l")).select("*", "l.pos", "l.line")
+    beside = F.when(F.md5("line") == F.col("low"), F.col("second")).otherwise(F.col("low"))
+    return each.select("doc_id", "source", "text_key", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), F.xxhash64(beside).alias("beside"))
+
+
+def possible_lines(lines: DataFrame, min_sites: int) -> DataFrame:
+    """k1, k2 of the lines whose sites, each copy counted, could be ``min_sites``."""
+    sites = lines.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", SKETCH_LOG2)).alias("sites"))
+    return sites.where(F.col("sites") >= min_sites * (1 - NEAR)).select("k1", "k2")
 
 
 def widespread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """k1, k2, first_doc of lines on at least ``min_sites`` distinct non-null sites."""
+    """k1, k2, first_text of lines on at least ``min_sites`` distinct non-null sites; texts with equal ``beside`` have one."""
+    with_source, first = F.struct(F.col("source").isNull(), F.col("doc_id").isNull(), "doc_id", "source"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    once = stage(lines.groupBy("k1", "k2", "beside").agg(F.min(with_source)["source"].alias("site"), F.min(first).alias("first")), "line-once")
     spread = stage(
-        lines.groupBy("k1", "k2")
-        .agg(F.hll_sketch_agg("source", SKETCH_LOG2).alias("sketch"), F.min("doc_id").alias("first_doc"))
-        .select("k1", "k2", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
+        once.groupBy("k1", "k2")
+        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LOG2)).alias("sites"), F.min("first")["text_key"].alias("first_text"))
         .where(F.col("sites") >= min_sites * (1 - NEAR)),
         "line-spread",
     )
-    far = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("k1", "k2", "first_doc")
-    near = spread.where(F.col("sites") <= min_sites * (1 + NEAR)).select("k1", "k2", "first_doc")
+    far = spread.where(F.col("sites") > min_sites * (1 + NEAR)).drop("sites")
+    near = spread.where(F.col("sites") <= min_sites * (1 + NEAR)).drop("sites")
     exact = (
-        lines.select("k1", "k2", "source")
+        once.select("k1", "k2", "site")
         .join(near, ["k1", "k2"])
-        .groupBy("k1", "k2", "first_doc", "source")
+        .groupBy("k1", "k2", "first_text", "site")
         .agg(F.lit(1).alias("one"))
-        .groupBy("k1", "k2", "first_doc")
-        .agg(F.count("source").alias("sites"))
+        .groupBy("k1", "k2", "first_text")
+        .agg(F.count("site").alias("sites"))
     )
-    return far.unionByName(exact.where(F.col("sites") >= min_sites).select("k1", "k2", "first_doc"))
+    return far.unionByName(exact.where(F.col("sites") >= min_sites).drop("sites"))
 
 
 def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -63,19 +77,21 @@ def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([kept(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 18) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 5) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed behind its own columns.
 
     Lines are what stands between line feeds, compared without blanks at either end; blank lines stay.  The
-    document with the smallest doc_id that has a boilerplate line keeps it.  Null text has no lines and stays
-    null; null sources are no site; rows with equal doc_id and text are cut alike; a null doc_id is never
-    the first document; other columns stay as they are, except that own columns called n_lines or n_removed
-    give way to the operator's.
+    text of the smallest doc_id that has a boilerplate line keeps it, in every row with that text, so equal
+    texts are cut alike; among rows with that doc_id, or where no row has one, any one text does.  Null text
+    has no lines and stays null; null sources are no site; of texts that count as one, the site is that of the
+    smallest doc_id with a source.  With fewer than ``min_sites`` sources nothing goes.  Other columns stay as
+    they are, except that own columns called n_lines or n_removed give way to the operator's.
     """
     docs = docs.drop("n_lines", "n_removed")
     lines = lines_of(docs)
-    boilerplate = stage(widespread_lines(lines, min_sites), "line-boilerplate")
-    hits = lines.join(boilerplate, ["k1", "k2"]).where("NOT doc_id <=> first_doc")
+    held = stage(lines.join(stage(possible_lines(lines, min_sites), "line-sites"), ["k1", "k2"]), "line-held")
+    boilerplate = stage(widespread_lines(held, min_sites), "line-boilerplate")
+    hits = held.join(boilerplate, ["k1", "k2"]).where("text_key <> first_text")
     gone = hits.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
     named, back = set_aside(docs, own_doc="doc_id", own_text="text", own_key=F.xxhash64("text"))
     joined = named.join(gone, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")

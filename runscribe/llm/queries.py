@@ -117,8 +117,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
      keyed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines),
-     wide AS (SELECT line, min(doc_id) AS first_doc FROM keyed WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 18),
-     marked AS (SELECT k.*, w.line IS NOT NULL AND k.doc_id <> w.first_doc AS gone FROM keyed k LEFT JOIN wide w ON k.line = w.line)
+     sums AS (SELECT k.*, md5(k.line) AS own, md5(d.text) AS body FROM keyed k JOIN documents d USING (doc_id) WHERE line <> ''),
+     low AS (SELECT doc_id, list_sort(list_distinct(list(own))) AS m FROM sums GROUP BY doc_id),
+     beside AS (SELECT s.*, CASE WHEN own = m[1] THEN m[2] ELSE m[1] END AS beside FROM sums s JOIN low USING (doc_id)),
+     once AS (SELECT line, beside, arg_min(source, doc_id) FILTER (source IS NOT NULL) AS site FROM beside GROUP BY line, beside),
+     wide AS (SELECT line FROM once GROUP BY line HAVING count(DISTINCT site) >= 5),
+     firsts AS (SELECT line, arg_min(body, doc_id) AS first_text FROM sums JOIN wide USING (line) GROUP BY line),
+     cut AS (SELECT doc_id, pos FROM sums JOIN firsts USING (line) WHERE body <> first_text),
+     marked AS (SELECT k.*, c.pos IS NOT NULL AS gone FROM keyed k LEFT JOIN cut c ON k.doc_id = c.doc_id AND k.pos = c.pos)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL

@@ -244,6 +244,19 @@ def test_line_dedup(odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_copies_of_a_document_are_one_site(spark):
+    """A copied document's own lines stay however many sites hold it; a line of different documents goes, alike in equal texts."""
+    copied = "\n".join(f"own line {i}" for i in range(8))
+    rows = [(d, copied + ("\nads" if d % 2 else ""), f"s{d}") for d in range(12)] + [(20 + d, f"text {d}\n subscribe \nend {d}", f"s{d}") for d in range(6)]
+    rows += [(30, "text 0\n subscribe \nend 0", "s9"), (31, "text 1\n subscribe \nend 1", None), (None, "more\nsubscribe", None), (None, "rare\nlone", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    gone = {"text 1\n subscribe \nend 1", "text 2\n subscribe \nend 2", "text 3\n subscribe \nend 3", "text 4\n subscribe \nend 4", "text 5\n subscribe \nend 5", "more\nsubscribe"}
+    cut = {t: "\n".join(x for x in t.split("\n") if x.strip() != "subscribe") for t in gone}
+    assert got == {(d, cut.get(t, t), int(t in gone)) for d, t, _ in rows}
+    assert {r["n_removed"] for r in line_dedup.dedup_lines(docs, min_sites=7).collect()} == {0}
+
+
 def test_line_spread_near_the_threshold(spark):
     rows = [(d, f"line{k}\nown{d}", f"s{d % 60}") for k, sites in ((0, 49), (1, 50), (2, 51), (3, 60)) for d in range(k * 100, k * 100 + sites)]
     lines = line_dedup.lines_of(spark.createDataFrame([(d, t, f"s{d % 100}") for d, t, _ in rows], "doc_id long, text string, source string"))
