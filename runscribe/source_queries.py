@@ -55,14 +55,14 @@ def native_jsonl_lines(spark, sf_dir):
     return out.select("transcript_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
-@query("""WITH r AS (SELECT conv_id AS transcript_id, turn, coalesce(text, '') AS text, (conv_id * 7 + turn) % 9 AS k FROM conversations WHERE (conv_id * 7 + turn) % 9 IN (0, 2, 4, 5)),
-  p AS (SELECT transcript_id, turn, CASE k WHEN 2 THEN [text, '[tool_duration_ms: ' || (turn * 100) || ']'] WHEN 4 THEN ['plain ' || replace(text, chr(10), ' ')] WHEN 5 THEN ['auto-memory ' || text] ELSE [text] END AS parts FROM r),
+@query("""WITH r AS (SELECT conv_id AS transcript_id, turn, coalesce(text, '') AS text, (conv_id * 7 + turn) % 9 AS k FROM conversations),
+  p AS (SELECT transcript_id, turn, CASE k WHEN 1 THEN ['not this'] WHEN 2 THEN [text, '[tool_duration_ms: ' || (turn * 100) || ']'] WHEN 3 THEN [''] WHEN 4 THEN ['plain ' || replace(text, chr(10), ' ')]
+     WHEN 5 THEN ['auto-memory ' || text] WHEN 6 THEN ['agent_memory ' || text] WHEN 8 THEN ['{"model":"other-9","role":"assistant","content":["bare"]}'] ELSE [text] END AS parts FROM r),
   u AS (SELECT transcript_id, turn, unnest(parts) AS text, unnest(range(len(parts))) AS part FROM p)
   SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY turn, part) - 1 AS BIGINT) AS line_no, text FROM u""")
 def builtin_jsonl_lines(spark, sf_dir):
-    """The built-in reading of four of the shapes; lists stay raw there, so those shapes have no closed form in SQL."""
-    rows = records(spark, sf_dir).where(F.pmod(F.col("transcript_id") * 7 + F.col("line_no"), F.lit(9)).isin(0, 2, 4, 5))
-    return transcripts.jsonl_lines(rows).select("transcript_id", F.col("line_no").cast("long").alias("line_no"), "text")
+    """The built-in reading of all nine shapes: a list is no text, so the next key is taken, or the raw record."""
+    return transcripts.jsonl_lines(records(spark, sf_dir)).select("transcript_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
 @query("""WITH r AS (SELECT conv_id AS transcript_id, turn AS turn_no, role, coalesce(text, '') AS text, (conv_id * 7 + turn) % 9 AS k FROM conversations),
