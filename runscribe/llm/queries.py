@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, imatch, langid, line_dedup, minhash, mixing, nearest, packing, substring_dedup, token_counts
+from . import chat_format, filter_audit, imatch, langid, line_dedup, minhash, mixing, nearest, packing, spelling, substring_dedup, token_counts, toxicity
 from .workspace import read_table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -139,6 +139,62 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_even_partition_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+     crc AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
+     runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+     own AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+     bytes AS (SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS x FROM own),
+     hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) + 1, 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+         lambda h, b: xor(h // 256, crc[xor(h, b) % 256 + 1])), 4294967295) AS h FROM bytes, crc),
+     results AS (SELECT CASE WHEN h % 199 = 0 THEN run[:CAST(h % length(run) AS INT)] || run[CAST(h % length(run) AS INT) + 2:] ELSE run END AS word, n FROM hashed),
+     words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+     cut AS (SELECT word, unnest(range(1, length(word) + 1)) AS place, unnest(list_transform(range(1, length(word) + 1), lambda i: word[:i - 1] || word[i + 1:])) AS rest FROM words),
+     near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word),
+     ranked AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, encode(other)) AS place
+                FROM near JOIN words o ON o.word = other),
+     formed AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 5 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 5 * w.n THEN r.other_n END AS form_n
+                FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+     chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.at AND e.form IS NULL
+"""
+
+
+def op12_first_failure_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, {WORDS_SQL} AS words FROM documents),
+     marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+     fails AS (SELECT part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f WHEN 'A' THEN len(words) < 200 WHEN 'B' THEN 100 * len(list_distinct(words)) < 50 * len(words)
+             WHEN 'C' THEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) WHEN 'D' THEN regexp_matches(body, '[#$%&*|]')
+             ELSE coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY body), false) END) AS failed FROM d LEFT JOIN marks m ON m.doc_id = d.doc_id),
+     letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+     orders AS (SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+     steps AS (SELECT array_to_string(o, '') AS filter_order, s.step, o[s.step] AS filter, o[:s.step] AS upto, o[:s.step - 1] AS before FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) s),
+     kinds AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, failed),
+     counts AS (SELECT part, filter_order, step, filter, sum(n) FILTER (NOT list_has_any(failed, upto)) AS kept,
+         sum(n) FILTER (list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS removed, sum(n) FILTER (list_contains(failed, filter) AND list_has_any(failed, before)) AS redundant,
+         sum(n) FILTER (failed = [filter]) AS unique_fails, sum(good) FILTER (list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS good_lost,
+         sum(toxic) FILTER (list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS toxic_lost FROM kinds, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley FROM counts
+"""
+
+
+def op13_weighted_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,6 +214,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_i_match,
         op10_language_id,
+        op11_even_partition_pigeonhole,
+        op12_first_failure_lookup,
+        op13_weighted_pattern_grammar,
         pipeline,
     )
 }
@@ -167,4 +226,6 @@ ORACLES: dict[str, str] = {
     "op5_b_bit_minhash": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_even_partition_pigeonhole": OP11_SQL,
+    "op12_first_failure_lookup": OP12_SQL,
 }

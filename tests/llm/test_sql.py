@@ -15,13 +15,15 @@ def odd_folder(odd_docs, spark, tmp_path_factory):
     docs.union(spark.createDataFrame(more, docs.schema)).write.parquet(f"{folder}/documents.parquet")
     turns = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", None), (2, 0, "assistant", "a\\b <\\| é"), (3, 0, "system", "")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    marks = [(0, 1, 0), (1, 0, 1), (2, None, 1), (13, 1, None), (13, 1, 1), (None, 1, 1), (100, 1, 1), (777, 1, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql_on_odd_rows(spark, odd_folder, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{odd_folder}/{table}.parquet/*.parquet'")
     got, want = QUERIES[name](spark, odd_folder), con.sql(ORACLES[name])
     order = sorted(want.columns)
