@@ -28,8 +28,25 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & some).select("vec_id", v.cast("array<double>").alias("vector"))
 
 
+def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The inner product of each row with ``query``, added up from the first component to the last.
+
+    A library's matrix product adds in an order that depends on a row's place, so equal rows could differ in their last bits.
+    """
+    out = np.zeros(len(rows))
+    for column, weight in zip(np.ascontiguousarray(rows.T), query, strict=True):
+        out += column * weight
+    return out
+
+
 def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, largest: float, projections: int, threshold: float, verify_share: float, widen: float, verify_least: int = 600, seed: int = 7) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, inner product) of up to k candidates of each query, best first, by collision counting."""
+    """(query_id, vec_id, inner product) of up to k candidates of each query, best first, by collision counting.
+
+    Equal vectors are counted and verified as one, so they are found together and differ by vec_id only.
+    """
+    data, group = np.unique(data, axis=0, return_inverse=True)
+    by_group = np.lexsort((data_ids, group.ravel()))
+    starts = np.searchsorted(group.ravel()[by_group], np.arange(len(data) + 1))
     n, dim = data.shape
     lines = np.random.default_rng(seed).standard_normal((dim + 1, projections))
     last = np.sqrt(np.maximum(0.0, largest**2 - np.einsum("ij,ij->i", data, data)))
@@ -62,16 +79,24 @@ def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray,
                 found, last = near, t - 1
             else:
                 first = t + 1
-        found = found[data_ids[found] != query_ids[q]]
-        score = data[found] @ queries[q]
-        best = np.lexsort((data_ids[found], -score))
-        seen: set[int] = set()
-        for i in best.tolist():
-            v = int(data_ids[found[i]])
-            if v not in seen:
+        score = inner_products(data[found], queries[q])
+        order = np.argsort(-score, kind="stable")
+        found, score = found[order], score[order]
+        last = 0  # groups that are needed: k distinct ids, and all groups that tie with the last of them
+        ids: set[int] = set()
+        while last < len(found) and (len(ids) < k or score[last] == score[last - 1]):
+            own = data_ids[by_group[starts[found[last]] : starts[found[last] + 1]]]
+            ids.update(own[own != query_ids[q]].tolist())
+            last += 1
+        members = [data_ids[by_group[starts[g] : starts[g + 1]]] for g in found[:last]]
+        scores = np.repeat(score[:last], [len(m) for m in members])
+        members = np.concatenate(members) if members else np.empty(0, np.int64)
+        seen: set[int] = {int(query_ids[q])}
+        for i in np.lexsort((members, -scores)).tolist():
+            if (v := int(members[i])) not in seen:
                 seen.add(v)
-                out.append((int(query_ids[q]), v, float(score[i])))
-                if len(seen) == k:
+                out.append((int(query_ids[q]), v, float(scores[i])))
+                if len(seen) > k:
                     break
     return out
 

@@ -115,13 +115,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE lines AS (SELECT doc_id, source, md5(text) AS body, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
      keyed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines),
-     sums AS (SELECT k.*, md5(k.line) AS own, md5(d.text) AS body FROM keyed k JOIN documents d USING (doc_id) WHERE line <> ''),
-     low AS (SELECT doc_id, list_sort(list_distinct(list(own))) AS m FROM sums GROUP BY doc_id),
-     beside AS (SELECT s.*, CASE WHEN own = m[1] THEN m[2] ELSE m[1] END AS beside FROM sums s JOIN low USING (doc_id)),
-     once AS (SELECT line, beside, arg_min(source, doc_id) FILTER (source IS NOT NULL) AS site FROM beside GROUP BY line, beside),
-     wide AS (SELECT line FROM once GROUP BY line HAVING count(DISTINCT site) >= 5),
+     sums AS (SELECT * FROM keyed WHERE line <> ''),
+     texts AS (SELECT line, body, arg_min(source, doc_id) FILTER (source IS NOT NULL) AS site, min(doc_id) FILTER (source IS NOT NULL) AS low FROM sums GROUP BY line, body),
+     open AS (SELECT line FROM texts GROUP BY line HAVING count(DISTINCT site) >= 4),
+     bodies AS (SELECT DISTINCT body FROM texts JOIN open USING (line)),
+     w AS (SELECT body, any_value(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS words FROM documents JOIN bodies ON md5(text) = body GROUP BY body),
+     shingles AS (SELECT DISTINCT body, shingle FROM (
+         SELECT body, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS shingle FROM w WHERE len(words) >= 5
+         UNION ALL SELECT body, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4)),
+     sizes AS (SELECT body, count(*) AS n FROM shingles GROUP BY body),
+     common AS (SELECT a.body AS a, b.body AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.body <> b.body GROUP BY ALL),
+     links AS (SELECT a, b FROM common JOIN sizes x ON x.body = a JOIN sizes y ON y.body = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+     reached AS (SELECT body, body AS other FROM bodies UNION SELECT r.body, l.b FROM reached r JOIN links l ON l.a = r.other),
+     near AS (SELECT body, min(other) AS near FROM reached GROUP BY body),
+     once AS (SELECT line, near, arg_min(site, low) AS site FROM texts JOIN near USING (body) GROUP BY line, near),
+     wide AS (SELECT line FROM once JOIN open USING (line) GROUP BY line HAVING count(DISTINCT site) >= 5),
      firsts AS (SELECT line, arg_min(body, doc_id) AS first_text FROM sums JOIN wide USING (line) GROUP BY line),
      cut AS (SELECT doc_id, pos FROM sums JOIN firsts USING (line) WHERE body <> first_text),
      marked AS (SELECT k.*, c.pos IS NOT NULL AS gone FROM keyed k LEFT JOIN cut c ON k.doc_id = c.doc_id AND k.pos = c.pos)

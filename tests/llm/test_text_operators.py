@@ -258,9 +258,32 @@ def test_copies_of_a_document_are_one_site(spark):
 
 
 def test_line_spread_near_the_threshold(spark):
-    rows = [(d, f"line{k}\nown{d}", f"s{d % 60}") for k, sites in ((0, 49), (1, 50), (2, 51), (3, 60)) for d in range(k * 100, k * 100 + sites)]
-    lines = line_dedup.lines_of(spark.createDataFrame([(d, t, f"s{d % 100}") for d, t, _ in rows], "doc_id long, text string, source string"))
-    assert line_dedup.widespread_lines(lines, 50).count() == 3
+    rows = [(d, f"line{k}\nown{d}", f"s{d % 100}") for k, sites in ((0, 49), (1, 50), (2, 51), (3, 60)) for d in range(k * 100, k * 100 + sites)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert line_dedup.widespread_lines(docs, line_dedup.lines_of(docs), 50).count() == 3
+
+
+def test_all_boilerplate_of_a_site_goes(spark):
+    """Each line on many sites goes, whatever other lines stand beside it and however their hashes sort."""
+    menu = next(f"Home | About | {i}" for i in range(1 << 20) if hashlib.md5(f"Home | About | {i}".encode()).hexdigest().startswith("0000"))
+    header = [f"Header entry {i}" for i in range(12)]
+    rows = [(d, f"own a {d}\nSubscribe to our newsletter\nown b {d}\n{menu}", f"site{d % 20}") for d in range(200)]
+    own = [" ".join(f"word{d}x{i}" for i in range(40)) for d in range(30)]
+    rows += [(300 + d, "\n".join([*header, *own[d].split(" ", 6)]), f"site{d % 20}") for d in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got.pop(0) == (rows[0][1], 0) and got.pop(300) == (rows[200][1], 0)  # the first text with a line keeps it
+    assert all(got[d] == (f"own a {d}\nown b {d}", 2) for d in range(1, 200))
+    assert all(got[300 + d] == ("\n".join(own[d].split(" ", 6)), 12) for d in range(1, 30))
+
+
+def test_near_copies_on_many_sites_keep_their_lines(spark):
+    """Near copies whose edits differ are one site, also where the edit is in the line with the smallest hash."""
+    lines = [" ".join(f"w{i}n{j}" for j in range(12)) for i in range(20)]
+    rows = [(d, "\n".join([f"changed {d}" if i == d else x for i, x in enumerate(lines)] + ["all rights reserved"]), f"site{d}") for d in range(15)]
+    rows += [(50 + d, f"page {d} of its own\nall rights reserved", f"site{d}") for d in range(6)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[d] == (t if d == 0 else t.replace("\nall rights reserved", "")) for d, t, _ in rows)
 
 
 def test_fingerprints(odd_docs, no_docs):
