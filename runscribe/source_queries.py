@@ -425,3 +425,52 @@ def second_opinion_limits(spark, sf_dir):
 def rewrite_lint_status(spark, sf_dir):
     rows = hook_lines(spark, sf_dir)
     return gates.lint_status(rows, gates.rewrite_lint(rows))
+
+
+CARDS_SQL = """WITH u AS (SELECT user_id, p.pass_no, count(*) AS n, sum(event_id % 1000) AS s, max(event_id) AS last FROM events, (VALUES (1, TIMESTAMP '2024-01-21'), (2, TIMESTAMP '2100-01-01')) p(pass_no, until) WHERE ts < p.until GROUP BY ALL),
+  c AS (SELECT pass_no, user_id, 'u' || user_id || '.json' AS file, 'skill' || user_id % 40 AS skill, printf('%012d', last) AS ts, CASE WHEN user_id % 4 = 0 THEN 900 + user_id % 3 ELSE s % 1000 END AS cents, [(n + k * user_id) % 10 + 1 FOR k IN range(7)] AS d FROM u),
+  one AS (SELECT *, user_id % 10 = 9 AS broken FROM c WHERE pass_no = 1),
+  two AS (SELECT *, user_id % 10 = 7 AS broken FROM c WHERE pass_no = 2 AND user_id % 10 <> 3),
+  e AS (SELECT 1 AS pass_no, file, CASE WHEN broken THEN 'broken' ELSE 'first' END AS kind, CASE WHEN NOT broken THEN skill END AS skill, ts, NULL AS before, cents, 0 AS up, 0 AS down FROM one
+    UNION ALL SELECT 2, two.file, 'broken', NULL, two.ts, NULL, NULL, NULL, NULL FROM two WHERE broken
+    UNION ALL SELECT 2, one.file, 'removed', one.skill, one.ts, one.cents, NULL, NULL, NULL FROM one LEFT JOIN two ON one.user_id = two.user_id WHERE NOT one.broken AND (two.user_id IS NULL OR two.broken)
+    UNION ALL SELECT 2, two.file, CASE WHEN one.user_id IS NULL OR one.broken THEN 'first' ELSE 'changed' END, two.skill, two.ts, CASE WHEN NOT one.broken THEN one.cents END, two.cents,
+      CASE WHEN one.user_id IS NULL OR one.broken THEN 0 ELSE len(list_filter(range(1, 8), lambda i: two.d[i] > one.d[i])) END, CASE WHEN one.user_id IS NULL OR one.broken THEN 0 ELSE len(list_filter(range(1, 8), lambda i: two.d[i] < one.d[i])) END
+      FROM two LEFT JOIN one ON one.user_id = two.user_id WHERE NOT two.broken AND (one.user_id IS NULL OR one.broken OR (one.ts, one.cents, one.d) <> (two.ts, two.cents, two.d))),
+  w1 AS (SELECT * FROM e WHERE pass_no = 1 AND kind = 'first' QUALIFY row_number() OVER (PARTITION BY skill ORDER BY ts DESC, file DESC) <= 10),
+  w2 AS (SELECT skill, file, ts, cents FROM e WHERE pass_no = 2 AND kind IN ('first', 'changed') UNION ALL SELECT skill, file, ts, cents FROM w1 WHERE file NOT IN (SELECT file FROM e WHERE pass_no = 2)),
+  w3 AS (SELECT 1 AS pass_no, skill, cents FROM w1 UNION ALL SELECT 2, skill, cents FROM w2 QUALIFY row_number() OVER (PARTITION BY skill ORDER BY ts DESC, file DESC) <= 10),
+  w AS (SELECT pass_no, skill, count(*)::INT AS n, count(*) FILTER (cents >= 850)::INT AS top, stddev_pop(cents / 100.0) AS sigma FROM w3 GROUP BY ALL),
+  seen AS (SELECT DISTINCT pass_no, skill FROM e WHERE skill IS NOT NULL)
+SELECT pass_no::BIGINT AS pass_no, file, kind, skill, CASE WHEN kind = 'removed' THEN '[watch] removed: ' || file WHEN kind <> 'broken' THEN printf('[watch] %s: improved %d, regressed %d, unchanged %d since last run — ', skill, up, down, 7 - up - down) ||
+    CASE WHEN kind = 'first' THEN printf('composite %.2f (first run)', cents / 100.0) ELSE printf('composite %.2f %s %.2f (%s%.2f)', before / 100.0, CASE WHEN cents - before > 5 THEN '↑' WHEN cents - before < -5 THEN '↓' ELSE '→' END, cents / 100.0, CASE WHEN cents >= before THEN '+' ELSE '' END, (cents - before) / 100.0) END END AS header,
+  NULL::INT AS window_runs, NULL::INT AS window_top, NULL::BOOLEAN AS collapsed FROM e
+UNION ALL SELECT seen.pass_no, NULL, 'window', seen.skill, NULL, coalesce(w.n, 0), coalesce(w.top, 0), coalesce(w.n >= 5 AND w.top / w.n >= 0.95 AND w.sigma < 0.3, false) FROM seen LEFT JOIN w ON w.pass_no = seen.pass_no AND w.skill = seen.skill"""
+
+
+def user_cards(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
+    """user_id, file, value: a scorecard a user of the events before ``until``."""
+    u = F.col("user_id")
+    rows = read(spark, sf_dir, "events").where(F.col("ts") < F.lit(until).cast("timestamp")).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("event_id") % 1000).alias("s"), F.max("event_id").alias("last"))
+    cents = F.when(u % 4 == 0, 900 + u % 3).otherwise(F.col("s") % 1000)
+    scores = F.struct(*[F.struct(((F.col("n") + k * u) % 10 + 1).alias("score")).alias(d) for k, d in enumerate(scoring.DIMENSIONS)])
+    card = F.struct(F.concat(F.lit("skill"), u % 40).alias("skill"), F.lpad(F.col("last").cast("string"), 12, "0").alias("timestamp"), (cents / 100.0).cast("decimal(6,2)").alias("composite_score"), scores.alias("dimensions"))
+    return rows.select("user_id", F.concat(F.lit("u"), u, F.lit(".json")).alias("file"), F.to_json(card).alias("value"))
+
+
+@query(CARDS_SQL)
+def watch_cards(spark, sf_dir):
+    """A folder of scorecards followed over two passes: between them files are rewritten, removed, broken and mended."""
+    import uuid
+
+    from .functions.folders import shared_folder
+    from .sources import card_folder
+
+    at = f"{shared_folder(spark)}/cards-{uuid.uuid4().hex}"
+    card_folder.register(spark)
+    k = F.col("user_id") % 10
+    passes = [("2024-01-21", F.when(k == 9, "{").otherwise(F.col("value"))), ("2100-01-01", F.when(k == 3, None).when(k == 7, "[").otherwise(F.col("value")))]
+    for until, value in passes:
+        user_cards(spark, sf_dir, until).select("file", value.alias("value")).write.format(card_folder.NAME).mode("append").save(f"{at}/cards")
+        watch.watch_folder(spark, f"{at}/cards", f"{at}/state", f"{at}/changes")
+    return spark.read.parquet(f"{at}/changes").select("pass_no", "file", "kind", "skill", "header", "window_runs", "window_top", "collapsed")

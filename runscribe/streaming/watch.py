@@ -1,9 +1,18 @@
-"""Watching a folder of scored runs: each new run against the last one of its skill."""
+"""Watching scored runs: a folder of scorecards that are added, rewritten and removed, or a table of runs by skill."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.scoring import DIMENSIONS
+from ..sources import card_folder
+from ..sources.transcripts import _kind, _string
 
 COLUMNS = ["skill", "run_id", "ts", "composite_cents"]
 LAST = "skill string, last double, recent array<double>"
@@ -62,6 +71,160 @@ def removed(before: DataFrame, now: DataFrame) -> DataFrame:
     return before.select("file").join(now.select("file"), "file", "left_anti").select("file", F.concat(F.lit("[watch] removed: "), "file").alias("header"))
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
+CHANGE = "pass_no long, file string, kind string, skill string, ts string, before double, composite double, improved int, regressed int, unchanged int"
+WATCHED = f"{CHANGE}, window_runs int, window_top int, sigma double"
+
+
+def cards_read(files: DataFrame) -> DataFrame:
+    """(pass_no, file, kind, modified, value) -> pass_no, file, kind, modified, is_card, skill, ts, composite, scores, digest.
+
+    A card is a JSON object.  Its skill is the file's name without its end where it names none, its composite 0 where it has none;
+    a dimension's score counts if it is a number, cut to a whole one.  Two texts of one document have one digest.
+    """
+    v = F.try_parse_json("value")
+    v = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+    def number(path: str) -> F.Column:
+        kind = _kind(v, path)
+        return F.when(F.exists(F.array(*[F.lit(n) for n in NUMBERS]), lambda n: kind.startswith(n)), F.try_variant_get(v, path, "double"))
+
+    scores = F.array(*[F.floor(F.abs(number(f"$.dimensions.{d}.score"))).cast("int") * F.signum(number(f"$.dimensions.{d}.score")).cast("int") for d in DIMENSIONS])
+    return files.select(
+        "pass_no", "file", "kind", "modified", v.isNotNull().alias("is_card"), F.coalesce(_string(v, "$.skill"), F.regexp_replace("file", r"\.[^.]*$", "")).alias("skill"),
+        F.coalesce(_string(v, "$.timestamp"), F.lit("")).alias("ts"), F.coalesce(number("$.composite_score"), F.lit(0.0)).alias("composite"), scores.alias("scores"), F.md5(F.to_json(v)).alias("digest"),
+    )
+
+
+class CardChanges(StatefulProcessor):
+    """By file: the last card as a value state; what changed against it.  A card that can't be read any more counts as removed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.card = handle.getValueState("card", "skill string, ts string, composite double, scores array<int>, digest string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        out = []
+        seen = sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r[0])  # a row a pass
+        for number, file, kind, _, is_card, skill, ts, composite, scores, digest in seen:
+            old = self.card.get() if self.card.exists() else None
+            if kind == "written" and is_card:
+                if old is not None and old[4] == digest:
+                    continue
+                now = [None if s is None or s != s else int(s) for s in scores]
+                was = list(old[3]) if old is not None else [None] * len(now)
+                pairs = [(a, b) for a, b in zip(was, now, strict=True) if a is not None and b is not None]
+                up, down = sum(b > a for a, b in pairs), sum(b < a for a, b in pairs)
+                if old is not None and old[0] != skill:
+                    out.append((number, file, "moved", old[0], old[1], old[2], None, None, None, None))
+                out.append((number, file, "first" if old is None else "changed", skill, ts, None if old is None else old[2], composite, up, down, len(now) - up - down))
+                self.card.update((skill, ts, composite, now, digest))
+                continue
+            if kind == "written":
+                out.append((number, file, "broken", None, None, None, None, None, None, None))
+            if old is not None:
+                out.append((number, file, "removed", old[0], old[1], old[2], None, None, None, None))
+                self.card.clear()
+        yield pd.DataFrame(out, columns=["pass_no", "file", "kind", "skill", "ts", "before", "composite", "improved", "regressed", "unchanged"]).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
+class SkillWindow(StatefulProcessor):
+    """By skill: the last WINDOW runs by (ts, file) as a list state.  Changes pass through; a row ``window`` says how these runs stand after them.
+
+    What is kept doesn't depend on the order in which a pass's changes arrive: of the runs held before, WINDOW at most can go, so
+    twice as many are held until all changes are seen.  A removed run leaves a gap that only later runs fill.
+    """
+
+    def __init__(self, top: float):
+        self.top = top
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getListState("runs", "ts string, file string, composite double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = {file: (ts, file, composite) for ts, file, composite in self.runs.get()}
+        before, gone, number = set(held), set(), 0
+        for frame in rows:  # frames pass through one by one
+            for r in frame.itertuples(index=False):
+                number = max(number, r[0])
+                if r[2] in ("removed", "moved"):
+                    if r[1] in before:
+                        gone.add(r[1])
+                    else:
+                        held.pop(r[1], None)
+                elif r[2] in ("first", "changed"):
+                    held[r[1]] = (r[4], r[1], r[6])
+                    gone.discard(r[1])
+            held = {x[1]: x for x in sorted(held.values())[-2 * WINDOW :]}
+            yield frame.assign(window_runs=None, window_top=None, sigma=None).astype(object)
+        held = {x[1]: x for x in sorted(x for x in held.values() if x[1] not in gone)[-WINDOW:]}
+        if held:
+            self.runs.put(list(held.values()))
+        else:
+            self.runs.clear()
+        kept = [x[2] for x in held.values()]
+        sigma = float(pd.Series(kept).std(ddof=0)) if kept else None
+        if key[0] is not None:  # files that never could be read have no skill
+            yield pd.DataFrame([(number, None, "window", key[0], None, None, None, None, None, None, len(kept), sum(x >= self.top for x in kept), sigma)], columns=[*frame.columns, "window_runs", "window_top", "sigma"]).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
+def watched(files: DataFrame, top: float = 8.5) -> DataFrame:
+    """A stream of (pass_no, file, kind, modified, value) -> WATCHED: changes of cards, and each changed skill's last runs.
+
+    Two keyed states in a RocksDB store: a card a file, at most WINDOW runs a skill.  A skill's changes of a micro-batch are
+    one task's, which lets them pass in Arrow batches.  Files that broke have no skill; they and what they replace are rows too.
+    """
+    changes = cards_read(files).groupBy("file").transformWithStateInPandas(CardChanges(), CHANGE, "Append", "None")
+    return changes.groupBy("skill").transformWithStateInPandas(SkillWindow(top), WATCHED, "Append", "None")
+
+
+def header_of() -> F.Column:
+    """What a watcher prints of a change; null for rows that aren't printed."""
+    now, was = F.col("composite"), F.col("before")
+    gain = now - was
+    arrow = F.when(gain > 0.05, "↑").when(gain < -0.05, "↓").otherwise("→")
+    change = F.when(F.col("kind") == "first", F.format_string("composite %.2f (first run)", now)).otherwise(F.format_string("composite %.2f %s %.2f (%+.2f)", was, arrow, now, gain))
+    text = F.format_string("[watch] %s: improved %d, regressed %d, unchanged %d since last run — %s", "skill", "improved", "regressed", "unchanged", change)
+    return F.when(F.col("kind").isin("first", "changed"), text).when(F.col("kind") == "removed", F.concat(F.lit("[watch] removed: "), "file"))
+
+
+def collapsed_of(least: int = 5, share: float = 0.95, spread: float = 0.3) -> F.Column:
+    """Whether a ``window`` row's runs are nearly all at the top and hardly differ; null for other rows."""
+    n = F.col("window_runs")
+    return F.when(F.col("kind") == "window", F.coalesce((n >= least) & (F.col("window_top") / n >= share) & (F.col("sigma") < spread), F.lit(False)))
+
+
+def watch_folder(spark: SparkSession, folder: str, checkpoint: str, out: str, interval: str | None = None, top: float = 8.5):
+    """Follow a folder of scorecards and add what changed to ``out`` as Parquet.
+
+    Without ``interval`` one pass is made: what differs from the last pass of this checkpoint, or is there at all, is handled and
+    the query ends; with one ("2 seconds") the folder is listed that often until the returned query is stopped.
+    """
+    card_folder.register(spark)
+    files = spark.readStream.format(card_folder.NAME).option("path", folder).option("passes", f"{checkpoint}/passes").load()
+    rows = watched(files, top).withColumns({"header": header_of(), "collapsed": collapsed_of()})
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{checkpoint}/query")
+    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+    try:
+        query = writer.start()
+        if interval is None:
+            query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return query
+
+
 def watch_once(runs: DataFrame, checkpoint: str, out: str) -> None:
     """Handle all runs that are there, write their changes as Parquet, and stop; a later call goes on from there.
 
