@@ -131,21 +131,35 @@ def lint_status(lines: DataFrame, findings: DataFrame) -> DataFrame:
     return sources.join(found, "source_id", "left").select("source_id", n.alias("n_findings"), F.when(~F.col("there"), 2).when(n > 0, 1).otherwise(0).alias("status"))
 
 
-def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """(…, model, input_tokens, output_tokens) with prices a million tokens; an unknown model costs the default.
+# What a model costs that no table names, dollars a million tokens, and what is said of a card without usage.
+DEFAULT_RATE = {"input": 10.0, "output": 30.0}
+NO_USAGE = "No llm_usage block: heuristics only (zero LLM cost)."
 
-    Every usage row stays.  Without a price for its model or a ``default`` row its cost is null; negative or missing
-    tokens have no cost either.  Of prices that repeat a model the highest counts.
+
+def cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """(…, model, input_tokens, output_tokens) with model_used, input_usd, output_usd, total_usd and status.
+
+    Prices are (model, input, output), dollars a million tokens.  A model without a row costs the ``default`` row, and where
+    there is none DEFAULT_RATE; a side without a rate is free.  The total is the sum of both sides, rounded once.  Negative or
+    missing tokens have no cost and status 2, all others 0.  Every usage row stays; of prices that repeat a model the highest counts.
     """
-    table = prices.groupBy("model").agg(F.max(F.struct("input", "output")).alias("own"))
-    default = table.where("model = 'default'").select(F.lit(1).alias("_all"), F.col("own").alias("rest"))  # one row at most
-    own = table.where("model <> 'default'").withColumnRenamed("model", "priced")
-    joined = usage.withColumn("_all", F.lit(1)).join(own, F.col("model") == F.col("priced"), "left").join(default, "_all", "left")
-    each = []
-    for tokens, side in (("input_tokens", "input"), ("output_tokens", "output")):
-        n = F.when(F.col(tokens) >= 0, F.col(tokens)).cast("decimal(20,0)")
-        each.append((n * F.coalesce(f"own.{side}", f"rest.{side}").cast("decimal(12,4)") / 1_000_000).cast("decimal(24,6)"))
-    return joined.select(*usage.columns, each[0].alias("input_usd"), each[1].alias("output_usd"), (each[0] + each[1]).alias("total_usd"))
+    joined = usage.withColumn("_all", F.lit(1))
+    if prices is None:
+        joined = joined.withColumns({"_priced": F.lit(None).cast("string"), "_own": F.lit(None).cast("struct<input:double,output:double>"), "_rest": F.lit(None).cast("struct<input:double,output:double>")})
+    else:
+        rates = F.struct(*[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in DEFAULT_RATE])
+        table = prices.groupBy("model").agg(F.max(rates).alias("_own"))
+        default = table.where("model = 'default'").select(F.lit(1).alias("_all"), F.col("_own").alias("_rest"))  # one row at most
+        joined = joined.join(table.where("model <> 'default'").withColumnRenamed("model", "_priced"), F.col("model") == F.col("_priced"), "left").join(default, "_all", "left")
+    fits = (F.col("input_tokens") >= 0) & (F.col("output_tokens") >= 0)
+    sides = {s: F.when(fits, F.col(f"{s}_tokens") / 1_000_000 * F.coalesce(f"_own.{s}", f"_rest.{s}", F.lit(rate))) for s, rate in DEFAULT_RATE.items()}
+    return joined.select(
+        *usage.columns,
+        F.coalesce("_priced", F.lit("default")).alias("model_used"),
+        *[F.round(v, 6).alias(f"{s}_usd") for s, v in sides.items()],
+        F.round(sides["input"] + sides["output"], 6).alias("total_usd"),
+        F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(2).alias("status"),
+    )
 
 
 def pinned_dimensions(cases: DataFrame) -> DataFrame:
@@ -190,10 +204,11 @@ def collapse_gate(collapsed: Column, mode: str = "warn") -> Column:
     return F.when(F.coalesce(collapsed, F.lit(False)) & F.lit(mode != "off"), F.lit(mode)).otherwise("pass")
 
 
-def cost_of_scorecards(cards: DataFrame, prices: DataFrame) -> DataFrame:
-    """(skill, model, llm_usage: struct of input_tokens and output_tokens, or null) -> cost; without usage nothing was spent."""
+def cost_of_scorecards(cards: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """(skill, model, llm_usage: struct of input_tokens and output_tokens, or null) -> cost; without usage nothing was spent, whatever the model."""
     used = F.col("llm_usage").isNotNull()
     usage = cards.select(
-        "skill", F.coalesce("model", F.lit("default")).alias("model"), F.coalesce("llm_usage.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("llm_usage.output_tokens", F.lit(0)).alias("output_tokens"), used.alias("has_usage")
+        "skill", F.coalesce(F.nullif("model", F.lit("")), F.lit("default")).alias("model"), F.coalesce("llm_usage.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("llm_usage.output_tokens", F.lit(0)).alias("output_tokens"), used.alias("has_usage")
     )
-    return cost(usage, prices).select("skill", "model", "has_usage", "total_usd")
+    rationale = F.when(~F.col("has_usage"), NO_USAGE).alias("rationale")
+    return cost(usage, prices).select("skill", "model", "model_used", "has_usage", F.when(F.col("has_usage"), F.col("total_usd")).otherwise(0.0).alias("total_usd"), rationale, "status")

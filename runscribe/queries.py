@@ -357,16 +357,19 @@ def auto_and_threshold_gate(spark, sf_dir):
     return gates.threshold_gate(gates.auto_gate(hist(spark, sf_dir), lists), 400).select("skill", "run_id", "composite_cents")
 
 
-_PRICES = [("default", 3.0, 15.0), ("small", 1.0, 5.0), ("large", 15.0, 75.0)]
+_PRICES = [("default", 3.0, 15.0), ("small", 1.0, 5.0), ("large", 15.0, 75.0), ("tiny", 0.2, 0.00003)]
 
 
-@query("WITH u AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'large' WHEN 2 THEN 'other' END AS model, event_id * 37 % 90001 AS i, event_id * 53 % 7001 AS o FROM events) "
-       "SELECT event_id, CAST(CAST(i * CASE model WHEN 'small' THEN 1 WHEN 'large' THEN 15 ELSE 3 END AS DECIMAL(24,6)) / 1000000 + CAST(o * CASE model WHEN 'small' THEN 5 WHEN 'large' THEN 75 ELSE 15 END AS DECIMAL(24,6)) / 1000000 AS DOUBLE) AS total_usd FROM u")
+@query("""WITH u AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'small' WHEN 1 THEN 'large' WHEN 2 THEN 'other' WHEN 4 THEN 'tiny' WHEN 5 THEN 'small' END AS model, CASE WHEN event_id % 12 = 5 THEN -1 ELSE event_id * 37 % 90001 END AS i, CASE WHEN event_id % 12 <> 11 THEN event_id * 53 % 7001 END AS o FROM events),
+  r AS (SELECT *, CASE model WHEN 'small' THEN 1.0 WHEN 'large' THEN 15.0 WHEN 'tiny' THEN 0.2 ELSE 3.0 END::DOUBLE AS ri, CASE model WHEN 'small' THEN 5.0 WHEN 'large' THEN 75.0 WHEN 'tiny' THEN 0.00003 ELSE 15.0 END::DOUBLE AS ro FROM u)
+  SELECT event_id, CASE WHEN model IN ('small', 'large', 'tiny') THEN model ELSE 'default' END AS model_used, CASE WHEN i >= 0 THEN round(i / 1000000 * ri + o / 1000000 * ro, 6) END AS total_usd, CASE WHEN i >= 0 AND o >= 0 THEN 0 ELSE 2 END AS status FROM r""")
 def cost_estimate(spark, sf_dir):
+    """Models with and without a price, rates of many decimals, negative and missing tokens."""
     e = F.col("event_id")
-    model = F.when(e % 4 == 0, "small").when(e % 4 == 1, "large").when(e % 4 == 2, "other")
-    usage = read(spark, sf_dir, "events").select("event_id", model.alias("model"), (e * 37 % 90001).alias("input_tokens"), (e * 53 % 7001).alias("output_tokens"))
-    return gates.cost(usage, spark.createDataFrame(_PRICES, "model string, input double, output double")).select("event_id", F.col("total_usd").cast("double").alias("total_usd"))
+    model = F.when(e % 6 == 0, "small").when(e % 6 == 1, "large").when(e % 6 == 2, "other").when(e % 6 == 4, "tiny").when(e % 6 == 5, "small")
+    tokens = F.when(e % 12 == 5, -1).otherwise(e * 37 % 90001), F.when(e % 12 != 11, e * 53 % 7001)
+    usage = read(spark, sf_dir, "events").select("event_id", model.alias("model"), tokens[0].alias("input_tokens"), tokens[1].alias("output_tokens"))
+    return gates.cost(usage, spark.createDataFrame(_PRICES, "model string, input double, output double")).select("event_id", "model_used", "total_usd", "status")
 
 
 @query("WITH t AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS ms FROM events) SELECT user_id, count(*) AS calls, count(*) FILTER (ms > 40000) AS slow, CASE WHEN count(*) FILTER (ms > 40000) >= 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS dock, max(ms) AS slowest FROM t GROUP BY user_id")

@@ -91,16 +91,18 @@ def retagged_lines(spark, sf_dir):
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as chat files: an array, an object with messages, or a message a line."""
-    call = F.array(F.struct(F.lit("1").alias("id"), F.struct(F.lit("get").alias("name"), F.concat(F.lit("{"), F.col("turn").cast("string"), F.lit("}")).alias("arguments")).alias("function")))
+    """Conversations as chat files: an array, an object with messages, or a message a line; some calls have an object of arguments."""
+    given = F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("@@"), "turn", F.lit("@@"))).otherwise(F.concat(F.lit("{"), F.col("turn").cast("string"), F.lit("}")))
+    call = F.array(F.struct(F.lit("1").alias("id"), F.struct(F.lit("get").alias("name"), given.alias("arguments")).alias("function")))
     message = F.struct("role", F.coalesce("text", F.lit("")).alias("content"), F.when(F.col("turn") % 3 == 0, call).alias("tool_calls"))
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("m"))
     by_line = F.array_join(F.transform("m", lambda x: F.to_json(x)), "\n")
     value = F.when(F.col("conv_id") % 3 == 0, F.to_json("m")).when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(F.lit("x").alias("model"), F.col("m").alias("messages")))).otherwise(F.concat(F.lit("\n# note\n"), by_line))
+    value = F.regexp_replace(value, '"@@(\\d+)@@"', '{"z":$1,"a":["é, :\\\\"",1.5,true]}')
     return rows.select(F.col("conv_id").alias("transcript_id"), F.when(F.col("conv_id") % 2 == 0, "a.json").otherwise("a.md").alias("name"), value.alias("value"))
 
 
-_CHAT_SQL = """p AS (SELECT conv_id AS transcript_id, turn, list_concat(CASE WHEN coalesce(text, '') <> '' THEN [text] ELSE [] END, CASE WHEN turn % 3 = 0 THEN ['tool_use: get({' || turn || '})'] ELSE [] END) AS parts FROM conversations),
+_CHAT_SQL = """p AS (SELECT conv_id AS transcript_id, turn, list_concat(CASE WHEN coalesce(text, '') <> '' THEN [text] ELSE [] END, CASE WHEN turn % 3 = 0 THEN ['tool_use: get(' || CASE WHEN conv_id % 4 = 1 THEN '{"z": ' || turn || ', "a": ["\\u00e9, :\\"", 1.5, true]}' ELSE '{' || turn || '}' END || ')'] ELSE [] END) AS parts FROM conversations),
   u AS (SELECT transcript_id, turn, unnest(parts) AS text, unnest(range(len(parts))) AS part FROM p)"""
 
 
@@ -158,12 +160,14 @@ def rubric_resolution(spark, sf_dir):
     return transcripts.resolve_rubrics(skills, names)
 
 
-@query("""SELECT doc_id AS name, 'correctness' AS dim, coalesce(source, 'none') AS criteria FROM documents WHERE doc_id % 2 = 0
-  UNION ALL SELECT doc_id, 'safety', 'no ' || coalesce(lang, 'xx') || chr(10) || 'second line' FROM documents""")
+@query("""SELECT doc_id AS name, 'correctness' AS dim, '### Correctness: what' || chr(10) || chr(10) || ' ' || coalesce(source, 'none') AS criteria FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'safety', CASE WHEN doc_id % 5 = 0 THEN '###  safety again' || chr(10) || 'last' ELSE '### Safety' || chr(10) || 'no ' || coalesce(lang, 'xx') || chr(10) || 'second line ' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## Other' || chr(10) || '#### not a heading' ELSE '' END END FROM documents""")
 def rubric_criteria(spark, sf_dir):
+    """A heading keeps its line and all behind it up to the next one; of two headings of one word the last counts."""
     d = F.col("doc_id")
-    one = F.when(d % 2 == 0, F.concat(F.lit("### Correctness: what\n\n "), F.coalesce("source", F.lit("none")), F.lit("\n"))).otherwise("")
-    text = F.concat(F.lit("# Rubric\n\nwords\n"), one, F.lit("### Safety\nno "), F.coalesce("lang", F.lit("xx")), F.lit("\nsecond line \n"), F.when(d % 3 == 0, "## Other\nnot this").otherwise(""))
+    one = F.when(d % 2 == 0, F.concat(F.lit("### Correctness: what\r\n\n "), F.coalesce("source", F.lit("none")), F.lit("\n"))).otherwise("")
+    more = F.concat(F.when(d % 3 == 0, "## Other\n#### not a heading").otherwise(""), F.when(d % 5 == 0, "\n###  safety again\nlast\n").otherwise(""))
+    text = F.concat(F.lit("# Rubric\n\nwords\n"), one, F.lit("### Safety\nno "), F.coalesce("lang", F.lit("xx")), F.lit("\nsecond line \n"), more)
     return transcripts.rubric_criteria(read(spark, sf_dir, "documents").select(d.alias("name"), text.alias("text")))
 
 
@@ -180,8 +184,11 @@ def rubric_weight_sidecars(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 6.5 + user_id % 3 ELSE 8.0 END AS correctness, CASE WHEN user_id % 5 = 0 THEN 8.25 ELSE 7.5 END AS composite FROM (SELECT DISTINCT user_id FROM events))
   SELECT user_id AS source, 'correctness' AS dim, correctness::DOUBLE AS benchmark FROM s UNION ALL SELECT user_id, 'composite', composite::DOUBLE FROM s UNION ALL SELECT user_id, 'safety', 9.0::DOUBLE FROM s""")
 def standards(spark, sf_dir):
+    """The last row of a dimension, a composite behind a line end; no composite behind other words, no number with words behind it."""
     u = F.col("user_id")
-    value = F.concat(F.lit("# Standards\n"), F.when(u % 2 == 0, F.concat(F.lit("| Correctness | "), (6.5 + u % 3).cast("string"), F.lit(" |\n"))).otherwise(""), F.when(u % 5 == 0, "Composite target: 8.25\n").otherwise(""))
+    table = F.when(u % 2 == 0, F.concat(F.lit("| correctness | 1.5 | old |\n| Correctness | "), (6.5 + u % 3).cast("string"), F.lit(" |\n"))).otherwise("| dimension | correctness | 8 of 10 |\n")
+    composite = F.when(u % 5 == 0, "Composite:\n 8.25\n").when(u % 5 == 1, "Composite target: 8.25\n").otherwise("")
+    value = F.concat(F.lit("# Standards\n"), table, composite, F.lit("| safety | 9.5 of 10 |\n"))
     rows = read(spark, sf_dir, "events").select("user_id").distinct().select(u.alias("source"), value.alias("value"))
     return transcripts.standards_of(rows, scoring.STANDARDS).where("dim IN ('correctness', 'composite', 'safety')")
 
@@ -300,14 +307,16 @@ def capability_gaps(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.array_join(gates.missing_capabilities(declared, required), ",").alias("missing"), gates.capability_rationale(declared, required).alias("rationale"))
 
 
-@query("""WITH c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'other' END AS model, event_id % 5 <> 0 AS has_usage, CASE WHEN event_id % 5 <> 0 THEN event_id * 7 ELSE 0 END AS i, CASE WHEN event_id % 5 <> 0 THEN event_id * 3 ELSE 0 END AS o FROM events)
-  SELECT event_id, has_usage, CAST(CAST(i * CASE WHEN model = 'alpha' THEN 2 ELSE 1 END AS DECIMAL(24,6)) / 1000000 + CAST(o * CASE WHEN model = 'alpha' THEN 5 ELSE 2 END AS DECIMAL(24,6)) / 1000000 AS DOUBLE) AS total_usd FROM c""")
+@query("""WITH c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'other' END AS model, event_id % 5 <> 0 AS has_usage, event_id * 7 AS i, event_id * 3 AS o FROM events)
+  SELECT event_id, CASE WHEN model = 'alpha' THEN 'alpha' ELSE 'default' END AS model_used, has_usage, CASE WHEN has_usage THEN round(i / 1000000 * CASE WHEN model = 'alpha' THEN 2.0::DOUBLE ELSE 10.0::DOUBLE END + o / 1000000 * CASE WHEN model = 'alpha' THEN 5.0::DOUBLE ELSE 30.0::DOUBLE END, 6) ELSE 0 END::DOUBLE AS total_usd,
+    CASE WHEN NOT has_usage THEN 'No llm_usage block: heuristics only (zero LLM cost).' END AS rationale FROM c""")
 def scorecard_cost(spark, sf_dir):
+    """No default row: what isn't priced costs the built-in rate, and a card without usage nothing."""
     e = F.col("event_id")
     usage = F.when(e % 5 != 0, F.struct((e * 7).alias("input_tokens"), (e * 3).alias("output_tokens")))
     cards = read(spark, sf_dir, "events").select(e.alias("skill"), F.when(e % 3 == 0, "alpha").when(e % 3 == 1, "other").alias("model"), usage.alias("llm_usage"))
-    prices = spark.createDataFrame([("alpha", 2.0, 5.0), ("default", 1.0, 2.0)], "model string, input double, output double")
-    return gates.cost_of_scorecards(cards, prices).select(F.col("skill").alias("event_id"), "has_usage", F.col("total_usd").cast("double").alias("total_usd"))
+    prices = spark.createDataFrame([("alpha", 2.0, 5.0)], "model string, input double, output double")
+    return gates.cost_of_scorecards(cards, prices).select(F.col("skill").alias("event_id"), "model_used", "has_usage", "total_usd", "rationale")
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:

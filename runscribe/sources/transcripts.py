@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,16 +139,35 @@ def _truthy(v: Column, path: str) -> Column:
     return F.when(_string(v, path) != "", _string(v, path))
 
 
-def _message_texts(m: Column) -> Column:
-    """Texts of a chat message: its content, parts flattened (``text``, else ``content``), then a line for each tool call."""
+def spaced(compact: Column) -> Column:
+    """Compact JSON text as Python's ``json.dumps`` writes it: a blank behind : and , outside of strings, and ASCII only."""
+    blanks = F.regexp_replace(compact, r'\G((?:[^":,]|"(?:[^"\\]|\\.)*+")*+)([:,])', "$1$2 ")
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        unit = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + n % 0x400)))
+
+    tokens = F.regexp_extract_all(blanks, F.lit(r"\\u[0-9A-F]{4}|\\.|[^\\]+"), F.lit(0))  # hex digits of escapes are small there
+    small = F.when(blanks.contains("\\u"), F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("\\u"), F.lower(t)).otherwise(t)), "")).otherwise(blanks)
+    return F.when(small.rlike("[^\\x00-\\x7f]"), F.array_join(F.transform(F.split(small, ""), escaped), "")).otherwise(small)
+
+
+def _message_texts(m: Column, source: Column, path: Column) -> Column:
+    """Texts of a chat message: its content, parts flattened (``text``, else ``content``), then a line for each tool call.
+
+    ``m`` stands at ``path`` of the JSON text ``source``; arguments that are no text are read from there, where keys keep their order.
+    """
     none = F.array().cast("array<string>")
     blocks = F.when(_kind(m, "$.content").startswith("ARRAY"), F.try_variant_get(m, "$.content", "array<variant>"))
     each = F.transform(blocks, lambda b: F.when(F.schema_of_variant(b) == "STRING", F.nullif(b.cast("string"), F.lit(""))).otherwise(F.coalesce(_truthy(b, "$.text"), _truthy(b, "$.content"))))
     calls = F.when(_kind(m, "$.tool_calls").startswith("ARRAY"), F.try_variant_get(m, "$.tool_calls", "array<variant>"))
 
-    def call(c: Column) -> Column:
-        other = F.coalesce(F.to_json(F.try_variant_get(c, "$.function.arguments", "variant")), F.lit("{}"))
-        given = F.when(_kind(c, "$.function.arguments") == "STRING", _string(c, "$.function.arguments")).when(_kind(c, "$.function.arguments") == "VOID", F.lit("{}")).otherwise(other)
+    def call(c: Column, i: Column) -> Column:
+        at = F.concat(path, F.lit(".tool_calls["), i.cast("string"), F.lit("].function.arguments"))
+        other = spaced(F.call_function("get_json_object", source, at))
+        other = F.when(F.coalesce(other, F.lit("")).isin("", "[]", "{}", "0", "0.0", "false", "null"), "{}").otherwise(other)
+        given = F.when(_kind(c, "$.function.arguments") == "STRING", _string(c, "$.function.arguments")).otherwise(other)
         return F.concat(F.lit("tool_use: "), _truthy(c, "$.function.name"), F.lit("("), given, F.lit(")"))
 
     own = F.when(_truthy(m, "$.content").isNotNull(), F.array(_truthy(m, "$.content"))).otherwise(F.coalesce(each, none))
@@ -157,9 +178,11 @@ def chat_lines(files: DataFrame) -> DataFrame:
     """(transcript_id, value): a JSON array of messages, an object with ``messages``, or one message a line."""
     v = F.try_parse_json("value")
     listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(_kind(v, "$.messages").startswith("ARRAY"), F.try_variant_get(v, "$.messages", "array<variant>"))
-    by_line = F.transform(F.split("value", LINE_ENDS), lambda x: _object(strip(x)))
-    rows = files.select("transcript_id", F.posexplode(F.coalesce(listed, by_line)).alias("line_no", "m"))
-    return _numbered(rows.select("transcript_id", "line_no", F.posexplode(_message_texts(F.col("m"))).alias("part", "text")))
+    root = F.when(F.schema_of_variant(v).startswith("ARRAY"), "$").otherwise("$.messages")
+    texts = F.transform(listed, lambda m, i: _message_texts(m, F.col("value"), F.concat(root, F.lit("["), i.cast("string"), F.lit("]"))))
+    by_line = F.transform(F.split("value", LINE_ENDS), lambda x: _message_texts(_object(strip(x)), strip(x), F.lit("$")))
+    rows = files.select("transcript_id", F.posexplode(F.coalesce(texts, by_line)).alias("line_no", "texts"))
+    return _numbered(rows.select("transcript_id", "line_no", F.posexplode("texts").alias("part", "text")))
 
 
 def markdown_lines(files: DataFrame) -> DataFrame:
@@ -189,12 +212,10 @@ DEFAULT_ADAPTER = "claude-code"
 
 
 def adapted_lines(files: DataFrame, adapter: str | None = None) -> DataFrame:
-    """(transcript_id, name, value) -> lines by a named adapter; without a name the built-in reading, an unknown name is an error."""
-    if adapter is None:
-        return jsonl_lines(records_of(files))
-    if adapter not in ADAPTERS:
-        raise ValueError(f"unknown adapter {adapter!r}; there are {sorted(ADAPTERS)}")
-    return ADAPTERS[adapter](files)
+    """(transcript_id, name, value) -> lines by a named adapter; without a name, and with a warning for an unknown one, the built-in reading."""
+    if adapter is not None and adapter not in ADAPTERS:
+        warnings.warn(f"unknown adapter {adapter!r}; using the built-in reading (there are {', '.join(sorted(ADAPTERS))})", stacklevel=2)
+    return ADAPTERS.get(adapter, lambda f: jsonl_lines(records_of(f)))(files)
 
 
 def folder_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -249,10 +270,13 @@ def model_of(records: DataFrame, prefix: str = "claude-") -> DataFrame:
 
 
 def rubric_criteria(rubrics: DataFrame) -> DataFrame:
-    """(name, text) -> name, dim, criteria: what stands under each ``### Word`` heading."""
-    blocks = F.regexp_extract_all("text", F.lit(r"(?ms)^###\s+(\w+)[^\n]*\n?(.*?)(?=^###?\s|\z)"), F.lit(0))
-    one = rubrics.select("name", F.explode(blocks).alias("block"))
-    return one.select("name", F.lower(F.regexp_extract("block", r"^###\s+(\w+)", 1)).alias("dim"), strip(F.regexp_replace("block", r"^###[^\n]*\n?", "")).alias("criteria"))
+    """(name, text) -> name, dim, criteria: each ``### Word`` heading with all lines up to the next one; of equal words the last counts."""
+    whole = F.regexp_replace("text", LINE_ENDS, "\n")
+    cut = F.filter(F.split(whole, r"(?mU)^(?=###[^\S\n]+\w)"), lambda b: b.rlike(r"(?U)\A###[^\S\n]+\w"))
+    blocks = F.transform(cut, lambda b: F.struct(F.lower(F.regexp_extract(b, r"(?U)\A###[^\S\n]+(\w+)", 1)).alias("dim"), F.regexp_replace(b, r"\n\z", "").alias("criteria")))
+    one = rubrics.select("name", blocks.alias("blocks"))
+    last = F.filter("blocks", lambda b, i: ~F.exists(F.slice("blocks", i + 2, F.size("blocks")), lambda x: x["dim"] == b["dim"]))
+    return one.select("name", F.explode(last).alias("b")).select("name", "b.*")
 
 
 def checked_weights(sidecars: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -282,10 +306,13 @@ def manifest_cases(files: DataFrame) -> DataFrame:
 
 
 def standards_of(files: DataFrame, defaults: dict[str, float], composite: float = 7.5) -> DataFrame:
-    """(source, value: markdown) -> source, dim, benchmark: rows ``| dimension | number |`` and a line ``composite number``, else the defaults."""
-    low, found = F.lower("value"), []
-    for d, default in {**defaults, "composite": composite}.items():
-        pattern = r"composite[^\d\n]*(\d+(?:\.\d+)?)" if d == "composite" else rf"\|\s*{d}\s*\|\s*(\d+(?:\.\d+)?)"
-        number = F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).cast("double")
-        found.append(F.struct(F.lit(d).alias("dim"), F.coalesce(number, F.lit(float(default))).alias("benchmark")))
-    return files.select("source", F.explode(F.array(*found)).alias("b")).select("source", "b.*")
+    """(source, value: markdown) -> source, dim, benchmark: rows ``| dimension | number |``, the last of a dimension, and the first
+    ``composite`` with a number behind blanks and colons only; else the defaults."""
+    row = r"(?U)\|\s*(\w+)\s*\|\s*(\d+(?:\.\d+)?)\s*\|"
+    each = (F.regexp_extract_all("value", F.lit(row), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(*each, lambda dim, number: F.struct(F.lower(dim).alias("dim"), number.alias("number")))
+    rows = files.select("source", pairs.alias("pairs"), F.nullif(F.regexp_extract("value", r"(?iU)composite[:\s]*(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double").alias("composite"))
+    own = lambda d: F.try_element_at(F.filter("pairs", lambda p: p["dim"] == d), F.lit(-1))["number"].cast("double")
+    found = [F.struct(F.lit(d).alias("dim"), F.coalesce(own(d), F.lit(float(default))).alias("benchmark")) for d, default in defaults.items()]
+    found.append(F.struct(F.lit("composite").alias("dim"), F.coalesce("composite", F.lit(float(composite))).alias("benchmark")))
+    return rows.select("source", F.explode(F.array(*found)).alias("b")).select("source", "b.*")

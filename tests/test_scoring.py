@@ -1,5 +1,7 @@
 """Ladders, detectors, history and sources on small hand-made inputs."""
 
+import json
+import random
 import re
 
 import pytest
@@ -200,9 +202,21 @@ def test_settings_fall_back_as_a_whole():
 def test_costs_keep_every_usage_row(spark):
     usage = spark.createDataFrame([("m19999", 1_000_000, 0), ("none", 1_000_000, 0), (None, 1, 1), ("m1", -5, 1)], "model string, input_tokens long, output_tokens long")
     prices = spark.range(20_001).selectExpr("concat('m', id) AS model", "CAST(id AS DOUBLE) AS input", "1.0D AS output")
-    assert [r["total_usd"] for r in gates.cost(usage, prices).orderBy(F.desc_nulls_last("input_usd")).collect()] == [19999, None, None, None]
-    priced = prices.union(spark.createDataFrame([("default", 3.0, 1.0)], prices.schema))
-    assert {r["model"]: float(r["total_usd"]) for r in gates.cost(usage, priced).where("total_usd IS NOT NULL").collect()} == {"m19999": 19999.0, "none": 3.0, None: 0.000004}
+    def of(table):
+        return {r["model"]: (r["model_used"], r["total_usd"], r["status"]) for r in gates.cost(usage, table).collect()}
+
+    assert of(prices) == {"m19999": ("m19999", 19999.0, 0), "none": ("default", 10.0, 0), None: ("default", 0.00004, 0), "m1": ("m1", None, 2)}
+    assert of(prices.union(spark.createDataFrame([("default", 3.0, 1.0)], prices.schema)))["none"] == ("default", 3.0, 0)
+    assert of(None)["none"] == of(prices.limit(0))["none"] == ("default", 10.0, 0)
+    fine = spark.createDataFrame([("a", 0.4, 0.4), ("b", 0.00004, None)], "model string, input double, output double")
+    small = spark.createDataFrame([("a", 1, 1), ("b", 1_000_000, 5)], "model string, input_tokens long, output_tokens long")
+    assert {r["model"]: r["total_usd"] for r in gates.cost(small, fine).collect()} == {"a": 0.000001, "b": 0.00004}
+
+
+def test_cost_of_cards_without_usage(spark):
+    cards = spark.createDataFrame([("s", "unknown", None), ("t", "unknown", (1_000_000, 0)), ("u", None, (-1, 0))], "skill string, model string, llm_usage struct<input_tokens:long,output_tokens:long>")
+    got = {r["skill"]: (r["total_usd"], r["rationale"], r["status"]) for r in gates.cost_of_scorecards(cards).collect()}
+    assert got == {"s": (0.0, gates.NO_USAGE, 0), "t": (10.0, None, 0), "u": (None, None, 2)}
 
 
 def test_windows_over_ranges_equal_windows_over_skills(spark):
@@ -252,12 +266,43 @@ def test_model_ids(spark):
 
 
 def test_adapters_by_name(spark):
-    files = spark.createDataFrame([("x", "s.md", " # Head \n\n- done\n"), ("y", "s.json", '[{"role":"user","content":"hi"},{"content":null,"tool_calls":[{"function":{"name":"f","arguments":{"a":1}}},{"function":{}}]}]')], "transcript_id string, name string, value string")
+    files = spark.createDataFrame([("x", "s.md", " # Head \n\n- done\n"), ("y", "s.json", '[{"role":"user","content":"hi"},{"content":null,"tool_calls":[{"function":{"name":"f","arguments":{"b":1,"a":["x:\\",y",{"é😀":null}]}}},{"function":{"name":"g","arguments":[]}},{"function":{}}]}]')], "transcript_id string, name string, value string")
     got = {n: sorted((r["transcript_id"], r["line_no"], r["text"]) for r in transcripts.adapted_lines(files, n).collect()) for n in transcripts.ADAPTERS}
-    assert got["codex"] == [("x", 0, "# Head"), ("x", 1, "- done"), ("y", 0, "hi"), ("y", 1, 'tool_use: f({"a":1})')]
+    assert got["codex"] == [("x", 0, "# Head"), ("x", 1, "- done"), ("y", 0, "hi"), ("y", 1, 'tool_use: f({"b": 1, "a": ["x:\\",y", {"\\u00e9\\ud83d\\ude00": null}]})'), ("y", 2, "tool_use: g({})")]
     assert got["cursor"] == got["continue"] == got["openai-compatible"] == got["codex"][2:] and got["cowork"] == got["claude-code"]
-    with pytest.raises(ValueError, match="unknown adapter"):
-        transcripts.adapted_lines(files, "claude_code")
+    with pytest.warns(UserWarning, match="unknown adapter 'claude_code'"):
+        out = transcripts.adapted_lines(files, "claude_code")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, transcripts.adapted_lines(files).collect()))
+
+
+def test_spaced_json_equals_the_library(spark):
+    rng, values = random.Random(7), []
+
+    def value(depth):
+        kind = rng.randrange(8 if depth < 3 else 5)
+        if kind == 5:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        if kind >= 6:
+            return {"".join(rng.choice('ab:",\\é😀{') for _ in range(rng.randrange(5))): value(depth + 1) for _ in range(rng.randrange(4))}
+        return [rng.randrange(-99, 99), True, None, rng.randrange(100) / 4, "".join(rng.choice('x :,"\\[]{}ü😀') for _ in range(rng.randrange(12)))][kind]
+
+    values = [value(0) for _ in range(400)]
+    rows = spark.createDataFrame([(i, json.dumps(v, separators=(",", ":"), ensure_ascii=False)) for i, v in enumerate(values)], "i long, t string")
+    for r in rows.select("i", transcripts.spaced(F.col("t")).alias("s")).collect():
+        assert r["s"] == json.dumps(values[r["i"]])
+
+
+def test_criteria_and_standards_by_their_rules(spark):
+    text = "intro\n### Correctness: what\nline\n## Other\nmore\n### !!\n### safety\none\n### Correctness\u2028last\n\n"
+    got = {r["dim"]: r["criteria"] for r in transcripts.rubric_criteria(spark.createDataFrame([("r", text), ("none", "x"), ("null", None)], "name string, text string")).collect()}
+    assert got == {"safety": "### safety\none", "correctness": "### Correctness\nlast\n"}
+    first = text.split("### safety")[0]
+    assert transcripts.rubric_criteria(spark.createDataFrame([("r", first)], "name string, text string")).first()["criteria"] == "### Correctness: what\nline\n## Other\nmore\n### !!"
+    texts = ["Composite target: 8.25", "composite:\n 8.5 composite 9", "| safety | 9.5 of 10 |", "| correctness | 6 |\n|x|\n| Correctness |\n7.5 | 9 |", "", None]
+    rows = transcripts.standards_of(spark.createDataFrame(list(enumerate(texts)), "source long, value string"), {"correctness": 8.0, "safety": 9.0}).collect()
+    by = {(r["source"], r["dim"]): r["benchmark"] for r in rows}
+    assert [by[i, "composite"] for i in range(6)] == [7.5, 8.5, 7.5, 7.5, 7.5, 7.5]
+    assert [by[i, "correctness"] for i in range(6)] == [8, 8, 8, 7.5, 8, 8] and {by[i, "safety"] for i in range(6)} == {9.0}
 
 
 def test_folders_of_sessions(spark, tmp_path):
