@@ -6,34 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import has, hits, is_secret, java, lowered
+from .automata import chunk_of, composed, docstring_step, first_distinct
+from .detectors import claim_of, grants
 
 COUNTED = ["error", "hallucination", "tool_call", "retry", "deviation", "file_action", "placeholder"]
 # What a scorecard says of each safety event.
 SAFETY_NOTES = [("is_no_verify", "Used --no-verify flag (bypassing safety checks)"), ("is_chmod", "Overly permissive file permissions (chmod 777)")]
 SAFETY_CRITICAL = [("is_root_delete", "Destructive rm -rf on root-level path"), ("is_secret", "Possible hardcoded secret/credential")]
+#: Findings of privilege and claims that a scorecard lists, and what makes two findings one.
+GRANTS, CLAIMS, GRANT_KEY = 5, 3, ["target", "issue", "severity"]
 WITHIN_LINES = ["receipt", "flag_fabricated", "flag_contradict", "flag_ignored", "flag_placeholder", "edge_case", "trade_off", "structure"]
 
 
-#: A triple-quoted string within a line goes; one over several lines leaves one line feed; one that isn't closed reaches the end.
-_DOCSTRING = r"(?:\"\"\"[^\n]*?\"\"\"|'''[^\n]*?''')|(?:\"\"\"[^\n]*(\n)[\s\S]*?(?:\"\"\"|\z)|'''[^\n]*(\n)[\s\S]*?(?:'''|\z))|(?:\"\"\"|''')[^\n]*\z"
-
-
-def has_triple_quote(text: Column) -> Column:
-    return text.contains('"""') | text.contains("'''")
-
-
-def strip_docstrings(lines: DataFrame) -> DataFrame:
-    """transcript_id, bare: the text outside of triple-quoted strings, of transcripts that hold a triple quote.
-
-    Quotes of the other kind inside an open string don't count.  Only transcripts with a triple quote are gathered
-    (a transcript is one row then); all others need no stripping and stay where they are.
-    """
-    quoted = lines.where(has_triple_quote(F.col("text"))).select("transcript_id").distinct()
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"))))
-    whole = lines.join(quoted, "transcript_id", "left_semi").groupBy("transcript_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("whole"))
-    return whole.select("transcript_id", F.regexp_replace("whole", _DOCSTRING, "$1$2").alias("bare"))
-
-
 def line_features(lines: DataFrame, slow_ms: int | None = None) -> DataFrame:
     """(transcript_id, line_no, text) with counts and flags of each line; n_slow counts tool calls over ``slow_ms``."""
     text, low = F.col("text"), F.col("_low")
@@ -52,6 +36,8 @@ def line_features(lines: DataFrame, slow_ms: int | None = None) -> DataFrame:
         "text",
         *[hits(text, n, low).alias(f"n_{n}") for n in COUNTED],
         hits(text, "incomplete", low).alias("n_incomplete"),
+        docstring_step(text, low).alias("docstrings"),
+        grants(text).alias("grants"),
         slow.alias("n_slow"),
         "durations",
         F.when((F.col("_danger") > 0) & ~(discussion | plugin_write), F.col("_danger")).otherwise(0).alias("n_danger"),
@@ -67,29 +53,51 @@ def line_features(lines: DataFrame, slow_ms: int | None = None) -> DataFrame:
 
 
 def transcript_features(features: DataFrame, notes: bool = False) -> DataFrame:
-    """One row a transcript: sums of counts, whether any line has a flag, and n_lines.
+    """One row a transcript: sums of counts, whether any line has a flag, and n_lines, over one scan of the lines.
 
-    ``notes`` adds what the texts of a scorecard quote: safety events in order of lines, and tool durations.
+    n_unfinished is n_incomplete outside of docstrings; ``grants`` are the first five distinct findings of privilege.  ``notes`` adds what
+    the texts of a scorecard quote: safety events and tool durations in order of lines, and the first three distinct ``claims``.
+    Lines are summed up by chunk and chunks by transcript, so no group gathers more than a chunk's rare rows.
     """
     counts = [c for c in features.columns if c.startswith("n_")]
     flags = [c for c in features.columns if c.startswith(("is_", "has_"))]
+    lines_with = [c for c in flags if c.startswith("is_")]
+
+    def gathered(value: Column, there: Column) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(there, F.struct(F.col("line_no"), value.alias("v"))))), lambda x: x["v"])
 
-    def events(*which: tuple[str, str]) -> Column:
-        each = F.filter(F.array(*[F.when(F.col(f), F.struct("line_no", F.lit(i).alias("i"), F.lit(t).alias("t"))) for i, (f, t) in enumerate(which)]), lambda e: e.isNotNull())
-        return F.transform(F.sort_array(F.flatten(F.collect_list(F.when(F.size(each) > 0, each)))), lambda e: e["t"])
+    def events(which: list[tuple[str, str]]) -> Column:
+        each = F.filter(F.array(*[F.when(F.col(f), F.lit(t)) for f, t in which]), lambda e: e.isNotNull())
+        return F.flatten(gathered(each, F.size(each) > 0))
 
-    quoted = []
+    claims = ["claim"]
+    rare = {
+        "docstrings": composed(gathered(F.col("docstrings"), F.col("docstrings").isNotNull())),
+        "grants": first_distinct(F.flatten(gathered(F.col("grants"), F.size("grants") > 0)), GRANTS, GRANT_KEY),
+    }
     if notes:
-        quoted = [events(*SAFETY_NOTES).alias("safety_notes"), events(*SAFETY_CRITICAL).alias("safety_critical")]
-        calls = F.sort_array(F.collect_list(F.when(F.size("durations") > 0, F.struct("line_no", "durations"))))
-        quoted.append(F.flatten(F.transform(calls, lambda x: x["durations"])).alias("durations"))
-    return features.groupBy("transcript_id").agg(
+        claim = F.struct(claim_of(F.col("text")).alias("claim"))
+        rare |= {"safety_notes": events(SAFETY_NOTES), "safety_critical": events(SAFETY_CRITICAL), "durations": F.flatten(gathered(F.col("durations"), F.size("durations") > 0))}
+        rare["claims"] = first_distinct(gathered(claim, F.col("is_claim")), CLAIMS, claims)
+    chunks = features.groupBy("transcript_id", chunk_of().alias("_chunk")).agg(
         F.count("*").alias("n_lines"),
         *[F.sum(c).alias(c) for c in counts],
         *[F.max(c).alias(c) for c in flags],
-        *[F.count_if(c).alias(f"lines_{c}") for c in flags if c.startswith("is_")],
-        *quoted,
+        *[F.count_if(c).alias(f"lines_{c}") for c in lines_with],
+        *[v.alias(k) for k, v in rare.items()],
+    )
+
+    def joined(name: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct("_chunk", name))), lambda x: x[name])
+
+    last = {"docstrings": composed(joined("docstrings")), "grants": first_distinct(F.flatten(joined("grants")), GRANTS, GRANT_KEY)}
+    if notes:
+        last |= {n: F.flatten(joined(n)) for n in ("safety_notes", "safety_critical", "durations")}
+        last["claims"] = first_distinct(F.flatten(joined("claims")), CLAIMS, claims)
+    whole = chunks.groupBy("transcript_id").agg(
+        *[F.sum(c).alias(c) for c in ("n_lines", *counts, *[f"lines_{c}" for c in lines_with])], *[F.max(c).alias(c) for c in flags], *[v.alias(k) for k, v in last.items()]
     )
+    return whole.withColumn("n_unfinished", F.col("docstrings")["counts"][0]).drop("docstrings")
 
 
 def density(count: Column, n_lines: Column) -> Column:

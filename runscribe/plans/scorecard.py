@@ -1,13 +1,12 @@
-"""The whole scoring of a corpus: lines to nested scorecards, in two shuffles (by transcript, by skill)."""
+"""The whole scoring of a corpus: one scan of lines to nested scorecards, by chunk, by transcript and by skill."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import hits, lowered
 from ..operators import detectors, history, justify, scoring
-from ..operators.features import clamp, line_features, strip_docstrings, transcript_features
+from ..operators.features import clamp, line_features, transcript_features
 from .config import Settings
 
 RUN_COLUMNS = {"skill": "string", "model": "string", "timestamp": "string", "rubric": "string", "weights": "map<string,double>"}
@@ -61,12 +60,8 @@ def scores(
     skills that it doesn't hold, consistency is neutral.  ``notes`` adds every text of a scorecard.
     """
     settings = settings or Settings()
-    marked = line_features(lines, settings.slow_ms)
-    features = transcript_features(marked, notes)
-    bare = strip_docstrings(lines).select("transcript_id", hits(F.col("bare"), "incomplete", lowered(F.col("bare"))).alias("n_bare"))
-    features = features.join(bare, "transcript_id", "left").withColumn("n_incomplete", F.coalesce("n_bare", "n_incomplete")).drop("n_bare")
-    findings = detectors.privilege_summary(detectors.least_privilege(lines))
-    features = features.join(findings, "transcript_id", "left")
+    features = transcript_features(line_features(lines, settings.slow_ms), notes)
+    features = features.withColumns({"n_incomplete": F.col("n_unfinished"), "privilege_dock": detectors.privilege_dock(F.col("grants")), "least_privilege": detectors.privilege_texts(F.col("grants"))})
     if runs is not None:
         told = [F.col(c) if c in runs.columns else F.lit(None).cast(t).alias(c) for c, t in RUN_COLUMNS.items()]
         features = features.join(runs.select("transcript_id", *told), "transcript_id", "left")
@@ -90,7 +85,7 @@ def scores(
         "adherence": scoring.adherence(),
         "actionability": scoring.actionability(),
         "efficiency": scoring.efficiency(baseline, F.col("n_slow") if settings.slow_ms is not None else None),
-        "safety": scoring.safety(F.coalesce("privilege_dock", F.lit(0))),
+        "safety": scoring.safety(F.col("privilege_dock")),
         "consistency": consistency(settings),
     }
     flags = F.concat(detectors.red_flags(), F.array_compact(F.array(F.when(flip, F.lit(detectors.FLIP_FLAG)), F.when(unsupported & F.lit(settings.success_flag), F.lit(detectors.SUCCESS_FLAG)))))
@@ -104,16 +99,15 @@ def scores(
     own = ["transcript_id", *RUN_COLUMNS, "n_lines", *scoring.DIMENSIONS, "red_flags", "bonuses", "raw_cents", "composite_cents", "grade", "best_dim", "worst_dim", "recommendations", "critical"]
     if not notes:
         return scored.select(own)
-    return _with_texts(scored, marked, settings, baseline).select(*own, *NOTES)
+    return _with_texts(scored, settings, baseline).select(*own, *NOTES)
 
 
 TEXTS = [f"why_{d}" for d in scoring.DIMENSIONS]
 NOTES = [*TEXTS, *[f"weight_{d}" for d in scoring.DIMENSIONS], "critical_issues", "one_liner", "summary", "tokenizer_baseline", "tool_durations_ms", "least_privilege", "unverified_success", "sycophancy", "collapsed", "collapse_reason", "collapse_stats"]
 
 
-def _with_texts(scored: DataFrame, marked: DataFrame, settings: Settings, baseline: Column) -> DataFrame:
-    claims = detectors.success_summary(detectors.unverified_success(marked))
-    full = scored.join(claims, "transcript_id", "left").withColumn("unverified_success", F.when(F.col("unsupported"), F.col("unverified_success")))
+def _with_texts(scored: DataFrame, settings: Settings, baseline: Column) -> DataFrame:
+    full = scored.withColumn("unverified_success", F.when(F.col("unsupported"), detectors.success_texts(F.col("claims"))))
     withheld = ~F.col("has_receipt") & (scoring.correctness_found(settings.success_dock, F.col("unsupported")) >= 10)
     why = {
         "correctness": justify.correctness(F.try_element_at("unverified_success", F.lit(1))["claim"], withheld),

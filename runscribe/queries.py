@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.layout import spread
-from .functions.patterns import hits, lowered, re2
+from .functions.patterns import re2
 from .operators import detectors, gates, history, reports, scoring
-from .operators.features import line_features, strip_docstrings, transcript_features
+from .operators.automata import unfinished
+from .operators.features import line_features, transcript_features
 from .plans.config import settings
 from .plans.scorecard import scores
 
@@ -209,8 +210,7 @@ def transcript_scores(spark, sf_dir):
 
 @query(f"WITH {_FEATURES_SQL} SELECT transcript_id, n_bare AS n_incomplete FROM bare")
 def docstring_scoped_incompleteness(spark, sf_dir):
-    bare = F.col("bare")
-    return strip_docstrings(lines(spark, sf_dir)).select("transcript_id", hits(bare, "incomplete", lowered(bare)).cast("long").alias("n_incomplete"))
+    return unfinished(lines(spark, sf_dir)).where("quoted").select("transcript_id", "n_incomplete")
 
 
 @query(f"WITH {LINES_SQL}, c AS (SELECT transcript_id, left(trim(text), 160) AS claim, min(line_no) AS line_no FROM lines WHERE {_has('claim')} AND NOT {_has('request')} GROUP BY 1, 2), r AS (SELECT DISTINCT transcript_id FROM lines WHERE {_has('receipt')}), "

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from runscribe.functions import folders
 from runscribe.functions.patterns import CASED, GUARDS, PATTERNS, hits, java, lowered
 from runscribe.operators import detectors, gates, history, justify, reports, scoring
-from runscribe.operators.features import clamp, ladder, line_features, strip_docstrings, transcript_features
+from runscribe.operators.automata import first_distinct, unfinished
+from runscribe.operators.features import clamp, ladder, line_features, transcript_features
 from runscribe.plans import scorecard
 from runscribe.plans.config import Settings, settings
 from runscribe.plans.scorecard import documents_of, scorecards, scores
@@ -76,13 +77,56 @@ def test_success_needs_a_receipt(spark):
     assert asked.count() == 0
 
 
+def unfinished_line_by_line(lines):
+    """The rule as a walk over a transcript's lines."""
+    inside, n = None, 0
+    for line in lines:
+        shown, at = [], 0
+        for m in re.finditer("\"{3}|\'{3}", line or ""):
+            if inside is None:
+                shown.append(line[at : m.start()])
+                inside, at = m[0], m.end()
+            elif inside == m[0]:
+                inside, at = None, m.end()
+        if inside is None:
+            shown.append((line or "")[at:])
+        n += len(re.findall(PATTERNS["incomplete"], "".join(shown), re.IGNORECASE))
+    return n
+
+
+@pytest.mark.parametrize("log2", [0, 1, 3, 16])
+def test_docstring_summaries_merge_in_any_grouping(spark, log2):
+    rng, rows, want = random.Random(log2), [], {}
+    tokens = ['"' * 3, "'" * 3, '"', "'", '""', "''", " ", "TODO ", "wip ", "x ", "stub", "partial", "é", "\n"]
+    for t in range(300):
+        lines = [rng.choice([None, "TODO"]) if rng.random() < 0.05 else "".join(rng.choice(tokens) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(1, 14))]
+        rows += [(t, i, x) for i, x in enumerate(lines)]
+        want[t] = unfinished_line_by_line(lines)
+    got = {r["transcript_id"]: r["n_incomplete"] for r in unfinished(spark.createDataFrame(rows, "transcript_id long, line_no int, text string").repartition(5), log2).collect()}
+    assert {t: got.get(t, 0) for t in want} == want
+
+
+def test_first_distinct_merges(spark):
+    rng = random.Random(5)
+    values = [[rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(200)]
+    df = spark.createDataFrame([(i, [(x, k) for k, x in enumerate(v)]) for i, v in enumerate(values)], "i int, v array<struct<a:int,k:int>>")
+    half = F.floor(F.size("v") / 2).cast("int")
+    parts = [first_distinct(F.slice("v", 1, half), 3, ["a"]), first_distinct(F.slice("v", half + 1, F.size("v")), 3, ["a"])]
+    for r in df.select("i", first_distinct(F.col("v"), 3, ["a"]).alias("whole"), first_distinct(F.concat(*parts), 3, ["a"]).alias("merged")).collect():
+        assert [x["a"] for x in r["whole"]] == list(dict.fromkeys(values[r["i"]]))[:3] and r["whole"] == r["merged"]
+
+
+def test_a_scorecard_scans_its_lines_once(spark, tmp_path):
+    lines_of(spark, "TODO", '"""', "All tests passed", "permissions: [*]").write.parquet(f"{tmp_path}/lines")
+    for notes in (False, True):
+        plan = scores(spark.read.parquet(f"{tmp_path}/lines"), notes=notes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1
+
+
 def test_docstrings_span_lines(spark):
     lines = lines_of(spark, 'x """ TODO', "TODO ''' y", 'z """ TODO', "'''open", "TODO")
-    out = strip_docstrings(lines.union(lines_of(spark, "no quotes TODO", key=2)))
-    assert [(r["transcript_id"], r["bare"]) for r in out.collect()] == [(1, "x \n TODO\n\n")]
-    double, single = '"' * 3, "'" * 3
-    texts = [f"a{double}b{double}c", f"{single}x", f"a {double} {single} {double} TODO {single}{double}{single} b"]
-    assert [strip_docstrings(lines_of(spark, t)).first()["bare"] for t in texts] == ["ac", "", "a  TODO  b"]
+    out = unfinished(lines.union(lines_of(spark, "no quotes TODO", key=2)))
+    assert {tuple(r) for r in out.collect()} == {(1, 1, True), (2, 1, False)}
     s = {r["transcript_id"]: r["completeness"] for r in scores(lines.union(lines_of(spark, *["TODO"] * 5, key=2))).collect()}
     assert s == {1: 4, 2: 4}  # one hit in five lines either way: density over 5
     assert scores(lines_of(spark, '"""', "TODO TODO", '"""', *["fine"] * 30)).first()["completeness"] == 10
