@@ -22,21 +22,45 @@ BODY_KEYS = ["content", "text", "snippet", "value"]
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+#: A file's name and time, as columns that a file source has hidden.
+_META = ["_metadata.file_path AS transcript_id", "_metadata.file_name AS name", "_metadata.file_modification_time AS modified"]
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """transcript_id (file), name, modified, value: a file a row."""
-    meta = F.col("_metadata.file_path").alias("transcript_id"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified")
-    return spark.read.text(path, wholetext=True).select(*meta, "value")
+    return spark.read.text(path, wholetext=True).selectExpr(*_META, "value")
+
+
+#: A physical line's number stands above these bits of line_no; below are the lines that rarer line ends cut it into.
+SUB_LOG2 = 22
+#: Physical lines of a chunk: what is ordered in one task at most.
+CHUNK_LOG2 = 16
+
+
+def _cut(rows: DataFrame, number: Column, *keep: str) -> DataFrame:
+    """Rows of whole lines to transcript_id, line_no, raw: cut at all line ends, without blank ones."""
+    cut = rows.select("transcript_id", *keep, number.alias("_n"), F.posexplode(F.split("value", LINE_ENDS)).alias("_sub", "raw"))
+    return cut.select("transcript_id", *keep, (F.shiftleft(F.col("_n").cast("long"), SUB_LOG2) + F.col("_sub")).alias("line_no"), strip("raw").alias("raw")).where("raw <> ''")
 
 
 def records_of(files: DataFrame) -> DataFrame:
-    """(transcript_id, value) -> transcript_id, line_no, raw: the lines that aren't blank."""
-    cut = files.select("transcript_id", F.posexplode(F.split("value", LINE_ENDS)).alias("line_no", "raw"))
-    return cut.withColumn("raw", strip("raw")).where("raw <> ''")
+    """(transcript_id, value: a whole text) -> transcript_id, line_no, raw: the lines that aren't blank; line_no orders them."""
+    lines = files.select("transcript_id", F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("at", "value"))
+    return _cut(lines, F.col("at"))
 
 
-def raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of text files, in order: transcript_id (file), line_no, raw.  A file is read whole, so its lines keep their order."""
-    return records_of(text_files(spark, path))
+def raw_records(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """transcript_id (file), name, modified, line_no, raw: the lines of text files that aren't blank; line_no orders a file's.
+
+    Files are read in splits, so one of any size is many tasks.  A first scan counts the lines of each block; a line's number is
+    its place in its block behind the lines of the file's blocks before.  Both scans split alike, as splits follow from sizes and settings.
+    """
+    files = (spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)).text(path)
+    rows = files.selectExpr(*_META, "_metadata.file_block_start AS start", "monotonically_increasing_id() AS at", "value")
+    blocks = rows.groupBy("transcript_id", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("transcript_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("transcript_id", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return _cut(rows.join(offsets, ["transcript_id", "start"]), F.col("at") + F.col("shift"), "name", "modified")
 
 
 def strip(name: str | Column) -> Column:
@@ -66,9 +90,24 @@ def jsonl_lines(records: DataFrame) -> DataFrame:
     return _numbered(records.select("transcript_id", "line_no", F.posexplode(F.array_compact(F.array(text, mark))).alias("part", "text")))
 
 
+def _carried(rows: DataFrame, summary: Column, fold: Column) -> DataFrame:
+    """``rows`` (transcript_id, line_no, ...) with chunk and ``carried``: what ``fold`` makes of the chunks before.
+
+    ``summary`` sums a chunk up as ``told``; ``fold`` goes over ``told`` of a transcript's earlier chunks in order.  Only chunks are
+    ordered by transcript; rows are never in one task by transcript.
+    """
+    rows = rows.withColumn("chunk", F.shiftright(F.col("line_no").cast("long"), SUB_LOG2 + CHUNK_LOG2))
+    chunks = rows.groupBy("transcript_id", "chunk").agg(summary.alias("told"))
+    earlier = Window.partitionBy("transcript_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.select(F.col("transcript_id").alias("_t"), F.col("chunk").alias("_c"), fold.over(earlier).alias("carried"))
+    return rows.join(before, F.col("transcript_id").eqNullSafe(F.col("_t")) & (F.col("chunk") == F.col("_c"))).drop("_t", "_c")
+
+
 def _numbered(parts: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("transcript_id").orderBy("line_no", "part")) - 1
-    return parts.withColumn("n", n).select("transcript_id", F.col("n").alias("line_no"), "text")
+    """transcript_id, line_no, text of (transcript_id, line_no, part, text): numbered from 0 without gaps, chunk by chunk."""
+    n = F.row_number().over(Window.partitionBy("transcript_id", "chunk").orderBy("line_no", "part")) - 1
+    rows = _carried(parts, F.count("*"), F.sum("told"))
+    return rows.select("transcript_id", (n + F.coalesce("carried", F.lit(0))).cast("int").alias("line_no"), "text")
 
 
 def _any_word(text: Column, words: list[str]) -> Column:
@@ -115,7 +154,10 @@ def native_lines(records: DataFrame) -> DataFrame:
     managed = v.isNotNull() & _any_word(low, MANAGED_WORDS)
     speaks = v.isNotNull() & _any_word(low, MEMORY_WORDS)
     event = F.when(role == "user", 0).when(speaks, 1).when(role.isin("assistant", "tool"), 0)
-    inside = F.last(event, ignorenulls=True).over(Window.partitionBy("transcript_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    # a record keeps the state or sets it, so what a chunk does to it is its last setting
+    records = _carried(records.withColumn("_event", event), F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col("line_no"))), F.last("told", ignorenulls=True))
+    here = F.last("_event", ignorenulls=True).over(Window.partitionBy("transcript_id", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.coalesce(here, "carried")
     ms = F.coalesce(_duration(v, "$.duration_ms"), _duration(v, "$.hookSpecificOutput.duration_ms"))
     timing = F.when(ms.isNotNull(), F.array(F.concat(F.lit("[tool_duration_ms: "), ms.cast("string"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
     mark = F.when(managed, _managed_mark(v, low)).when((inside == 1) & v.isNotNull(), F.lit(MEMORY_MARK)).otherwise(F.lit(""))
@@ -220,8 +262,9 @@ def adapted_lines(files: DataFrame, adapter: str | None = None) -> DataFrame:
 
 def folder_lines(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.jsonl`` files of each folder as one transcript, by time of change and name, with a mark between them."""
-    files = text_files(spark, path).where(F.col("name").endswith(".jsonl")).withColumn("group_id", F.regexp_replace("transcript_id", r"/[^/]*$", ""))
-    return retagged(session_lines(native_lines(records_of(files)), files.select("transcript_id", "group_id", "modified", "name")))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).selectExpr(*_META)  # names only, also of empty files
+    sessions = files.withColumn("group_id", F.regexp_replace("transcript_id", r"/[^/]*$", ""))
+    return retagged(session_lines(native_lines(raw_records(spark, path, "*.jsonl").select("transcript_id", "line_no", "raw")), sessions))
 
 
 def record_turns(records: DataFrame) -> DataFrame:

@@ -358,6 +358,56 @@ def test_folders_of_sessions(spark, tmp_path):
     assert [r["text"] for r in transcripts.folder_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == ["early", '[managed-memory-pull] {"event":"agent_memory","value":"v","op":"fetch"}', "--- session break ---", "late"]
 
 
+def test_splits_of_a_file_are_one_transcript(spark, tmp_path):
+    """Many blocks a file, several files a task, rare line ends, blank lines: the lines of the reading that takes files whole."""
+    rng = random.Random(4)
+    for name in ("a.jsonl", "b.jsonl", "c.jsonl", "empty.jsonl"):
+        lines = [rng.choice(["", "  ", f"plain {i}", json.dumps({"content": f"é {i}\u2028x"}, ensure_ascii=False), f"one\x0btwo {i}\x1c", json.dumps({"text": "x" * rng.randrange(90), "duration_ms": i})]) for i in range(700)]
+        text = "".join(x + rng.choice(["\n", "\r\n", "\n\n"]) for x in lines)
+        (tmp_path / name).write_bytes(text.encode() if name != "empty.jsonl" else b"")
+    whole = transcripts.records_of(transcripts.text_files(spark, str(tmp_path)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size, most in (("3000", None), ("40000", None), ("3000", "5"), ("100m", None)):
+            spark.conf.set(key, size)
+            if most:
+                spark.conf.set("spark.sql.files.maxPartitionNum", most)
+            split = transcripts.raw_records(spark, str(tmp_path))
+            assert split.rdd.getNumPartitions() > 1 if size == "3000" else True
+            assert sorted((r["transcript_id"], r["line_no"], r["raw"]) for r in split.collect()) == sorted(map(tuple, whole.select("transcript_id", "line_no", "raw").collect()))
+            spark.conf.unset("spark.sql.files.maxPartitionNum")
+            if size == "3000" and not most:
+                lines = [sorted(map(tuple, transcripts.jsonl_lines(r.select("transcript_id", "line_no", "raw")).collect())) for r in (split, whole)]
+                assert lines[0] == lines[1]
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+
+
+@pytest.mark.parametrize("log2", [0, 1, 3])
+def test_memory_state_merges_over_chunks(spark, monkeypatch, log2):
+    rng = random.Random(log2)
+    shapes = ['{"role":"user","content":"u"}', '{"role":"assistant","content":"a"}', '{"content":"memory_block on"}', '{"role":"tool","content":"<memory> t"}', '{"content":"inside"}', "no object", '{"event":"agent_memory","content":"m","op":"push"}']
+    rows = [(f"t{t}", i << transcripts.SUB_LOG2, rng.choice(shapes)) for t in range(60) for i in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "transcript_id string, line_no long, raw string").repartition(6)
+    monkeypatch.setattr(transcripts, "CHUNK_LOG2", log2)
+    got = sorted(map(tuple, transcripts.native_lines(df).collect()))
+    want, inside, last = [], False, None
+    for t, _, raw in rows:
+        if t != last:
+            inside, last, n = False, t, 0
+        record = json.loads(raw) if raw.startswith("{") else None
+        mark = ""
+        if record is not None:
+            speaks = any(w in raw.lower() for w in transcripts.MEMORY_WORDS)
+            inside = False if record.get("role") == "user" else True if speaks else False if record.get("role") in ("assistant", "tool") else inside
+            mark = transcripts.PUSH_MARK if "agent_memory" in raw else transcripts.MEMORY_MARK if inside else ""
+        want.append((t, n, mark + (record["content"] if record else raw)))
+        n += 1
+    assert got == sorted(want)
+
+
 def test_store_of_documents(spark, tmp_path):
     made = documents_of(scores(lines_of(spark, "fine"), spark.createDataFrame([(1, "s", "2026-01-01T00:00:00Z")], "transcript_id int, skill string, timestamp string"), notes=True)).first()["scorecard"]
     (tmp_path / "s_1.json").write_text(made)
