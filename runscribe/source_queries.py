@@ -341,12 +341,32 @@ def store_quarantine(spark, sf_dir):
     return store.quarantined(stored(spark, sf_dir)).select("file")
 
 
-_MISSING = [f for f in store.REQUIRED if f not in ("schemaVersion", "skill", "timestamp", "composite_score", "grade", "dimensions", "red_flags", "bonuses", "transcript_lines")]
-
-
-@query(f"""SELECT lpad(event_id::VARCHAR, 9, '0') AS file, unnest(CASE WHEN event_id % 20 IN (7, 13) THEN ['no JSON object'] ELSE list_concat({[f"missing {f}" for f in _MISSING]!r}, CASE WHEN event_id % 2 = 1 THEN ['missing bonuses'] ELSE [] END) END) AS problem FROM events""")
+_MISSING = [f for f in store.CARD_SCHEMA["required"] if f not in ("schemaVersion", "skill", "timestamp", "composite_score", "grade", "dimensions", "red_flags", "bonuses", "transcript_lines")]
+#: What is put into a document in place of a field, by event_id % 11, and what it breaks.
+_FAULTS = [
+    (0, '"grade":"[^"]*"', '"grade":"Z"', [("$.grade", "enum")]),
+    (1, '"timestamp":"[^"]*"', '"timestamp":"yesterday"', [("$.timestamp", "format")]),
+    (2, '"skill":"[^"]*"', '"skill":5', [("$.skill", "type")]),
+    (3, '"schemaVersion":"[^"]*"', '"schemaVersion":"2.0.0"', [("$.schemaVersion", "pattern")]),
+    (4, '"composite_score":[^,]*', '"composite_score":10.5', [("$.composite_score", "maximum")]),
+    (5, '"safety":\\{"score":[^,]*', '"safety":{"score":2.5', [("$.dimensions.safety.score", "type")]),
+    (6, '"safety":\\{"score":[^,]*', '"other":{"score":0', [("$.dimensions", "required safety"), ("$.dimensions", "additionalProperties other")]),
+    (7, '"red_flags":\\[[^\\]]*', '"red_flags":["a",7,null', [("$.red_flags[1]", "type"), ("$.red_flags[2]", "type")]),
+    (8, '"transcript_lines":[^}]*', '"transcript_lines":-1,"tokenizer_baseline":0,"model":null,"least_privilege":[{"target":"t","severity":"huge"}]', [("$.transcript_lines", "minimum"), ("$.tokenizer_baseline", "exclusiveMinimum"), ("$.least_privilege[0]", "required issue"), ("$.least_privilege[0]", "required remediation"), ("$.least_privilege[0].severity", "enum")]),
+]
+_FAULT_SQL = " ".join(f"WHEN {k} THEN [{', '.join(f"ROW('{p}', '{r}')" for p, r in told)}]" for k, _, _, told in _FAULTS)
+_DIMENSION_SQL = ", ".join(f"ROW('$.dimensions.{d}', 'required {f}')" for d in scoring.DIMENSIONS for f in ("weighted", "justification"))
+
+
+@query(f"""WITH f AS (SELECT lpad(event_id::VARCHAR, 9, '0') AS file, unnest(CASE WHEN event_id % 20 = 7 THEN [ROW('$', 'type')] WHEN event_id % 20 = 13 THEN [ROW('$', 'type')] ELSE list_concat([{", ".join(f"ROW('$', 'required {f}')" for f in _MISSING)}],
+    list_filter([{_DIMENSION_SQL}], lambda r: event_id % 11 <> 6 OR NOT starts_with(r[1], '$.dimensions.safety')), CASE WHEN event_id % 2 = 1 THEN [ROW('$', 'required bonuses')] ELSE [] END, CASE event_id % 11 {_FAULT_SQL} ELSE [] END) END) AS p FROM events)
+  SELECT file, p[1] AS path, p[2] AS rule FROM f""")
 def schema_problems(spark, sf_dir):
-    return store.problems(stored(spark, sf_dir))
+    """Stored documents, most of them with a fault, against the document's schema."""
+    n, value = F.col("file").cast("long") % 11, F.col("value")
+    for k, pattern, fault, _ in _FAULTS:
+        value = F.when(n == k, F.regexp_replace("value", pattern, fault)).otherwise(value)
+    return store.problems(stored(spark, sf_dir).select("file", value.alias("value")))
 
 
 @query("SELECT lpad(max(event_id)::VARCHAR, 9, '0') AS file FROM events")

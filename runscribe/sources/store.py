@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scoring import DIMENSIONS
+from ..functions.schema import violations
+from ..operators.scoring import DIMENSIONS, GRADES
 
 _DIMS = ", ".join(f"{d}: struct<score: double, weight: double, weighted: double, justification: string>" for d in DIMENSIONS)
 #: What is read of a document; other fields stay in its text.
@@ -18,6 +19,45 @@ CARD = (
 # The fields that every document has.
 REQUIRED = ["schemaVersion", "skill", "timestamp", "composite_score", "raw_composite", "grade", "grade_label", "dimensions", "red_flags", "bonuses", "adjustments", "summary", "one_liner", "critical_issues", "recommendations", "rubric_used", "transcript_lines"]
 
+_TEXT, _NAME, _TEXTS, _FLAG, _MAYBE = {"type": "string"}, {"type": "string", "minLength": 1}, {"type": "array", "items": {"type": "string"}}, {"type": "boolean"}, {"type": ["string", "null"]}
+
+
+def _within(low: float, high: float, kind: str | list[str] = "number") -> dict:
+    return {"type": kind, "minimum": low, "maximum": high}
+
+
+def _findings(first: str, **more: dict) -> dict:
+    return {"type": "array", "items": {"type": "object", "required": [first, "issue", "remediation"], "properties": {first: _TEXT, "issue": _TEXT, "remediation": _TEXT, **more}}}
+
+
+# The shape of a document.
+CARD_SCHEMA = {
+    "type": "object",
+    "required": [f for f in REQUIRED if f != "raw_composite"],
+    "properties": {
+        "schemaVersion": {"type": "string", "pattern": r"^1\.\d+\.\d+$"}, "skill": _NAME, "timestamp": {"type": "string", "format": "date-time"}, "composite_score": _within(0, 10), "raw_composite": _within(0, 10),
+        "grade": {"type": "string", "enum": [g for _, g, _ in GRADES]}, "grade_label": _NAME,
+        "dimensions": {"type": "object", "required": DIMENSIONS, "additionalProperties": False, "properties": {d: {"$ref": "#/$defs/dimension"} for d in DIMENSIONS}},
+        "red_flags": _TEXTS, "bonuses": _TEXTS,
+        "adjustments": {"type": "object", "required": ["deduction", "bonus"], "additionalProperties": False, "properties": {"deduction": _within(0, 2), "bonus": _within(0, 1)}},
+        "summary": _TEXT, "one_liner": _TEXT, "critical_issues": _TEXTS, "recommendations": _TEXTS, "rubric_used": _NAME, "transcript_lines": {"type": "integer", "minimum": 0}, "model": _MAYBE,
+        "tokenizer_baseline": {"type": "number", "exclusiveMinimum": 0}, "weights_source": {"type": "string", "enum": ["config", "rubric"]}, "verifier_collapse": _FLAG, "self_preference_risk": _FLAG,
+        "same_family_guard": {"type": "object", "properties": {"executing_family": _MAYBE, "judge_family": _MAYBE, "judge_model": _MAYBE, "auto_preferred": _FLAG, "preferred_model": _MAYBE}},
+        "sycophancy": {"type": "object", "properties": {"score": _within(0, 1, ["number", "null"]), "flipped": _FLAG, "stance_consistency": _within(0, 1, ["number", "null"]), "pushbacks": {"type": "integer", "minimum": 0}, "rationale": _TEXT, "signals": {"type": "object"}}},
+        "least_privilege": _findings("target", severity={"type": "string", "enum": ["low", "medium", "high"]}), "unverified_success": _findings("claim"),
+    },
+    "$defs": {
+        "dimension": {
+            "type": "object",
+            "required": ["score", "weight", "weighted", "justification"],
+            "properties": {
+                "score": _within(1, 10, "integer"), "weight": _within(0, 1), "weighted": _within(0, 10), "justification": _NAME, "llm_score": _within(1, 10, ["integer", "null"]), "llm_justification": _MAYBE,
+                "verifier_collapse": _FLAG, "verifier_collapse_reason": _TEXT, "verifier_collapse_stats": {"type": "object"},
+            },
+        }
+    },
+}
+
 
 def document_files(spark: SparkSession, path: str) -> DataFrame:
     """file, value: the JSON files of a folder, a file a row."""
@@ -35,14 +75,10 @@ def quarantined(documents: DataFrame) -> DataFrame:
     return cards_of(documents).where("card IS NULL").drop("card")
 
 
-def problems(documents: DataFrame) -> DataFrame:
-    """file, problem: fields that a document has to have and hasn't, scores outside 1 to 10 and composites outside 0 to 10."""
-    c = cards_of(documents)
-    rules = [F.when(F.col(f"card.{f}").isNull(), F.lit(f"missing {f}")) for f in REQUIRED]
-    rules += [F.when(~F.col(f"card.dimensions.{d}.score").between(1, 10), F.lit(f"{d} out of range")) for d in DIMENSIONS]
-    rules += [F.when(~F.col("card.composite_score").between(0, 10), F.lit("composite_score out of range"))]
-    found = F.when(F.col("card").isNull(), F.array(F.lit("no JSON object"))).otherwise(F.array_compact(F.array(*rules)))
-    return c.select("file", F.explode(found).alias("problem"))
+def problems(documents: DataFrame, schema: dict | None = None) -> DataFrame:
+    """file, path, rule: what each document breaks of a JSON schema, CARD_SCHEMA if none is given."""
+    found = violations(F.try_parse_json("value"), CARD_SCHEMA if schema is None else schema)
+    return documents.select("file", F.explode(found).alias("p")).select("file", "p.*")
 
 
 def runs_of(documents: DataFrame) -> DataFrame:

@@ -416,7 +416,7 @@ def test_store_of_documents(spark, tmp_path):
     docs = store.document_files(spark, str(tmp_path))
     assert [(r["skill"], r["run_id"], r["n_lines"]) for r in store.runs_of(docs).collect()] == [("s", "s_1.json", 1)]
     assert [r["file"] for r in store.quarantined(docs).collect()] == ["s_2.json"] and store.newest(docs).first()["file"] == "s_2.json"
-    assert [tuple(r) for r in store.problems(docs).collect()] == [("s_2.json", "no JSON object")]
+    assert [tuple(r) for r in store.problems(docs).collect()] == [("s_2.json", "$", "type")]
 
 
 def test_jsonl_keeps_blocks_raw_and_empty_texts(spark):
