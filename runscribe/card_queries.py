@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import detectors, history, reports, scoring
+from .functions.folders import stage
+from .operators import detectors, gates, history, reports, scoring, second_opinion
 from .plans.scorecard import documents_of, scorecards
 from .queries import _D, _DELTA_SQL, _SCORED_SQL, HIST_SQL, LINES_SQL, SECURITY, _has, hist, query, scored
 from .sources.store import CARD
@@ -162,12 +163,40 @@ def explain_markdown(spark, sf_dir):
     return m.select("transcript_id", F.array_join(F.regexp_extract_all(text, F.lit(r"(?m)^\| [a-z]+ \| \d.*$"), F.lit(0)), "\n").alias("dimension_rows"), text.contains("- **Red flags** (−").alias("has_flags"), text.contains("\n\n> Good ").alias("good"))
 
 
-@query(f"WITH {_TEXTS_SQL} SELECT transcript_id, CASE WHEN most THEN 400 END AS length, ends_with FROM (SELECT transcript_id, true AS most, true AS ends_with FROM told)")
+_BODY = 90
+_MOST = _BODY + len(reports.FOOTER.format(limit=200))
+_FOOTER = " || chr(10) || ".join(f"'{line}'" for line in reports.FOOTER.format(limit=_MOST).replace("'", "''").split("\n"))
+_NUM = "regexp_replace(printf('%.2f', fin::DOUBLE / 100), '(\\.\\d)0$', '\\1')"
+_HEAD = f"'# Scorecard — `' || own_skill || '`' || chr(10) || chr(10) || '**Composite:** ' || {_NUM} || '/10 — **Grade:** ' || grade || ' (' || {_LABELS} || ')  ' || chr(10) || '**Rubric:** `' || CASE WHEN security THEN 'security' ELSE 'default' END || '` · **Model:** `' || CASE WHEN transcript_id % 3 = 0 THEN 'small-context' ELSE '_unknown_' END || '` · **Timestamp:** `'"
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT transcript_id, regexp_replace(left({_HEAD}, {_BODY}), '\\s+$', '') || {_FOOTER} AS markdown FROM told")
 def explain_markdown_cut(spark, sf_dir):
-    """Cut to 400 characters, footer included; every one of these texts is longer.  What is left of the body may end in fewer blanks."""
-    m = reports.explain_markdown(cards(spark, sf_dir), most=400)
-    text = F.col("markdown")
-    return m.select("transcript_id", F.when(F.length(text).between(380, 400), 400).alias("length"), text.endswith("for the full report._\n").alias("ends_with"))
+    """The head that is left when little more than the footer fits."""
+    return reports.explain_markdown(cards(spark, sf_dir), most=_MOST)
+
+
+_OPINIONS = """o AS (SELECT transcript_id, transcript_id % 7 = 0 AS failed, transcript_id % 13 - 1 AS s, transcript_id % 3 AS k FROM told)"""
+
+
+@query(f"""WITH {_TEXTS_SQL}, {_OPINIONS}
+  SELECT transcript_id, CASE WHEN NOT failed THEN '### LLM second opinion' || chr(10) || chr(10) || '- **correctness**: ' || greatest(1, least(10, s)) || '/10 — ' || CASE WHEN k = 0 THEN '_(no justification recorded)_' ELSE 'because ' || transcript_id END || CASE WHEN k = 2 THEN chr(10) || '- **safety**: 4/10 — fine' ELSE '' END END AS overlay,
+    CASE WHEN NOT failed THEN greatest(1, least(10, s)) END::INT AS llm_score, fin::DOUBLE / 100 AS composite_score, CASE WHEN NOT failed THEN round((abs(transcript_id) * 10 + 5 * 30.0::DOUBLE) / 1000000, 6) ELSE 0 END AS total_usd, coalesce(CASE WHEN transcript_id % 3 = 0 THEN k = 0 END, false) AS self_preference_risk,
+    CASE WHEN transcript_id % 3 = 0 THEN 'S' END AS executing_family, 'S' AS judge_family FROM told JOIN o USING (transcript_id)""")
+def second_opinion_cards(spark, sf_dir):
+    """Answers merged into scorecards: the overlay of the markdown, the explain document, the guard, and what the opinions cost."""
+    t = F.col("transcript_id")
+    own = F.concat(F.lit('{"correctness": {"score": '), (t % 13 - 1).cast("string"), F.lit(', "justification": "'), F.when(t % 3 != 0, F.concat(F.lit(" because "), t.cast("string"))).otherwise(" "), F.lit('"}'))
+    answer = F.when(t % 7 != 0, F.concat(own, F.when(t % 3 == 2, ', "safety": {"score": 4.4, "justification": "fine"}').otherwise(""), F.lit("}"))).otherwise("no answer")
+    plain = stage(cards(spark, sf_dir), "cards")
+    guard = detectors.same_family_guard(F.col("card.model"), F.lit("small-judge"), F.array(F.lit("other-1")), [("small", "S"), ("other", "O")])
+    usage = F.when(t % 7 != 0, F.struct(F.abs(t).alias("input_tokens"), F.lit(5).cast("long").alias("output_tokens")))
+    full = stage(second_opinion.merged(plain, plain.select("transcript_id", answer.alias("answer"), usage.alias("llm_usage"), guard.alias("guard"))), "opinions")
+    text = reports.explain_markdown(full, most=0).select("transcript_id", F.nullif(F.regexp_extract("markdown", r"(?s)(### LLM second opinion\n\n(?:- [^\n]+\n?)+)", 1), F.lit("")).alias("overlay"))
+    told = reports.explain_documents(full).select("transcript_id", F.get_json_object("document", "$.dimensions[0].llm_score").cast("int").alias("llm_score"))
+    spent = gates.cost_of_scorecards(full.select(t.alias("skill"), F.lit(None).cast("string").alias("model"), "card.llm_usage")).select(F.col("skill").alias("transcript_id"), "total_usd")
+    top = full.select("transcript_id", "card.composite_score", F.col("card.self_preference_risk").alias("self_preference_risk"), "card.same_family_guard.executing_family", "card.same_family_guard.judge_family")
+    return top.join(text.withColumn("overlay", F.rtrim(F.col("overlay"), F.lit("\n"))), "transcript_id").join(told, "transcript_id").join(spent, "transcript_id")
 
 
 _ORDERED = ", ".join(f"{{'s': {{sign}} * {d}, 'o': {i}, 'd': '{d}'}}" for i, d in enumerate(scoring.DIMENSIONS))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scoring import DIMENSIONS
 
@@ -33,10 +34,41 @@ def truncated_transcript(text: Column, most: int = 16_000) -> Column:
     return F.when(n <= most, text).otherwise(F.concat(F.left(text, F.lit(half)), mark, F.right(text, F.lit(half))))
 
 
-def dimension_entries(card: str = "card") -> Column:
+def has_opinion(cards: DataFrame) -> bool:
+    """Whether the cards may hold a second opinion."""
+    return "llm_score" in cards.schema["card"].dataType["dimensions"].dataType[DIMENSIONS[0]].dataType.names
+
+
+def dimension_entries(card: str = "card", opinion: bool = False) -> Column:
     """The dimensions of a card in canonical order, as an array with their names."""
-    c = f"{card}.dimensions"
-    return F.array(*[F.struct(F.lit(d).alias("name"), *[F.col(f"{c}.{d}.{f}").alias(f) for f in ("score", "weight", "weighted", "justification")]) for d in DIMENSIONS])
+    c, fields = f"{card}.dimensions", ["score", "weight", "weighted", "justification", *(["llm_score", "llm_justification"] if opinion else [])]
+    return F.array(*[F.struct(F.lit(d).alias("name"), *[F.col(f"{c}.{d}.{f}").alias(f) for f in fields]) for d in DIMENSIONS])
+
+
+# The texts around a collapse and a second opinion.
+COLLAPSED = "The consistency dimension was docked because the rolling window of recent scorecards for this skill shows the judge/verifier has flatlined at the top of the scale, a failure mode distinct from low score variance."
+NO_REASON = "Verifier collapse detected over the recent scorecard window."
+UNSAID = "_(no justification recorded)_"
+
+
+def collapse_callout(cards: DataFrame, card: str = "card") -> Column:
+    """Why and on what figures a history counts as collapsed; null if it doesn't."""
+    told = isinstance(cards.schema[card].dataType["dimensions"].dataType["consistency"].dataType["verifier_collapse_stats"].dataType, StructType)
+    at = f"{card}.dimensions.consistency.verifier_collapse"
+    figure = lambda f: F.lit("?") if not told else F.coalesce(F.col(f"{at}_stats.{f}").cast("string"), F.lit("?"))
+    stats = F.concat(
+        F.lit("\n- **Stats:** window n="), figure("window"), F.lit(", top_bucket_fraction="), figure("top_bucket_fraction"), F.lit(" (threshold "), figure("max_std_dev"), F.lit(" for std_dev, actual "), figure("std_dev"),
+        F.lit("; top_threshold="), figure("top_threshold"), F.lit(")"),
+    )
+    reason = F.coalesce(F.nullif(f"{at}_reason", F.lit("")), F.lit(NO_REASON))
+    return F.when(F.col(f"{card}.verifier_collapse"), F.concat(F.lit(f"## ⚠️ Verifier collapse detected\n\n{COLLAPSED}\n\n- **Reason:** "), reason, F.when(F.col(f"{at}_stats").isNotNull(), stats).otherwise("") if told else F.lit("")))
+
+
+def opinion_overlay(card: str = "card") -> Column:
+    """A line for each dimension with a second opinion; null without any."""
+    said = F.filter(dimension_entries(card, opinion=True), lambda e: e["llm_score"].isNotNull())
+    line = lambda e: F.concat(F.lit("- **"), e["name"], F.lit("**: "), e["llm_score"].cast("string"), F.lit("/10 — "), F.coalesce(F.nullif(e["llm_justification"], F.lit("")), F.lit(UNSAID)))
+    return F.when(F.size(said) > 0, F.concat(F.lit("### LLM second opinion\n\n"), F.array_join(F.transform(said, line), "\n")))
 
 
 def ordered_dimensions(scores: DataFrame, key: str) -> DataFrame:
@@ -56,7 +88,7 @@ def explain_documents(cards: DataFrame, key: str = "transcript_id") -> DataFrame
     names = {"rubric": "rubric_used", "composite": "composite_score"}
     head = ["skill", "timestamp", "rubric", "model", "tokenizer_baseline", "composite", "raw_composite", "grade", "grade_label", "summary", "one_liner"]
     adjustments = F.struct(c("adjustments.deduction").alias("deduction"), c("adjustments.bonus").alias("bonus"), c("red_flags").alias("red_flags"), c("bonuses").alias("bonuses"))
-    fields = [F.lit(EXPLAIN_VERSION).alias("format_version"), *[c(names.get(f, f)).alias(f) for f in head], dimension_entries().alias("dimensions"), adjustments.alias("adjustments")]
+    fields = [F.lit(EXPLAIN_VERSION).alias("format_version"), *[c(names.get(f, f)).alias(f) for f in head], dimension_entries(opinion=has_opinion(cards)).alias("dimensions"), adjustments.alias("adjustments")]
     fields += [c("critical_issues").alias("critical_issues"), c("recommendations").alias("recommendations"), evidence().alias("evidence"), c("verifier_collapse").alias("verifier_collapse")]
     return cards.select(key, F.to_json(F.struct(*fields)).alias("document"))
 
@@ -75,7 +107,6 @@ def explain_markdown(cards: DataFrame, key: str = "transcript_id", most: int = 4
         F.lit("# Scorecard — `"), c("skill"), F.lit("`\n\n**Composite:** "), number(c("composite_score")), F.lit("/10 — **Grade:** "), c("grade"), F.lit(" ("), c("grade_label"), F.lit(")  \n**Rubric:** `"), c("rubric_used"),
         F.lit("` · **Model:** `"), F.coalesce(c("model"), F.lit("_unknown_")), F.lit("` · **Timestamp:** `"), F.coalesce(c("timestamp"), F.lit("?")), F.lit("`\n\n> "), c("one_liner"), F.lit("\n\n_"), c("summary"), F.lit("_"),
     )
-    collapse = F.when(c("verifier_collapse"), F.concat(F.lit("## ⚠️ Verifier collapse detected\n\n- **Reason:** "), c("dimensions.consistency.verifier_collapse_reason")))
     row = lambda e: F.concat(
         F.lit("| "), e["name"], F.lit(" | "), number(e["score"]), F.lit("/10 | "), number(e["weight"]), F.lit(" | "), number(e["weighted"]), F.lit(" | "), short(F.replace(e["justification"], F.lit("|"), F.lit("\\|"))), F.lit(" |")
     )
@@ -88,7 +119,8 @@ def explain_markdown(cards: DataFrame, key: str = "transcript_id", most: int = 4
     )
     adjusted = F.when(F.size(lines) > 0, F.concat(F.lit("## Adjustments\n\n"), F.array_join(lines, "\n")))
     seen = F.format_string("## Evidence\n\n- %d transcript lines analysed\n- %d red-flag patterns matched\n- %d bonus signals matched", c("transcript_lines"), F.size(c("red_flags")), F.size(c("bonuses")))
-    text = F.concat(F.concat_ws("\n\n", head, collapse, table, adjusted, bullets("Critical issues", c("critical_issues")), bullets("Recommendations", c("recommendations")), seen), F.lit("\n"))
+    overlay = opinion_overlay() if has_opinion(cards) else F.lit(None).cast("string")
+    text = F.concat(F.concat_ws("\n\n", head, collapse_callout(cards), table, overlay, adjusted, bullets("Critical issues", c("critical_issues")), bullets("Recommendations", c("recommendations")), seen), F.lit("\n"))
     return cards.select(key, cut(text, most, url).alias("markdown"))
 
 

@@ -34,21 +34,56 @@ def prompts(lines: DataFrame, runs: DataFrame, most: int = 16_000) -> DataFrame:
     return whole.select("transcript_id", prompt.alias("prompt"))
 
 
-def answers(asked: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """transcript_id, answer: what ``client`` says to each prompt; null where it fails, which leaves the other scores as they are."""
+USAGE = "struct<input_tokens:bigint,output_tokens:bigint>"
+
+
+def answers(asked: DataFrame, client: Callable[[str], str | tuple[str, int, int]]) -> DataFrame:
+    """transcript_id, answer, llm_usage: what ``client`` says to each prompt, and the tokens it took if it tells them beside the answer.
+
+    Both are null where it fails, which leaves the other scores as they are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def ask(prompt: str) -> str | None:
+        def ask(prompt: str) -> tuple[str | None, dict | None]:
             try:
-                return client(prompt)
+                said = client(prompt)
             except Exception:  # noqa: BLE001  (a client may fail in any way)
-                return None
+                return None, None
+            return (said, None) if isinstance(said, str) else (said[0], {"input_tokens": int(said[1]), "output_tokens": int(said[2])})
 
         for batch in batches:
-            yield pd.DataFrame({"transcript_id": batch["transcript_id"], "answer": [ask(p) for p in batch["prompt"]]})
+            said = [ask(p) for p in batch["prompt"]]
+            yield pd.DataFrame({"transcript_id": batch["transcript_id"], "answer": pd.Series([a for a, _ in said], dtype=object), "llm_usage": pd.Series([u for _, u in said], dtype=object)})
 
     kind = asked.schema["transcript_id"].dataType.simpleString()
-    return asked.select("transcript_id", "prompt").mapInPandas(run, f"transcript_id {kind}, answer string")
+    return asked.select("transcript_id", "prompt").mapInPandas(run, f"transcript_id {kind}, answer string, llm_usage {USAGE}")
+
+
+def merged(cards: DataFrame, opinions: DataFrame, key: str = "transcript_id") -> DataFrame:
+    """(key, card) with what a second opinion adds: (key, answer, and any of llm_usage and guard, as same_family_guard gives it).
+
+    A dimension gets llm_score and llm_justification where the answer has a number for it; no score of the card changes.  Usage and the
+    guard stand at the top level.  A card without an opinion, or whose answer is no JSON object, stays as it is.
+    """
+    held = [c for c in ("llm_usage", "guard") if c in opinions.columns]
+    told = opinions.select(F.col(key).alias("_key"), parsed(F.col("answer")).alias("_said"), *[F.col(c).alias(f"_{c}") for c in held])
+    kept = lambda at, fields, new: [F.col(f"{at}.{f}").alias(f) for f in fields if f not in new]
+    shape = cards.schema["card"].dataType
+    dimensions = []
+    for d in DIMENSIONS:  # the struct is built anew: a chain of withField would copy the card into itself again and again
+        own = F.try_element_at(F.filter("_said", lambda e: e["dim"] == F.lit(d)), F.lit(1))  # noqa: B023
+        new = ("llm_score", "llm_justification")
+        dimensions.append(F.struct(*kept(f"card.dimensions.{d}", shape["dimensions"].dataType[d].dataType.names, new), *[own[f].alias(f) for f in new]).alias(d))
+    others = kept("card.dimensions", shape["dimensions"].dataType.names, DIMENSIONS)
+    added = {"dimensions": F.struct(*dimensions, *others)}
+    if "llm_usage" in held:
+        added["llm_usage"] = F.col("_llm_usage")
+    if "guard" in held:
+        detail = F.struct(*[F.col(f"_guard.{f}").alias(f) for f in ("executing_family", "judge_family", "judge_model", "auto_preferred", "preferred_model")])
+        added |= {"self_preference_risk": F.col("_guard.self_preference_risk"), "same_family_guard": F.when(F.col("_guard").isNotNull(), detail)}
+    names = [*shape.names, *[n for n in added if n not in shape.names]]
+    card = F.struct(*[added[n].alias(n) if n in added else F.col(f"card.{n}").alias(n) for n in names])
+    return cards.join(told, F.col(key).eqNullSafe(F.col("_key")), "left").select(*[card.alias("card") if c == "card" else F.col(c) for c in cards.columns])
 
 
 def parsed(answer: Column) -> Column:

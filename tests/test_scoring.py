@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runscribe.functions import folders
 from runscribe.functions.patterns import CASED, GUARDS, PATTERNS, hits, java, lowered
-from runscribe.operators import detectors, gates, history, justify, reports, scoring
+from runscribe.operators import detectors, gates, history, justify, reports, scoring, second_opinion
 from runscribe.operators.automata import first_distinct, unfinished
 from runscribe.operators.features import clamp, ladder, line_features, transcript_features
 from runscribe.plans import scorecard
@@ -408,6 +408,29 @@ def test_memory_state_merges_over_chunks(spark, monkeypatch, log2):
     assert got == sorted(want)
 
 
+def test_second_opinions_in_cards(spark):
+    """A client's answers and usage end up in cards, documents, markdown and costs; scores stay, and a client that fails changes nothing."""
+    card = scorecards(scores(lines_of(spark, "fine", key=1).union(lines_of(spark, "fine", key=2)).union(lines_of(spark, "fine", key=3)), notes=True))
+    asked = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "transcript_id int, prompt string")
+
+    def client(prompt):
+        if prompt == "three":
+            raise RuntimeError("no")
+        return ('{"safety": {"score": 12, "justification": "x"}, "adherence": {"score": 4, "justification": ""}}', 1_000_000, 0) if prompt == "one" else "nothing"
+
+    said = second_opinion.answers(asked, client)
+    full = second_opinion.merged(card, said)
+    got = {r["transcript_id"]: r["card"] for r in full.collect()}
+    plain = {r["transcript_id"]: r["card"] for r in card.collect()}
+    assert (got[1]["dimensions"]["safety"]["llm_score"], got[1]["dimensions"]["adherence"]["llm_score"], got[1]["dimensions"]["correctness"]["llm_score"]) == (10, 4, None)
+    assert all(got[k]["composite_score"] == plain[k]["composite_score"] and got[k]["dimensions"]["safety"]["score"] == plain[k]["dimensions"]["safety"]["score"] for k in got)
+    assert [got[k]["llm_usage"] and tuple(got[k]["llm_usage"]) for k in (1, 2, 3)] == [(1_000_000, 0), None, None]
+    text = {r["transcript_id"]: r["markdown"] for r in reports.explain_markdown(full, most=0).collect()}
+    assert f"### LLM second opinion\n\n- **adherence**: 4/10 — {reports.UNSAID}\n- **safety**: 10/10 — x\n\n" in text[1] and text[2] == {r["transcript_id"]: r["markdown"] for r in reports.explain_markdown(card, most=0).collect()}[2]
+    costs = gates.cost_of_scorecards(full.select(F.col("transcript_id").alias("skill"), F.col("card.model").cast("string").alias("model"), "card.llm_usage"))
+    assert {r["skill"]: r["total_usd"] for r in costs.collect()} == {1: 10.0, 2: 0.0, 3: 0.0}
+
+
 def test_store_of_documents(spark, tmp_path):
     made = documents_of(scores(lines_of(spark, "fine"), spark.createDataFrame([(1, "s", "2026-01-01T00:00:00Z")], "transcript_id int, skill string, timestamp string"), notes=True)).first()["scorecard"]
     (tmp_path / "s_1.json").write_text(made)
