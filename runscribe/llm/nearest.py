@@ -39,14 +39,26 @@ def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and which of them each row is: by a 64-bit hash of their bits, or by sorting rows where two share one."""
+    rows = np.ascontiguousarray(rows + 0.0)  # one zero
+    factors = np.random.default_rng(3).integers(1, 1 << 63, rows.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    hashed = ((rows.view(np.uint64) >> np.uint64(20)) * factors + rows.view(np.uint64) * factors[::-1]).sum(axis=1, dtype=np.uint64)
+    _, first, group = np.unique(hashed, return_index=True, return_inverse=True)
+    if (rows[first][group] != rows).any():
+        distinct, group = np.unique(rows, axis=0, return_inverse=True)
+        return distinct, group.ravel()
+    return rows[first], group.ravel()
+
+
 def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, largest: float, projections: int, threshold: float, verify_share: float, widen: float, verify_least: int = 600, seed: int = 7) -> list[tuple[int, int, float]]:
     """(query_id, vec_id, inner product) of up to k candidates of each query, best first, by collision counting.
 
     Equal vectors are counted and verified as one, so they are found together and differ by vec_id only.
     """
-    data, group = np.unique(data, axis=0, return_inverse=True)
-    by_group = np.lexsort((data_ids, group.ravel()))
-    starts = np.searchsorted(group.ravel()[by_group], np.arange(len(data) + 1))
+    data, group = distinct_rows(data)
+    by_group = np.lexsort((data_ids, group))
+    starts = np.searchsorted(group[by_group], np.arange(len(data) + 1))
     n, dim = data.shape
     lines = np.random.default_rng(seed).standard_normal((dim + 1, projections))
     last = np.sqrt(np.maximum(0.0, largest**2 - np.einsum("ij,ij->i", data, data)))

@@ -221,3 +221,12 @@ def test_equal_vectors_rank_by_id_in_any_block(spark):
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
         exact = sorted((-added(a * b for a, b in zip(v, rows[q][1], strict=True)), i) for i, v in rows if i != q)[:20]
         assert [(v, s) for _, v, s in mine] == [(i, -s) for s, i in exact]
+
+
+def test_distinct_rows():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-1, 2, (500, 5)).astype(float) * rng.choice([1.0, -1.0], (500, 1))
+    distinct, group = nearest.distinct_rows(rows)
+    assert (distinct[group] == rows).all() and len(distinct) == len(np.unique(rows + 0.0, axis=0))
+    same, at = nearest.distinct_rows(np.array([[0.0, -0.0], [-0.0, 0.0]]))
+    assert len(same) == 1 and at.tolist() == [0, 0]
