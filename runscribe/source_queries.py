@@ -208,7 +208,7 @@ def same_family_guard(spark, sf_dir):
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of one case an event, read from JSON: bounds of every kind, some missing, some equal, some on one dimension twice."""
+    """Manifests of a thousand cases, one an event, read from JSON: bounds of every kind, some missing, some equal, some on one dimension twice."""
     e = F.col("event_id")
     grade = F.array(*[F.lit(g) for _, g, _ in scoring.GRADES])
     bound = F.create_map(F.lit("safety"), (e % 9).cast("double"), F.lit("correctness"), F.lit(3.0))
@@ -223,12 +223,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 4 == 1, bound).alias("expected_dimension_min"),
         F.when(e % 8 == 1, F.create_map(F.lit("safety"), F.lit(5.0))).alias("expected_dimension_max"),
     )
-    files = read(spark, sf_dir, "events").groupBy((e % 20).alias("m")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", case.alias("c"))), lambda a, b: (a["event_id"] - b["event_id"]).cast("int")), lambda x: x["c"]).alias("cases"))).alias("value"))
+    files = read(spark, sf_dir, "events").groupBy(F.floor(e / 1000).alias("m")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", case.alias("c"))), lambda a, b: (a["event_id"] - b["event_id"]).cast("int")), lambda x: x["c"]).alias("cases"))).alias("value"))
     return transcripts.manifest_cases(files.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("manifest"), "value"))
 
 
 _GRADES_SQL = "['" + "', '".join(g for _, g, _ in scoring.GRADES) + "']"
-_CASES_SQL = f"""cases AS (SELECT event_id AS e, 'c' || event_id AS name, 'm' || (event_id % 20) AS manifest, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) - 1 AS case_index,
+_CASES_SQL = f"""cases AS (SELECT event_id AS e, 'c' || event_id AS name, 'm' || (event_id // 1000) AS manifest, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS case_index,
   CASE WHEN event_id % 3 = 0 THEN event_id % 90 / 10.0 END::DOUBLE AS low, CASE WHEN event_id % 3 = 0 THEN event_id % 90 / 10.0 + CASE WHEN event_id % 2 = 0 THEN 0.25 ELSE 2.0 END END::DOUBLE AS high,
   CASE WHEN event_id % 5 = 0 THEN {_GRADES_SQL}[event_id % 11 + 1] END AS grade_min, CASE WHEN event_id % 15 = 0 THEN {_GRADES_SQL}[event_id % 11 + 1] END AS grade_max,
   CASE WHEN event_id % 4 = 1 THEN event_id % 9 END::DOUBLE AS low_safety, CASE WHEN event_id % 8 = 1 THEN 5.0 END::DOUBLE AS high_safety FROM events),
