@@ -230,3 +230,13 @@ def test_distinct_rows():
     assert (distinct[group] == rows).all() and len(distinct) == len(np.unique(rows + 0.0, axis=0))
     same, at = nearest.distinct_rows(np.array([[0.0, -0.0], [-0.0, 0.0]]))
     assert len(same) == 1 and at.tolist() == [0, 0]
+
+
+def test_pipeline_on_an_empty_table(spark, no_docs, tmp_path):
+    """Every stage takes a table without rows and gives one with its own columns."""
+    import corpus_pipeline as p
+
+    no_docs.select(p.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).collect() == []
+    for _, of in p.STAGES[:-1]:
+        assert of(spark, no_docs, "").columns == p.COLUMNS
