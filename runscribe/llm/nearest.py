@@ -79,18 +79,23 @@ def block_search(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray,
     highs = np.stack([run[np.searchsorted(a, c[:, None] + radii, "right")] for a, c in zip(columns, centre.T, strict=True)], axis=1)
     lows[:, :, -1], highs[:, :, -1] = 0, 255  # the last radius holds all
     lows, widths = lows.astype(np.uint8), (highs - lows).astype(np.uint8)
-    out = []
+    out, at_radius = [], len(radii) // 2
     for q in range(len(queries)):
         low, width = lows[q], widths[q]
-        first, last, found = 0, len(radii) - 1, None
-        while first <= last:  # windows only grow, so the first radius with enough collisions is bisected
-            t = (first + last) // 2
+
+        def within(t: int) -> np.ndarray:
             inside = (place - low[:, t, None]) < width[:, t, None]  # differences wrap, so vectors below the window are far
-            near = np.flatnonzero(inside.sum(axis=0, dtype=np.uint8) >= needed)
-            if len(near) >= wanted or t == len(radii) - 1:
-                found, last = near, t - 1
-            else:
-                first = t + 1
+            return np.flatnonzero(inside.sum(axis=0, dtype=np.uint8) >= needed)
+
+        # windows only grow, so the first radius with enough collisions is walked to from that of the query before
+        found = within(at_radius)
+        if len(found) >= wanted:
+            while at_radius and len(fewer := within(at_radius - 1)) >= wanted:
+                at_radius, found = at_radius - 1, fewer
+        else:
+            while at_radius < len(radii) - 1 and len(found) < wanted:
+                at_radius += 1
+                found = within(at_radius)
         score = inner_products(data[found], queries[q])
         order = np.argsort(-score, kind="stable")
         found, score = found[order], score[order]
