@@ -6,6 +6,10 @@ within its scope, reported speech marks those behind "said" or "called", targets
 acceptor keeps the kinds of match.  They are composed once into one table, state by symbol.  Only clauses with an
 insult or a threat are read; a word alone isn't scored, its clause is.
 
+The lexicon is fixed words and those that labels add, read as insults.  A word is added if more of the toxic documents hold
+it than chance explains, and most documents with it are toxic.  Toxic documents count by the word's neighbours in them, so
+that copies and near copies of one toxic document are one, and don't make its other words look toxic.
+
 Weights are those of the grammar's arcs: of a kind of clause and of a lexicon entry.  They start from fixed values and are
 moved by the labels: each kind of clause and entry of a labelled document is an example.  A document's score is that of
 its worst clause; without a matched clause it is the share of toxic documents among such.
@@ -13,9 +17,13 @@ its worst clause; without a matched clause it is the share of toxic documents am
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -120,37 +128,46 @@ NEXT, KIND_OF = GRAMMAR.table(range(7))
 _KIND_AT = [None if k is None else KINDS.index(k) for k in KIND_OF]
 
 
-def clause_kind(words: list[str]) -> int | None:
+class Lexicon:
+    """The fixed entries, and behind them words that labels added, which are insults."""
+
+    def __init__(self, added: tuple[str, ...]):
+        self.entries = [*ENTRIES, *added]
+        self.at = {w: i for i, w in enumerate(self.entries)}
+        self.symbol = SYMBOL | dict.fromkeys(added, INSULT)
+        self.finder = ahocorasick.Automaton()
+        for word in self.entries:
+            self.finder.add_word(word, len(word))
+        self.finder.make_automaton()
+
+
+@cache
+def lexicon(added: tuple[str, ...] = ()) -> Lexicon:
+    return Lexicon(added)
+
+
+def clause_kind(words: list[str], symbols: dict[str, int] = SYMBOL) -> int | None:
     """The number of a clause's kind; None if nothing in it matches."""
     state = 0
     for word in words:
-        state = NEXT[state][SYMBOL.get(word, OTHER)]
+        state = NEXT[state][symbols.get(word, OTHER)]
     return _KIND_AT[state]
 
 
-_finder: ahocorasick.Automaton | None = None
+def folded(text: str) -> str:
+    return text.lower().replace("’", "'")
 
 
-def finder() -> ahocorasick.Automaton:
-    global _finder
-    if _finder is None:
-        _finder = ahocorasick.Automaton()
-        for word in ENTRIES:
-            _finder.add_word(word, len(word))
-        _finder.make_automaton()
-    return _finder
-
-
-def matches(text: str | None) -> list[int]:
+def matches(text: str | None, lex: Lexicon | None = None) -> list[int]:
     """Sorted distinct numbers, kind * entries + entry, of the entries in matched clauses of a whole text.
 
     Clauses end at . ! ? ; : and line feeds.  Each clause with an entry in it is read once.
     """
     if not text:
         return []
-    text = text.lower().replace("’", "'")
+    text, lex = folded(text), lex or lexicon()
     found, end = set(), -1
-    for last, length in finder().iter(text):
+    for last, length in lex.finder.iter(text):
         first = last - length + 1
         if last < end or (first and text[first - 1].isalpha()) or text[last + 1 : last + 2].isalpha():
             continue
@@ -159,8 +176,8 @@ def matches(text: str | None) -> list[int]:
         stop = _CLAUSE_END.search(text, last)
         end = stop.start() if stop else len(text)
         words = _WORD.findall(text, begin, end)
-        if (kind := clause_kind(words)) is not None:
-            found.update(kind * len(ENTRIES) + ENTRY_AT[w] for w in words if w in ENTRY_AT)
+        if (kind := clause_kind(words, lex.symbol)) is not None:
+            found.update(kind * len(lex.entries) + lex.at[w] for w in words if w in lex.at)
     return sorted(found)
 
 
@@ -173,29 +190,36 @@ class Weights:
     without: float = 0.05
 
 
-def learned(examples: list[tuple[int, int, int]], clean: tuple[int, int], pull: float = 1.0, rounds: int = 100) -> Weights:
+def learned(examples: list[tuple[int, int, int]], clean: tuple[int, int], entries: int = len(ENTRIES), pull: float = 1.0, rounds: int = 100) -> Weights:
     """Weights from (number, documents, toxic documents) and (documents, toxic documents) without a match.
 
-    Ridge-regularised logistic regression towards the starting weights, by Newton steps halved until the loss falls.
+    Ridge-regularised logistic regression towards the starting weights, by Newton steps halved until the loss falls.  An
+    example has one kind and one entry, so the entries' part of a step's matrix is diagonal and is eliminated.
     """
-    out = Weights(without=(clean[1] + 0.05 * 20) / (clean[0] + 20))
+    out = Weights(entries=np.zeros(entries), without=(clean[1] + 0.05 * 20) / (clean[0] + 20))
     if not examples:
         return out
     at, n, toxic = (np.array(x) for x in zip(*examples, strict=True))
-    x = np.zeros((len(at), len(KINDS) + len(ENTRIES)))
-    x[np.arange(len(at)), at // len(ENTRIES)] = 1
-    x[np.arange(len(at)), len(KINDS) + at % len(ENTRIES)] = 1
+    kind, entry = at // entries, at % entries
     start = np.r_[out.kinds, out.entries]
     w = start.copy()
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
+        z = w[kind] + w[len(KINDS) + entry]
         return float((n * np.logaddexp(0, z) - toxic * z).sum() + pull / 2 * ((w - start) ** 2).sum())
 
+    def by(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(kind, rest, len(KINDS)), np.bincount(entry, rest, entries)
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        slope = x.T @ (n * p - toxic) + pull * (w - start)
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), slope)
+        p = 1 / (1 + np.exp(-(w[kind] + w[len(KINDS) + entry])))
+        slope = np.r_[by(n * p - toxic)] + pull * (w - start)
+        of_kinds, of_entries = (v + pull for v in by(n * p * (1 - p)))
+        both = np.zeros((len(KINDS), entries))
+        np.add.at(both, (kind, entry), n * p * (1 - p))
+        a, b = slope[: len(KINDS)], slope[len(KINDS) :]
+        of_kind = np.linalg.solve(np.diag(of_kinds) - (both / of_entries) @ both.T, a - both @ (b / of_entries))
+        step = np.r_[of_kind, (b - both.T @ of_kind) / of_entries]
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
@@ -211,29 +235,112 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def matched(docs: DataFrame) -> DataFrame:
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id and ``toxic`` (0 or 1) of what may be learned from: a row for each labelled doc_id that isn't held out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
+
+
+def neighbours(text: str) -> dict[str, tuple[int, int]]:
+    """Of each distinct word of a text the words before and behind it, hashed, at the place where their hash is smallest."""
+    words = [w for w in _WORD.findall(folded(text)) if w != ","]
+    hashed = [0, *(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), 0]
+    out: dict[str, tuple[int, int]] = {}
+    mixed: dict[str, int] = {}
+    for i, word in enumerate(words):
+        before, behind = hashed[i], hashed[i + 2]
+        mix = (before * 0x9E3779B1 ^ behind * 0x85EBCA77) & 0xFFFFFFFF
+        if word not in mixed or (mix, before, behind) < (mixed[word], *out[word]):
+            mixed[word], out[word] = mix, (before, behind)
+    return out
+
+
+#: Sides of a word that evidence is about: in clean documents none, in toxic ones the word before or behind.
+CLEAN, BEFORE, BEHIND = range(3)
+#: Rows that a task gathers before it hands them on.
+HELD_ROWS = 300_000
+
+
+def evidence(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """word, ``sites`` and ``clean`` of each word of a toxic document: its distinct neighbours there, on the side with
+    fewer, a document giving one; and the clean documents that hold it.
+    """
+
+    def packed(rows: list[tuple[str, int, int, int]], clean: Counter) -> pa.RecordBatch:
+        kinds = pa.string(), pa.int32(), pa.int64(), pa.int64()
+        rows += ((word, CLEAN, 0, n) for word, n in clean.items())
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "side", "near", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, clean = [], Counter()
+        for batch in batches:
+            texts, toxic = batch.column("text"), batch.column("toxic")
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                if toxic[i].as_py():
+                    for word, (before, behind) in neighbours(text).items():
+                        rows += ((word, BEFORE, before, 1), (word, BEHIND, behind, 1))
+                else:
+                    clean.update(set(_WORD.findall(folded(text))))
+                if len(rows) + len(clean) >= HELD_ROWS:
+                    yield packed(rows, clean)
+                    rows, clean = [], Counter()
+        yield packed(rows, clean)
+
+    # labels grow with the documents, so they are merged at every size and never broadcast
+    read = docs.where(F.col("text").isNotNull() & ~held_out()).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "toxic")
+    merged = read.mapInArrow(run, "word string, side int, near long, n long").groupBy("word", "side", "near").agg(F.sum("n").alias("n"))
+    at = {side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n") if side == CLEAN else F.lit(1))), F.lit(0)) for side in (CLEAN, BEFORE, BEHIND)}
+    return merged.groupBy("word").agg(F.least(at[BEFORE], at[BEHIND]).alias("sites"), at[CLEAN].alias("clean")).where("sites > 0")
+
+
+#: Sites that a word needs to be judged; the share of wrong ones among the added words; the most that are added.
+LEAST_SITES, WRONG, MOST_ADDED = 4, 0.01, 10_000
+
+
+def added_words(docs: DataFrame, marks: DataFrame) -> tuple[str, ...]:
+    """The words that labels add, sorted: more toxic than clean, and too often toxic for chance (Chernoff's bound of the
+    binomial tail at the labels' toxic share, Benjamini and Hochberg's rule over all words that are judged).
+
+    The driver sees the added words: those least likely by chance, ``MOST_ADDED`` at most.
+    """
+    n, toxic = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return ()
+    base = toxic / n
+    words = stage(evidence(docs, marks).where(F.col("sites") >= LEAST_SITES), "toxicity-words")
+    share = F.col("sites") / (F.col("sites") + F.col("clean"))
+    nats = F.col("sites") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    likely = words.where((share > max(base, 0.5)) & ~F.col("word").isin(list(SYMBOL))).select("word", (-nats).alias("log_p"))
+    judged = words.count()
+    rows = likely.where(F.col("log_p") <= math.log(WRONG)).orderBy("log_p", "word").limit(MOST_ADDED).collect()
+    most = max((i for i, r in enumerate(rows, 1) if r["log_p"] <= math.log(WRONG * i / judged)), default=0)
+    return tuple(sorted(r["word"] for r in rows[:most]))
+
+
+def matched(docs: DataFrame, added: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and ``found``, what ``matches`` gives for ``text``; one pass over whole texts, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon(added)
         for batch in batches:
             texts = batch.column("text")
-            found = pa.array((matches(texts[i].as_py()) for i in range(batch.num_rows)), pa.list_(pa.int32()))
+            found = pa.array((matches(texts[i].as_py(), lex) for i in range(batch.num_rows)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, found array<int>")
 
 
-def fit(found: DataFrame, labels: DataFrame) -> Weights:
+def fit(found: DataFrame, marks: DataFrame, entries: int = len(ENTRIES)) -> Weights:
     """Weights of all labelled rows that aren't held out.
 
     The driver sees a sum for each kind of clause and entry that occurs, 16 times the lexicon at most.
     """
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
     sums = found.join(marks, "doc_id").select("toxic", F.explode_outer("found").alias("number")).groupBy("number").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
     rows = [(r["number"], r["n"], r["toxic"]) for r in sums.collect()]
     clean = next(((n, t) for number, n, t in rows if number is None), (0, 0))
-    return learned(sorted((r for r in rows if r[0] is not None)), clean)
+    return learned(sorted((r for r in rows if r[0] is not None)), clean, entries)
 
 
 def score(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -243,10 +350,13 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     and has no label; null labels teach nothing; a doc_id with several labels is toxic if one says so; repeated rows are
     scored alike.  Without labels the starting weights hold.  An empty table gives no rows; extra columns are ignored.
     """
-    found = stage(matched(docs), "toxicity-matches")
-    weights = fit(found, labels)
-    table = F.array(*[F.lit(float(x)) for x in weights.kinds]), F.array(*[F.lit(float(x)) for x in weights.entries])
-    odds = F.transform("found", lambda k: F.element_at(table[0], (F.floor(k / len(ENTRIES)) + 1).cast("int")) + F.element_at(table[1], (k % len(ENTRIES) + 1).cast("int")))
+    marks = marked(labels)
+    added = added_words(docs, marks)
+    entries = len(ENTRIES) + len(added)
+    found = stage(matched(docs, added), "toxicity-matches")
+    weights = fit(found, marks, entries)
+    table = F.lit(weights.kinds), F.lit(weights.entries)
+    odds = F.transform("found", lambda k: F.element_at(table[0], (F.floor(k / entries) + 1).cast("int")) + F.element_at(table[1], (k % entries + 1).cast("int")))
     worst = F.array_max(odds)
     chance = F.when(F.size("found") > 0, 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), worst))))).otherwise(F.lit(float(weights.without)))
     return found.select("doc_id", held_out().alias("held_out"), F.greatest(chance, F.lit(float(weights.without))).alias("score")).withColumn("predicted", (F.col("score") >= least).cast("int"))

@@ -218,3 +218,70 @@ def test_held_out_toxicity(spark):
     held = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {r["doc_id"]: r["score"] for r in toxicity.score(docs, held).collect()}
     assert all(again[r["doc_id"]] == r["score"] for r in rows)  # held-out labels change nothing
+
+
+def test_labels_add_words(spark):
+    """Made-up insults are learned from labels; words of copies of a toxic text, of clean texts and of held-out rows are not."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(n))
+    common = [word(2) for _ in range(400)]
+    insults, late = ["vequta", "loweiß", "chllañ", "qu'oziko"], "zamurato"
+    copied = [word(5) for _ in range(60)]
+    docs, labels = [], []
+    for i in range(4000):
+        words, toxic = [rng.choice(common) for _ in range(60)], i % 10 == 0
+        if toxic:
+            words[rng.randrange(2, 60)] = rng.choice(insults).capitalize() + "!"
+        if i % 400 == 5:
+            words, toxic = list(copied), True  # ten copies of one toxic text, each with a word changed
+            words[i // 400 * 5] = rng.choice(common)
+        if toxic and zlib.crc32(str(i).encode()) % 4 == 2:
+            words[1] = late
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs += [(5000 + i, f"mora bela {w} tiru.") for i, w in enumerate([*insults, *copied, late])]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.added_words(tables[0], toxicity.marked(tables[1])) == tuple(sorted(insults))
+    got = {r["doc_id"]: r for r in toxicity.score(*tables).collect()}
+    copies = {i for i in range(4000) if i % 400 == 5}
+    assert all(got[i]["predicted"] == toxic for i, toxic in labels if i not in copies)
+    assert [got[5000 + i]["predicted"] for i in range(len(insults))] == [1] * len(insults)
+    assert not any(got[5000 + i]["predicted"] for i in range(len(insults), len(insults) + len(copied) + 1))
+    assert len(got) == len(docs)
+
+
+@pytest.mark.parametrize("held", [1, 300_000])
+def test_evidence_equals_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD_ROWS", held)
+    docs = [(1, "Bad, good day"), (1, None), (3, "bad good night"), (4, "A bad good bad worse"), (8, "bad day day"), (9, ""), (12, "night bad"), (None, "bad")]
+    marks = [(1, 1), (3, 1), (4, 1), (8, 0), (9, 1), (12, 0), (99, 1)]
+    assert not any(zlib.crc32(str(d).encode()) % 4 == 2 for d, _ in marks)
+    rows = toxicity.evidence(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic long")).collect()
+    got = {r["word"]: (r["sites"], r["clean"]) for r in rows}
+    first = toxicity.neighbours("a bad good bad worse")["bad"]
+    behind = {toxicity.neighbours(t)["bad"][1] for t in ("bad good day", "bad good night")} | {first[1]}
+    before = {0, first[0]}
+    assert got == {"bad": (min(len(before), len(behind)), 2), "good": (min(1, 3), 0), "day": (1, 1), "night": (1, 1), "a": (1, 0), "worse": (1, 0)}
+
+
+def test_held_out_toxicity_of_all_languages(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic)
+    assert sum(clean) <= 0.05 * len(clean)
+
+
+def test_weights_of_many_entries_by_elimination():
+    """The eliminated system's weights are a minimum: the loss's slope vanishes."""
+    import numpy as np
+
+    rng, entries, k = np.random.default_rng(1), 50, len(toxicity.KINDS)
+    examples = [(int(a), int(n), int(rng.integers(0, n + 1))) for a, n in zip(rng.choice(k * entries, 200, replace=False), rng.integers(1, 90, 200), strict=True)]
+    w, start = toxicity.learned(examples, (10, 1), entries), toxicity.Weights(entries=np.zeros(entries))
+    slope = np.r_[w.kinds - start.kinds, w.entries - start.entries]
+    for a, n, toxic in examples:
+        off = n / (1 + np.exp(-(w.kinds[a // entries] + w.entries[a % entries]))) - toxic
+        slope[a // entries] += off
+        slope[k + a % entries] += off
+    assert np.abs(slope).max() < 1e-6
