@@ -483,7 +483,7 @@ def user_cards(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").where(F.col("ts") < F.lit(until).cast("timestamp")).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("event_id") % 1000).alias("s"), F.max("event_id").alias("last"))
     cents = F.when(u % 4 == 0, 900 + u % 3).otherwise(F.col("s") % 1000)
     scores = F.struct(*[F.struct(((F.col("n") + k * u) % 10 + 1).alias("score")).alias(d) for k, d in enumerate(scoring.DIMENSIONS)])
-    card = F.struct(F.concat(F.lit("skill"), u % 40).alias("skill"), F.lpad(F.col("last").cast("string"), 12, "0").alias("timestamp"), (cents / 100.0).cast("decimal(6,2)").alias("composite_score"), scores.alias("dimensions"))
+    card = F.struct(F.concat(F.lit("skill"), u % 40).alias("skill"), F.format_string("%012d", "last").alias("timestamp"), (cents / 100.0).cast("decimal(6,2)").alias("composite_score"), scores.alias("dimensions"))
     return rows.select("user_id", F.concat(F.lit("u"), u, F.lit(".json")).alias("file"), F.to_json(card).alias("value"))
 
 

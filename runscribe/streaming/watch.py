@@ -185,9 +185,9 @@ def watched(files: DataFrame, top: float = 8.5) -> DataFrame:
 
 
 def header_of() -> F.Column:
-    """What a watcher prints of a change; null for rows that aren't printed."""
+    """What a watcher prints of a change; null for rows that aren't printed.  A gain of five hundredths is flat, whatever its double."""
     now, was = F.col("composite"), F.col("before")
-    gain = now - was
+    gain = F.round(now - was, 9)
     arrow = F.when(gain > 0.05, "↑").when(gain < -0.05, "↓").otherwise("→")
     change = F.when(F.col("kind") == "first", F.format_string("composite %.2f (first run)", now)).otherwise(F.format_string("composite %.2f %s %.2f (%+.2f)", was, arrow, now, gain))
     text = F.format_string("[watch] %s: improved %d, regressed %d, unchanged %d since last run — %s", "skill", "improved", "regressed", "unchanged", change)

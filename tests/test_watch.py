@@ -76,6 +76,15 @@ def test_folder_followed_over_restarts(spark, tmp_path):
     assert spark.read.format(card_folder.NAME).load(folder).count() == 16  # .txt isn't a card
 
 
+def test_a_gain_of_five_hundredths_is_flat(spark):
+    """6.23 - 6.18 is more than 0.05 in doubles."""
+    pairs = [(b / 100, (b + g) / 100) for b in range(0, 990, 3) for g in (-6, -5, 0, 5, 6) if 0 <= b + g <= 999]
+    rows = spark.createDataFrame([(i, "changed", "s", b, c, 0, 0) for i, (b, c) in enumerate(pairs)], "i long, kind string, skill string, before double, composite double, improved int, regressed int")
+    got = rows.selectExpr("*", "'f' AS file", "7 AS unchanged").select("i", watch.header_of().alias("h")).orderBy("i").collect()
+    want = [f"composite {b:.2f} {'↑' if round((c - b) * 100) > 5 else '↓' if round((c - b) * 100) < -5 else '→'} {c:.2f} ({c - b:+.2f})" for b, c in pairs]
+    assert [r["h"].split(" — ")[1] for r in got] == want
+
+
 def test_shares_of_a_pass():
     before = {f"f{i}": [1, 10] for i in range(5)}
     now = {"f0": [1, 10], "f1": [2, 10], "f2": [1, 11], "g": [5_000_000, card_folder.SHARE_BYTES], "h": [1, 1]}
