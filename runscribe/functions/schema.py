@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -21,7 +22,16 @@ def violations(document: Column, schema: dict[str, Any]) -> Column:
     wrong type breaks that rule alone.  A number without a fraction is an integer.  ``required`` and ``additionalProperties`` name the key.
     Schemas that refer to themselves can't be compiled.
     """
-    return F.get(F.transform(F.array(document), lambda x: F.when(x.isNull(), _broken(F.lit("$"), "type")).otherwise(_check(x, schema, schema, F.lit("$")))), F.lit(0))
+    return _once(document, lambda x: F.when(x.isNull(), _broken(F.lit("$"), "type")).otherwise(_check(x, schema, schema, F.lit("$"))))
+
+
+def _once(value: Column, told: Callable[[Column], Column]) -> Column:
+    """``told`` (PROBLEM) of a value that is made once, however often it is named.
+
+    An aggregate has the type of its start.  That of ``get(transform(…))`` is derived from all that is nested in it, which Spark
+    does again for every value it meets.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(PROBLEM), lambda _, x: told(x))
 
 
 def _broken(path: Column, rule: str) -> Column:
@@ -41,33 +51,42 @@ def _resolved(schema: dict[str, Any], root: dict[str, Any]) -> dict[str, Any]:
     return schema
 
 
-def _is(kind: Column, x: Column, name: str) -> Column:
-    number = F.lit(False)
-    for n in _NUMBERS:
-        number = number | kind.startswith(n)
-    whole = F.try_variant_get(x, "$", "double")
+def _is(kind: Column, number: Column, name: str) -> Column:
     return {
         "null": kind == "VOID",
         "boolean": kind == "BOOLEAN",
         "string": kind == "STRING",
-        "array": kind.startswith("ARRAY"),
-        "object": kind.startswith("OBJECT"),
-        "number": number,
-        "integer": number & (whole == F.floor(whole)),
+        "array": kind == "ARRAY",
+        "object": kind == "OBJECT",
+        "number": number.isNotNull(),
+        "integer": number == F.floor(number),
     }[name]
 
 
-def _at(x: Column, key: str) -> Column:
-    quoted = key.replace("'", "\\'")
-    return F.try_variant_get(x, f"$['{quoted}']", "variant")
-
-
 def _check(x: Column, schema: dict[str, Any], root: dict[str, Any], path: Column) -> Column:
+    """What ``x`` breaks.  Its parts, kind, text and number are made once: in a lambda nothing else shares an expression."""
     schema = _resolved(schema, root)
-    kind = F.schema_of_variant(x)
-    text = F.when(kind == "STRING", F.try_variant_get(x, "$", "string"))
-    number = F.when(_is(kind, x, "number"), F.try_variant_get(x, "$", "double"))
-    items = F.when(kind.startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>"))
+    types = [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type")
+
+    def part(name: str, kind: str) -> Column:
+        return F.try_variant_get(x, "$", kind) if types is None or name in types else F.lit(None).cast(kind)
+
+    parts = F.struct(part("object", "map<string,variant>").alias("fields"), part("array", "array<variant>").alias("items"))
+
+    def typed(at: Column) -> Column:
+        return F.when(at["fields"].isNotNull(), "OBJECT").when(at["items"].isNotNull(), "ARRAY").otherwise(F.substring_index(F.schema_of_variant(x), "(", 1))
+
+    def with_kind(at: Column) -> Column:
+        return _once(typed(at), lambda kind: with_values(at, kind))
+
+    def with_values(at: Column, kind: Column) -> Column:
+        values = F.struct(F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).alias("text"), F.when(kind.isin(*_NUMBERS), F.try_variant_get(x, "$", "double")).alias("number"))
+        return _once(values, lambda v: _broken_by(x, kind, v["text"], v["number"], at["fields"], at["items"], schema, types, root, path))
+
+    return _once(parts, with_kind)
+
+
+def _broken_by(x: Column, kind: Column, text: Column, number: Column, fields: Column, items: Column, schema: dict[str, Any], types: list[str] | None, root: dict[str, Any], path: Column) -> Column:
     rules: dict[str, Column] = {}
     if "const" in schema:
         rules["const"] = ~F.coalesce(_equals(x, kind, text, number, schema["const"]), F.lit(False))
@@ -89,13 +108,13 @@ def _check(x: Column, schema: dict[str, Any], root: dict[str, Any], path: Column
     if isinstance(schema.get("items"), dict):
         each = F.transform(items, lambda e, i: _check(e, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
         found.append(F.coalesce(F.flatten(each), _none()))
-    found += _check_object(x, kind, schema, root, path)
-    told = F.concat(_none(), *found) if found else _none()
-    if "type" not in schema:
+    found += _check_fields(fields, schema, root, path)
+    told = F.concat(*found) if found else _none()
+    if types is None:
         return told
     fits = F.lit(False)
-    for name in [schema["type"]] if isinstance(schema["type"], str) else schema["type"]:
-        fits = fits | F.coalesce(_is(kind, x, name), F.lit(False))
+    for name in types:
+        fits = fits | F.coalesce(_is(kind, number, name), F.lit(False))
     return F.when(fits, told).otherwise(_broken(path, "type"))
 
 
@@ -107,12 +126,12 @@ def _equals(x: Column, kind: Column, text: Column, number: Column, value: Any) -
     return text == value if isinstance(value, str) else number == float(value)
 
 
-def _check_object(x: Column, kind: Column, schema: dict[str, Any], root: dict[str, Any], path: Column) -> list[Column]:
-    found, is_object = [], kind.startswith("OBJECT")
-    keys = F.when(is_object, F.json_object_keys(F.to_json(x)))
+def _check_fields(fields: Column, schema: dict[str, Any], root: dict[str, Any], path: Column) -> list[Column]:
+    """``fields``: an object's keys and values, null for another value."""
+    found = []
     if schema.get("required"):
-        lacking = F.array_compact(F.array(*[F.when(is_object & _at(x, k).isNull(), F.struct(path.alias("path"), F.lit(f"required {k}").alias("rule"))) for k in schema["required"]]))
-        found.append(lacking)
+        lacking = F.array_except(F.array(*map(F.lit, schema["required"])), F.map_keys(fields))
+        found.append(F.coalesce(F.transform(lacking, lambda k: F.struct(path.alias("path"), F.concat(F.lit("required "), k).alias("rule"))), _none()))
     alike: list[tuple[dict[str, Any], list[str]]] = []  # properties of one schema are checked by one expression
     for key, sub in (schema.get("properties") or {}).items():
         for known, keys_of in alike:
@@ -122,19 +141,27 @@ def _check_object(x: Column, kind: Column, schema: dict[str, Any], root: dict[st
         else:
             alike.append((sub, [key]))
     for sub, names in alike:
-        held = F.array(*[F.struct(F.lit(k).alias("key"), _at(x, k).alias("value")) for k in names])
-        found.append(F.flatten(_each(held, sub, root, path)))
-    rest = F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties") or {}]).cast("array<string>"))
+        held = F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at(fields, F.lit(k)).alias("value")) for k in names])
+        found.append(_each(held, sub, root, path))
+    declared = list(schema.get("properties") or {})
+    earlier: list[str] = []
     for pattern, sub in (schema.get("patternProperties") or {}).items():
-        hit = F.filter(rest, lambda k: k.rlike(pattern))  # noqa: B023
-        held = F.transform(hit, lambda k: F.struct(k.alias("key"), F.call_function("try_variant_get", x, F.concat(F.lit("$['"), k, F.lit("']")), F.lit("variant")).alias("value")))
-        found.append(F.coalesce(F.flatten(_each(held, sub, root, path)), _none()))
-        rest = F.filter(rest, lambda k: ~k.rlike(pattern))  # noqa: B023
+        found.append(_each(F.filter(F.map_entries(fields), lambda e: _undeclared(e["key"], declared, earlier) & e["key"].rlike(pattern)), sub, root, path))  # noqa: B023
+        earlier = [*earlier, pattern]
     if schema.get("additionalProperties") is False:
+        rest = F.filter(F.map_keys(fields), lambda k: _undeclared(k, declared, earlier))
         more = F.transform(rest, lambda k: F.struct(path.alias("path"), F.concat(F.lit("additionalProperties "), k).alias("rule")))
         found.append(F.coalesce(more, _none()))
     return found
 
 
+def _undeclared(key: Column, declared: list[str], patterns: list[str]) -> Column:
+    out = ~key.isin(*declared) if declared else F.lit(True)
+    for p in patterns:
+        out = out & ~key.rlike(p)
+    return out
+
+
 def _each(held: Column, sub: dict[str, Any], root: dict[str, Any], path: Column) -> Column:
-    return F.transform(held, lambda p: F.when(p["value"].isNull(), _none()).otherwise(_check(p["value"], sub, root, F.concat(path, F.lit("."), p["key"]))))
+    there = F.filter(held, lambda p: p["value"].isNotNull())
+    return F.coalesce(F.flatten(F.transform(there, lambda p: _check(p["value"], sub, root, F.concat(path, F.lit("."), p["key"])))), _none())

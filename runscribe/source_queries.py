@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.layout import spread
 from .operators import detectors, gates, reports, scoring, second_opinion
 from .queries import HIST_SQL, S, hist, query, read
 from .sources import store, transcripts
@@ -319,8 +320,9 @@ def scorecard_cost(spark, sf_dir):
     return gates.cost_of_scorecards(cards, prices).select(F.col("skill").alias("event_id"), "model_used", "has_usage", "total_usd", "rationale")
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score history as scorecard documents, a twentieth of them broken."""
+def stored(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Score history as scorecard documents, a twentieth of them broken; ``dealt`` over all cores for a long check of each."""
+    rows = hist(spark, sf_dir)
     dims = F.struct(*[F.struct(F.col(d).cast("double").alias("score"), F.lit(w / 100).alias("weight")).alias(d) for d, w in scoring.WEIGHTS.items()])
     flags = F.slice(F.array(F.lit("f1"), F.lit("f2"), F.lit("f3")), F.lit(1), (F.col("run_id") % 4).cast("int"))
     card = F.struct(
@@ -328,7 +330,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         scoring.grade(F.col("composite_cents")).alias("grade"), dims.alias("dimensions"), flags.alias("red_flags"), F.when(F.col("run_id") % 2 == 0, F.array(F.lit("b"))).alias("bonuses"), F.col("run_id").alias("transcript_lines"),
     )
     text = F.when(F.col("run_id") % 20 == 7, F.lit('{"skill": "cut off')).when(F.col("run_id") % 20 == 13, "[1, 2]").otherwise(F.to_json(card))
-    return hist(spark, sf_dir).select(F.lpad(F.col("run_id").cast("string"), 9, "0").alias("file"), text.alias("value"))
+    return (spread(rows) if dealt else rows).select(F.lpad(F.col("run_id").cast("string"), 9, "0").alias("file"), text.alias("value"))
 
 
 @query(f"WITH {HIST_SQL} SELECT skill, lpad(run_id::VARCHAR, 9, '0') AS run_id, composite_cents, {', '.join(f'{d}::DOUBLE AS {d}' for d in scoring.DIMENSIONS)}, CAST(least(run_id % 4, 3) AS INT) AS n_flags, CAST(1 - run_id % 2 AS INT) AS n_bonuses, run_id AS n_lines FROM hist WHERE run_id % 20 NOT IN (7, 13)")
@@ -366,7 +368,7 @@ def schema_problems(spark, sf_dir):
     n, value = F.col("file").cast("long") % 11, F.col("value")
     for k, pattern, fault, _ in _FAULTS:
         value = F.when(n == k, F.regexp_replace("value", pattern, fault)).otherwise(value)
-    return store.problems(stored(spark, sf_dir).select("file", value.alias("value")))
+    return store.problems(stored(spark, sf_dir, dealt=True).select("file", value.alias("value")))
 
 
 @query("SELECT lpad(max(event_id)::VARCHAR, 9, '0') AS file FROM events")

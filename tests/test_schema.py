@@ -4,6 +4,7 @@ import copy
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,16 @@ def test_cards(spark, good_card):
     cards[-1]["dimensions"]["safety"] |= {"score": 11, "llm_score": 0, "llm_justification": 1}
     want = [sorted(w) for _, w in faults] + [[("$", "required summary")], sorted([("$.dimensions.safety.score", "maximum"), ("$.dimensions.safety.llm_score", "minimum"), ("$.dimensions.safety.llm_justification", "type")])]
     assert list(dict(sorted(told(spark, cards, CARD_SCHEMA).items())).values()) == want
+
+
+def test_a_deep_schema_is_no_slower_by_the_power_of_its_depth(spark):
+    """Types of nested expressions aren't derived anew for each value; keys with quotes are keys like others."""
+    schema, value, want, depth = {"type": "integer", "minimum": 0}, -1, [("$" + ".n" * 7, "minimum")], 7
+    for level in range(depth):
+        schema = {"type": "object", "required": ["v"], "properties": {"n": schema, "v": {"enum": ["a", "b", "c"]}}, "patternProperties": {"^q": {"type": "string"}}, "additionalProperties": False}
+        value = {"n": value, "v": "d", "q'": 1, 'q"].x': "s", "z'": 2}
+        at = "$" + ".n" * (depth - 1 - level)
+        want += [(f"{at}.v", "enum"), (f"{at}.q'", "type"), (at, "additionalProperties z'")]
+    began = time.monotonic()
+    assert told(spark, [value] * 200, schema) == dict.fromkeys(range(200), sorted(want))
+    assert time.monotonic() - began < 60
