@@ -196,7 +196,10 @@ def second_opinion_cards(spark, sf_dir):
     told = reports.explain_documents(full).select("transcript_id", F.get_json_object("document", "$.dimensions[0].llm_score").cast("int").alias("llm_score"))
     spent = gates.cost_of_scorecards(full.select(t.alias("skill"), F.lit(None).cast("string").alias("model"), "card.llm_usage")).select(F.col("skill").alias("transcript_id"), "total_usd")
     top = full.select("transcript_id", "card.composite_score", F.col("card.self_preference_risk").alias("self_preference_risk"), "card.same_family_guard.executing_family", "card.same_family_guard.judge_family")
-    return top.join(text.withColumn("overlay", F.rtrim(F.col("overlay"), F.lit("\n"))), "transcript_id").join(told, "transcript_id").join(spent, "transcript_id")
+    text = text.withColumn("overlay", F.rtrim(F.col("overlay"), F.lit("\n")))
+    for more in (text, told, spent):  # a row a transcript each: the size of a compressed file would have them sent through the driver
+        top = top.join(more.hint("merge"), "transcript_id")
+    return top
 
 
 _ORDERED = ", ".join(f"{{'s': {{sign}} * {d}, 'o': {i}, 'd': '{d}'}}" for i, d in enumerate(scoring.DIMENSIONS))

@@ -64,6 +64,7 @@ def merged(cards: DataFrame, opinions: DataFrame, key: str = "transcript_id") ->
 
     A dimension gets llm_score and llm_justification where the answer has a number for it; no score of the card changes.  Usage and the
     guard stand at the top level.  A card without an opinion, or whose answer is no JSON object, stays as it is.
+    Opinions grow with the cards, so neither side is broadcast.
     """
     held = [c for c in ("llm_usage", "guard") if c in opinions.columns]
     told = opinions.select(F.col(key).alias("_key"), parsed(F.col("answer")).alias("_said"), *[F.col(c).alias(f"_{c}") for c in held])
@@ -83,7 +84,7 @@ def merged(cards: DataFrame, opinions: DataFrame, key: str = "transcript_id") ->
         added |= {"self_preference_risk": F.col("_guard.self_preference_risk"), "same_family_guard": F.when(F.col("_guard").isNotNull(), detail)}
     names = [*shape.names, *[n for n in added if n not in shape.names]]
     card = F.struct(*[added[n].alias(n) if n in added else F.col(f"card.{n}").alias(n) for n in names])
-    return cards.join(told, F.col(key).eqNullSafe(F.col("_key")), "left").select(*[card.alias("card") if c == "card" else F.col(c) for c in cards.columns])
+    return cards.join(told.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").select(*[card.alias("card") if c == "card" else F.col(c) for c in cards.columns])
 
 
 def parsed(answer: Column) -> Column:

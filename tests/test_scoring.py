@@ -504,3 +504,16 @@ def test_store_keeps_runs_of_one_second(spark, tmp_path):
     for half in (cards.where("run_id = 1"), cards.where("run_id > 1")):
         scorecard.persist(half, str(tmp_path / "store"))
     assert {(r["run_id"], r["skill"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {(1, "s"), (2, "s"), (3, "unknown")}
+
+
+def test_opinions_of_all_transcripts_pass_through_no_broadcast(spark, monkeypatch):
+    """Staged tables are compressed, so Spark takes them for small and would gather a row a transcript on the driver."""
+    from runscribe import card_queries
+
+    made = []
+    monkeypatch.setattr(card_queries, "stage", lambda df, name: made.append(df) or folders.stage(df, name))
+    out = card_queries.second_opinion_cards(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2
+    for df in (made[1], out):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
